@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat
+from millrace.llm import chat, packing, pieces
 from millrace.llm.common import table
 
 
+def tokenizer(name: str) -> str:
+    """Place of a public tokenizer file; the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut and packed into sequences of at most 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", packing.Packing(tokenizer("byte_bpe_50k.json")))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document as digests, and how many source bytes its pieces span."""
+    return pieces.encode(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer("piece_bpe_32k.model"), digests=True)
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and conversation -1 whose texts hold control strings, formatted and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -18,7 +35,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(records, "payload", ["conv_id"]), "conv_id")
 
 
-QUERIES = {"op10_chat_formatting": op10_chat_formatting}
+QUERIES = {"op3_cost_packing": op3_cost_packing, "op4_sentencepiece": op4_sentencepiece, "op10_chat_formatting": op10_chat_formatting}
 SQL = {
     "op10_chat_formatting": """
 WITH rows AS (
