@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, packing, pieces
-from millrace.llm.common import table
+from millrace.llm import chat, packing, pieces, quality, toxicity
+from millrace.llm.common import remainder, table
 
 
 def tokenizer(name: str) -> str:
@@ -16,6 +16,13 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.classify(docs, model, ["doc_id"]).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op3_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents cut and packed into sequences of at most 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", packing.Packing(tokenizer("byte_bpe_50k.json")))
@@ -26,6 +33,12 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer("piece_bpe_32k.model"), digests=True)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
+    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and conversation -1 whose texts hold control strings, formatted and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -35,7 +48,13 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(records, "payload", ["conv_id"]), "conv_id")
 
 
-QUERIES = {"op3_cost_packing": op3_cost_packing, "op4_sentencepiece": op4_sentencepiece, "op10_chat_formatting": op10_chat_formatting}
+QUERIES = {
+    "op2_toxicity": op2_toxicity,
+    "op3_cost_packing": op3_cost_packing,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op8_quality": op8_quality,
+    "op10_chat_formatting": op10_chat_formatting,
+}
 SQL = {
     "op10_chat_formatting": """
 WITH rows AS (
