@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, packing, pieces, quality, toxicity
+from millrace.llm import chat, packing, pieces, pii, quality, toxicity
 from millrace.llm.common import remainder, table
 
 
@@ -33,6 +33,13 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer("piece_bpe_32k.model"), digests=True)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in all documents."""
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents."""
     scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
@@ -52,6 +59,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_cost_packing": op3_cost_packing,
     "op4_sentencepiece": op4_sentencepiece,
+    "op7_pii": op7_pii,
     "op8_quality": op8_quality,
     "op10_chat_formatting": op10_chat_formatting,
 }
