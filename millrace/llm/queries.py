@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, packing, pieces, pii, quality, toxicity
+from millrace.llm import chat, neardup, packing, pieces, pii, quality, toxicity
 from millrace.llm.common import remainder, table
 
 
@@ -50,6 +50,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near duplicates among all documents: three-word shingles, 85 hundredths."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return neardup.dedup(docs, "doc_id", neardup.Settings(words=3, threshold=85))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and conversation -1 whose texts hold control strings, formatted and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -65,6 +71,7 @@ QUERIES = {
     "op4_sentencepiece": op4_sentencepiece,
     "op7_pii": op7_pii,
     "op8_quality": op8_quality,
+    "op9_minhash": op9_minhash,
     "op10_chat_formatting": op10_chat_formatting,
 }
 SQL = {
