@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, neardup, packing, pieces, pii, quality, toxicity
+from millrace.llm import chat, neardup, ngrams, packing, pieces, pii, quality, toxicity
 from millrace.llm.common import remainder, table
 
 
@@ -16,6 +16,13 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of those that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = ngrams.score(docs, "doc_id", docs.where(remainder("doc_id", 7) != 2))
+    return scored.select("doc_id", (remainder("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents."""
     docs = table(spark, sf_dir, "documents")
@@ -66,6 +73,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_scores": op1_ngram_scores,
     "op2_toxicity": op2_toxicity,
     "op3_cost_packing": op3_cost_packing,
     "op4_sentencepiece": op4_sentencepiece,
