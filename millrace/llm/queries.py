@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, neardup, ngrams, packing, pieces, pii, quality, toxicity
+from millrace.llm import chat, covertree, mtree, neardup, ngrams, packing, pieces, pii, quality, toxicity
 from millrace.llm.common import remainder, table
 
 
@@ -40,6 +40,17 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer("piece_bpe_32k.model"), digests=True)
 
 
+def op5_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all embeddings at a cosine of 0.95 and above."""
+    return covertree.dedup(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+def op6_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest integer inner products of every fiftieth embedding."""
+    rows = table(spark, sf_dir, "embeddings")
+    return mtree.top_k(rows, "vec_id", mtree.scaled(F.col("embedding"), 256), F.col("vec_id") % 50 == 0)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in all documents."""
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
@@ -77,6 +88,8 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_cost_packing": op3_cost_packing,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_cover_tree": op5_cover_tree,
+    "op6_mtree": op6_mtree,
     "op7_pii": op7_pii,
     "op8_quality": op8_quality,
     "op9_minhash": op9_minhash,
@@ -97,5 +110,30 @@ WITH rows AS (
   FROM (SELECT conv_id, turn, coalesce(role, '') AS role, text FROM rows) GROUP BY conv_id
 )
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM turns
-"""
+""",
+    "op6_mtree": """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, e.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(e.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM e AS q JOIN e ON q.vec_id <> e.vec_id AND len(q.v) = len(e.v) WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+""",
+    "op5_cover_tree": """
+WITH RECURSIVE e AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM e AS a JOIN e AS b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+), least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least ON least.a = vec_id LEFT JOIN (SELECT a, count(*) AS n_links FROM links GROUP BY a) AS n ON n.a = vec_id
+""",
 }
