@@ -38,6 +38,8 @@ SHAPES = {
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 #: Marks around matches, and what stands for them in texts that hold them: no shape has either.
 MARK, OTHER = "\x01", "\x02"
+#: Bytes of found spans up to which they are broadcast.
+BROADCAST = 8 << 20
 SPAN = "struct<kind:string,start:long,end:long>"
 
 
@@ -102,13 +104,14 @@ CANDIDATE = r"(?:^|(?<=[\x20\x09-\x0D]))(?=[^\x20\x09-\x0D]*[@0-9])[^\x20\x09-\x
 BEFORE = r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$"
 
 
-def instances(docs: DataFrame, key: str) -> DataFrame:
-    """(key, spans, found): base spans, and all instances as (kind or null, start, end, value, before1, before2).
+def instances(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """(k0, k1 and so on for ``keep``, spans, found): base spans, and all instances as (kind or null, start, end, value, before1, before2).
 
     A candidate token's edges are trimmed of quotes, brackets and punctuation. The words before are lower-cased.
     """
     plain = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), MARK, OTHER)
-    rows = docs.select(F.col(key).alias("key"), plain.alias("text")).withColumn("spans", base_spans(F.col("text")))
+    names = [f"k{i}" for i in range(len(keep))]
+    rows = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, names, strict=True)], plain.alias("text")).withColumn("spans", base_spans(F.col("text")))
     pieces = F.transform(_cut(F.col("text"), CANDIDATE), lambda x, i: F.struct(x.alias("text"), i.alias("i")))
     start = F.expr("struct(0L as at, '' as before, cast(array() as array<struct<start:long,end:long,value:string,before:string>>) as found)")
 
@@ -136,7 +139,7 @@ def instances(docs: DataFrame, key: str) -> DataFrame:
     )
     loose = F.filter(F.coalesce(found, F.expr("cast(array() as array<struct<start:long,end:long,value:string,before:string>>)")), lambda f: ~F.exists("spans", lambda s: (s["start"] < f["end"]) & (f["start"] < s["end"])))
     loose = F.transform(loose, lambda f: F.struct(f["start"], f["end"], f["value"], f["before"], F.lit(None).cast("string").alias("kind")))
-    return rows.select("key", "spans", F.concat(seeds, loose).alias("found"))
+    return rows.select(*names, "spans", F.concat(seeds, loose).alias("found"))
 
 
 def patterns(before: Column) -> Column:
@@ -166,21 +169,24 @@ def learned(found: DataFrame, s: Settings = Settings()) -> DataFrame:
     return scores.where(F.col("score") >= s.accept).select("pattern", F.col("of").alias("kind"))
 
 
-def find(docs: DataFrame, key: str, s: Settings = Settings()) -> DataFrame:
-    """The key, ``base`` and ``spans`` of every row of ``docs`` (columns ``key`` and ``text``), each an array of (kind, start, end).
+def find(docs: DataFrame, keep: list[str], s: Settings = Settings()) -> DataFrame:
+    """The columns ``keep``, ``base`` and ``spans`` of every row of ``docs``, the last two arrays of (kind, start, end).
 
-    Rows are told apart by a number of their own, so repeated keys stay apart.
+    Rows are told apart by a number of their own, so repeated ids stay apart.
     """
-    rows = stored(instances(docs, key).withColumn("row", F.monotonically_increasing_id()), "instances")
+    rows = stored(instances(docs, keep).withColumn("row", F.monotonically_increasing_id()), "instances")
     each = rows.where(F.size("found") > 0).select("row", F.explode("found").alias("f")).select("row", "f.*")
     known = learned(each.select("kind", "value", "before"), s)
     fresh = each.where("kind is null").select("row", "start", "end", F.explode(patterns(F.col("before"))).alias("pattern"))
     added = fresh.join(known, "pattern").groupBy("row", "start", "end").agg(F.min("kind").alias("kind"))
-    added = added.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
+    added = stored(added.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added")), "added")
     rank = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
     every = F.concat("spans", F.coalesce("added", F.array().cast(f"array<{SPAN}>")))
     ordered = F.transform(F.array_sort(F.transform(every, lambda x: F.struct(F.element_at(rank, x["kind"]).alias("rank"), x["start"], x["end"], x["kind"]))), lambda x: F.struct(x["kind"], x["start"], x["end"]))
-    return rows.join(added, "row", "left").select(F.col("key").alias(key), F.col("spans").alias("base"), ordered.alias("spans"))
+    # few rows gain spans as a rule: where their number is small, the others needn't be shuffled
+    few = added.agg(F.coalesce(F.sum(F.size("added") * 40 + 16), F.lit(0))).first()[0] <= BROADCAST
+    out = rows.join(F.broadcast(added) if few else added, "row", "left")
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("spans").alias("base"), ordered.alias("spans"))
 
 
 def joined(spans: Column) -> Column:

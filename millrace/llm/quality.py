@@ -6,8 +6,7 @@ bin of its scores on rows it wasn't fitted to bounds the share of positives amon
 It is then fitted again to the risk ``prior * R_p(+1) + max(0, R_u(-1) - prior * R_p(-1))``, taking a step back on
 the negative part where that is below zero. Last, labelled training rows place the cut at 0.3.
 
-Features are measured once over all documents and stored; training reads samples of ``per_side`` rows, chosen by a
-hash of the id.
+Training measures samples of ``per_side`` rows, chosen by a hash of the id; scoring measures every document whole.
 
 Defined results: null and empty texts have features of an empty text and a score like any other. Without positives,
 or without any text, all scores are 0. Repeated rows are scored alike; of several labels the largest counts; null
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import remainder, stored
+from millrace.llm.common import remainder
 
 FEATURES = (
     "log_words", "mean_word", "long_words", "short_words", "distinct", "distinct_lower", "adjacent_same", "top_word",
@@ -172,44 +171,47 @@ def scores(model: Model | None, x: np.ndarray) -> np.ndarray:
     return sigmoid(model.net.logits(x) - model.threshold + np.log(model.cut / (1 - model.cut)))
 
 
-def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of every document and its features as ``x``."""
-    schema = docs.select(*keep).withColumn("x", F.array().cast("array<double>")).schema
+def sampled(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
+    """(h, y, free, x) of the training rows: bounded samples of each label, and of documents whatever their labels.
+
+    The chosen ids are bounded by ``per_side``, so they are broadcast against the documents.
+    """
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where(F.col("y").isin(0, 1) & (remainder("doc_id", 5) != 0))
+    known = known.groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("doc_id"))
+    free = docs.select("doc_id").where(remainder("doc_id", 5) != 0).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(s.per_side)
+    picked = [known.where(F.col("y") == y).orderBy("h", "doc_id").limit(s.per_side).select("doc_id", "h", "y", F.lit(0).alias("free")) for y in (0, 1)]
+    picked = picked[0].union(picked[1]).union(free.select("doc_id", "h", F.lit(None).cast("int"), F.lit(1)))
+    picked = picked.groupBy("doc_id", "h").agg(F.max("y").alias("y"), F.max("free").alias("free"))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("h", "y", "free", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(t) for t in batch.column("__text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(x, pa.list_(pa.float64()))], [*keep, "x"])
+            x = [features(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("h", "y", "free")], pa.array(x, pa.list_(pa.float64()))], ["h", "y", "free", "x"])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, "h long, y int, free int, x array<double>")
 
 
-def fit(measures: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model | None:
-    """Train on documents whose crc32 modulo 5 isn't 0, from their stored features."""
-    own = measures.select("doc_id", "x").where(remainder("doc_id", 5) != 0).withColumn("h", F.xxhash64("doc_id"))
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where(F.col("y").isin(0, 1) & (remainder("doc_id", 5) != 0))
-    known = known.groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("doc_id"))
-    picked = [known.where(F.col("y") == y).orderBy("h", "doc_id").limit(s.per_side) for y in (0, 1)]
-    picked = F.broadcast(picked[0].unionByName(picked[1]).select("doc_id", "y"))
-    rows = own.join(picked, "doc_id").select("h", "y", "x").toPandas().sort_values(["h", "y"], kind="stable")
-    free = own.orderBy("h", "doc_id").limit(s.per_side).select("h", "x").toPandas().sort_values("h", kind="stable")
-    if not (rows.y == 1).any() or not len(free):
+def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model | None:
+    """Train on documents whose crc32 modulo 5 isn't 0; None without positives or texts."""
+    rows = sampled(docs, labels, s).toPandas().sort_values(["h", "y", "free"], kind="stable")
+    y, free = rows.y.to_numpy(np.float64), rows.free.to_numpy() == 1
+    if not (y == 1).any() or not free.any():
         return None
     x = np.stack(rows.x.to_numpy())
-    return train(x[rows.y.to_numpy() == 1], np.stack(free.x.to_numpy()), x, rows.y.to_numpy(), s)
+    known = ~np.isnan(y)
+    return train(x[y == 1], x[free], x[known], y[known].astype(np.int64), s)
 
 
-def classify(docs: DataFrame, labels: DataFrame, keep: list[str], s: Settings = Settings()) -> DataFrame:
-    """The columns ``keep`` (doc_id among them) of every document, with ``score`` and ``predicted`` (1 at 0.3 and above)."""
-    measures = stored(measured(docs, keep), "measures")
-    model = fit(measures, labels, s)
+def classify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of every document, with ``score`` and ``predicted`` (1 at 0.3 and above)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select(*keep).withColumn("score", F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(scores(shared.value, flat), pa.float64())], [*keep, "score"])
+            x = np.array([features(t) for t in batch.column("__text").to_pylist()]).reshape(batch.num_rows, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(scores(shared.value, x), pa.float64())], [*keep, "score"])
 
-    out = measures.mapInArrow(run, schema)
-    return out.withColumn("predicted", (F.col("score") >= s.cut).cast("int"))
+    out = docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
+    return out.withColumn("predicted", (F.col("score") >= (model.cut if model else 0.3)).cast("int"))

@@ -53,7 +53,7 @@ def op6_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in all documents."""
-    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    found = pii.find(table(spark, sf_dir, "documents"), ["doc_id"])
 
     def count(kind: str):
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -64,7 +64,8 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents."""
-    scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
