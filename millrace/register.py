@@ -1,8 +1,473 @@
-"""The library's queries by name, with their SQL."""
+"""The library's queries over the test tables, each with the SQL that says the same."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.operators import mapping, mutate, profile, quality, reconcile, retrieval
+from millrace.plans import aggregates, joins, selection
+from millrace.plans.catalog import Catalog, ColumnSpec, TableSpec
+from millrace.plans.conditions import filtered
+from millrace.plans.policy import Policy
+from millrace.streaming import rollup
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def put(run):
+        QUERIES[name or run.__name__] = run
+        if sql:
+            SQL[name or run.__name__] = sql
+        return run
+
+    return put
+
+
+def _c(spark: SparkSession, path: str, *tables: str) -> Catalog:
+    return Catalog.of_directory(spark, path, tables=list(tables))
+
+
+def _t(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/{name}.parquet")
+
+
+def _money(column: str):
+    """Money sums are exact, so that their order doesn't show."""
+    return F.col(column).cast("decimal(18,4)")
+
+
+# aggregates
+
+
+def _aggregate(name: str, table: str, function: str, column: str, by: list[str] = (), sql: str = "", **options) -> None:
+    def run(spark: SparkSession, path: str) -> DataFrame:
+        df = _t(spark, path, table)
+        df = df.withColumn(column, _money(column)) if function in ("SUM", "AVG") and column != "p_size" else df
+        out = aggregates.aggregated(df, function, column, list(by), **options)
+        return out.withColumn("agg_result", F.col("agg_result").cast("double")) if function in ("SUM", "AVG") and column != "p_size" else out
+
+    query(sql, name)(run)
+
+
+_EXACT = "CAST({}(CAST({} AS DECIMAL(18,4))) AS DOUBLE)"
+_aggregate("agg_count_star", "lineitem", "COUNT", "*", sql="SELECT count(*) AS agg_result FROM lineitem")
+_aggregate("agg_count_col", "orders", "COUNT", "o_orderstatus", sql="SELECT count(o_orderstatus) AS agg_result FROM orders")
+_aggregate("agg_sum_grouped", "lineitem", "SUM", "l_extendedprice", ["l_returnflag"], f"SELECT l_returnflag, {_EXACT.format('sum', 'l_extendedprice')} AS agg_result FROM lineitem GROUP BY l_returnflag")
+_aggregate("agg_min_grouped", "lineitem", "MIN", "l_quantity", ["l_returnflag", "l_linestatus"], "SELECT l_returnflag, l_linestatus, min(l_quantity) AS agg_result FROM lineitem GROUP BY ALL")
+_aggregate("agg_max_grouped", "lineitem", "MAX", "l_extendedprice", ["l_returnflag", "l_linestatus"], "SELECT l_returnflag, l_linestatus, max(l_extendedprice) AS agg_result FROM lineitem GROUP BY ALL")
+_aggregate("agg_count_distinct", "orders", "COUNT", "o_custkey", sql="SELECT count(DISTINCT o_custkey) AS agg_result FROM orders", distinct=True)
+_aggregate("agg_sum_distinct", "part", "SUM", "p_size", sql="SELECT CAST(sum(DISTINCT p_size) AS BIGINT) AS agg_result FROM part", distinct=True)
+_aggregate("agg_having", "orders", "COUNT", "*", ["o_custkey"], "SELECT o_custkey, count(*) AS agg_result FROM orders GROUP BY o_custkey HAVING count(*) > 15", having=aggregates.Having("COUNT", "*", ">", 15))
+_aggregate("agg_having_other_func", "orders", "SUM", "o_totalprice", ["o_custkey"], f"SELECT o_custkey, {_EXACT.format('sum', 'o_totalprice')} AS agg_result FROM orders GROUP BY o_custkey HAVING count(*) >= 12", having=aggregates.Having("COUNT", "*", ">=", 12))
+
+
+@query("SELECT l_returnflag, round(CAST(sum(CAST(l_quantity AS DECIMAL(18,4))) AS DOUBLE) / count(*), 6) AS agg_result FROM lineitem GROUP BY l_returnflag")
+def agg_avg_grouped(spark, path):
+    out = aggregates.several(_t(spark, path, "lineitem").withColumn("l_quantity", _money("l_quantity")), [{"field": "l_quantity", "aggregate": "SUM", "alias": "s"}, {"field": "*", "aggregate": "COUNT", "alias": "n"}], ["l_returnflag"])
+    return out.select("l_returnflag", F.round(F.col("s").cast("double") / F.col("n"), 6).alias("agg_result"))
+
+
+@query("SELECT DISTINCT o_orderpriority FROM orders ORDER BY 1")
+def distinct_list(spark, path):
+    return selection.distinct_values(_t(spark, path, "orders"), "o_orderpriority")
+
+
+@query(f"SELECT p_brand, count(*) AS n, {_EXACT.format('sum', 'p_retailprice')} AS total, max(p_size) AS largest, count(DISTINCT p_type) AS types FROM part GROUP BY p_brand ORDER BY n DESC, p_brand LIMIT 10")
+def agg_multi(spark, path):
+    wanted = [{"field": "*", "aggregate": "COUNT", "alias": "n"}, {"field": "p_retailprice", "aggregate": "SUM", "alias": "total"}, {"field": "p_size", "aggregate": "MAX", "alias": "largest"}, {"field": "p_type", "aggregate": "COUNT", "alias": "types", "distinct": True}]
+    df = _t(spark, path, "part").withColumn("p_retailprice", _money("p_retailprice"))
+    return aggregates.several(df, wanted, ["p_brand"], order="n DESC, p_brand", limit=10).withColumn("total", F.col("total").cast("double"))
+
+
+# conditions
+
+_PART, _ORDERS = "SELECT p_partkey, p_size FROM part WHERE ", "SELECT o_orderkey FROM orders WHERE "
+_LABELLED = "(SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l USING (doc_id))"
+
+
+def _filter(name: str, table: str, fields: str, conditions: list, sql: str) -> None:
+    query(sql, name)(lambda spark, path: selection.projected(filtered(_t(spark, path, table), conditions), fields))
+
+
+def _one(field, op, value=None, link="AND") -> dict:
+    return {"field": field, "op": op, "value": value, "link": link}
+
+
+_filter("filter_compare", "part", "p_partkey, p_size", [_one("p_size", ">=", "40"), _one("p_retailprice", "<", "1500")], _PART + "p_size >= 40 AND p_retailprice < 1500")
+_filter("filter_in", "part", "p_partkey, p_size", [_one("p_size", "IN", "1, 5,'9'")], _PART + "p_size IN (1, 5, 9)")
+_filter("filter_not_in", "part", "p_partkey, p_size", [_one("p_size", "not in", [1, 5, 9])], _PART + "p_size NOT IN (1, 5, 9)")
+_filter("filter_between", "part", "p_partkey, p_size", [_one("p_size", "BETWEEN", "10,20")], _PART + "p_size BETWEEN 10 AND 20")
+_filter("filter_not_between", "part", "p_partkey, p_size", [_one("p_size", "NOT BETWEEN", [10, 40])], _PART + "p_size NOT BETWEEN 10 AND 40")
+_filter("filter_like", "part", "p_partkey, p_size", [_one("p_name", "LIKE", "%1%")], _PART + "p_name LIKE '%1%'")
+_filter("filter_not_like", "part", "p_partkey, p_size", [_one("p_name", "NOT LIKE", "%1%")], _PART + "p_name NOT LIKE '%1%'")
+_filter("filter_and_or", "orders", "o_orderkey", [_one("o_orderstatus", "=", "F"), _one("o_totalprice", ">", "100000"), _one("o_orderpriority", "=", "1-URGENT", "OR")], _ORDERS + "o_orderstatus = 'F' AND o_totalprice > 100000 OR o_orderpriority = '1-URGENT'")
+_filter("filter_eq_merge_in", "nation", "n_nationkey, n_name", [_one("n_nationkey", "=", "3"), _one("n_nationkey", "=", "7")], "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey IN (3, 7)")
+_filter("filter_value_split_in", "orders", "o_orderkey", [_one("o_orderstatus", "=", "F、P")], _ORDERS + "o_orderstatus IN ('F', 'P')")
+_filter("filter_dict", "part", "p_partkey, p_size", {"p_size": [3, 4]}, _PART + "p_size IN (3, 4)")
+
+
+@query(f"SELECT doc_id FROM {_LABELLED} WHERE quality IS NULL")
+def filter_is_null(spark, path):
+    return filtered(_t(spark, path, "documents").join(_t(spark, path, "labels"), "doc_id", "left"), [_one("quality", "IS NULL")]).select("doc_id")
+
+
+@query(f"SELECT doc_id FROM {_LABELLED} WHERE quality IS NOT NULL")
+def filter_is_not_null(spark, path):
+    return filtered(_t(spark, path, "documents").join(_t(spark, path, "labels"), "doc_id", "left"), [_one("quality", "IS NOT NULL")]).select("doc_id")
+
+
+# projection, order, pages
+
+
+@query("SELECT c_custkey AS customer, c_name, c_acctbal AS balance FROM customer")
+def project_alias(spark, path):
+    return selection.projected(_t(spark, path, "customer"), "c_custkey AS customer, c_name, c_acctbal AS balance")
+
+
+@query("SELECT c_mktsegment, count(*) AS n, max(c_acctbal) AS top FROM customer GROUP BY c_mktsegment")
+def project_aggregates(spark, path):
+    return selection.projected(_t(spark, path, "customer"), "c_mktsegment, COUNT(*) AS n, MAX(c_acctbal) AS top")
+
+
+@query("SELECT n_nationkey AS nation__n_nationkey, n_name AS nation__n_name, n_regionkey AS nation__n_regionkey, r_name AS region__r_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey")
+def project_qualified_star(spark, path):
+    return joins.select(joins.joined(_c(spark, path, "nation", "region"), "nation", ["region"]), ["nation.*", "r_name"])
+
+
+for _name, _number, _size, _offset in (("page_first", 1, 100, 0), ("page_middle", 3, 50, 100), ("page_beyond", 10**6, 100, 99_999_900)):
+    query(f"SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT {_size} OFFSET {_offset}", _name)(
+        lambda spark, path, n=_number, s=_size: selection.page(_t(spark, path, "customer"), "c_custkey", n, s, fields="c_custkey, c_name").rows
+    )
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def top_k(spark, path):
+    return selection.limited(selection.ordered(selection.projected(_t(spark, path, "orders"), "o_orderkey, o_totalprice"), "o_totalprice DESC, o_orderkey"), 20)
+
+
+# joins
+
+_OL = "SELECT o_orderkey AS orders__o_orderkey, l_linenumber AS lineitem__l_linenumber, l_partkey AS lineitem__l_partkey FROM orders {} JOIN lineitem ON l_orderkey = o_orderkey"
+_OL_FIELDS = ["orders.o_orderkey", "lineitem.l_linenumber", "lineitem.l_partkey"]
+
+
+def _order_lines(spark, path, kind, conditions=None):
+    return joins.select(joins.joined(_c(spark, path, "orders", "lineitem"), "orders", ["lineitem"], kind, conditions), _OL_FIELDS)
+
+
+query(_OL.format("LEFT"), "join_fk_left")(lambda spark, path: _order_lines(spark, path, "LEFT"))
+query(_OL.format("INNER"), "join_fk_inner")(lambda spark, path: _order_lines(spark, path, "inner"))
+query(_OL.format("RIGHT"), "join_fk_right")(lambda spark, path: _order_lines(spark, path, "RIGHT"))
+query(_OL.format("LEFT"), "join_left_fk_in_where")(lambda spark, path: _order_lines(spark, path, "LEFT", [_one("orders.o_orderkey", "=", "lineitem.l_orderkey")]))
+
+
+@query("SELECT n_nationkey AS nation__n_nationkey, r_regionkey AS region__r_regionkey FROM nation JOIN region ON n_nationkey < r_regionkey")
+def join_theta(spark, path):
+    return joins.select(joins.joined(_c(spark, path, "nation", "region"), "nation", ["region"], "INNER", on_condition="nation.n_nationkey < region.r_regionkey"), ["n_nationkey", "r_regionkey"])
+
+
+@query("SELECT s_suppkey AS supplier__s_suppkey, n_name AS nation__n_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND s_suppkey > n_nationkey")
+def join_manual_on(spark, path):
+    on = "supplier.s_nationkey = nation.n_nationkey AND supplier.s_suppkey > nation.n_nationkey"
+    return joins.select(joins.joined(_c(spark, path, "supplier", "nation"), "supplier", ["nation"], "LEFT", on_condition=on), ["s_suppkey", "n_name"])
+
+
+@query(f"SELECT n_name, o_orderstatus, count(*) AS n, {_EXACT.format('sum', 'l_extendedprice')} AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE l_quantity > 10 GROUP BY n_name, o_orderstatus")
+def join_multi(spark, path):
+    j = joins.joined(_c(spark, path, "lineitem", "orders", "customer", "nation"), "lineitem", ["orders", "customer", "nation"], "INNER", [_one("lineitem.l_quantity", ">", 10)])
+    wanted = [{"field": "*", "aggregate": "COUNT", "alias": "n"}, {"field": "lineitem__l_extendedprice", "aggregate": "SUM", "alias": "revenue"}]
+    df = j.frame.withColumn("lineitem__l_extendedprice", _money("lineitem__l_extendedprice"))
+    out = aggregates.several(df, wanted, ["nation__n_name", "orders__o_orderstatus"])
+    return out.select(F.col("nation__n_name").alias("n_name"), F.col("orders__o_orderstatus").alias("o_orderstatus"), "n", F.col("revenue").cast("double").alias("revenue"))
+
+
+@query("SELECT r_name AS region__r_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def join_bridge(spark, path):
+    return joins.joined(_c(spark, path, "customer", "nation", "region"), "customer", ["region"], "INNER").frame.groupBy("region__r_name").agg(F.count("*").alias("n"))
+
+
+@query("SELECT r_name AS region__r_name, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def join_bridge_two(spark, path):
+    return joins.joined(_c(spark, path, "orders", "customer", "nation", "region"), "orders", ["region"], "INNER").frame.groupBy("region__r_name").agg(F.count("*").alias("n"))
+
+
+@query("SELECT a.n_nationkey, b.r_name FROM (SELECT n_nationkey, nullif(n_regionkey, 1) AS k FROM nation) a LEFT JOIN (SELECT nullif(r_regionkey, 2) AS k, r_name FROM region) b USING (k)")
+def join_null_keys(spark, path):
+    a = _t(spark, path, "nation").select("n_nationkey", F.nullif("n_regionkey", F.lit(1)).alias("k"))
+    return a.join(_t(spark, path, "region").select(F.nullif("r_regionkey", F.lit(2)).alias("k"), "r_name"), "k", "left").select("n_nationkey", "r_name")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def semi_selection(spark, path):
+    chosen = filtered(_t(spark, path, "labels"), [_one("toxic", "=", 1)]).select("doc_id")
+    return _t(spark, path, "documents").join(chosen, "doc_id", "left_semi").select("doc_id", "lang")
+
+
+@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def anti_absent(spark, path):
+    return reconcile.absent(_t(spark, path, "documents").select("doc_id"), _t(spark, path, "labels"), "doc_id", "doc_id")
+
+
+@query("SELECT n_name, r_regionkey AS region_id FROM (SELECT n_name, r_name AS code FROM nation LEFT JOIN region r ON n_regionkey = r_regionkey AND r_regionkey <> 2) LEFT JOIN region ON r_name = code")
+def code_to_id(spark, path):
+    region = _t(spark, path, "region")
+    codes = _t(spark, path, "nation").join(region.where("r_regionkey <> 2"), F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_name", F.col("r_name").alias("code"))
+    return joins.code_to_id(codes, "code", region, "r_name", "r_regionkey", "region_id").drop("code")
+
+
+# profiles and quality
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def fullest_row(spark, path):
+    region = _t(spark, path, "region")
+    blank = region.select("r_regionkey", F.lit("").alias("r_name"))
+    return profile.fullest(region.unionByName(blank).unionByName(region), "r_regionkey")[0]
+
+
+_PROFILE = "SELECT '{0}' AS \"column\", count({0}) AS non_null, count(DISTINCT {0}) AS \"distinct\", round(count(DISTINCT {0}) / greatest(count(*), 1), 3) AS ratio FROM part"
+
+
+@query(" UNION ALL ".join(_PROFILE.format(c) for c in ("p_brand", "p_type", "p_size", "p_partkey")))
+def profile_columns(spark, path):
+    return profile.columns(_t(spark, path, "part"), ["p_brand", "p_type", "p_size", "p_partkey"]).drop("samples")
+
+
+@query("SELECT \"column\", value FROM (SELECT 'p_brand' AS \"column\", v AS value FROM (SELECT DISTINCT p_brand AS v FROM part ORDER BY v LIMIT 5)) UNION ALL SELECT 'p_type', v FROM (SELECT DISTINCT p_type AS v FROM part ORDER BY v LIMIT 5)")
+def profile_samples(spark, path):
+    return profile.columns(_t(spark, path, "part"), ["p_brand", "p_type"]).select("column", F.explode("samples").alias("value"))
+
+
+_COUNTED = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in _COUNTED))
+def table_counts(spark, path):
+    return _c(spark, path, *_COUNTED).counts()
+
+
+@query("SELECT doc_id, 'left' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT DISTINCT doc_id, 'right' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
+def set_diff_both(spark, path):
+    return reconcile.differences(_t(spark, path, "documents"), _t(spark, path, "labels"), ["doc_id"])
+
+
+@query("SELECT p_partkey, CASE WHEN p_size < 5 THEN 'p_size' WHEN p_size > 45 THEN 'p_size' ELSE 'p_name' END AS \"column\", CASE WHEN p_size < 5 THEN 'min' WHEN p_size > 45 THEN 'max' ELSE 'pattern' END AS rule FROM part WHERE p_size < 5 OR p_size > 45 OR NOT regexp_matches(p_name, '^(?:.*[0-4]$)')")
+def rule_violations(spark, path):
+    return quality.violations(_t(spark, path, "part"), {"p_size": {"min": 5, "max": 45}, "p_name": {"pattern": ".*[0-4]$"}}, "p_partkey")
+
+
+_CHECKS = {
+    "quantity": ("REAL", "real_range", "l_quantity", {"min": 5, "max": 40}, "l_quantity >= 5 AND l_quantity <= 40"),
+    "discount": ("REAL", "real_ratio_0_1", "l_discount", {}, "l_discount BETWEEN 0 AND 1"),
+    "line": ("INTEGER", "int_less", "l_linenumber", {"n": 6}, "l_linenumber < 6"),
+    "flag": ("TEXT", "text_enum", "l_returnflag", {"values": ["A", "N"]}, "l_returnflag IN ('A', 'N')"),
+    "shipped": ("DATETIME", "dt_after", "l_shipdate", {"dt": "1995-01-01 00:00:00"}, "l_shipdate >= TIMESTAMP '1995-01-01 00:00:00'"),
+    "status": ("TEXT", "text_max_length", "l_linestatus", {"max": 1}, "length(l_linestatus) <= 1"),
+    "tax": ("REAL", "custom", "l_tax", {"expression": "ABS(l_tax) <= 0.05 OR l_quantity IS NULL"}, "abs(l_tax) <= 0.05 OR l_quantity IS NULL"),
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS \"check\", count(*) FILTER (NOT ({c[4]})) AS n FROM lineitem" for n, c in _CHECKS.items()))
+def check_templates(spark, path):
+    checks = {n: quality.check(kind, template, column, **params) for n, (kind, template, column, params, _) in _CHECKS.items()}
+    return quality.failures(_t(spark, path, "lineitem"), checks)
+
+
+@query("SELECT count(*) AS n, count(try_cast(nullif(trim(lpad(k, 20, ' ')), '') AS BIGINT)) AS n_ok FROM (SELECT regexp_extract(p_name, '([^ ]*)$', 1) AS k FROM part)")
+def cast_compat(spark, path):
+    df = _t(spark, path, "part").select(F.regexp_extract("p_name", "([^ ]*)$", 1).alias("k"))
+    return quality.compatibility(df, "k", "INTEGER").select("n", "n_ok")
+
+
+@query("SELECT v AS o_orderstatus FROM (VALUES ('X'), ('F'), ('Q')) t(v) WHERE v NOT IN (SELECT o_orderstatus FROM orders)")
+def value_domain(spark, path):
+    return quality.unknown_values(_t(spark, path, "orders"), "o_orderstatus", ["X", "F", "Q"])
+
+
+@query("SELECT doc_id, quality FROM labels WHERE doc_id % 3 <> 0")
+def fk_orphans(spark, path):
+    parents = _t(spark, path, "documents").select(F.when(F.col("doc_id") % 3 == 0, F.col("doc_id")).alias("doc_id"))
+    return quality.orphans(_t(spark, path, "labels").select("doc_id", "quality"), "doc_id", parents, "doc_id")
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1")
+def duplicate_keys(spark, path):
+    return quality.duplicate_keys(_t(spark, path, "orders"), ["o_custkey"])
+
+
+@query("SELECT doc_id, len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '')) AS n_lines, len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '' AND regexp_matches(x, '[0-9]') AND len(regexp_split_to_array(trim(x), '\\s+')) >= 2)) AS n_data FROM documents")
+def line_stats(spark, path):
+    return quality.data_lines(_t(spark, path, "documents"), "doc_id", "text").select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_data").cast("long").alias("n_data"))
+
+
+@query("SELECT doc_id, md5(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT contains(x, 'License') AND NOT contains(x, 'token')), chr(10))) AS digest FROM documents")
+def strip_lines(spark, path):
+    df = _t(spark, path, "documents").withColumn("found", F.array(F.lit("License"), F.lit("token"), F.lit("x")))
+    return quality.without_lines(df, "text", "found").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(name="meta_search")
+def meta_search(spark, path):
+    return Catalog.of_directory(spark, path).search("key")
+
+
+# changes, as plans
+
+
+@query("SELECT p_partkey, p_size, CAST(NULL AS VARCHAR) AS note FROM part")
+def add_drop_column(spark, path):
+    return _t(spark, path, "part").select("p_partkey", "p_size").withColumn("note", F.lit(None).cast("string"))
+
+
+@query("SELECT p_partkey, CAST(p_size AS DOUBLE) AS p_size, CAST(CAST(p_retailprice AS DECIMAL(20,2)) AS DOUBLE) AS p_retailprice FROM part")
+def modify_type(spark, path):
+    return _t(spark, path, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), F.col("p_retailprice").cast("decimal(20,2)").cast("double").alias("p_retailprice"))
+
+
+@query("SELECT count(*) AS nulls FROM part WHERE p_size IS NULL")
+def not_null_check(spark, path):
+    return aggregates.aggregated(_t(spark, path, "part"), "COUNT", "*", conditions=[_one("p_size", "IS NULL")]).withColumnRenamed("agg_result", "nulls")
+
+
+@query("SELECT 'orders' AS table_name, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT 'events', count(*) FROM events JOIN customer ON user_id = c_custkey WHERE c_mktsegment = 'BUILDING'")
+def reverse_ref_counts(spark, path):
+    own = filtered(_t(spark, path, "customer"), [_one("c_mktsegment", "=", "BUILDING")])
+    return reconcile.reference_counts(own, "c_custkey", [("orders", _t(spark, path, "orders"), "o_custkey"), ("events", _t(spark, path, "events"), "user_id")])
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'new' ELSE c_name END AS c_name FROM customer UNION ALL SELECT -c_custkey, 'new' FROM customer WHERE c_custkey % 100 = 1")
+def upsert_snapshot(spark, path):
+    old = _t(spark, path, "customer").select("c_custkey", "c_name")
+    changed = old.where("c_custkey % 10 = 0").union(old.where("c_custkey % 100 = 1").select(-F.col("c_custkey"), "c_name")).select("c_custkey", F.lit("new").alias("c_name"))
+    return mutate.upserted(old, changed, "c_custkey")
+
+
+@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer")
+def update_snapshot(spark, path):
+    return mutate.updated(_t(spark, path, "customer"), F.col("c_mktsegment") == "BUILDING", {"c_acctbal": 0.0}).select("c_custkey", "c_acctbal")
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT coalesce(c_acctbal < 1000, false)")
+def delete_snapshot(spark, path):
+    return mutate.deleted(_t(spark, path, "customer"), F.col("c_acctbal") < 1000).select("c_custkey")
+
+
+# retrieval
+
+_L2 = "list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: power(CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE), 2)))"
+
+
+def _first_vector(spark, path) -> list[float]:
+    return list(_t(spark, path, "embeddings").orderBy("vec_id").limit(1).first()["embedding"])
+
+
+@query(f"SELECT e.vec_id, round({_L2}, 6) AS distance FROM embeddings e, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q ORDER BY {_L2}, e.vec_id LIMIT 10")
+def vector_topk(spark, path):
+    return retrieval.nearest(_t(spark, path, "embeddings"), "vec_id", "embedding", _first_vector(spark, path), 10).select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+_HYBRID = f"""
+WITH q AS (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1), p AS (
+  SELECT d.lang AS collection, d.source, d.doc_id // 10 AS page, substr(d.text, 1, 5000) AS text, {_L2} AS distance
+  FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id, q
+), n AS (SELECT count(DISTINCT collection) AS n FROM p), near AS (
+  SELECT p.*, row_number() OVER (PARTITION BY collection ORDER BY distance, source, page) AS rank FROM p
+), c AS (SELECT near.* FROM near, n WHERE rank <= greatest(15, 500 // n) ORDER BY collection, rank LIMIT 500), s AS (
+  SELECT *, 0.7 * greatest(0.0, 1 - distance) + 0.3 * (CAST(contains(lower(text), 'license') AS INT) + CAST(contains(lower(text), 'version') AS INT)) / 2 AS score,
+    row_number() OVER (PARTITION BY source, page ORDER BY distance, collection) AS best FROM c
+) SELECT collection, source, page, round(score, 6) AS score FROM s WHERE best = 1 ORDER BY s.score DESC, source, page LIMIT 10
+"""
+
+
+@query(_HYBRID)
+def hybrid_topk(spark, path):
+    pieces = _t(spark, path, "documents").join(_t(spark, path, "embeddings"), F.col("vec_id") == F.col("doc_id"))
+    pieces = pieces.select(F.col("lang").alias("collection"), "source", F.floor(F.col("doc_id") / 10).alias("page"), "text", "embedding")
+    return retrieval.hybrid(pieces, _first_vector(spark, path), "the license and the version", 5).select("collection", "source", "page", F.round("score", 6).alias("score"))
+
+
+# metrics
+
+_MINUTE = "SELECT time_bucket(INTERVAL 60 seconds, ts) AS minute, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total_ms FROM events GROUP BY 1"
+
+
+def _minutes(spark, path) -> DataFrame:
+    events = _t(spark, path, "events").withColumn("value", _money("value"))
+    return rollup.by_minute(events, "ts", F.col("event_type") == "error", F.col("value")).withColumn("total_ms", F.col("total_ms").cast("double")).withColumn("minute", F.col("minute").cast("timestamp_ntz"))
+
+
+query(_MINUTE, "minute_rollup")(_minutes)
+
+
+@query(f"WITH m AS ({_MINUTE}), f AS (SELECT unnest(generate_series(min(minute), max(minute), INTERVAL 60 seconds)) AS minute FROM m) SELECT f.minute, coalesce(n, 0) AS n, coalesce(errors, 0) AS errors, coalesce(total_ms, 0) AS total_ms FROM f LEFT JOIN m USING (minute)")
+def minute_rollup_filled(spark, path):
+    return rollup.filled(_minutes(spark, path))
+
+
+@query(f"WITH m AS ({_MINUTE}) SELECT minute, 'error_rate' AS kind, round(errors / n, 6) AS value FROM m WHERE errors / n > 0.05")
+def minute_alerts(spark, path):
+    return rollup.alerts(_minutes(spark, path)).select("minute", "kind", F.round("value", 6).alias("value"))
+
+
+@query("SELECT event_id, ts, value FROM events WHERE value > 50 ORDER BY ts DESC, event_id LIMIT 20")
+def slow_events(spark, path):
+    return rollup.slow(_t(spark, path, "events"), "ts", "value", "event_id", above=50).select("event_id", "ts", "value")
+
+
+@query("SELECT '/' || event_type || '/:id' AS path, count(*) AS n, CAST(count(*) FILTER (event_type = 'error') AS BIGINT) AS errors, round(CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) / count(*), 6) AS avg_ms, CAST(max(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS max_ms FROM events GROUP BY event_type ORDER BY n DESC, path LIMIT 20")
+def type_rollup(spark, path):
+    events = _t(spark, path, "events").withColumn("value", _money("value"))
+    own = rollup.endpoints(events, F.concat(F.lit("/"), F.col("event_type"), F.lit("/"), F.col("user_id")), F.col("event_type") == "error", F.col("value"))
+    return own.select("path", "n", "errors", F.round(F.col("avg_ms").cast("double"), 6).alias("avg_ms"), F.col("max_ms").cast("double").alias("max_ms"))
+
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS recent FROM events")
+def rate_limit_window(spark, path):
+    return rollup.rate_limited(_t(spark, path, "events"), "user_id", "ts", "event_id", 3, seconds=3600).select("event_id", "recent")
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer")
+def masked_star(spark, path):
+    return Policy(denied_columns={"customer": {"c_acctbal"}}).view(_t(spark, path, "customer"), "customer")
+
+
+# mapping
+
+_PARTS = [TableSpec("items", (ColumnSpec("id", "BIGINT", pk=True), ColumnSpec("code", "TEXT", "code", unique=True), ColumnSpec("name", "TEXT", "name"), ColumnSpec("price", "FLOAT", "price")))]
+
+
+@query("SELECT 0 AS source_id, p_partkey AS code, p_name AS name, p_retailprice AS price FROM part")
+def map_headers(spark, path):
+    rows = _t(spark, path, "part").select((F.col("p_partkey") % 50).alias("g"), F.array(F.col("p_partkey").cast("string"), "p_name", F.col("p_retailprice").cast("string")).alias("row"))
+    tables = rows.groupBy("g").agg(F.collect_list("row").alias("rows")).select(F.lit(0).alias("source_id"), F.array(F.lit("Code"), F.lit("Name"), F.lit("Price (EUR)")).alias("headers"), "rows")
+    tables = tables.withColumn("source_id", F.monotonically_increasing_id())
+    good, _ = mapping.mapped(tables, _PARTS)
+    return good.select(F.lit(0).alias("source_id"), F.col("values")["code"].cast("long").alias("code"), F.col("values")["name"].alias("name"), F.col("values")["price"].cast("double").alias("price"))
+
+
+@query("SELECT r_name AS name, CAST(r_regionkey AS VARCHAR) AS code FROM region")
+def transpose_map(spark, path):
+    rows = _t(spark, path, "region").agg(F.sort_array(F.collect_list(F.struct("r_regionkey", "r_name"))).alias("x"))
+    one = lambda head, get: F.concat(F.array(F.lit(head)), F.transform("x", get))
+    headers = F.concat(F.array(F.lit("#")), F.transform("x", lambda r: F.concat(F.lit("no "), r["r_name"])))
+    tables = rows.select(F.lit(1).alias("source_id"), headers.alias("headers"), F.array(one("code", lambda r: r["r_regionkey"].cast("string")), one("name", lambda r: r["r_name"])).alias("rows"))
+    good, _ = mapping.mapped(tables, _PARTS)
+    return good.select(F.col("values")["name"].alias("name"), F.col("values")["code"].alias("code"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING bool_and(l_quantity >= 5)) OR o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def grouped_ingest(spark, path):
+    main = _t(spark, path, "orders").withColumnRenamed("o_orderkey", "code")
+    details = _t(spark, path, "lineitem").withColumnRenamed("l_orderkey", "code")
+    return mapping.grouped_ingest(main, details, "code", F.lit(True), F.col("l_quantity") >= 5)["main"].select(F.col("code").alias("o_orderkey"))
+
+
+@query("SELECT doc_id, batch, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT conv_id AS doc_id, turn + 1 AS u, unnest(CASE WHEN turn % 3 = 2 THEN [turn // 3, turn // 3 + 1] ELSE [turn // 3] END) AS batch FROM conversations) t WHERE EXISTS (SELECT 1 FROM conversations c WHERE c.conv_id = t.doc_id AND c.turn // 3 = t.batch) GROUP BY doc_id, batch")
+def batches_with_overlap(spark, path):
+    units = _t(spark, path, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("unit_no"), "text")
+    return mapping.unit_batches(units).select("doc_id", F.col("batch").cast("long").alias("batch"), F.size("texts").cast("long").alias("n"))
