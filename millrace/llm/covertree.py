@@ -27,6 +27,10 @@ from millrace.llm.components import components
 from millrace.llm.vectors import dealt, matrix, unit, usable
 
 
+#: What a chunk carries.
+PARTS = ("ids", "weights", "vectors", "members", "shape", "radius")
+
+
 @dataclass(frozen=True)
 class Settings:
     """Cosine threshold, vectors of a chunk, and vectors of a leaf."""
@@ -81,6 +85,36 @@ def build(x: np.ndarray, leaf: int) -> Node:
     return grow(0, everyone, distances(x, x[:1])[:, 0], 2.0)
 
 
+def flat(root: Node) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A tree in preorder: members so that each node's are together; (centre, first, last, children) and radius of each node."""
+    order, shape, radius = [], [], []
+
+    def visit(node: Node, first: int) -> None:
+        shape.append((node.centre, first, first + len(node.members), len(node.children)))
+        radius.append(node.radius)
+        if not node.children:
+            order.append(node.members)
+        for child in node.children:
+            visit(child, first)
+            first += len(child.members)
+
+    visit(root, 0)
+    return np.concatenate(order), np.array(shape, np.int64), np.array(radius)
+
+
+def tree(order: np.ndarray, shape: np.ndarray, radius: np.ndarray, by: int = 0) -> Node:
+    """The tree again, its rows counted from ``by`` on."""
+    order, rows = order + by, iter(zip(shape.tolist(), radius.tolist(), strict=True))
+
+    def visit() -> Node:
+        (centre, first, last, n), r = next(rows)
+        node = Node(centre + by, r, order[first:last])
+        node.children = [visit() for _ in range(n)]
+        return node
+
+    return visit()
+
+
 class Links:
     """Numbers of links and local components of the vectors of one or two chunks."""
 
@@ -101,15 +135,21 @@ class Links:
 def walk(x: np.ndarray, a: Node, b: Node, links: Links, cosine: float, step: int = 512) -> None:
     """Dual traversal of two trees over the rows of ``x``; the same tree twice visits each pair once."""
     limit = np.sqrt(2 - 2 * cosine) + 1e-7
+    short = x.astype(np.float32)
 
     def compare(rows: np.ndarray, columns: np.ndarray, same: bool) -> None:
         for low in range(0, len(rows), step):
             part = rows[low : low + step]
-            linked = x[part] @ x[columns].T >= cosine
+            # single precision finds what may link, double precision decides
+            maybe = short[part] @ short[columns].T >= cosine - 1e-4
+            if not maybe.any():
+                continue
+            some, other = np.flatnonzero(maybe.any(1)), np.flatnonzero(maybe.any(0))
+            linked = x[part[some]] @ x[columns[other]].T >= cosine
             if same:
-                linked &= np.arange(low, low + len(part))[:, None] < np.arange(len(columns))[None]
+                linked &= (low + some)[:, None] < other[None]
             if linked.any():
-                links.add(part, columns, linked)
+                links.add(part[some], columns[other], linked)
 
     stack = [(a, b)]
     while stack:
@@ -124,27 +164,29 @@ def walk(x: np.ndarray, a: Node, b: Node, links: Links, cosine: float, step: int
         # single vectors are compared as a block; other pairs of nodes go on if their covers come near enough
         if l1.any() and r1.any():
             compare(lc[l1], rc[r1], p is q)
-        for low in range(0, len(left), step):
-            near = distances(x[lc[low : low + step]], x[rc]) - lr[low : low + step, None] - rr[None] <= limit
-            near &= ~(l1[low : low + step, None] & r1[None])
-            if p is q:
-                near &= np.arange(low, low + len(near))[:, None] <= np.arange(len(right))[None]
-            for i, j in np.argwhere(near):
-                stack.append((left[low + i], right[j]))
+        for rows, columns in ((np.flatnonzero(~l1), np.arange(len(right))), (np.flatnonzero(l1), np.flatnonzero(~r1))):
+            for low in range(0, len(rows) if len(columns) else 0, step):
+                part = rows[low : low + step]
+                near = distances(x[lc[part]], x[rc[columns]]) - lr[part, None] - rr[columns][None] <= limit
+                if p is q:
+                    near &= part[:, None] <= columns[None]
+                for i, j in np.argwhere(near):
+                    stack.append((left[part[i]], right[columns[j]]))
 
 
-def packed(rows: DataFrame, s: Settings) -> DataFrame:
-    """One row a chunk: (dim, cell, chunk, ids, weights, vectors), the arrays as bytes."""
+def packed(rows: DataFrame, kind: str, s: Settings) -> DataFrame:
+    """One row a chunk: (dim, cell, chunk), ids, weights, vectors and the cover tree as bytes; components of numpy type ``kind``."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         dim = key[0].as_py()
         order = np.argsort(table.column("cls").to_numpy(), kind="stable")
-        x = matrix(table.column("v").combine_chunks(), dim)[order].astype(np.float64)
+        x = matrix(table.column("v").combine_chunks(), dim)[order].astype(kind)
         ids, weights = (table.column(c).to_numpy()[order].astype(np.int64) for c in ("cls", "m"))
-        columns = [[k.as_py()] for k in key] + [[ids.tobytes()], [weights.tobytes()], [x.tobytes()]]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32()] * 3 + [pa.binary()] * 3, strict=True)], ["dim", "cell", "chunk", "ids", "weights", "vectors"])
+        parts = [ids, weights, x, *flat(build(unit(x.astype(np.float64)), s.leaf))]
+        columns = [pa.array([k.as_py()], pa.int32()) for k in key] + [pa.array([part.tobytes()], pa.binary()) for part in parts]
+        return pa.Table.from_arrays(columns, ["dim", "cell", "chunk", *PARTS])
 
-    return rows.select("dim", "cell", "chunk", "cls", "m", "v").groupBy("dim", "cell", "chunk").applyInArrow(run, "dim int, cell int, chunk int, ids binary, weights binary, vectors binary")
+    return rows.select("dim", "cell", "chunk", "cls", "m", "v").groupBy("dim", "cell", "chunk").applyInArrow(run, "dim int, cell int, chunk int, " + ", ".join(f"{p} binary" for p in PARTS))
 
 
 def chunk_pairs(spark, cells: dict, s: Settings) -> DataFrame:
@@ -160,35 +202,26 @@ def chunk_pairs(spark, cells: dict, s: Settings) -> DataFrame:
     return rows.withColumn("b", F.explode(F.sequence(F.when(F.col("i") == F.col("j"), F.col("a")).otherwise(0), F.col("m") - 1))).select("dim", "i", "a", "j", "b")
 
 
-def block_links(rows: DataFrame, s: Settings) -> DataFrame:
+def block_links(rows: DataFrame, kind: str, s: Settings) -> DataFrame:
     """(cls, n, label) of each pair of chunks: links of each class with any, and its local component's smallest class."""
 
+    kinds = dict(zip(PARTS, ("<i8", "<i8", kind, "<i8", "<i8", "<f8"), strict=True))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees: dict[bytes, tuple] = {}
         for batch in batches:
             for r in range(batch.num_rows):
-                get = lambda c: batch.column(c)[r].as_buffer()
-                dim = batch.column("dim")[r].as_py()
-                same = batch.column("i")[r].as_py() == batch.column("j")[r].as_py() and batch.column("a")[r].as_py() == batch.column("b")[r].as_py()
-                sides = ("1",) if same else ("1", "2")
-                ids = np.concatenate([np.frombuffer(get("ids" + k), np.int64) for k in sides])
-                weights = np.concatenate([np.frombuffer(get("weights" + k), np.int64) for k in sides])
-                parts = [unit(np.frombuffer(get("vectors" + k), np.float64).reshape(-1, dim)) for k in sides]
-                x, links = np.concatenate(parts), Links(weights)
-                roots = []
-                for k, part in zip(sides, parts, strict=True):
-                    name = (batch.column("i" if k == "1" else "j")[r].as_py(), batch.column("a" if k == "1" else "b")[r].as_py(), dim)
-                    if name not in trees:
-                        if len(trees) > 8:
-                            trees.clear()
-                        trees[name] = build(part, s.leaf)
-                    roots.append(trees[name])
-                if same:
-                    walk(x, roots[0], roots[0], links, s.cosine)
-                else:
-                    walk(x, roots[0], shifted(roots[1], len(parts[0])), links, s.cosine)
+                row = {c: batch.column(c)[r] for c in batch.schema.names}
+                same = row["i"] == row["j"] and row["a"] == row["b"]
+                got = [{p: np.frombuffer(row[p + k].as_buffer(), t) for p, t in kinds.items()} for k in ("1" if same else "12")]
+                ids, weights = (np.concatenate([g[p] for g in got]) for p in ("ids", "weights"))
+                x = np.concatenate([unit(g["vectors"].astype(np.float64).reshape(-1, row["dim"].as_py())) for g in got])
+                links, roots, by = Links(weights), [], 0
+                for g in got:
+                    roots.append(tree(g["members"], g["shape"].reshape(-1, 4), g["radius"], by))
+                    by += len(g["ids"])
+                walk(x, roots[0], roots[-1], links, s.cosine)
                 found = np.flatnonzero(links.counts)
-                # classes in a chunk are ordered by number, but two chunks aren't: name components by the smallest
+                # local components are named by their smallest class
                 least = np.full(len(ids), np.iinfo(np.int64).max)
                 np.minimum.at(least, links.label, ids)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[found]), pa.array(links.counts[found]), pa.array(least[links.label[found]])], ["cls", "n", "label"])
@@ -196,10 +229,6 @@ def block_links(rows: DataFrame, s: Settings) -> DataFrame:
     return rows.mapInArrow(run, "cls long, n long, label long")
 
 
-def shifted(node: Node, by: int) -> Node:
-    return Node(node.centre + by, node.radius, node.members + by, [shifted(c, by) for c in node.children])
-
-
 def dedup(df: DataFrame, key: str, vector: str, s: Settings = Settings()) -> DataFrame:
     """(key, n_links, component_id, kept) of every row."""
     spark = df.sparkSession
@@ -208,12 +237,13 @@ def dedup(df: DataFrame, key: str, vector: str, s: Settings = Settings()) -> Dat
     classes = rows.where("v is not null").groupBy("v").agg(F.min("key").alias("key"), F.count("*").alias("m"))
     classes = stored(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     placed, cells = dealt(classes.select("cls", "m", "v"), "cls", s.chunk, units=True)
-    blocks = stored(packed(placed, s), "blocks")
+    kind = "<f4" if df.schema[vector].dataType.elementType.typeName() == "float" else "<f8"  # as stored: nothing is rounded
+    blocks = stored(packed(placed, kind, s), "blocks")
     pairs = chunk_pairs(spark, cells, s)
-    side = lambda i, a, k: blocks.select("dim", F.col("cell").alias(i), F.col("chunk").alias(a), *[F.col(c).alias(c + k) for c in ("ids", "weights", "vectors")])
+    side = lambda i, a, k: blocks.select("dim", F.col("cell").alias(i), F.col("chunk").alias(a), *[F.col(c).alias(c + k) for c in PARTS])
     met = pairs.join(side("i", "a", "1"), ["dim", "i", "a"]).join(side("j", "b", "2"), ["dim", "j", "b"])
     met = met.repartition(F.col("dim"), F.col("i"), F.col("a"), F.col("j"), F.col("b"))
-    links = stored(block_links(met, s), "links")
+    links = stored(block_links(met, kind, s), "links")
     comp = components(links.select(F.col("cls").alias("a"), F.col("label").alias("b"))).select(F.col("node").alias("cls"), F.col("component").alias("comp"))
     counts = links.groupBy("cls").agg(F.sum("n").alias("n"))
     every = classes.select("cls", "key", "m").join(counts, "cls", "left").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))

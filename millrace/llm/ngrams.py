@@ -28,9 +28,11 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import discard, stored
 
-CACHE = 500_000
+CACHE = 200_000
 #: Tokens that a training task counts before it passes them on; bounds its memory.
 FLUSH = 4_000_000
+#: Tokens that are scored together.
+GROUP = 250_000
 END = xxhash.xxh3_64_intdigest(b"\n")  # no word holds a line end
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -44,7 +46,7 @@ class Settings:
     probes: int = 5
     weight: float = 0.4
     segment: int = 100_000
-    round_bytes: int = 256 << 20
+    round_bytes: int = 160 << 20
 
 
 class Words(dict):
@@ -100,8 +102,8 @@ def counts(docs: DataFrame, s: Settings, segments: int | None = None) -> DataFra
             return pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                h = tokens(text)
+            for text in batch.column("text"):
+                h = tokens(text.as_py())
                 held.append(pairs_of(h, np.zeros(1, np.int64)) if segments else h)
                 size += len(h)
                 if size >= FLUSH:
@@ -127,7 +129,7 @@ def levels_of(n: np.ndarray, base: float) -> np.ndarray:
 
 def positions(h: np.ndarray, level: np.ndarray | int, probe: int, bits: np.ndarray | int) -> np.ndarray:
     """Bit of one probe of a pair at a level, in a segment of so many bits."""
-    salt = np.asarray(level, np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((probe * 0xD1B54A32D192ED03) & (2**64 - 1))
+    salt = np.atleast_1d(np.asarray(level, np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((probe * 0xD1B54A32D192ED03) & (2**64 - 1))
     return ((mixed(h + salt) >> np.uint64(32)) * np.asarray(bits, np.uint64)) >> np.uint64(32)
 
 
@@ -178,7 +180,7 @@ def word_counts(share: Share, h: np.ndarray) -> np.ndarray:
         return np.zeros(len(h), np.int64)
     distinct, inverse = np.unique(h, return_inverse=True)
     at = np.minimum(np.searchsorted(share.words, distinct), len(share.words) - 1)
-    return np.where(share.words[at] == distinct, share.counts[at], 0)[inverse]
+    return np.where(share.words[at] == distinct, share.counts[at], 0).astype(np.int64)[inverse]
 
 
 def pair_levels(share: Share, h: np.ndarray, s: Settings) -> np.ndarray:
@@ -213,7 +215,7 @@ def log_probabilities(word: np.ndarray, context: np.ndarray, level: np.ndarray,
 def shares(words: DataFrame, segments: DataFrame, number: int, s: Settings) -> Iterator[Share]:
     """The model in parts of at most ``round_bytes``, cut by word hash and by segment."""
     sizes = segments.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0]
-    vocabulary = words.count() * 16
+    vocabulary = words.count() * 12
     rounds = max(1, -(-(sizes + vocabulary) // s.round_bytes))
     part = F.pmod(F.xxhash64("h"), F.lit(rounds))
     for i in range(rounds):
@@ -221,8 +223,9 @@ def shares(words: DataFrame, segments: DataFrame, number: int, s: Settings) -> I
         h = w.column("h").to_numpy().view(np.uint64)
         order = np.argsort(h)
         n = w.column("n").to_numpy()[order]
+        n = n.astype(np.uint32) if n.max(initial=0) < 1 << 32 else n
         h = h[order]
-        del w
+        del w, order
         rows = segments.where(F.col("segment") % rounds == i).toArrow() if rounds > 1 else segments.toArrow()
         start, size = np.full(number, -1, np.int64), np.zeros(number, np.int64)
         at, blobs = 0, []
@@ -256,23 +259,23 @@ def score(docs: DataFrame, key: str, training: DataFrame, s: Settings = Settings
         share, last = following, rows
 
 
-def _probed(share: Share, batch: pa.RecordBatch, s: Settings) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Row numbers in groups of bounded size, with their token starts, word counts and pair levels so far."""
-    texts, words, levels = (batch.column(c).to_pylist() for c in ("text", "word", "level"))
+def _probed(share: Share, batch: pa.RecordBatch, s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Groups of rows of bounded size: their token starts, word counts and pair levels so far."""
+    texts, words, levels = (batch.column(c) for c in ("text", "word", "level"))
     low = 0
     while low < len(texts):
         held, size, high = [], 0, low
-        while high < len(texts) and size < 1_000_000:
-            held.append(tokens(texts[high]))
+        while high < len(texts) and size < GROUP:
+            held.append(tokens(texts[high].as_py()))
             size += len(held[-1])
             high += 1
         starts = np.cumsum([0, *map(len, held)])
         h = np.concatenate(held)
         word, level = word_counts(share, h), pair_levels(share, pairs_of(h, starts[:-1]), s)
-        if words[low] is not None:
-            word = word + np.frombuffer(b"".join(words[low:high]), np.int64)
-            level = np.maximum(level, np.frombuffer(b"".join(levels[low:high]), np.uint8))
-        yield starts, word, level, h
+        if words[low].is_valid:
+            word = word + np.frombuffer(b"".join(words.slice(low, high - low).to_pylist()), np.int64)
+            level = np.maximum(level, np.frombuffer(b"".join(levels.slice(low, high - low).to_pylist()), np.uint8))
+        yield starts, word, level
         low = high
 
 
@@ -280,7 +283,7 @@ def _filled(shared, s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, levels = [], []
-            for starts, word, level, _ in _probed(shared.value, batch, s):
+            for starts, word, level in _probed(shared.value, batch, s):
                 words += [x.tobytes() for x in np.split(word.astype(np.int64), starts[1:-1])]
                 levels += [x.tobytes() for x in np.split(level, starts[1:-1])]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("text"), pa.array(words, pa.binary()), pa.array(levels, pa.binary())], ["key", "text", "word", "level"])
@@ -292,7 +295,7 @@ def _scored(shared, total: int, distinct: int, s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [[] for _ in range(4)]
-            for starts, word, level, _ in _probed(shared.value, batch, s):
+            for starts, word, level in _probed(shared.value, batch, s):
                 context = np.empty_like(word)
                 context[1:] = word[:-1]
                 context[starts[:-1]] = word[starts[1:] - 1]  # a text follows the end of another
