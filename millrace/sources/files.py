@@ -36,7 +36,7 @@ def jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, boun
 def search(spark: SparkSession, path: str, words: str, pattern: str = "*", hits: int = MOST_HITS) -> DataFrame:
     """(path, line_no, line) of the first lines that hold the words in either case, in files of bounded size."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-    lines = files.where(F.col("length") <= MOST_BYTES).select("path", F.posexplode(F.split(F.decode("content", F.lit("UTF-8")), "\r?\n")).alias("n", "line"))
+    lines = files.where(F.col("length") <= MOST_BYTES).select("path", F.posexplode(F.split(F.decode("content", "UTF-8"), "\r?\n")).alias("n", "line"))
     return lines.where(F.contains(F.lower("line"), F.lit(words.lower()))).select("path", (F.col("n") + 1).alias("line_no"), "line").orderBy("path", "line_no").limit(hits)
 
 

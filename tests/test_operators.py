@@ -143,7 +143,7 @@ def test_header_matching():
     assert index.match("定额编号") == (("items", "quota_code"), 1.0)
     assert index.match("全费用(元)") == (("items", "base_price"), 0.7)
     assert index.match("旧名") == (("items", "quota_name"), 1.0) and index.match("备注") == (None, -1.0)
-    assert index.match("名称") == (None, 0.0) and index.match("id") == (None, 0.0)
+    assert index.match("名称") == (None, 0.0) and index.match("id") == (("materials", "item_id"), 0.7)
     assert index.suggestion("定额编码")[0] == ("items", "quota_code") and index.suggestion("zzz") == (None, 0.0)
 
 
