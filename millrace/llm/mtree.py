@@ -4,8 +4,9 @@ Vectors are dealt into bounded chunks of near neighbours; each chunk is an M-tre
 covering radius and the distance to the page's own centre. For a query q at distance d from a page's centre, an
 entry at stored distance s lies at least ``|d - s|`` from q, which bounds its inner product by
 ``(|q|^2 + |o|^2 - (|d - s|)^2) / 2`` without computing it; a subtree of radius r around c has none above
-``<q, c> + |q| r``. Pages are visited by descending bound until no bound reaches the k-th score found. Queries go to
-the chunks in blocks, and each chunk's best k of a query are merged.
+``<q, c> + |q| r``. Queries go to the chunks in blocks, and each chunk's best k of a query are merged. A block visits
+pages by descending bound, the highest of its queries'; at each page only those queries are left whose own bound
+reaches their k-th score so far.
 
 Defined results: rows without id, and vectors that are null, empty or hold null or non-finite components take no
 part; only vectors of a query's length are its candidates. Rows with the query's id are its own, and a repeated id
@@ -20,7 +21,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +29,10 @@ from millrace.llm.common import stored
 from millrace.llm.vectors import dealt, usable
 
 
+#: The score of a place that no candidate takes.
+NONE = -np.iinfo(np.int64).max
+
+
 @dataclass(frozen=True)
 class Settings:
     """Results a query, vectors of a chunk, entries of a page, and queries of a block."""
@@ -62,7 +66,8 @@ def build(x: np.ndarray, page: int) -> Page:
         to_centre = norms(f[members] - f[centre])
         if len(members) <= page:
             return Page(centre, members, to_centre, np.zeros(len(members)))
-        chosen = members[np.unique(np.linspace(0, len(members) - 1, page).astype(np.int64))]
+        wanted = min(page, -(-2 * len(members) // page))  # so that leaves are about half full
+        chosen = members[np.unique(np.linspace(0, len(members) - 1, max(2, wanted)).astype(np.int64))]
         square = (f[members] ** 2).sum(1)[:, None] + (f[chosen] ** 2).sum(1)[None] - 2 * f[members] @ f[chosen].T
         nearest = square.argmin(1)
         groups = [members[nearest == k] for k in range(len(chosen))]
@@ -79,45 +84,51 @@ def build(x: np.ndarray, page: int) -> Page:
     return grow(0, np.arange(len(x)))
 
 
-def search(x: np.ndarray, ids: np.ndarray, length: np.ndarray, root: Page, q: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-    """The best k (score, id) for one query, and how they tie: the larger score, then the smaller id."""
-    size = float(norms(q))
-    best: list[tuple[int, int]] = []  # a heap of (score, -id), the worst first
-
-    def least() -> float:
-        return best[0][0] if len(best) == k else -np.inf
-
-    slack = 1e-6 * (1 + size * float(length.max(initial=0.0)))
-    heap = [(-np.inf, 0, float(norms(q.astype(np.float64) - x[root.centre])), root)]
+def search(x: np.ndarray, ids: np.ndarray, root: Page, q: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ids of the best k for each row of ``q``; the larger score, then the smaller id. Places left over score NONE."""
+    length, size = norms(x), norms(q)
+    reach = float(length.max(initial=0.0))
+    if reach * float(size.max(initial=0.0)) < 2**52:  # then products in double precision are exact
+        xf, qf = x.astype(np.float64), q.astype(np.float64)
+        products = lambda who, entries: np.rint(qf[who] @ xf[entries].T).astype(np.int64)
+    else:
+        products = lambda who, entries: q[who] @ x[entries].T
+    best, names = np.full((len(q), k), NONE), np.full((len(q), k), np.iinfo(np.int64).max)
+    slack = 1e-6 * (1 + (size + reach) ** 2)
+    heap = [(-np.inf, 0, root, np.arange(len(q)), norms(q.astype(np.float64) - x[root.centre]), np.full(len(q), np.inf))]
     number = 0
     while heap:
-        bound, _, far, page = heapq.heappop(heap)
-        if -bound + slack < least():
-            break
+        _, _, page, who, far, bound = heapq.heappop(heap)
+        still = bound + slack[who] >= best[who, -1]
+        who, far = who[still], far[still, None]
+        least, own_size, own_slack = best[who, -1:], size[who, None], slack[who, None]
         # by the stored distances alone: no entry's subtree comes nearer than this
         near = np.maximum(np.abs(far - page.stored) - page.radius, 0)
         longest = length[page.entries] + page.radius
-        bounds = (size * size + longest * longest - near * near) / 2
-        left = np.flatnonzero(bounds + slack >= least())
-        if not len(left):
+        bounds = (own_size * own_size + longest * longest - near * near) / 2
+        left = bounds + own_slack >= least
+        at = np.flatnonzero(left.any(0))
+        if not len(at):
             continue
-        entries = page.entries[left]
-        scores = x[entries] @ q
+        entries, left, bounds = page.entries[at], left[:, at], bounds[:, at]
+        scores = products(who, entries)
         if page.children:
-            bounds = np.minimum(bounds[left], scores + size * page.radius[left])
-            distance = np.sqrt(np.maximum(size * size + length[entries] ** 2 - 2.0 * scores, 0))
-            for i, b, d in zip(left, bounds, distance, strict=True):
-                if b + slack >= least():
+            bounds = np.minimum(bounds, scores + own_size * page.radius[at])
+            left &= bounds + own_slack >= least
+            distance = np.sqrt(np.maximum(own_size * own_size + length[entries] ** 2 - 2.0 * scores, 0))
+            for j, child in enumerate(at):
+                on = np.flatnonzero(left[:, j])
+                if len(on):
                     number += 1
-                    heapq.heappush(heap, (-b, number, float(d), page.children[i]))
+                    heapq.heappush(heap, (-float(bounds[on, j].max()), number, page.children[child], who[on], distance[on, j], bounds[on, j]))
         else:
-            for score, name in zip(scores.tolist(), ids[entries].tolist(), strict=True):
-                if name != own:
-                    if len(best) < k:
-                        heapq.heappush(best, (score, -name))
-                    elif (score, -name) > best[0]:
-                        heapq.heapreplace(best, (score, -name))
-    return [(s, -n) for s, n in sorted(best, reverse=True)]
+            scores[~left | (ids[entries][None] == own[who, None])] = NONE
+            on = np.flatnonzero((scores >= least).any(1))
+            seen = np.concatenate([best[who[on]], scores[on]], 1)
+            called = np.concatenate([names[who[on]], np.broadcast_to(ids[entries], (len(on), len(entries)))], 1)
+            order = np.lexsort((called, -seen), axis=-1)[:, :k]
+            best[who[on]], names[who[on]] = np.take_along_axis(seen, order, 1), np.take_along_axis(called, order, 1)
+    return best, names
 
 
 def scaled(vector: Column, by: int) -> Column:
@@ -157,9 +168,10 @@ def top_k(df: DataFrame, key: str, vector: Column, is_query: Column, s: Settings
                 dim = batch.column("dim")[r].as_py()
                 ids, x, qids, q = (np.frombuffer(batch.column(c)[r].as_buffer(), np.int64) for c in ("ids", "vectors", "qids", "qvectors"))
                 x, q = x.reshape(-1, dim), q.reshape(-1, dim)
-                tree, length = build(x, s.page), norms(x)
-                found = [(own, name, score) for own, v in zip(qids.tolist(), q, strict=True) for score, name in search(x, ids, length, tree, v, own, s.k)]
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(found, columns=["query_id", "vec_id", "score"], dtype="int64"), preserve_index=False)
+                best, names = search(x, ids, build(x, s.page), q, qids, s.k)
+                found = best > NONE
+                columns = np.repeat(qids, found.sum(1)), names[found], best[found]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
 
     found = met.select("dim", "ids", "vectors", "qids", "qvectors").mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
