@@ -29,10 +29,11 @@ CACHE, POOL = 400_000, 4096
 
 
 class ByteBPE:
-    """Ids of a byte-level BPE vocabulary, as the ``tokenizers`` library gives them for ordinary text.
+    """Ids of a byte-level BPE vocabulary, as the ``tokenizers`` library gives them by default without its template.
 
-    Words repeat, so texts are cut where no token can span (before a space that a word follows) and each distinct
-    chunk is encoded once a worker, by a merge engine built from the same vocabulary.
+    The file's added tokens are looked for first, the longest at each place, and get their own ids wherever a text
+    quotes them. In the parts between, words repeat, so these are cut where no token can span (before a space that a
+    word follows) and each distinct chunk is encoded once a worker, by a merge engine built from the same vocabulary.
     """
 
     #: White space that a space may join: texts with such a place are encoded whole.
@@ -47,16 +48,28 @@ class ByteBPE:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {x["content"] for x in spec.get("added_tokens", ())}
+        added = spec.get("added_tokens") or []
+        if any(x.get(how) for x in added for how in ("single_word", "lstrip", "rstrip")):
+            raise ValueError(f"{path}: added tokens that take in or look at their neighbours are not supported")
+        self.added = {x["content"]: np.array([x["id"]], "<u4").tobytes() for x in added}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.quoted = re.compile(f"({'|'.join(map(re.escape, longest))})") if longest else None
         # the printable stand-ins of byte-level vocabularies
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         stand_in = {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in kept)}
-        ranks = {bytes(stand_in[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
+        ranks = {bytes(stand_in[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.added}
         self.engine = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.seen: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of a text."""
+        if self.quoted is None or not self.quoted.search(text):
+            return self.between(text)
+        # by turns between and at the added tokens
+        return b"".join([self.added[x] if i % 2 else self.between(x) for i, x in enumerate(self.quoted.split(text)) if x])
+
+    def between(self, text: str) -> bytes:
+        """Ids of a text or part of one, added tokens taken as ordinary text."""
         if self.ODD.search(text):
             return np.array(self.engine.encode_ordinary(text), "<u4").tobytes()
         words = text.split(" ")

@@ -101,3 +101,13 @@ def test_queries_cover_their_tables(spark, data):
     n = docs.count()
     assert queries.op4_sentencepiece(spark, data).count() == n
     assert queries.op3_cost_packing(spark, data).select("doc_id").distinct().count() == n
+
+
+def test_quoted_added_tokens_match_the_library_by_default(texts):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), packing.ByteBPE(path)
+    end = "<|endoftext|>"
+    quoted = [end, f"a {end} b", f"{end}{end}", f" {end}  x ", f"a{end}b  {end}\n", "<|endoftext|", f"<{end}>", f"don{end}'t", f"{end} " * 5000]
+    quoted += [f"{a or ''}{end}{b or ''}" for a, b in zip(ODD, reversed(ODD))]
+    for text in quoted + ODD + texts:
+        assert np.frombuffer(own.ids(text or ""), "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids
