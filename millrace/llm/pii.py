@@ -1,11 +1,14 @@
 """Personal data: four fixed shapes, and identifiers that contexts learned from them give away.
 
 Base spans come from four regular expressions. Bootstrapping then works on one table of instances: every base span
-and every other token of a text that could be an identifier (it holds four digits or an at sign), each with the
-lexical patterns around it: the word before it, and its two words before. Base entities are the seeds. In each
-round a pattern scores the mean confidence of its distinct instances, shrunk towards zero for patterns with few
-of them, and an instance takes 1 - prod(1 - score) over the patterns that hold it; seeds stay at 1. Patterns at or
-above ``accept`` then name the unseen tokens in their places, with the kind of most of their seeds.
+and everything else in a text that could be an identifier, each with the lexical patterns around it: the word before
+it, and its two words before. What could be an identifier is a token with four digits or an at sign, or a run of
+tokens, one space apart, that all hold digits and no small letters (as in spaced numbers; four capitals may follow
+the first group of an IBAN), with four digits together. Base entities are the seeds. In each round the patterns take
+part that at least ``least_seeds`` known instances support: seeds, and what accepted patterns have named in earlier
+rounds. Such a pattern scores the mean confidence of its distinct instances, shrunk towards zero for patterns with
+few of them, and an instance takes 1 - prod(1 - score) over the patterns that hold it; seeds stay at 1. Patterns at
+or above ``accept`` name the unseen instances in their places, with the kind of most of their known ones.
 
 The main path has DataFrame functions only. Scoring joins and groups on patterns after counting distinct
 (pattern, instance) pairs, so a pattern that a third of all rows share meets as counts.
@@ -45,7 +48,7 @@ SPAN = "struct<kind:string,start:long,end:long>"
 
 @dataclass(frozen=True)
 class Settings:
-    """Rounds of scoring; the score that accepts a pattern; the count that shrinks rare patterns; least seeds of a pattern."""
+    """Rounds of scoring; the score that accepts a pattern; the count that shrinks rare patterns; least known instances of a pattern."""
 
     rounds: int = 3
     accept: float = 0.75
@@ -99,36 +102,59 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[_spans(plain, kind) for kind in KINDS])
 
 
-#: An identifier: a token with an at sign inside, or at least six digits.
-CANDIDATE = r"(?:^|(?<=[\x20\x09-\x0D]))(?=[^\x20\x09-\x0D]*[@0-9])[^\x20\x09-\x0D]+"
+#: A group of a spaced number, and what follows it if the next token is another.
+_DIGIT, _CHARS = r"(?=[A-Z+()./-]*+[0-9])", r"[A-Z0-9+()./-]++"
+_GROUP = _DIGIT + _CHARS + r"(?<=[A-Z0-9)])(?:(?<=(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2})\x20[A-Z]{4}(?=\x20))?+"
+_NEXT = r"\x20(?=" + _DIGIT + _CHARS + r"[^A-Za-z0-9@\x20\x09-\x0D]*+(?:[\x20\x09-\x0D]|$))"
+#: What may hold an identifier: a token with a digit or an at sign, or a run of tokens that are groups.
+CANDIDATE = r"(?:^|(?<=[\x20\x09-\x0D]))(?=[^\x20\x09-\x0D]*[@0-9])[^A-Za-z0-9@+\x20\x09-\x0D]*+(?:" + _GROUP + _NEXT + r")*+[^\x20\x09-\x0D]+"
+#: An identifier has an at sign inside, or at least so many digits.
+DIGITS = 4
 BEFORE = r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$"
 
 
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with the spans' characters as ``x``, so that no candidate runs into them."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["end"])))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        between = F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        hidden = F.repeat(F.lit("x"), F.greatest(s["end"] - F.greatest(s["start"], acc["at"]), F.lit(0)).cast("int"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], between, hidden).alias("out"))
+
+    done = F.aggregate(ordered, start, step)
+    return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], F.substr(text, done["at"] + 1, F.length(text))))
+
+
 def instances(docs: DataFrame, keep: list[str]) -> DataFrame:
     """(k0, k1 and so on for ``keep``, spans, found): base spans, and all instances as (kind or null, start, end, value, before1, before2).
 
-    A candidate token's edges are trimmed of quotes, brackets and punctuation. The words before are lower-cased.
+    A candidate's edges are trimmed of quotes, brackets and punctuation. The words before are lower-cased.
     """
     plain = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), MARK, OTHER)
     names = [f"k{i}" for i in range(len(keep))]
     rows = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, names, strict=True)], plain.alias("text")).withColumn("spans", base_spans(F.col("text")))
-    pieces = F.transform(_cut(F.col("text"), CANDIDATE), lambda x, i: F.struct(x.alias("text"), i.alias("i")))
+    rows = rows.withColumn("masked", _masked(F.col("text"), F.col("spans")))
+    pieces = F.transform(_cut(F.col("masked"), CANDIDATE), lambda x, i: F.struct(x.alias("text"), i.alias("i")))
     start = F.expr("struct(0L as at, '' as before, cast(array() as array<struct<start:long,end:long,value:string,before:string>>) as found)")
 
     def step(acc: Column, piece: Column) -> Column:
         left = F.length(F.regexp_extract(piece["text"], r"^([^A-Za-z0-9@+]*)", 1))
         value = F.regexp_replace(piece["text"], r"^[^A-Za-z0-9@+]+|[^A-Za-z0-9]+$", "")
         digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
-        fits = (piece["i"] % 2 == 1) & ((digits >= 6) | value.rlike("^[^@]+@[^@]+$"))
+        fits = (piece["i"] % 2 == 1) & ((digits >= DIGITS) | value.rlike("^[^@]+@[^@]+$"))
         begin = acc["at"] + left
-        one = F.array(F.struct(begin.alias("start"), (begin + F.length(value)).alias("end"), value.alias("value"), acc["before"].alias("before")))
+        # what was masked is read from the text itself
+        before = F.when(F.size("spans") == 0, acc["before"]).otherwise(F.substr(F.col("text"), F.greatest(acc["at"] - 79, F.lit(1)), F.least(acc["at"], F.lit(80))))
+        one = F.array(F.struct(begin.alias("start"), (begin + F.length(value)).alias("end"), value.alias("value"), before.alias("before")))
         tail = F.right(F.concat(acc["before"], piece["text"]), F.lit(80))
         return F.struct(
             (acc["at"] + F.length(piece["text"])).alias("at"), tail.alias("before"),
             F.when(fits, F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"),
         )
 
-    found = F.when(F.col("text").rlike("[0-9@]"), F.aggregate(pieces, start, step)["found"])
+    found = F.when(F.col("masked").rlike("[0-9@]"), F.aggregate(pieces, start, step)["found"])
     # a base span's value and context are read from the text itself
     seeds = F.transform(
         "spans",
@@ -153,19 +179,21 @@ def patterns(before: Column) -> Column:
 def learned(found: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(pattern, kind) of the accepted patterns, from rows (kind, value, before)."""
     pairs = found.select("kind", F.lower("value").alias("value"), F.explode(patterns(F.col("before"))).alias("pattern"))
-    pairs = pairs.groupBy("pattern", "value").agg(F.max("kind").alias("kind"))
-    # only patterns with enough seeds can be accepted; all others need no further rounds
-    seeds = pairs.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("n"))
-    seeds = seeds.groupBy("pattern").agg(F.max_by("kind", F.struct("n", "kind")).alias("of"), F.sum("n").alias("seeds")).where(F.col("seeds") >= s.least_seeds)
-    graph = stored(pairs.join(seeds, "pattern"), "graph")
-    trust = graph.withColumn("trust", F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0))
-    scores = None
+    pairs = stored(pairs.groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "pairs")
+    held, scores = pairs.withColumn("trust", F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0)).withColumn("as", F.col("kind")), None
     for i in range(s.rounds):
-        scores = trust.groupBy("pattern").agg((F.sum("trust") / (F.count("*") + s.shrink)).alias("score"), F.max("of").alias("of"))
+        # only patterns with enough known instances can be accepted; the others take no part in this round
+        known = held.where(F.col("as").isNotNull()).groupBy("pattern", "as").agg(F.count("*").alias("n"))
+        known = known.groupBy("pattern").agg(F.max_by("as", F.struct("n", "as")).alias("of"), F.sum("n").alias("n")).where(F.col("n") >= s.least_seeds).select("pattern", "of")
+        scores = held.join(known, "pattern").groupBy("pattern").agg((F.sum("trust") / (F.count("*") + s.shrink)).alias("score"), F.max("of").alias("of"))
+        scores = stored(scores, "scores")
         if i + 1 < s.rounds:
-            held = graph.join(scores.select("pattern", "score"), "pattern")
-            each = held.groupBy("value").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("belief"))
-            trust = graph.join(each, "value").withColumn("trust", F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.col("belief")))
+            each = pairs.where("kind is null").join(scores, "pattern").groupBy("value").agg(
+                (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("belief"),
+                F.max_by("of", F.when(F.col("score") >= s.accept, F.struct("score", "of"))).alias("named"),
+            )
+            held = pairs.join(stored(each, "beliefs"), "value", "left")
+            held = held.select("pattern", "kind", F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.coalesce("belief", F.lit(0.0))).alias("trust"), F.coalesce("kind", "named").alias("as"))
     return scores.where(F.col("score") >= s.accept).select("pattern", F.col("of").alias("kind"))
 
 

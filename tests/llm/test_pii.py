@@ -55,3 +55,26 @@ def test_query_digests(spark, data):
         spans = base_spans(r["text"])
         assert out[r["doc_id"]]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in spans).encode()).hexdigest()
         assert out[r["doc_id"]]["n_email"] == sum(k == "email" for k, _, _ in spans)
+
+
+def found_beside_base(spark, rows):
+    out = pii.find(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id", "text"]).where("size(spans) > size(base)").collect()
+    return {r["doc_id"]: [r["text"][s["start"] : s["end"]] for s in r["spans"] if s not in r["base"]] for r in out}
+
+
+def test_contexts_discover_spaced_and_short_identifiers(spark):
+    seeds = [(i, f"please reach me at: a{i}@b.org today") for i in range(60)]
+    unseen = ["030 123 4567", "(030) 123 4568", "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19", "4111 1111 1111 1112", "4821", "48213"]
+    rows = [(100 + i, f"please reach me at: {x}, or not") for i, x in enumerate(unseen)]
+    rows += [(200, "please reach me at: 5550001 done7 now"), (201, "please reach me at: 123 then"), (202, "please reach me at: 10.0.0.1 5550 reach me at: 77 0012. 5 x")]
+    wanted = {100 + i: [x.lstrip("(")] for i, x in enumerate(unseen)} | {200: ["5550001"], 202: ["77 0012"]}
+    assert found_beside_base(spark, seeds + rows) == wanted
+
+
+def test_discovered_instances_raise_patterns_of_later_rounds(spark):
+    rows = [(i, f"the user id: a{i}@b.org here") for i in range(60)]
+    rows += [(100 + i, f"the user id: QX-1000{i} here") for i in range(8)]
+    rows += [(200 + i, f"wears badge no: QX-1000{i} here") for i in range(8)] + [(300, "wears badge no: ZZ-99887 here")]
+    rows += [(400 + i, f"costs about some: {5000 + i} here") for i in range(9)]
+    found = found_beside_base(spark, rows)
+    assert found[300] == ["ZZ-99887"] and set(found) == {*range(100, 108), *range(200, 208), 300}
