@@ -17,31 +17,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in tests on one machine, a temporary folder takes its place.
+    Where that is unset, a cluster's warehouse takes its place; only a session whose driver is its one executor, as
+    in tests, takes a temporary folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
+        master = spark.sparkContext.master
+        alone = master == "local" or master.startswith("local[")
+        found = f"file://{tempfile.mkdtemp(prefix='millrace-')}" if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/millrace-shared"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh place in the shared folder, deleted when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: it cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)  # the schema: an empty result may have no file
     out._millrace_path = path
     return out
 
 
-def discard(df: DataFrame) -> None:
+def discard(*frames: DataFrame) -> None:
     """Delete what :func:`stored` wrote, once nothing reads it any more."""
-    path = getattr(df, "_millrace_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+    for df in frames:
+        path = getattr(df, "_millrace_path", None)
+        if path:
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clashing(keep: list[str], own: list[str]) -> None:
+    """Refuse columns to keep that would have the name of a result."""
+    if both := sorted(set(keep) & set(own)):
+        raise ValueError(f"columns to keep have names of results: {', '.join(both)}")
 
 
 def remainder(column: str, by: int) -> Column:

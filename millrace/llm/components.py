@@ -28,4 +28,19 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new
         if not changed:
             discard(both)
-            return labels.select("node", F.col("label").alias("component"))
+            out = labels.select("node", F.col("label").alias("component"))
+            out._millrace_path = labels._millrace_path
+            return out
+
+
+def smallest_keys(classes: DataFrame, comp: DataFrame) -> DataFrame:
+    """(cls, component_id): the smallest key of each class's component, from ``classes`` (cls, key) and ``comp`` (cls, comp).
+
+    Components' minima are stored before they are joined back, so that adaptive execution can split a component
+    that many classes share.
+    """
+    named = stored(classes.select("cls", "key").join(comp.select("cls", "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "named")
+    least = stored(named.groupBy("comp").agg(F.min("key").alias("component_id")), "least")
+    out = stored(named.select("cls", "comp").join(least, "comp").select("cls", "component_id"), "component-ids")
+    discard(named, least)
+    return out

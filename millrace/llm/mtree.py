@@ -1,17 +1,21 @@
 """Exact top-k inner products of integer vectors by best-first search of M-trees.
 
-Vectors are dealt into bounded chunks of near neighbours; each chunk is an M-tree of pages whose entries store a
-covering radius and the distance to the page's own centre. For a query q at distance d from a page's centre, an
-entry at stored distance s lies at least ``|d - s|`` from q, which bounds its inner product by
+Vectors are dealt into cells of near neighbours, the entries of the M-tree's root page: a pivot and a covering radius
+each. A cell's chunks of bounded size are M-trees of pages whose entries store a covering radius and the distance to
+the page's own centre; they are built once and stored. For a query q at distance d from a page's centre, an entry at
+stored distance s lies at least ``|d - s|`` from q, which bounds its inner product by
 ``(|q|^2 + |o|^2 - (|d - s|)^2) / 2`` without computing it; a subtree of radius r around c has none above
-``<q, c> + |q| r``. Queries go to the chunks in blocks, and each chunk's best k of a query are merged. A block visits
-pages by descending bound, the highest of its queries'; at each page only those queries are left whose own bound
-reaches their k-th score so far.
+``<q, c> + |q| r``.
+
+The search is best-first on both levels. A query first goes to the cell of its nearest pivot, and with the k-th score
+it finds there only to those other cells whose bound reaches it. Queries meet a chunk in blocks: a block visits pages
+by descending bound, the highest of its queries'; at each page only those queries are left whose own bound reaches
+their k-th score so far.
 
 Defined results: rows without id, and vectors that are null, empty or hold null or non-finite components take no
 part; only vectors of a query's length are its candidates. Rows with the query's id are its own, and a repeated id
-asks once, with the least of its vectors. Repeated rows of
-other ids are candidates each. Ties go to the smaller id. Scores are 64-bit integers.
+asks once, with the least of its vectors. Repeated rows of other ids are candidates each. Ties go to the smaller id.
+Components and scores are 64-bit integers; what lies beyond them is refused with an error, never wrapped.
 """
 
 from __future__ import annotations
@@ -22,11 +26,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stored
-from millrace.llm.vectors import dealt, usable
+from millrace.llm.common import discard, stored
+from millrace.llm.vectors import Dealing, pivots, placed, sizes, usable
 
 
 #: The score of a place that no candidate takes.
@@ -35,12 +40,12 @@ NONE = -np.iinfo(np.int64).max
 
 @dataclass(frozen=True)
 class Settings:
-    """Results a query, vectors of a chunk, entries of a page, and queries of a block."""
+    """Results a query, how vectors are dealt out, entries of a page, and queries of a block."""
 
     k: int = 5
-    chunk: int = 4096
+    dealing: Dealing = Dealing()
     page: int = 64
-    block: int = 1024
+    block: int = 4096
 
 
 @dataclass
@@ -84,6 +89,44 @@ def build(x: np.ndarray, page: int) -> Page:
     return grow(0, np.arange(len(x)))
 
 
+def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products in integers of any size; an error if one needs more than 64 bits."""
+    out = q.astype(object) @ x.astype(object).T
+    if max(map(abs, out.ravel()), default=0) >= 1 << 63:
+        raise OverflowError("an inner product is beyond 64 bits")
+    return out.astype(np.int64)
+
+
+def flat(root: Page) -> list[np.ndarray]:
+    """A tree in preorder: (centre, entries, children) of each page; then all entries, stored distances and radii."""
+    shape, entries, stored_at, radius = [], [], [], []
+
+    def visit(page: Page) -> None:
+        shape.append((page.centre, len(page.entries), len(page.children)))
+        for held, own in ((entries, page.entries), (stored_at, page.stored), (radius, page.radius)):
+            held.append(own)
+        for child in page.children:
+            visit(child)
+
+    visit(root)
+    return [np.array(shape, np.int64), np.concatenate(entries).astype(np.int64), np.concatenate(stored_at), np.concatenate(radius)]
+
+
+def tree(shape: np.ndarray, entries: np.ndarray, stored_at: np.ndarray, radius: np.ndarray) -> Page:
+    """The tree again."""
+    rows, at = iter(shape.reshape(-1, 3).tolist()), 0
+
+    def visit() -> Page:
+        nonlocal at
+        centre, n, children = next(rows)
+        page = Page(centre, entries[at : at + n], stored_at[at : at + n], radius[at : at + n])
+        at += n
+        page.children = [visit() for _ in range(children)]
+        return page
+
+    return visit()
+
+
 def search(x: np.ndarray, ids: np.ndarray, root: Page, q: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Scores and ids of the best k for each row of ``q``; the larger score, then the smaller id. Places left over score NONE."""
     length, size = norms(x), norms(q)
@@ -91,8 +134,11 @@ def search(x: np.ndarray, ids: np.ndarray, root: Page, q: np.ndarray, own: np.nd
     if reach * float(size.max(initial=0.0)) < 2**52:  # then products in double precision are exact
         xf, qf = x.astype(np.float64), q.astype(np.float64)
         products = lambda who, entries: np.rint(qf[who] @ xf[entries].T).astype(np.int64)
+    elif reach * float(size.max(initial=0.0)) < 2**62:
+        xi, qi = x.astype(np.int64), q.astype(np.int64)
+        products = lambda who, entries: qi[who] @ xi[entries].T
     else:
-        products = lambda who, entries: q[who] @ x[entries].T
+        products = lambda who, entries: exact(q[who], x[entries])
     best, names = np.full((len(q), k), NONE), np.full((len(q), k), np.iinfo(np.int64).max)
     slack = 1e-6 * (1 + (size + reach) ** 2)
     heap = [(-np.inf, 0, root, np.arange(len(q)), norms(q.astype(np.float64) - x[root.centre]), np.full(len(q), np.inf))]
@@ -133,46 +179,127 @@ def search(x: np.ndarray, ids: np.ndarray, root: Page, q: np.ndarray, own: np.nd
 
 def scaled(vector: Column, by: int) -> Column:
     """Components times ``by``, rounded down, as integers; null for vectors that take no part."""
-    return F.when(usable(vector), F.transform(vector, lambda x: F.floor(x.cast("double") * by).cast("long")))
+
+    def whole(x: Column) -> Column:
+        x = x.cast("double") * by
+        return F.when(F.abs(x) < float(1 << 63), F.floor(x).cast("long")).otherwise(F.raise_error(F.lit("a scaled component is beyond 64 bits")).cast("long"))
+
+    return F.when(usable(vector), F.transform(vector, whole))
+
+
+def integers(table: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids in order, and their vectors in the narrowest type that holds them."""
+    ids = table.column("id").to_numpy().astype(np.int64)
+    order = np.argsort(ids, kind="stable")
+    x = table.column("v").combine_chunks().flatten().to_numpy().astype(np.int64).reshape(len(ids), dim)[order]
+    kind = np.result_type(np.min_scalar_type(x.min(initial=0)), np.min_scalar_type(x.max(initial=0)), np.int8)
+    return ids[order], x.astype(kind if kind.kind == "i" else np.int64)
 
 
-def blobs(rows: DataFrame, by: list[str]) -> DataFrame:
-    """One row a group of ``by`` (dim first): ids and integer vectors as bytes."""
+#: What a chunk carries, and the types of its parts; the vectors' own is named beside them.
+PARTS = {"ids": "<i8", "shape": "<i8", "entries": "<i8", "stored": "<f8", "radius": "<f8"}
+
+
+def chunks(rows: DataFrame, s: Settings) -> DataFrame:
+    """One row a chunk (dim, cell, chunk): ids, vectors and the M-tree as bytes."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy().astype(np.int64)
-        order = np.argsort(ids, kind="stable")
-        x = table.column("v").combine_chunks().flatten().to_numpy().astype(np.int64).reshape(len(ids), key[0].as_py())[order]
-        columns = [pa.array([k.as_py()], pa.int32()) for k in key] + [pa.array([b], pa.binary()) for b in (ids[order].tobytes(), x.tobytes())]
-        return pa.Table.from_arrays(columns, [*by, "ids", "vectors"])
+        ids, x = integers(table, key[0].as_py())
+        parts = [ids, *flat(build(x, s.page)), x]
+        columns = [pa.array([k.as_py()], pa.int32()) for k in key] + [pa.array([part.tobytes()], pa.binary()) for part in parts] + [pa.array([x.dtype.str])]
+        return pa.Table.from_arrays(columns, ["dim", "cell", "chunk", *PARTS, "vectors", "kind"])
 
-    return rows.select(*by, "id", "v").groupBy(*by).applyInArrow(run, ", ".join(f"{b} int" for b in by) + ", ids binary, vectors binary")
+    columns = "dim int, cell int, chunk int, " + ", ".join(f"{p} binary" for p in PARTS) + ", vectors binary, kind string"
+    return rows.select("dim", "cell", "chunk", "id", "v").groupBy("dim", "cell", "chunk").applyInArrow(run, columns)
 
 
-def top_k(df: DataFrame, key: str, vector: Column, is_query: Column, s: Settings = Settings()) -> DataFrame:
-    """(query_id, rank, vec_id, score) of every query; ``vector`` is an integer array, null where it takes no part."""
-    rows = df.select(F.col(key).cast("long").alias("id"), vector.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    rows = stored(rows.where("id is not null and v is not null"), "vectors")
-    placed, _ = dealt(rows.select("id", "v"), "id", s.chunk)
-    chunks = stored(blobs(placed, ["dim", "cell", "chunk"]), "chunks")
-    asked = rows.where("asks").groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
-    sizes = asked.groupBy("dim").agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks"))
-    asked = asked.join(F.broadcast(sizes), "dim").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    asked = stored(blobs(asked, ["dim", "block"]).withColumnsRenamed({"ids": "qids", "vectors": "qvectors"}), "queries")
-    met = chunks.join(F.broadcast(sizes), "dim").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.join(asked, ["dim", "block"]).repartition(F.col("dim"), F.col("cell"), F.col("chunk"), F.col("block"))
+def routed(asked: DataFrame, root: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(dim, cell, id, v, first): the cells that queries (id, v, least) go to.
+
+    Without ``least``, the k-th score so far, that is the nearest pivot's cell; with it, all other cells whose bound
+    reaches it. ``root`` holds pivots and covering radii by vector length; other lengths have the one cell 0.
+    """
+    shared = asked.sparkSession.sparkContext.broadcast(root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = pc.list_value_length(batch.column("v")).to_numpy(zero_copy_only=False).astype(np.int32)
+            first = ~np.array(batch.column("again").to_numpy(zero_copy_only=False), bool)
+            score = np.nan_to_num(batch.column("least").to_numpy(zero_copy_only=False).astype(np.float64), nan=-np.inf)
+            for dim in np.unique(lengths):
+                at = np.flatnonzero(lengths == dim)
+                if int(dim) not in shared.value:
+                    at = at[first[at]]
+                    i, cell = np.arange(len(at)), np.zeros(len(at), np.int64)
+                else:
+                    p, cover = shared.value[int(dim)]
+                    q = batch.column("v").take(pa.array(at)).flatten().to_numpy().astype(np.float64).reshape(-1, int(dim))
+                    size, product = norms(q), q @ p.T
+                    nearest = ((p * p).sum(1)[None] - 2 * product).argmin(1)
+                    bound = product + size[:, None] * cover[None]
+                    slack = 1e-6 * (1 + (size[:, None] + cover[None] + norms(p)[None]) ** 2)
+                    others = (bound + slack >= score[at][:, None]) & (np.arange(len(p))[None] != nearest[:, None])
+                    only = np.arange(len(p))[None] == nearest[:, None]
+                    i, cell = np.nonzero(np.where(first[at][:, None], only, others))
+                taken = pa.array(at[i])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), dim), pa.int32()), pa.array(cell, pa.int32()), batch.column("id").take(taken), batch.column("v").take(taken)], ["dim", "cell", "id", "v"])
+
+    return asked.select("id", "v", "least", "again").mapInArrow(run, "dim int, cell int, id long, v array<long>")
+
+
+def searched(visits: DataFrame, trees: DataFrame, s: Settings) -> DataFrame:
+    """(query_id, vec_id, score): the best k of each chunk of the cells that queries visit, by blocks of queries."""
+
+    def blob(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        ids, q = integers(table, key[0].as_py())
+        columns = [pa.array([k.as_py()], pa.int32()) for k in key] + [pa.array([b], pa.binary()) for b in (ids.tobytes(), q.tobytes())] + [pa.array([q.dtype.str])]
+        return pa.Table.from_arrays(columns, ["dim", "cell", "block", "qids", "queries", "qkind"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                dim = batch.column("dim")[r].as_py()
-                ids, x, qids, q = (np.frombuffer(batch.column(c)[r].as_buffer(), np.int64) for c in ("ids", "vectors", "qids", "qvectors"))
-                x, q = x.reshape(-1, dim), q.reshape(-1, dim)
-                best, names = search(x, ids, build(x, s.page), q, qids, s.k)
+                row = {c: batch.column(c)[r] for c in batch.schema.names}
+                of = {p: np.frombuffer(row[p].as_buffer(), t) for p, t in PARTS.items()}
+                dim, ids, qids = row["dim"].as_py(), of.pop("ids"), np.frombuffer(row["qids"].as_buffer(), np.int64)
+                x, q = (np.frombuffer(row[c].as_buffer(), row[t].as_py()).reshape(-1, dim) for c, t in (("vectors", "kind"), ("queries", "qkind")))
+                best, names = search(x, ids, tree(of["shape"], of["entries"], of["stored"], of["radius"]), q, qids, s.k)
                 found = best > NONE
                 columns = np.repeat(qids, found.sum(1)), names[found], best[found]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
 
-    found = met.select("dim", "ids", "vectors", "qids", "qvectors").mapInArrow(run, "query_id long, vec_id long, score long")
+    blocks = visits.groupBy("dim", "cell").agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks"))
+    dealt = visits.join(blocks, ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit(2)), F.col("blocks")).cast("int"))
+    asked = dealt.groupBy("dim", "cell", "block").applyInArrow(blob, "dim int, cell int, block int, qids binary, queries binary, qkind string")
+    met = trees.join(asked, ["dim", "cell"]).repartition(F.col("dim"), F.col("cell"), F.col("chunk"), F.col("block"))
+    return met.select("dim", *PARTS, "vectors", "kind", "qids", "queries", "qkind").mapInArrow(run, "query_id long, vec_id long, score long")
+
+
+def top_k(df: DataFrame, key: str, vector: Column, is_query: Column, s: Settings = Settings()) -> DataFrame:
+    """(query_id, rank, vec_id, score) of every query; ``vector`` is an integer array, null where it takes no part."""
+    d = s.dealing
+    rows = df.select(F.col(key).cast("long").alias("id"), vector.cast("array<long>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    rows = stored(rows.where("id is not null and v is not null"), "vectors")
+    large, _ = sizes(rows, d)
+    own = pivots(rows.select("id", "v"), "id", large, d)
+    dealt = placed(rows.select("id", "v"), own)
+    of = stored(dealt.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("far").alias("far")), "cells")
+    # the root page: as many entries as there are pivots, whose bytes are bounded
+    root = {dim: (p, np.full(len(p), -np.inf)) for dim, p in own.items()}
+    for r in of.where(F.col("dim").isin(list(own))).collect():
+        root[r["dim"]][1][r["cell"]] = r["far"] * (1 + 1e-9) + 1e-9
+    spark = df.sparkSession
+    dims = spark.createDataFrame([(dim, d.rows(n, dim)) for dim, n in large.items()], "dim int, size int")
+    small = F.least(F.lit(d.chunk_bytes) / (4 * F.col("dim")), F.lit(d.least_rows)).cast("int")
+    of_chunks = of.join(F.broadcast(dims), "dim", "left").select("dim", "cell", F.ceil(F.col("n") / F.greatest(F.coalesce("size", small), F.lit(1))).alias("chunks"))
+    dealt = dealt.join(of_chunks, ["dim", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(1)), F.col("chunks")).cast("int"))
+    trees = stored(chunks(dealt, s), "trees")
+    asked = rows.where("asks").groupBy("id").agg(F.min("v").alias("v"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= s.k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    best = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= s.k)
+    visits = routed(asked.select("id", "v", F.lit(None).cast("long").alias("least"), F.lit(False).alias("again")), root)
+    first = stored(best(searched(visits, trees, s)), "first")
+    kth = first.where(F.col("rank") == s.k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
+    visits = routed(asked.join(kth, "id", "left").select("id", "v", "least", F.lit(True).alias("again")), root)
+    out = stored(best(first.drop("rank").unionByName(searched(visits, trees, s))).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "top")
+    discard(rows, of, trees, first)
+    return out
