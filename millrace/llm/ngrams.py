@@ -1,15 +1,20 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Training counts words exactly and word pairs (with one end token a document) by hash. Pairs go into a Bloom filter
-that holds quantised counts: a pair counted c times is inserted with the levels 1 to ``1 + floor(log_base c)``, so
-the level is read back by probing level after level until one is missing. Filter segments are built where their
-pairs meet, each sized by its own load, and are broadcast to the workers with the word counts. A token's
-probability mixes the pair's relative frequency with the add-one word probability:
-``(1 - weight) * p(word) + weight * count(pair) / count(context)``.
+Training counts words exactly, and word pairs and triples (with one end token a document) by hash. Pairs and triples
+go into a Bloom filter that holds quantised counts: what was counted c times is inserted with the levels 1 to
+``1 + floor(log_base c)``, so the level is read back by probing level after level until one is missing. Counts travel
+in packed blocks, one a task and segment; segments are built one at a time where their blocks meet, each sized by its
+own load, and are broadcast to the workers with the word counts. A token's probability interpolates discounted
+relative frequencies with the add-one word probability ``p(w)``:
 
-What is broadcast grows with the input, so it goes out in rounds of at most ``round_bytes``: each round fills in
-the counts that its share of words and segments knows, and between rounds the texts' counts are written to the
-shared folder. One round is the usual case, and any number gives the same scores.
+    ``p(w | v) = (1 - l2) p(w) + l2 max(count(v w) - d, 0) / count(v)``, and likewise
+    ``p(w | u v) = (1 - l3) p(w | v) + l3 max(count(u v w) - d, 0) / count(u v)``;
+
+after a history that was never seen, the lower order stands alone.
+
+What is broadcast grows with the input, so it goes out in parts of at most ``round_bytes``, which are made one after
+the other and wait on the executors' disks. Texts are read once: a task holds its tokens' counts while it takes the
+parts in turn, one in memory at a time. Any number of parts gives the same scores.
 
 Defined results: null and empty texts are the end token alone. Without training rows N, V and every count are 0,
 so the add-one probability is 1. Repeated rows count as often as they come.
@@ -26,36 +31,44 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import discard, stored
+from millrace.llm.common import stored
 
-CACHE = 200_000
+#: Words that a worker remembers, and bytes of the longest that it does.
+CACHE, LONGEST = 200_000, 64
 #: Tokens that a training task counts before it passes them on; bounds its memory.
-FLUSH = 4_000_000
-#: Tokens that are scored together.
-GROUP = 250_000
+FLUSH = 3_000_000
+#: Tokens that are probed together, and that a task holds while it takes several parts of a model in turn.
+GROUP, HELD = 500_000, 2_000_000
 END = xxhash.xxh3_64_intdigest(b"\n")  # no word holds a line end
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Pairs and triples keep the upper 48 bits of their hashes, which is what blocks carry of them.
+UPPER = np.uint64(0xFFFFFFFFFFFF0000)
+WORDS, GRAMS = 0, 1
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Quantisation base, bits and probes of an insertion, the pairs' weight, pairs of a segment, bytes of a round."""
+    """Quantisation base, bits and probes of an insertion, discount, weights of pairs and triples, tokens of a segment, bytes of a part."""
 
     base: float = 1.5
     bits: float = 8.0
     probes: int = 5
-    weight: float = 0.4
-    segment: int = 100_000
+    discount: float = 0.75
+    pair_weight: float = 0.4
+    triple_weight: float = 0.4
+    segment: int = 400_000
     round_bytes: int = 160 << 20
 
 
 class Words(dict):
-    """Hash of each word that a worker has seen."""
+    """Hash of each word that a worker has seen; longer ones are hashed anew each time."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        found = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONGEST:
+            if len(self) > CACHE:
+                self.clear()
+            self[word] = found
         return found
 
 
@@ -77,50 +90,69 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pairs_of(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Hash of each token with the one before it; a document's first token follows the end of another."""
-    before = np.empty_like(h)
+def grams_of(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each token with the one before it, and with the two before; a document's first token follows the end of another."""
+    own, before = mixed(h), np.empty_like(h)
     before[1:] = h[:-1]
     before[starts] = END
-    return mixed(before * np.uint64(3) + mixed(h))
+    pairs = mixed(before * np.uint64(3) + own) & UPPER
+    history = np.empty_like(h)
+    history[1:] = pairs[:-1]
+    history[starts] = END
+    return pairs, mixed(history * np.uint64(5) + own) & UPPER
+
+
+def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
+
 
+def packed(h: np.ndarray, width: int) -> bytes:
+    """The upper ``width`` bytes of each hash."""
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :].tobytes()
 
-def counts(docs: DataFrame, s: Settings, segments: int | None = None) -> DataFrame:
-    """(h, n) of the training words, or (segment, h, n) of the pairs, counted within tasks and then over all."""
+
+def unpacked(blob: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(blob) // width, 8), np.uint8)
+    out[:, 8 - width :] = np.frombuffer(blob, np.uint8).reshape(-1, width)
+    return out.reshape(-1).view("<u8")
+
+
+def counts(docs: DataFrame, segments: int) -> DataFrame:
+    """(kind, segment, ones, more, times): blocks of what a task has counted once, of what it has counted more often, and how often."""
+
+    def blocks(kind: int, found: np.ndarray) -> pa.RecordBatch:
+        width = 8 if kind == WORDS else 6
+        h, n = np.unique(found, return_counts=True)
+        names, low = np.unique(segment_of(h, segments), return_index=True)
+        columns = [[], [], []]
+        for x, y in zip(low, [*low[1:], len(h)], strict=True):
+            one = n[x:y] == 1
+            for column, value in zip(columns, (packed(h[x:y][one], width), packed(h[x:y][~one], width), n[x:y][~one].astype("<u4").tobytes()), strict=True):
+                column.append(value)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(names), kind), pa.int32()), pa.array(names.astype(np.int32)), *[pa.array(c, pa.binary()) for c in columns]], ["kind", "segment", "ones", "more", "times"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
 
-        def settle() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held), return_counts=True)
+        def settle() -> Iterator[pa.RecordBatch]:
+            h, starts = np.concatenate(held), np.cumsum([0, *map(len, held)])[:-1]
             held.clear()
-            columns, names = [pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"]
-            if segments:
-                columns.append(pa.array(segment_of(h, segments).astype(np.int32)))
-                names.append("segment")
-            return pa.RecordBatch.from_arrays(columns, names)
+            yield blocks(WORDS, h)
+            yield blocks(GRAMS, np.concatenate(grams_of(h, starts)))
 
         for batch in batches:
             for text in batch.column("text"):
-                h = tokens(text.as_py())
-                held.append(pairs_of(h, np.zeros(1, np.int64)) if segments else h)
-                size += len(h)
+                held.append(tokens(text.as_py()))
+                size += len(held[-1])
                 if size >= FLUSH:
-                    yield settle()
+                    yield from settle()
                     size = 0
         if held:
-            yield settle()
+            yield from settle()
 
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, n long" + ", segment int" * bool(segments))
-    if not segments:
-        return rows.groupBy("h").agg(F.sum("n").alias("n"))
-    # one exchange: the pairs of a segment meet to be counted and to be inserted
-    return rows.repartition("segment").groupBy("segment", "h").agg(F.sum("n").alias("n"))
-
-
-def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
+    rows = docs.select(F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "kind int, segment int, ones binary, more binary, times binary")
 
 
 def levels_of(n: np.ndarray, base: float) -> np.ndarray:
@@ -128,13 +160,13 @@ def levels_of(n: np.ndarray, base: float) -> np.ndarray:
 
 
 def positions(h: np.ndarray, level: np.ndarray | int, probe: int, bits: np.ndarray | int) -> np.ndarray:
-    """Bit of one probe of a pair at a level, in a segment of so many bits."""
+    """Bit of one probe of a pair or triple at a level, in a segment of so many bits."""
     salt = np.atleast_1d(np.asarray(level, np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((probe * 0xD1B54A32D192ED03) & (2**64 - 1))
     return ((mixed(h + salt) >> np.uint64(32)) * np.asarray(bits, np.uint64)) >> np.uint64(32)
 
 
 def segment_bits(h: np.ndarray, n: np.ndarray, s: Settings) -> bytes:
-    """One segment of the filter with all levels of its pairs."""
+    """One segment of the filter with all levels of what it holds."""
     level = levels_of(n, s.base)
     size = max(64, int(level.sum() * s.bits) + 7 >> 3 << 3)
     held = np.zeros(size, bool)
@@ -145,28 +177,27 @@ def segment_bits(h: np.ndarray, n: np.ndarray, s: Settings) -> bytes:
     return np.packbits(held, bitorder="little").tobytes()
 
 
-def filter_segments(pairs: DataFrame, s: Settings) -> DataFrame:
-    """(segment, bits) of the log-frequency Bloom filter."""
+def model_of(blocks: DataFrame, s: Settings) -> DataFrame:
+    """(kind, segment, body, times, n): a segment's words in order with their counts and these in all, or its bits of the filter."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        for b in batches:
-            held.append((b.column("segment").to_numpy(), b.column("h").to_numpy().view(np.uint64), b.column("n").to_numpy()))
-        if not held:
-            return
-        seg, h, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        held.clear()
-        order = np.argsort(seg, kind="stable")
-        seg, h, n = seg[order], h[order], n[order]
-        for name, low, high in zip(*np.unique(seg, return_index=True), [*np.unique(seg, return_index=True)[1][1:], len(seg)], strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int32()), pa.array([segment_bits(h[low:high], n[low:high], s)], pa.binary())], ["segment", "bits"])
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        kind, segment = (k.as_py() for k in key)
+        width = 8 if kind == WORDS else 6
+        ones, more, times = (b"".join(table.column(c).to_pylist()) for c in ("ones", "more", "times"))
+        ones, more, times = unpacked(ones, width), unpacked(more, width), np.frombuffer(times, "<u4").astype(np.int64)
+        h, at = np.unique(np.concatenate([ones, more]), return_inverse=True)
+        n = np.bincount(at[: len(ones)], minlength=len(h)).astype(np.int64)
+        np.add.at(n, at[len(ones) :], times)
+        body, held = (h.tobytes(), n.astype("<i8").tobytes()) if kind == WORDS else (segment_bits(h, n, s), b"")
+        columns = [pa.array([kind], pa.int32()), pa.array([segment], pa.int32()), pa.array([body], pa.binary()), pa.array([held], pa.binary()), pa.array([int(n.sum())], pa.int64())]
+        return pa.Table.from_arrays(columns, ["kind", "segment", "body", "times", "n"])
 
-    return pairs.select("segment", "h", "n").mapInArrow(run, "segment int, bits binary")
+    return blocks.groupBy("kind", "segment").applyInArrow(run, "kind int, segment int, body binary, times binary, n long")
 
 
 @dataclass
 class Share:
-    """What one round broadcasts: sorted word hashes with counts, and segments of the filter."""
+    """What one part broadcasts: sorted word hashes with counts, and segments of the filter."""
 
     words: np.ndarray
     counts: np.ndarray
@@ -184,127 +215,124 @@ def word_counts(share: Share, h: np.ndarray) -> np.ndarray:
 
 
 def pair_levels(share: Share, h: np.ndarray, s: Settings) -> np.ndarray:
-    """Levels read from the filter: the last of the consecutive levels whose probes all hit."""
-    out = np.zeros(len(h), np.uint8)
+    """Levels read from the filter: the last of the consecutive levels whose probes all hit.
+
+    Each distinct hash is probed once, in order, so that neighbours read the same segment.
+    """
     if not len(share.start):
-        return out
-    seg = segment_of(h, len(share.start)).astype(np.int64)
+        return np.zeros(len(h), np.uint8)
+    distinct, inverse = np.unique(h, return_inverse=True)
+    out = np.zeros(len(distinct), np.uint8)
+    seg = segment_of(distinct, len(share.start)).astype(np.int64)
     active = np.flatnonzero(share.start[seg] >= 0)
     level = 0
     while len(active) and level < 255:
         level += 1
         for probe in range(s.probes):
             own = seg[active]
-            bit = share.start[own] + positions(h[active], level, probe, share.size[own]).astype(np.int64)
+            bit = share.start[own] + positions(distinct[active], level, probe, share.size[own]).astype(np.int64)
             active = active[(share.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
             if not len(active):
                 break
         out[active] = level
-    return out
+    return out[inverse]
+
+
+def log_probabilities(word: np.ndarray, context: np.ndarray, pair: np.ndarray, history: np.ndarray, triple: np.ndarray, total: int, distinct: int, s: Settings) -> np.ndarray:
+    """log10 of the smoothed probability of each token, from its own count and its context's, and the counts of its pair, history and triple."""
+    p = (word + 1) / (total + distinct + 1)
+    for count, before, weight in ((pair, context, s.pair_weight), (triple, history, s.triple_weight)):
+        share = np.clip(count - s.discount, 0, None) / np.maximum(before, 1)
+        p = np.where(before > 0, (1 - weight) * p + weight * np.minimum(share, 1), p)
+    return np.log10(p)
 
 
-def log_probabilities(word: np.ndarray, context: np.ndarray, level: np.ndarray, total: int, distinct: int, s: Settings) -> np.ndarray:
-    """log10 of the smoothed probability of each token."""
-    plain = (word + 1) / (total + distinct + 1)
-    # the least count of a level, so that what a context is followed by never exceeds its own count
-    times = np.ceil(s.base ** np.maximum(level.astype(np.float64) - 1, 0) - 1e-9)
-    pair = np.where((level > 0) & (context > 0), np.minimum(times / np.maximum(context, 1), 1), 0)
-    return np.log10((1 - s.weight) * plain + s.weight * pair)
+def least_counts(level: np.ndarray, s: Settings) -> np.ndarray:
+    """The least count of each level, so that what a history is followed by doesn't exceed its own count; 0 for none."""
+    table = np.ceil(s.base ** (np.arange(256) - 1.0) - 1e-9)
+    table[0] = 0
+    return table[level]
 
 
-def shares(words: DataFrame, segments: DataFrame, number: int, s: Settings) -> Iterator[Share]:
-    """The model in parts of at most ``round_bytes``, cut by word hash and by segment."""
-    sizes = segments.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0]
-    vocabulary = words.count() * 12
-    rounds = max(1, -(-(sizes + vocabulary) // s.round_bytes))
-    part = F.pmod(F.xxhash64("h"), F.lit(rounds))
+def shares(model: DataFrame, number: int, s: Settings) -> Iterator[Share]:
+    """The model in parts of at most about ``round_bytes``, by segments."""
+    of = F.length("body") + F.length("times")
+    rounds = max(1, -(-model.agg(F.coalesce(F.sum(of), F.lit(0))).first()[0] // s.round_bytes))
     for i in range(rounds):
-        w = words.where(part == i).select("h", "n").toArrow() if rounds > 1 else words.select("h", "n").toArrow()
-        h = w.column("h").to_numpy().view(np.uint64)
-        order = np.argsort(h)
-        n = w.column("n").to_numpy()[order]
+        rows = model.where(F.col("segment") % rounds == i).select("kind", "segment", "body", "times").toArrow().sort_by("segment")
+        kinds = rows.column("kind").to_numpy()
+        words, grams = rows.filter(pa.array(kinds == WORDS)), rows.filter(pa.array(kinds == GRAMS))
+        h = np.frombuffer(b"".join(words.column("body").to_pylist()), np.uint64)
+        n = np.frombuffer(b"".join(words.column("times").to_pylist()), np.int64)
         n = n.astype(np.uint32) if n.max(initial=0) < 1 << 32 else n
-        h = h[order]
-        del w, order
-        rows = segments.where(F.col("segment") % rounds == i).toArrow() if rounds > 1 else segments.toArrow()
         start, size = np.full(number, -1, np.int64), np.zeros(number, np.int64)
         at, blobs = 0, []
-        for name, bits in zip(rows.column("segment").to_pylist(), rows.column("bits"), strict=True):
+        for name, bits in zip(grams.column("segment").to_pylist(), grams.column("body"), strict=True):
             blob = np.frombuffer(bits.as_buffer(), np.uint8)
             start[name], size[name] = at * 8, len(blob) * 8
             at += len(blob)
             blobs.append(blob)
-        yield Share(h, n, np.concatenate(blobs) if blobs else np.zeros(0, np.uint8), start, size)
+        bits = np.concatenate(blobs) if blobs else np.zeros(0, np.uint8)
+        del rows, words, grams, blobs
+        yield Share(h, n, bits, start, size)
 
 
 def score(docs: DataFrame, key: str, training: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(key, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``, learnt from ``training``'s texts."""
     spark, kind = docs.sparkSession, dict(docs.dtypes)[key]
-    words = stored(counts(training, s), "words")
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    number = max(16, -(-total // s.segment))
-    segments = stored(filter_segments(counts(training, s, number), s), "segments")
-    rows = docs.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text"), F.lit(None).cast("binary").alias("word"), F.lit(None).cast("binary").alias("level"))
-    parts = shares(words, segments, number, s)
-    share, last = next(parts), None
-    while True:
-        following = next(parts, None)
-        shared = spark.sparkContext.broadcast(share)
-        if following is None:
-            return rows.mapInArrow(_scored(shared, total, distinct, s), f"key {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("key", key)
-        rows = stored(rows.mapInArrow(_filled(shared, s), f"key {kind}, text string, word binary, level binary"), "levels")
-        shared.unpersist()
-        if last is not None:
-            discard(last)
-        share, last = following, rows
-
-
-def _probed(share: Share, batch: pa.RecordBatch, s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Groups of rows of bounded size: their token starts, word counts and pair levels so far."""
-    texts, words, levels = (batch.column(c) for c in ("text", "word", "level"))
-    low = 0
-    while low < len(texts):
-        held, size, high = [], 0, low
-        while high < len(texts) and size < GROUP:
-            held.append(tokens(texts[high].as_py()))
-            size += len(held[-1])
-            high += 1
-        starts = np.cumsum([0, *map(len, held)])
-        h = np.concatenate(held)
-        word, level = word_counts(share, h), pair_levels(share, pairs_of(h, starts[:-1]), s)
-        if words[low].is_valid:
-            word = word + np.frombuffer(b"".join(words.slice(low, high - low).to_pylist()), np.int64)
-            level = np.maximum(level, np.frombuffer(b"".join(levels.slice(low, high - low).to_pylist()), np.uint8))
-        yield starts, word, level
-        low = high
-
-
-def _filled(shared, s: Settings):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words, levels = [], []
-            for starts, word, level in _probed(shared.value, batch, s):
-                words += [x.tobytes() for x in np.split(word.astype(np.int64), starts[1:-1])]
-                levels += [x.tobytes() for x in np.split(level, starts[1:-1])]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("text"), pa.array(words, pa.binary()), pa.array(levels, pa.binary())], ["key", "text", "word", "level"])
-
-    return run
-
-
-def _scored(shared, total: int, distinct: int, s: Settings):
+    # a word has about six bytes: segments of a size that is even, whatever the table's
+    size = training.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    number = max(16, -(-size // (6 * s.segment)))
+    model = stored(model_of(counts(training, number), s), "model")
+    total, distinct = model.where(F.col("kind") == WORDS).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.length("body") / 8), F.lit(0)).cast("long")).first()
+    parts = [spark.sparkContext.broadcast(x) for x in shares(model, number, s)]
+    rows = docs.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text"))
+    columns = f"key {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return rows.mapInArrow(_scored(parts, total, distinct, s), columns).withColumnRenamed("key", key)
+
+
+def _probed(parts: list, h: np.ndarray, starts: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word counts, pair levels and triple levels of tokens, from all parts of the model in turn."""
+    pairs, triples = grams_of(h, starts)
+    word, pair, triple = np.zeros(len(h), np.int64), np.zeros(len(h), np.uint8), np.zeros(len(h), np.uint8)
+    for part in parts:
+        share = part.value
+        for low in range(0, len(h), GROUP):
+            at = slice(low, low + GROUP)
+            word[at] += word_counts(share, h[at])
+            pair[at] = np.maximum(pair[at], pair_levels(share, pairs[at], s))
+            triple[at] = np.maximum(triple[at], pair_levels(share, triples[at], s))
+        if len(parts) > 1:
+            del share
+            vars(part).pop("_value", None)  # a worker reads it from its file again when its next tokens need it
+    return word, pair, triple
+
+
+def _scored(parts: list, total: int, distinct: int, s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[] for _ in range(4)]
-            for starts, word, level in _probed(shared.value, batch, s):
-                context = np.empty_like(word)
-                context[1:] = word[:-1]
-                context[starts[:-1]] = word[starts[1:] - 1]  # a text follows the end of another
+            texts, low = batch.column("text"), 0
+            while low < len(texts):
+                held, size, high = [], 0, low
+                while high < len(texts) and size < (GROUP if len(parts) == 1 else HELD):
+                    held.append(tokens(texts[high].as_py()))
+                    size += len(held[-1])
+                    high += 1
+                starts = np.cumsum([0, *map(len, held)])
+                h = np.concatenate(held)
+                del held
+                word, pair, triple = _probed(parts, h, starts[:-1], s)
+                pair, triple = least_counts(pair, s), least_counts(triple, s)
+                context, history = np.empty_like(word), np.empty_like(pair)
+                context[1:], history[1:] = word[:-1], pair[:-1]
+                # a text follows the end of another
+                context[starts[:-1]] = history[starts[:-1]] = word[starts[1:] - 1]
                 base = np.log10((word + 1) / (total + distinct + 1))
-                p = log_probabilities(word, context, level, total, distinct, s)
-                for column, x in zip(out, (np.diff(starts), *(np.add.reduceat(v, starts[:-1]) for v in ((word > 0).astype(np.int64), base, p))), strict=True):
-                    column.append(x)
-            n, known, base, p = (np.concatenate(x) if x else np.zeros(0) for x in out)
-            columns = [batch.column("key"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), total), pa.int64()), pa.array(base, pa.float64()), pa.array(p, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                p = log_probabilities(word, context, pair, history, triple, total, distinct, s)
+                known, base, p = (np.add.reduceat(v, starts[:-1]) for v in ((word > 0).astype(np.int64), base, p))
+                n = np.diff(starts)
+                columns = [batch.column("key").slice(low, high - low), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), total), pa.int64()), pa.array(base, pa.float64()), pa.array(p, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                low = high
 
     return run
