@@ -10,7 +10,8 @@ relative frequencies with the add-one word probability ``p(w)``:
     ``p(w | v) = (1 - l2) p(w) + l2 max(count(v w) - d, 0) / count(v)``, and likewise
     ``p(w | u v) = (1 - l3) p(w | v) + l3 max(count(u v w) - d, 0) / count(u v)``;
 
-after a history that was never seen, the lower order stands alone.
+after a history that was never seen, the lower order stands alone. Triples counted less than ``least_triples`` times
+(2 by default, as is usual) aren't held, and so count as unseen.
 
 What is broadcast grows with the input, so it goes out in parts of at most ``round_bytes``, which are made one after
 the other and wait on the executors' disks. Texts are read once: a task holds its tokens' counts while it takes the
@@ -27,28 +28,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import stored
 
-#: Words that a worker remembers, and bytes of the longest that it does.
-CACHE, LONGEST = 200_000, 64
 #: Tokens that a training task counts before it passes them on; bounds its memory.
-FLUSH = 3_000_000
-#: Tokens that are probed together, and that a task holds while it takes several parts of a model in turn.
-GROUP, HELD = 500_000, 2_000_000
+FLUSH = 1_500_000
+#: Bytes of text that are scored together, and that a task holds while it takes several parts of a model in turn;
+#: tokens that are probed together.
+GROUP, HELD, PROBED = 3 << 20, 10 << 20, 500_000
 END = xxhash.xxh3_64_intdigest(b"\n")  # no word holds a line end
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Pairs and triples keep the upper 48 bits of their hashes, which is what blocks carry of them.
 UPPER = np.uint64(0xFFFFFFFFFFFF0000)
-WORDS, GRAMS = 0, 1
+WORDS, PAIRS, TRIPLES = 0, 1, 2
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Quantisation base, bits and probes of an insertion, discount, weights of pairs and triples, tokens of a segment, bytes of a part."""
+    """Quantisation base, bits and probes of an insertion, discount, weights of pairs and triples, least count of a triple, tokens of a segment, bytes of a part."""
 
     base: float = 1.5
     bits: float = 8.0
@@ -56,32 +57,37 @@ class Settings:
     discount: float = 0.75
     pair_weight: float = 0.4
     triple_weight: float = 0.4
+    least_triples: int = 2
     segment: int = 400_000
-    round_bytes: int = 160 << 20
-
-
-class Words(dict):
-    """Hash of each word that a worker has seen; longer ones are hashed anew each time."""
-
-    def __missing__(self, word: bytes) -> int:
-        found = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= LONGEST:
-            if len(self) > CACHE:
-                self.clear()
-            self[word] = found
-        return found
-
-
-_words = Words()
-
-
-def tokens(text: str | None) -> np.ndarray:
-    """Hashes of a text's words (A-Z in lower case, split at ASCII white space) and of the end."""
-    found = (text or "").encode().lower().split()
-    out = np.empty(len(found) + 1, np.uint64)
-    out[:-1] = np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))
-    out[-1] = END
-    return out
+    round_bytes: int = 64 << 20
+
+
+def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts' words (A-Z in lower case, split at ASCII white space), each text's followed by the end's; and where each starts."""
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat = words.flatten()
+    of = np.repeat(np.arange(len(texts)), pc.list_value_length(words).to_numpy())
+    there = pc.binary_length(flat).to_numpy() > 0
+    if not there.all():
+        flat, of = flat.filter(pa.array(there)), of[there]
+    distinct = flat.dictionary_encode()
+    names = np.array([xxhash.xxh3_64_intdigest(x) for x in distinct.dictionary.cast(pa.binary()).to_pylist()], np.uint64)
+    starts = np.cumsum([0, *(np.bincount(of, minlength=len(texts)) + 1)])
+    out, ends = np.empty(starts[-1], np.uint64), np.zeros(starts[-1], bool)
+    ends[starts[1:] - 1] = True
+    out[ends] = END
+    out[~ends] = names[distinct.indices.to_numpy()] if len(names) else np.zeros(0, np.uint64)
+    return out, starts[:-1]
+
+
+def groups(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``size`` bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64) + 1)
+    low = 0
+    while low < len(texts):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + size, "right")))
+        yield low, high
+        low = high
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -132,19 +138,20 @@ def counts(docs: DataFrame, segments: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(names), kind), pa.int32()), pa.array(names.astype(np.int32)), *[pa.array(c, pa.binary()) for c in columns]], ["kind", "segment", "ones", "more", "times"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def settle() -> Iterator[pa.RecordBatch]:
-            h, starts = np.concatenate(held), np.cumsum([0, *map(len, held)])[:-1]
+            for kind in (WORDS, PAIRS, TRIPLES):
+                yield blocks(kind, np.concatenate([x[kind] for x in held]))
             held.clear()
-            yield blocks(WORDS, h)
-            yield blocks(GRAMS, np.concatenate(grams_of(h, starts)))
 
         for batch in batches:
-            for text in batch.column("text"):
-                held.append(tokens(text.as_py()))
-                size += len(held[-1])
+            texts = batch.column("text")
+            for low, high in groups(texts, GROUP):
+                h, starts = hashed(texts.slice(low, high - low))
+                held.append((h, *grams_of(h, starts)))
+                size += len(h)
                 if size >= FLUSH:
                     yield from settle()
                     size = 0
@@ -188,7 +195,8 @@ def model_of(blocks: DataFrame, s: Settings) -> DataFrame:
         h, at = np.unique(np.concatenate([ones, more]), return_inverse=True)
         n = np.bincount(at[: len(ones)], minlength=len(h)).astype(np.int64)
         np.add.at(n, at[len(ones) :], times)
-        body, held = (h.tobytes(), n.astype("<i8").tobytes()) if kind == WORDS else (segment_bits(h, n, s), b"")
+        kept = n >= (s.least_triples if kind == TRIPLES else 1)
+        body, held = (h.tobytes(), n.astype("<i8").tobytes()) if kind == WORDS else (segment_bits(h[kept], n[kept], s), b"")
         columns = [pa.array([kind], pa.int32()), pa.array([segment], pa.int32()), pa.array([body], pa.binary()), pa.array([held], pa.binary()), pa.array([int(n.sum())], pa.int64())]
         return pa.Table.from_arrays(columns, ["kind", "segment", "body", "times", "n"])
 
@@ -202,7 +210,7 @@ class Share:
     words: np.ndarray
     counts: np.ndarray
     bits: np.ndarray
-    start: np.ndarray  # first bit of each segment, -1 if it isn't in this share
+    start: np.ndarray  # first bit of each segment of pairs, then of triples; -1 if it isn't in this share
     size: np.ndarray
 
 
@@ -214,16 +222,15 @@ def word_counts(share: Share, h: np.ndarray) -> np.ndarray:
     return np.where(share.words[at] == distinct, share.counts[at], 0).astype(np.int64)[inverse]
 
 
-def pair_levels(share: Share, h: np.ndarray, s: Settings) -> np.ndarray:
-    """Levels read from the filter: the last of the consecutive levels whose probes all hit.
+def levels_in(share: Share, kind: int, h: np.ndarray, s: Settings) -> np.ndarray:
+    """Levels of pairs or triples read from the filter: the last of the consecutive levels whose probes all hit.
 
     Each distinct hash is probed once, in order, so that neighbours read the same segment.
     """
-    if not len(share.start):
-        return np.zeros(len(h), np.uint8)
     distinct, inverse = np.unique(h, return_inverse=True)
     out = np.zeros(len(distinct), np.uint8)
-    seg = segment_of(distinct, len(share.start)).astype(np.int64)
+    number = len(share.start) // 2
+    seg = segment_of(distinct, number).astype(np.int64) + number * (kind == TRIPLES)
     active = np.flatnonzero(share.start[seg] >= 0)
     level = 0
     while len(active) and level < 255:
@@ -261,13 +268,14 @@ def shares(model: DataFrame, number: int, s: Settings) -> Iterator[Share]:
     for i in range(rounds):
         rows = model.where(F.col("segment") % rounds == i).select("kind", "segment", "body", "times").toArrow().sort_by("segment")
         kinds = rows.column("kind").to_numpy()
-        words, grams = rows.filter(pa.array(kinds == WORDS)), rows.filter(pa.array(kinds == GRAMS))
+        words, grams = rows.filter(pa.array(kinds == WORDS)), rows.filter(pa.array(kinds != WORDS))
         h = np.frombuffer(b"".join(words.column("body").to_pylist()), np.uint64)
         n = np.frombuffer(b"".join(words.column("times").to_pylist()), np.int64)
         n = n.astype(np.uint32) if n.max(initial=0) < 1 << 32 else n
-        start, size = np.full(number, -1, np.int64), np.zeros(number, np.int64)
+        start, size = np.full(2 * number, -1, np.int64), np.zeros(2 * number, np.int64)
         at, blobs = 0, []
-        for name, bits in zip(grams.column("segment").to_pylist(), grams.column("body"), strict=True):
+        for kind, name, bits in zip(kinds[kinds != WORDS], grams.column("segment").to_pylist(), grams.column("body"), strict=True):
+            name += number * (kind == TRIPLES)
             blob = np.frombuffer(bits.as_buffer(), np.uint8)
             start[name], size[name] = at * 8, len(blob) * 8
             at += len(blob)
@@ -282,7 +290,7 @@ def score(docs: DataFrame, key: str, training: DataFrame, s: Settings = Settings
     spark, kind = docs.sparkSession, dict(docs.dtypes)[key]
     # a word has about six bytes: segments of a size that is even, whatever the table's
     size = training.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    number = max(16, -(-size // (6 * s.segment)))
+    number = max(4, -(-size // (6 * s.segment)))
     model = stored(model_of(counts(training, number), s), "model")
     total, distinct = model.where(F.col("kind") == WORDS).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.length("body") / 8), F.lit(0)).cast("long")).first()
     parts = [spark.sparkContext.broadcast(x) for x in shares(model, number, s)]
@@ -297,11 +305,11 @@ def _probed(parts: list, h: np.ndarray, starts: np.ndarray, s: Settings) -> tupl
     word, pair, triple = np.zeros(len(h), np.int64), np.zeros(len(h), np.uint8), np.zeros(len(h), np.uint8)
     for part in parts:
         share = part.value
-        for low in range(0, len(h), GROUP):
-            at = slice(low, low + GROUP)
+        for low in range(0, len(h), PROBED):
+            at = slice(low, low + PROBED)
             word[at] += word_counts(share, h[at])
-            pair[at] = np.maximum(pair[at], pair_levels(share, pairs[at], s))
-            triple[at] = np.maximum(triple[at], pair_levels(share, triples[at], s))
+            pair[at] = np.maximum(pair[at], levels_in(share, PAIRS, pairs[at], s))
+            triple[at] = np.maximum(triple[at], levels_in(share, TRIPLES, triples[at], s))
         if len(parts) > 1:
             del share
             vars(part).pop("_value", None)  # a worker reads it from its file again when its next tokens need it
@@ -311,16 +319,10 @@ def _probed(parts: list, h: np.ndarray, starts: np.ndarray, s: Settings) -> tupl
 def _scored(parts: list, total: int, distinct: int, s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, low = batch.column("text"), 0
-            while low < len(texts):
-                held, size, high = [], 0, low
-                while high < len(texts) and size < (GROUP if len(parts) == 1 else HELD):
-                    held.append(tokens(texts[high].as_py()))
-                    size += len(held[-1])
-                    high += 1
-                starts = np.cumsum([0, *map(len, held)])
-                h = np.concatenate(held)
-                del held
+            texts = batch.column("text")
+            for low, high in groups(texts, GROUP if len(parts) == 1 else HELD):
+                h, starts = hashed(texts.slice(low, high - low))
+                starts = np.append(starts, len(h))
                 word, pair, triple = _probed(parts, h, starts[:-1], s)
                 pair, triple = least_counts(pair, s), least_counts(triple, s)
                 context, history = np.empty_like(word), np.empty_like(pair)
@@ -333,6 +335,5 @@ def _scored(parts: list, total: int, distinct: int, s: Settings):
                 n = np.diff(starts)
                 columns = [batch.column("key").slice(low, high - low), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), total), pa.int64()), pa.array(base, pa.float64()), pa.array(p, pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-                low = high
 
     return run
