@@ -1,16 +1,19 @@
 """Quality by positive-unlabelled learning with the non-negative unbiased risk.
 
-Trusted positives are training documents labelled 1; the unlabelled side is a sample of training documents whose
-labels aren't looked at. A small network on measures of the text's make-up first separates the two sides; the best
-bin of its scores on rows it wasn't fitted to bounds the share of positives among the unlabelled (the class prior).
-It is then fitted again to the risk ``prior * R_p(+1) + max(0, R_u(-1) - prior * R_p(-1))``, taking a step back on
-the negative part where that is below zero. Last, labelled training rows place the cut at 0.3.
+Trusted positives are training documents labelled 1; the unlabelled side is training documents whose labels, if they
+have any, aren't looked at. A document is seen by measures of its make-up and by the shares of its byte triples, hashed
+into ``GRAMS`` buckets. A small network first separates the two sides; its scores of all unlabelled training documents
+against those of positives it wasn't fitted to bound the share of positives among the unlabelled (the class prior). It
+is then fitted again to the risk ``prior * R_p(+1) + max(0, R_u(-1) - prior * R_p(-1))``, taking a step back on the
+negative part where that is below zero. The cut lies where that risk sees both classes alike; no negative label is
+read.
 
-Training measures samples of ``per_side`` rows, chosen by a hash of the id; scoring measures every document whole.
+The fit reads samples of ``per_side`` (4,000) rows of the label table, chosen by a hash of the id, the unlabelled side
+with the labels hidden; the prior and the scores come from every document, whole.
 
 Defined results: null and empty texts have features of an empty text and a score like any other. Without positives,
 or without any text, all scores are 0. Repeated rows are scored alike; of several labels the largest counts; null
-labels are left out.
+labels are left out. Columns to keep may not be called ``score`` or ``predicted``.
 """
 
 from __future__ import annotations
@@ -24,32 +27,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import remainder
+from millrace.llm.common import clashing, remainder
 
 FEATURES = (
     "log_words", "mean_word", "long_words", "short_words", "distinct", "distinct_lower", "adjacent_same", "top_word",
     "upper", "capital_words", "title_words", "digits", "pipes", "exclamations", "stops", "commas", "symbols", "brackets",
     "lines", "distinct_lines", "non_ascii", "marked_words", "other_controls", "line_length",
 )
+#: Buckets of byte triples, and bytes of a text that are hashed at a time.
+GRAMS, SLICE = 256, 1 << 20
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Sizes of the network and of its samples."""
+    """Rows of each side's sample, and sizes of the network and its training."""
 
     per_side: int = 4000
     hidden: int = 24
     epochs: int = 30
     batch: int = 256
     rate: float = 0.01
-    decay: float = 1e-4
+    decay: float = 1e-3
     seed: int = 5
     cut: float = 0.3
+    bins: int = 400
+    gram_weight: float = 0.1
+
+
+def gram_shares(data: bytes) -> np.ndarray:
+    """Square roots of the shares of a text's byte triples in each bucket."""
+    b, found = np.frombuffer(data, np.uint8), np.zeros(GRAMS, np.int64)
+    for low in range(0, max(0, len(b) - 2), SLICE):
+        x = b[low : low + SLICE + 2].astype(np.uint32)
+        h = (x[:-2] * np.uint32(0x9E3779B1) + x[1:-1] * np.uint32(0x85EBCA77) + x[2:] * np.uint32(0xC2B2AE3D)) * np.uint32(0x27D4EB2F)
+        found += np.bincount(h >> np.uint32(24), minlength=GRAMS)
+    return np.sqrt(found / max(1, found.sum()))
 
 
 def features(text: str | None) -> np.ndarray:
-    """Measures of a whole text, each at most a few units large."""
+    """Measures of a whole text, each at most a few units large, then the shares of its byte triples."""
     text = text or ""
+    return np.concatenate([measures(text), gram_shares(text.encode())])
+
+
+def measures(text: str) -> np.ndarray:
     words = text.split()
     n, size = max(1, len(words)), max(1, len(text))
     counts = np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256)
@@ -78,6 +99,7 @@ class Net:
     def __init__(self, x: np.ndarray, s: Settings):
         rng = np.random.default_rng(s.seed)
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
+        self.scale[len(FEATURES) :] /= s.gram_weight  # many and noisy: together they weigh like a few measures
         self.params = [rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], s.hidden)), np.zeros(s.hidden), rng.normal(0, 1 / np.sqrt(s.hidden), s.hidden), np.zeros(1)]
         self.moments = [[np.zeros_like(p), np.zeros_like(p)] for p in self.params]
         self.steps, self.s = 0, s
@@ -134,16 +156,24 @@ def fit_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, s: Sett
     return net
 
 
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray, s: Settings, delta: float = 0.1) -> float:
-    """Share of positives among the unlabelled: the best bin of a separator's scores on halves it wasn't fitted to."""
+def separator(positive: np.ndarray, unlabelled: np.ndarray, s: Settings) -> tuple[Net, np.ndarray]:
+    """A network fitted to half of the positives against half of the unlabelled, and cuts at quantiles of the other positives' scores."""
     net = fit_risk(positive[::2], unlabelled[::2], 0.5, s, non_negative=False)
-    zp, zu = np.sort(net.logits(positive[1::2])), np.sort(net.logits(unlabelled[1::2]))
-    if not len(zp) or not len(zu):
+    zp = net.logits(positive[1::2])
+    return net, np.unique(np.quantile(zp, np.linspace(0, 0.99, s.bins))) if len(zp) else np.zeros(0)
+
+
+def above(z: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """How many scores reach each cut."""
+    return len(z) - np.searchsorted(np.sort(z), cuts, "left")
+
+
+def class_prior(zp: np.ndarray, cuts: np.ndarray, reached: np.ndarray, total: int, delta: float = 0.1) -> float:
+    """Share of positives among ``total`` unlabelled, of which ``reached`` reach each cut: the best bin's ratio."""
+    if not len(zp) or not total:
         return 0.5
-    cuts = np.unique(np.quantile(zp, np.linspace(0, 0.99, 200)))
-    above_p = 1 - np.searchsorted(zp, cuts, "left") / len(zp)
-    above_u = 1 - np.searchsorted(zu, cuts, "left") / len(zu)
-    slack = np.sqrt(np.log(4 / delta) / 2 / len(zu)) + np.sqrt(np.log(4 / delta) / 2 / len(zp))
+    above_p, above_u = above(zp, cuts) / len(zp), reached / total
+    slack = np.sqrt(np.log(4 / delta) / 2 / total) + np.sqrt(np.log(4 / delta) / 2 / len(zp))
     best = np.argmin((above_u + slack) / np.maximum(above_p, 1e-9))
     return float(np.clip(above_u[best] / max(above_p[best], 1e-9), 0.05, 0.99))
 
@@ -152,65 +182,82 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray, s: Settings, delta
 class Model:
     net: Net
     prior: float
-    threshold: float
     cut: float
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, known: np.ndarray, labels: np.ndarray, s: Settings = Settings()) -> Model:
-    """``known`` and its labels only place the cut."""
-    from millrace.llm.toxicity import threshold
-
-    prior = class_prior(positive, unlabelled, s)
-    net = fit_risk(positive, unlabelled, prior, s)
-    return Model(net, prior, threshold(net.logits(known), labels) if len(known) else 0.0, s.cut)
-
-
 def scores(model: Model | None, x: np.ndarray) -> np.ndarray:
+    """Scores of features; the risk's own cut, a logit of 0, lies at ``cut``."""
     if model is None:
         return np.zeros(len(x))
-    return sigmoid(model.net.logits(x) - model.threshold + np.log(model.cut / (1 - model.cut)))
+    return sigmoid(model.net.logits(x) + np.log(model.cut / (1 - model.cut)))
+
+
+def measured(rows: DataFrame) -> DataFrame:
+    """(h, positive, x) of rows (h, positive, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [features(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("positive"), pa.array(x, pa.list_(pa.float64()))], ["h", "positive", "x"])
+
+    return rows.mapInArrow(run, "h long, positive boolean, x array<double>")
 
 
 def sampled(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
-    """(h, y, free, x) of the training rows: bounded samples of each label, and of documents whatever their labels.
+    """(h, positive, x) of the training rows: positives, and rows of the label table whatever their labels.
 
     The chosen ids are bounded by ``per_side``, so they are broadcast against the documents.
     """
     known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where(F.col("y").isin(0, 1) & (remainder("doc_id", 5) != 0))
     known = known.groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("doc_id"))
-    free = docs.select("doc_id").where(remainder("doc_id", 5) != 0).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(s.per_side)
-    picked = [known.where(F.col("y") == y).orderBy("h", "doc_id").limit(s.per_side).select("doc_id", "h", "y", F.lit(0).alias("free")) for y in (0, 1)]
-    picked = picked[0].union(picked[1]).union(free.select("doc_id", "h", F.lit(None).cast("int"), F.lit(1)))
-    picked = picked.groupBy("doc_id", "h").agg(F.max("y").alias("y"), F.max("free").alias("free"))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("h", "y", "free", "text")
+    # two hashes, so that the sides are drawn apart
+    positive = known.where("y = 1").orderBy("h", "doc_id").limit(s.per_side).select("doc_id", "h", F.lit(True).alias("positive"))
+    free = known.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(s.per_side).select("doc_id", "h", F.lit(False).alias("positive"))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(positive.union(free)), "doc_id")
+    return measured(rows.select("h", "positive", "text"))
+
+
+def reached_by(docs: DataFrame, net: Net, cuts: np.ndarray) -> tuple[np.ndarray, int]:
+    """How many of all documents' scores reach each cut, and how many documents there are."""
+    shared = docs.sparkSession.sparkContext.broadcast((net, cuts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, at = shared.value
+        total, n = np.zeros(len(at), np.int64), 0
         for batch in batches:
-            x = [features(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("h", "y", "free")], pa.array(x, pa.list_(pa.float64()))], ["h", "y", "free", "x"])
+            if batch.num_rows:
+                total += above(own.logits(np.stack([features(t) for t in batch.column("text").to_pylist()])), at)
+                n += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([*range(len(at)), -1], pa.int32()), pa.array([*total, n], pa.int64())], ["cut", "n"])
 
-    return rows.mapInArrow(run, "h long, y int, free int, x array<double>")
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "cut int, n long").groupBy("cut").agg(F.sum("n").alias("n"))
+    found = dict(map(tuple, found.collect()))
+    return np.array([found.get(i, 0) for i in range(len(cuts))], np.int64), found.get(-1, 0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model | None:
     """Train on documents whose crc32 modulo 5 isn't 0; None without positives or texts."""
-    rows = sampled(docs, labels, s).toPandas().sort_values(["h", "y", "free"], kind="stable")
-    y, free = rows.y.to_numpy(np.float64), rows.free.to_numpy() == 1
-    if not (y == 1).any() or not free.any():
+    rows = sampled(docs, labels, s).toPandas().sort_values(["h", "positive"], kind="stable")
+    side = rows.positive.to_numpy(bool)
+    if not side.any() or side.all():
         return None
     x = np.stack(rows.x.to_numpy())
-    known = ~np.isnan(y)
-    return train(x[y == 1], x[free], x[known], y[known].astype(np.int64), s)
+    positive, unlabelled = x[side], x[~side]
+    net, cuts = separator(positive, unlabelled, s)
+    reached, total = reached_by(docs.where(remainder("doc_id", 5) != 0), net, cuts)
+    prior = class_prior(net.logits(positive[1::2]), cuts, reached, total)
+    return Model(fit_risk(positive, unlabelled, prior, s), prior, s.cut)
 
 
 def classify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of every document, with ``score`` and ``predicted`` (1 at 0.3 and above)."""
+    clashing(keep, ["score", "predicted", "__text"])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select(*keep).withColumn("score", F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([features(t) for t in batch.column("__text").to_pylist()]).reshape(batch.num_rows, len(FEATURES))
+            x = np.array([features(t) for t in batch.column("__text").to_pylist()]).reshape(batch.num_rows, len(FEATURES) + GRAMS)
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(scores(shared.value, x), pa.float64())], [*keep, "score"])
 
     out = docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)

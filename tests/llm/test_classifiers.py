@@ -1,6 +1,10 @@
+import dataclasses
+import math
 import random
 
 import numpy as np
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from millrace.llm import quality, queries, toxicity
@@ -103,11 +107,89 @@ def test_risk_learns_without_negative_labels():
     positive = rng.normal(2, 1, (600, 3))
     mixed = np.concatenate([rng.normal(2, 1, (700, 3)), rng.normal(-2, 1, (300, 3))])
     s = quality.Settings()
-    assert abs(quality.class_prior(positive, mixed, s) - 0.7) < 0.12
+    net, cuts = quality.separator(positive, mixed, s)
+    assert abs(quality.class_prior(net.logits(positive[1::2]), cuts, quality.above(net.logits(mixed), cuts), len(mixed)) - 0.7) < 0.12
     net = quality.fit_risk(positive, mixed, 0.7, s)
     assert (net.logits(mixed[:700]) > 0).mean() > 0.93 and (net.logits(mixed[700:]) < 0).mean() > 0.93
 
 
+def forward(model, text):
+    """The network's logit and the document's threshold in plain Python."""
+    words = (text or "").lower().encode().translate(toxicity.PLAIN).split()
+    row = {int(b): i + 1 for i, b in enumerate(model.buckets)}
+    width = model.embedding.shape[1]
+    vectors = []
+    for w in words:
+        letters = w.decode("utf-8", "replace")
+        names = [w] + [b"%d:" % n + letters[:n].encode() for n in (4, 6) if len(letters) >= n]
+        found = [row.get(xxhash.xxh3_64_intdigest(x) % toxicity.BUCKETS, 0) for x in names]
+        vectors.append([sum(float(model.embedding[i][k]) for i in found) for k in range(width)])
+    pad = [[0.0] * width] * max(len(f) for f in model.filters)
+    places, z, at = pad + vectors + pad, float(model.out_bias), 0
+    for filters, bias in zip(model.filters, model.bias):
+        for f in range(filters.shape[2]):
+            best = max(
+                sum(places[p + o][k] * float(filters[o][k][f]) for o in range(len(filters)) for k in range(width))
+                for p in range(len(pad) + len(vectors))
+            ) + float(bias[f])
+            z += max(best, 0.0) * float(model.out[at])
+            at += 1
+    hits = {name: sum(w.decode("utf-8", "replace") in said.split() for w in words) for name, said in toxicity.FUNCTION_WORDS.items()}
+    name = max(hits, key=hits.get) if any(hits.values()) else "other"
+    return z - model.thresholds[name]
+
+
+def test_scores_are_those_of_a_plain_forward_pass():
+    rows = corpus(200, 3)
+    model = toxicity.train([toxicity.buckets(t) for _, t, _, _ in rows], np.array([t for _, _, t, _ in rows]), toxicity.Settings(width=3, filters=2, min_docs=2))
+    texts = [t for _, t, _, _ in rows[:25]] + ["", None, "vlorxing", "x " * 30]
+    want = [1 / (1 + math.exp(-(forward(model, t) + math.log(0.7 / 0.3)))) for t in texts]
+    assert np.allclose(toxicity.scores(model, texts), want, atol=1e-4)
+    assert np.allclose(toxicity.scores(model, texts, chunk=7), want, atol=1e-4)  # all in slices
+
+
+def test_wider_filters_find_phrases_of_harmless_words():
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 9))) for _ in range(400)]
+    phrases = [(words[2 * i], words[2 * i + 1]) for i in range(3)]
+
+    def made(n):
+        docs, labels = [], []
+        for i in range(n):
+            text, (a, b) = [rnd.choice(words[6:]) for _ in range(rnd.randint(20, 60))], rnd.choice(phrases)
+            if i % 2:
+                at = rnd.randrange(len(text))
+                text[at:at] = [a, b]
+            else:  # both words, the second far before the first
+                text.insert(rnd.randrange(1, len(text)), a)
+                text.insert(0, b)
+            docs.append(toxicity.buckets(" ".join(text)))
+            labels.append(i % 2)
+        return docs, np.array(labels)
+
+    (docs, y), (new, want) = made(2000), made(500)
+    right = {}
+    for spans in ((1, 2, 3), (1,)):
+        model = toxicity.train(docs, y, dataclasses.replace(toxicity.Settings(), spans=spans))
+        right[spans] = ((toxicity.logits(model, new) >= model.thresholds["other"]) == want).mean()
+    assert right[1, 2, 3] > 0.95 and right[(1,)] < 0.6
+
+
+@pytest.mark.parametrize("name, held, label, least", [("op2_toxicity", "crc32(cast(doc_id as string)) % 3 = 1", "toxic", 0.95), ("op8_quality", "crc32(cast(doc_id as string)) % 5 = 0", "quality", 0.98)])
+def test_held_out_labels_of_the_test_documents(spark, name, held, label, least):
+    path = "/root/testdata/sf0.1"
+    out = queries.QUERIES[name](spark, path).where("held_out").join(table(spark, path, "labels"), "doc_id")
+    right = out.where(held).selectExpr(f"avg(cast(predicted = {label} as int))", "count(*)").first()
+    assert right[1] > 700 and right[0] > least
+
+
+def test_columns_to_keep_may_not_clash(spark):
+    docs, _, _ = frames(spark, 20)
+    for operator in (toxicity, quality):
+        with pytest.raises(ValueError, match="score"):
+            operator.classify(docs, None, ["doc_id", "score"])
+
+
 def test_queries_score_every_document(spark, data):
     n = table(spark, data, "documents").count()
     for name in ("op2_toxicity", "op8_quality"):
