@@ -32,10 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stored
-from millrace.llm.components import components
+from millrace.llm.common import discard, stored
+from millrace.llm.components import components, smallest_keys
 
-CACHE = 500_000
+#: Words that a worker remembers, and bytes of the longest that it does.
+CACHE, LONGEST = 500_000, 64
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -45,8 +46,8 @@ class Settings:
 
     words: int = 5
     threshold: int = 80
-    bands: int = 40
-    rows: int = 8
+    bands: int = 45
+    rows: int = 7
     mantissa: int = 10
     probes: int = 16
     deviations: float = 5.0
@@ -62,9 +63,11 @@ class Words(dict):
     """Hash of each word that a worker has seen."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        found = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONGEST:
+            if len(self) > CACHE:
+                self.clear()
+            self[word] = found
         return found
 
 
@@ -317,15 +320,15 @@ def dedup(docs: DataFrame, key: str, s: Settings = Settings()) -> DataFrame:
     few = stored(sketches.join(wanted, "cls"), "few")
     sets = stored(sets_of(docs, key, classes.join(wanted, "cls"), s), "sets")
     links = stored(confirmed(pairs, sets, s), "links")
-    first = components(links).select(F.col("node").alias("cls"), F.col("component").alias("comp"))
-    comp = stored(wanted.join(first, "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp")), "components")
-    more = components(settled(keys.select("cls", "key"), few, sets, comp, s)).select(F.col("node").alias("comp"), F.col("component").alias("final"))
-    comp = comp.join(more, "comp", "left").select("cls", F.coalesce("final", "comp").alias("comp"))
-    # every class's component, and the smallest id of each
-    every = classes.join(comp, "cls", "left").select("cls", "key", F.coalesce("comp", "cls").alias("comp"))
-    least = every.groupBy("comp").agg(F.min("key").alias("component_id"))
-    every = every.join(least, "comp").select("cls", "component_id")
-    out = signed.join(every, "cls", "left")
+    first = components(links)
+    comp = wanted.join(first.select(F.col("node").alias("cls"), F.col("component").alias("comp")), "cls", "left")
+    comp = stored(comp.select("cls", F.coalesce("comp", "cls").alias("comp")), "components")
+    discard(links, pairs, first)
+    second = components(settled(keys.select("cls", "key"), few, sets, comp, s))
+    more = second.select(F.col("node").alias("comp"), F.col("component").alias("final"))
+    every = smallest_keys(classes, comp.join(more, "comp", "left").select("cls", F.coalesce("final", "comp").alias("comp")))
+    discard(keys, few, sets, sketches, classes, comp, second)
+    out = signed.select("key", "n", "cls").join(every, "cls", "left")
     own = F.when(F.col("cls").isNull(), F.col("key")).otherwise(F.col("component_id"))
     out = out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"))
     return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))

@@ -24,8 +24,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Chunks that a worker remembers before it starts over, and documents whose remainders make one pool.
-CACHE, POOL = 400_000, 4096
+#: Chunks that a worker remembers before it starts over, characters of the longest that it does (longer ones are
+#: encoded anew, so that a worker holds 100 MB at most), and documents whose remainders make one pool.
+CACHE, LONGEST, POOL = 400_000, 48, 4096
 
 
 class ByteBPE:
@@ -80,11 +81,13 @@ class ByteBPE:
         except KeyError:
             if len(seen) > CACHE:
                 seen.clear()
-            encode = self.engine.encode_ordinary
-            for c in chunks:
-                if c not in seen:
-                    seen[c] = np.array(encode(c), "<u4").tobytes()
-            return b"".join([seen[c] for c in chunks])
+            return b"".join([seen[c] if c in seen else self.learnt(c) for c in chunks])
+
+    def learnt(self, chunk: str) -> bytes:
+        found = np.array(self.engine.encode_ordinary(chunk), "<u4").tobytes()
+        if len(chunk) <= LONGEST:
+            self.seen[chunk] = found
+        return found
 
 
 _encoders: dict[str, ByteBPE] = {}

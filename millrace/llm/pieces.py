@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Chunks that a worker remembers before it starts over; bounds its memory.
-CACHE = 300_000
+#: Chunks that a worker remembers before it starts over, and characters of the longest that it does: longer ones are
+#: encoded anew, so that a worker holds 100 MB at most.
+CACHE, LONGEST = 300_000, 48
 
 
 class CharsMap:
@@ -143,13 +144,16 @@ class Codec:
     #: A chunk: word marks, then all up to the next one.
     CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
-    def learn(self, chunks: set[str]) -> None:
-        """Ids and decoded bytes of chunks that haven't been seen."""
+    def learn(self, chunks: set[str]) -> dict[str, tuple[bytes, bytes]]:
+        """Ids and decoded bytes of chunks; short ones stay known."""
         if len(self.seen) > CACHE:
             self.seen.clear()
         new = [c for c in chunks if c not in self.seen]
+        found = {}
         for chunk, ids in zip(new, self.merges.encode(new, num_threads=1), strict=True):
-            self.seen[chunk] = np.array(ids, "<u4").tobytes(), b"".join([self.shown[i] for i in ids])
+            found[chunk] = np.array(ids, "<u4").tobytes(), b"".join([self.shown[i] for i in ids])
+        self.seen.update((c, x) for c, x in found.items() if len(c) <= LONGEST)
+        return found
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bytes]]:
         """Of each text: ids with begin and end, the pieces' byte spans (starts, ends), and the decoded bytes."""
@@ -159,8 +163,8 @@ class Codec:
             try:
                 got = [self.seen[c] for c in chunks]
             except KeyError:
-                self.learn(set(chunks))
-                got = [self.seen[c] for c in chunks]
+                new = self.learn(set(chunks))
+                got = [new[c] if c in new else self.seen[c] for c in chunks]
             ids = np.frombuffer(b"".join([x[0] for x in got]), "<u4")
             stops = np.cumsum(self.width[ids]) if len(ids) else np.zeros(0, np.int64)
             starts = stops - self.width[ids] if len(ids) else stops

@@ -41,6 +41,8 @@ SHAPES = {
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 #: Marks around matches, and what stands for them in texts that hold them: no shape has either.
 MARK, OTHER = "\x01", "\x02"
+#: Pieces of a text that are scanned together.
+BLOCK = 256
 #: Bytes of found spans up to which they are broadcast.
 BROADCAST = 8 << 20
 SPAN = "struct<kind:string,start:long,end:long>"
@@ -82,9 +84,31 @@ def _valid(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)``, which takes the value as often as it likes though it is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _scanned(pieces: Column, begin, step) -> Column:
+    """All that ``step`` finds in the pieces of a text, from ``begin(position)`` on.
+
+    An aggregate copies what it has found with each find, so pieces are taken in blocks whose finds are joined last:
+    texts with very many finds then cost little more than others.
+    """
+    length = lambda block: F.aggregate(block, F.lit(0).cast("long"), lambda n, p: n + F.length(p["text"]))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / BLOCK).cast("int")), lambda b: F.slice(pieces, b * BLOCK + 1, BLOCK))
+
+    def found(blocks: Column) -> Column:
+        offsets = F.aggregate(blocks, F.array(F.lit(0).cast("long")), lambda at, b: F.concat(at, F.array(F.element_at(at, -1) + length(b))))
+        offsets = F.when(F.size(blocks) > 1, offsets).otherwise(F.array(F.lit(0).cast("long")))
+        return _let(offsets, lambda at: F.flatten(F.transform(blocks, lambda b, i: F.aggregate(b, begin(F.get(at, i)), step)["found"])))
+
+    return _let(blocks, found)
+
+
 def _spans(text: Column, kind: str) -> Column:
     """Valid matches of one kind as an array of (kind, start, end)."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
+    begin = lambda at: F.struct(at.alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
 
     def step(acc: Column, piece: Column) -> Column:
         end = acc["at"] + F.length(piece["text"])
@@ -93,7 +117,7 @@ def _spans(text: Column, kind: str) -> Column:
         return F.struct(end.alias("at"), kept.alias("found"))
 
     pieces = F.transform(_cut(text, SHAPES[kind]), lambda x, i: F.struct(x.alias("text"), i.alias("i")))
-    return F.when(text.rlike(NEEDS[kind]), F.aggregate(pieces, start, step)["found"]).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(text.rlike(NEEDS[kind]), _let(pieces, lambda x: _scanned(x, begin, step))).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def base_spans(text: Column) -> Column:
@@ -110,7 +134,22 @@ _NEXT = r"\x20(?=" + _DIGIT + _CHARS + r"[^A-Za-z0-9@\x20\x09-\x0D]*+(?:[\x20\x0
 CANDIDATE = r"(?:^|(?<=[\x20\x09-\x0D]))(?=[^\x20\x09-\x0D]*[@0-9])[^A-Za-z0-9@+\x20\x09-\x0D]*+(?:" + _GROUP + _NEXT + r")*+[^\x20\x09-\x0D]+"
 #: An identifier has an at sign inside, or at least so many digits.
 DIGITS = 4
-BEFORE = r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$"
+#: Characters looked at for the two words before an instance: the next number, and at last all, where these hold no two whole words.
+WINDOWS = (80, 1_000, 20_000)
+TWO_WORDS = r"[\x20\x09-\x0D][^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+[\x20\x09-\x0D]*$"
+
+
+def _before(get, length: Column, everything: Column) -> Column:
+    """The shortest end ``get(n)`` of a text of this length that holds its last two words whole, or all of it."""
+    out = F.when(length <= WINDOWS[0], everything)
+    for n in WINDOWS:
+        out = out.when(get(n).rlike(TWO_WORDS), get(n))
+    return out.otherwise(everything)
+
+
+def _before_at(text: Column, at: Column) -> Column:
+    """What stands before a position of a text, as far as its last two words."""
+    return _before(lambda n: F.substr(text, F.greatest(at - (n - 1), F.lit(1)), F.least(at, F.lit(n))), at, F.substr(text, F.lit(1), at))
 
 
 def _masked(text: Column, spans: Column) -> Column:
@@ -137,7 +176,8 @@ def instances(docs: DataFrame, keep: list[str]) -> DataFrame:
     rows = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, names, strict=True)], plain.alias("text")).withColumn("spans", base_spans(F.col("text")))
     rows = rows.withColumn("masked", _masked(F.col("text"), F.col("spans")))
     pieces = F.transform(_cut(F.col("masked"), CANDIDATE), lambda x, i: F.struct(x.alias("text"), i.alias("i")))
-    start = F.expr("struct(0L as at, '' as before, cast(array() as array<struct<start:long,end:long,value:string,before:string>>) as found)")
+    none = F.expr("cast(array() as array<struct<start:long,end:long,value:string,before:string>>)")
+    start = lambda at: F.struct(at.alias("at"), F.when(at == 0, "").otherwise(_before_at(F.col("text"), at)).alias("before"), none.alias("found"))
 
     def step(acc: Column, piece: Column) -> Column:
         left = F.length(F.regexp_extract(piece["text"], r"^([^A-Za-z0-9@+]*)", 1))
@@ -146,24 +186,24 @@ def instances(docs: DataFrame, keep: list[str]) -> DataFrame:
         fits = (piece["i"] % 2 == 1) & ((digits >= DIGITS) | value.rlike("^[^@]+@[^@]+$"))
         begin = acc["at"] + left
         # what was masked is read from the text itself
-        before = F.when(F.size("spans") == 0, acc["before"]).otherwise(F.substr(F.col("text"), F.greatest(acc["at"] - 79, F.lit(1)), F.least(acc["at"], F.lit(80))))
+        before = F.when(F.size("spans") == 0, acc["before"]).otherwise(_before_at(F.col("text"), acc["at"]))
         one = F.array(F.struct(begin.alias("start"), (begin + F.length(value)).alias("end"), value.alias("value"), before.alias("before")))
-        tail = F.right(F.concat(acc["before"], piece["text"]), F.lit(80))
+        tail = _let(F.concat(acc["before"], piece["text"]), lambda x: _before(lambda n: F.right(x, F.lit(n)), F.length(x), x))
         return F.struct(
             (acc["at"] + F.length(piece["text"])).alias("at"), tail.alias("before"),
             F.when(fits, F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"),
         )
 
-    found = F.when(F.col("masked").rlike("[0-9@]"), F.aggregate(pieces, start, step)["found"])
+    found = F.when(F.col("masked").rlike("[0-9@]"), _let(pieces, lambda x: _scanned(x, start, step)))
     # a base span's value and context are read from the text itself
     seeds = F.transform(
         "spans",
         lambda s: F.struct(
             s["start"], s["end"], F.substr(F.col("text"), s["start"] + 1, s["end"] - s["start"]).alias("value"),
-            F.substr(F.col("text"), F.greatest(s["start"] - 79, F.lit(1)), F.least(s["start"], F.lit(80))).alias("before"), s["kind"].alias("kind"),
+            _before_at(F.col("text"), s["start"]).alias("before"), s["kind"].alias("kind"),
         ),
     )
-    loose = F.filter(F.coalesce(found, F.expr("cast(array() as array<struct<start:long,end:long,value:string,before:string>>)")), lambda f: ~F.exists("spans", lambda s: (s["start"] < f["end"]) & (f["start"] < s["end"])))
+    loose = F.filter(F.coalesce(found, none), lambda f: ~F.exists("spans", lambda s: (s["start"] < f["end"]) & (f["start"] < s["end"])))
     loose = F.transform(loose, lambda f: F.struct(f["start"], f["end"], f["value"], f["before"], F.lit(None).cast("string").alias("kind")))
     return rows.select(*names, "spans", F.concat(seeds, loose).alias("found"))
 

@@ -83,6 +83,16 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_rows(rows.unionByName(own), "conv_id"), "conv_id")
 
 
+def ngram_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op1: counts, and the base score to six digits."""
+    return op1_ngram_scores(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def pii_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op7: base spans by kind."""
+    return op7_pii(spark, sf_dir).select("doc_id", *[f"n_{k}" for k in pii.KINDS])
+
+
 QUERIES = {
     "op1_ngram_scores": op1_ngram_scores,
     "op2_toxicity": op2_toxicity,
@@ -94,8 +104,53 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_minhash": op9_minhash,
     "op10_chat_formatting": op10_chat_formatting,
+    "ngram_base_columns": ngram_base_columns,
+    "pii_base_counts": pii_base_counts,
 }
+#: Words of a text as the operators take them, for a column ``text``.
+_WORDS = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+_DIGITS = "regexp_replace({}, '[^0-9]', '', 'g')"
+_LUHN = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 0 THEN CAST(d[i] AS INT) WHEN CAST(d[i] AS INT) > 4 THEN CAST(d[i] AS INT) * 2 - 9 ELSE CAST(d[i] AS INT) * 2 END)) % 10 = 0"
 SQL = {
+    "ngram_base_columns": f"""
+WITH docs AS (
+  SELECT doc_id, list_append({_WORDS}, chr(10)) AS w FROM documents
+), remainders AS (
+  SELECT DISTINCT doc_id, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(CAST(doc_id AS VARCHAR)[i]) AS BIGINT))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), lambda x, k: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))) AS c FROM documents
+), t AS (
+  SELECT d.doc_id, unnest(w) AS w, xor(c, 4294967295) % 7 = 2 AS held_out FROM docs d JOIN remainders USING (doc_id)
+), counts AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w
+), totals AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM counts)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n) AS train_tokens, round(sum(log10((coalesce(c, 0) + 1) / (n + v + 1))), 4) AS base_score
+FROM t LEFT JOIN counts USING (w), totals GROUP BY doc_id, held_out
+""",
+    "pii_base_counts": f"""
+SELECT doc_id,
+  CAST(len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+')) AS BIGINT) AS n_email,
+  CAST(len(list_filter(regexp_extract_all(t, '[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)'), lambda x: list_max(list_transform(string_split(x, '.'), lambda p: CASE WHEN length(ltrim(p, '0')) > 3 THEN 999 ELSE CAST(p AS INT) END)) <= 255)) AS BIGINT) AS n_ip,
+  CAST(len(list_filter(list_transform(regexp_extract_all(t, '[0-9]([\\x20-]?[0-9])+'), lambda x: {_DIGITS.format('x')}), lambda d: length(d) BETWEEN 16 AND 19 AND {_LUHN})) AS BIGINT) AS n_card,
+  CAST(len(list_filter(list_transform(regexp_extract_all(t, '\\+[0-9][\\x20().0-9-]+[0-9]'), lambda x: {_DIGITS.format('x')}), lambda d: length(d) BETWEEN 8 AND 15)) AS BIGINT) AS n_phone
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+""",
+    "op9_minhash": f"""
+WITH RECURSIVE words AS (SELECT doc_id, {_WORDS} AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words
+), classes AS (SELECT hash(list_sort(s)) AS cls, any_value(s) AS s, len(any_value(s)) AS n FROM sets WHERE len(s) > 0 GROUP BY 1
+), ids AS (SELECT s, CAST(row_number() OVER (ORDER BY s) AS BIGINT) AS sid FROM (SELECT DISTINCT unnest(s) AS s FROM classes)
+), held AS (SELECT cls, n, sid FROM (SELECT cls, n, unnest(s) AS s FROM classes) JOIN ids USING (s)
+), ranked AS (SELECT cls, n, sid, row_number() OVER (PARTITION BY cls ORDER BY f, sid) AS r FROM held JOIN (SELECT sid, count(*) AS f FROM held GROUP BY sid) USING (sid)
+), rare AS (SELECT cls, n, sid FROM ranked WHERE r <= n - (85 * n + 99) // 100 + 1
+), pairs AS (SELECT DISTINCT a.cls AS a, b.cls AS b FROM rare a JOIN rare b ON a.sid = b.sid AND a.cls < b.cls AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+), shared AS (
+  SELECT a, b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS met FROM pairs JOIN held x ON x.cls = a JOIN held y ON y.cls = b AND y.sid = x.sid GROUP BY a, b
+), links AS (SELECT a, b FROM shared WHERE 100 * met >= 85 * (na + nb - met) UNION ALL SELECT b, a FROM shared WHERE 100 * met >= 85 * (na + nb - met)
+), reach AS (SELECT cls AS a, cls AS b FROM classes UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+), members AS (SELECT doc_id, len(s) AS n, CASE WHEN len(s) > 0 THEN hash(list_sort(s)) END AS cls FROM sets
+), least_ids AS (SELECT reach.a AS cls, min(doc_id) AS component_id FROM reach JOIN members ON members.cls = reach.b GROUP BY reach.a)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id, doc_id = coalesce(component_id, doc_id) AS kept FROM members LEFT JOIN least_ids USING (cls)
+""",
     "op10_chat_formatting": """
 WITH rows AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations

@@ -69,3 +69,16 @@ def test_components_of_long_paths_and_hubs(spark):
 def test_query_matches_brute_force(spark, data):
     rows = [(r["doc_id"], r["text"]) for r in table(spark, data, "documents").collect()]
     assert sorted(map(tuple, queries.op9_minhash(spark, data).collect()), key=str) == near_duplicates(rows, 3, 85)
+
+
+def test_no_link_of_a_larger_table_is_missed(spark):
+    """Recall at sf0.01 against an exact search by prefixes of rare shingles: op9's SQL."""
+    import duckdb
+
+    path = "/root/testdata/sf0.01"
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet'")
+    rows = db.sql(queries.SQL["op9_minhash"])
+    wanted = sorted((dict(zip(rows.columns, r)) for r in rows.fetchall()), key=lambda r: r["doc_id"])
+    got = sorted((r.asDict() for r in queries.op9_minhash(spark, path).collect()), key=lambda r: r["doc_id"])
+    assert got == wanted and sum(not r["kept"] for r in got) > 10

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 from brute import base_spans
 from pyspark.sql import functions as F
@@ -54,7 +55,32 @@ def test_query_digests(spark, data):
     for r in table(spark, data, "documents").collect():
         spans = base_spans(r["text"])
         assert out[r["doc_id"]]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in spans).encode()).hexdigest()
-        assert out[r["doc_id"]]["n_email"] == sum(k == "email" for k, _, _ in spans)
+        for kind in pii.KINDS:
+            assert out[r["doc_id"]][f"n_{kind}"] == sum(k == kind for k, _, _ in spans)
+        own = [x for x in out[r["doc_id"]]["spans"].split(",") if x]
+        assert {f"{k}:{s}:{e}" for k, s, e in spans} <= set(own) and len(set(own)) == len(own)
+        assert own == sorted(own, key=lambda x: (pii.KINDS.index(x.split(":")[0]), int(x.split(":")[1]), int(x.split(":")[2])))
+
+
+def context(text, start):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text[:start].lower()) if w]
+    return [f"{n}:{' '.join(words[-n:])}" for n in (1, 2) if len(words) >= n]
+
+
+def test_patterns_hold_whole_words_of_any_length(spark):
+    long = ["w" * n for n in (5, 79, 80, 81, 200, 999, 1500, 30_000)]
+    texts = [f"{a} {b}\t {x}" for a in long for b in long[:5] for x in ("12345", "a@b.cd")] + ["1234", " 1234", "x 1234 y@z.io 99999 é 5555"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pii.instances(df, ["doc_id"]).select("k0", F.explode("found").alias("f")).select("k0", "f.start", pii.patterns(F.col("f.before")).alias("p")).collect()
+    assert len(rows) == len(texts) + 3
+    for r in rows:
+        assert r["p"] == context(texts[r["k0"]], r["start"])
+
+
+def test_very_many_finds_in_one_text(spark):
+    text = "\n".join(f"entry {i} a{i}@b.org from 10.0.{i % 256}.{i // 256 % 256} code 77{i:06d}" for i in range(4000))
+    out = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string"), ["doc_id"]).first()
+    assert [tuple(x) for x in out["base"]] == base_spans(text) and len(out["base"]) == 8000
 
 
 def found_beside_base(spark, rows):

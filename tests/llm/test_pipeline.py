@@ -40,3 +40,19 @@ def test_run_and_odd_tables(spark, data, tmp_path):
         labels.write.parquet(f"file://{tmp_path}/{name}/labels.parquet")
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, f"file://{tmp_path}/full").collect()} == {1, None, 2, 3}
     assert corpus_pipeline.run(spark, f"file://{tmp_path}/none").collect() == []
+
+
+def test_near_copies_under_one_id_and_clashing_columns(spark, data):
+    words = " ".join(f"w{i}" for i in range(60))
+    near, other = words + " more", " ".join(f"v{i}" for i in range(60))
+    rows = [(1, words), (1, near), (1, other), (2, near), (None, words), (None, None), (3, ""), (3, ""), (4, other), (5, other), (5, other)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], table(spark, data, "documents").schema)
+    docs = docs.selectExpr("*", "1 as kept", "2 as own", "'x' as cls", "3 as component_id", "4 as score", "5 as rows", "6 as spans")
+    kept = sorted([(r[0], (r[1] or "")[:3], len(r[1] or "")) for r in corpus_pipeline.one_of_each(spark, docs, data).collect()], key=str)
+    # of id 1 the smaller key of each group stays: one of the two near copies, and the other text
+    assert [x for x in kept if x[0] != 1] == [(3, "", 0), (None, "", 0)]
+    assert sorted(x[1] for x in kept if x[0] == 1) == ["v0 ", "w0 "]
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, data)
+        assert name == "packing" or out.columns == corpus_pipeline.COLUMNS
+        assert out.count() > 0

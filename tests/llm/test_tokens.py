@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 
@@ -62,7 +63,6 @@ def test_encode_returns_pieces_of_whole_tables(spark):
 def test_byte_ids_match_the_library(texts):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library, own = Tokenizer.from_file(path), packing.ByteBPE(path)
-    library.encode_special_tokens = True
     for text in ODD + texts:
         assert np.frombuffer(own.ids(text or ""), "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids
 
@@ -73,7 +73,6 @@ def test_packing_covers_every_id_once_without_padding(spark):
     p = packing.Packing(public_tokenizers.path("byte_bpe_50k.json"))
     out = packing.pack(df, "length", "text", p, with_ids=True).toPandas()
     library = Tokenizer.from_file(p.tokenizer)
-    library.encode_special_tokens = True
     wanted = sorted(tuple(library.encode(t or "", add_special_tokens=False).ids + [0]) for _, t in rows)
     columns = list(out.columns)
     columns = ["key", "start", "length", *columns[3:]]
@@ -97,10 +96,34 @@ def test_largest_remainders_go_to_the_cheapest_sequences():
 
 
 def test_queries_cover_their_tables(spark, data):
-    docs = table(spark, data, "documents")
-    n = docs.count()
-    assert queries.op4_sentencepiece(spark, data).count() == n
-    assert queries.op3_cost_packing(spark, data).select("doc_id").distinct().count() == n
+    docs = {r["doc_id"]: r["text"] or "" for r in table(spark, data, "documents").collect()}
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rows = queries.op4_sentencepiece(spark, data).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        ids = library.encode(docs[r["doc_id"]], add_bos=True, add_eos=True)
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    found = queries.op3_cost_packing(spark, data).toPandas().sort_values(["doc_id", "start"])
+    assert set(found.doc_id) == set(docs)
+    for doc, pieces_of in found.groupby("doc_id"):
+        ids = np.array(library.encode(docs[doc], add_special_tokens=False).ids + [0], "<u4")
+        assert pieces_of.start.tolist() == [0, *pieces_of.length.cumsum().tolist()[:-1]] and set(pieces_of.doc_tokens) == {len(ids)} == {pieces_of.length.sum()}
+        assert [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(pieces_of.start, pieces_of.length)] == pieces_of.ids_crc32.tolist()
+    for _, s in found.sort_values("offset").groupby("sequence_id"):
+        assert s.offset.tolist() == [0, *s.length.cumsum().tolist()[:-1]] and s.length.sum() <= 1024
+
+
+def test_caches_hold_short_chunks_only():
+    texts = [("日本語の文章" * 170_000)[i:] for i in range(4)] + ["x" * 1_000_000 + str(i) for i in range(4)]
+    bpe, codec = packing.ByteBPE(public_tokenizers.path("byte_bpe_50k.json")), pieces.Codec(public_tokenizers.path("piece_bpe_32k.model"))
+    short = [t[:2000] for t in texts]
+    for t in short + ["some short words " + t for t in short]:
+        bpe.ids(t)
+    list(codec.encode([*short, "some short words"]))
+    assert max(map(len, bpe.seen)) <= packing.LONGEST and max(map(len, codec.seen)) <= pieces.LONGEST and bpe.seen and codec.seen
+    assert len(bpe.ids(texts[4])) > 0 and sum(len(k) for k in bpe.seen) < 1000
 
 
 def test_quoted_added_tokens_match_the_library_by_default(texts):
