@@ -2,17 +2,21 @@
 
 Each stage takes what its predecessor kept and applies its decisions to all of it. What a stage returns is written
 to the shared folder and read again, so that a lost executor costs one stage's work at most.
+
+Defined results of every stage: documents may have null or repeated ids, null or empty texts and nulls in any other
+column; further columns of the input are dropped. Toxicity and quality treat a null text like an empty one. Near
+duplicates keep the smallest id of each group (a null id only if the group has no other), once where id and text
+repeat, and every document without words. Personal data leaves texts without spans as they are, null included. Packing
+takes a null text for an empty one. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import neardup, packing, pii, quality, toxicity
-from millrace.llm.common import shared_dir, table
+from millrace.llm.common import new_path, table
 from millrace.llm.queries import tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -35,13 +39,16 @@ def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates (five words, 0.8).
 
-    Rows that repeat a kept id stay once for each different text.
+    Rows are told apart by id and text, so that near copies under one id are decided each; rows alike in both stay once.
     """
-    found = neardup.dedup(docs.select("doc_id", "text"), "doc_id")
-    kept = found.where("kept").groupBy("doc_id").agg(F.count("*").alias("rows")).select(F.col("doc_id").alias("kept_id"), "rows")
-    docs = docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id"))).drop("kept_id")
+    text = F.coalesce("text", F.lit(""))
+    own = F.struct(F.col("doc_id").isNull().alias("without"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(text).alias("text"), F.col("text").isNull().alias("empty"))
+    docs = docs.select(*COLUMNS, own.alias("own"))
+    found = neardup.dedup(docs.select("own", "text"), "own")
+    kept = found.where("kept").groupBy("own").agg(F.count("*").alias("rows"))
+    docs = docs.join(kept, "own")
     once = docs.where("rows = 1").select(*COLUMNS)
-    return once.unionByName(docs.where("rows > 1").select(*COLUMNS).dropDuplicates(["doc_id", "text"]))
+    return once.unionByName(docs.where("rows > 1").dropDuplicates(["own"]).select(*COLUMNS))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,7 +78,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        path = new_path(spark, name)
         stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
         docs = spark.read.parquet(path)
     return docs
