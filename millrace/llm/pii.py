@@ -39,10 +39,10 @@ SHAPES = {
 }
 #: What a text must hold for a shape to be looked for.
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-#: Marks around matches, and what stands for them in texts that hold them: no shape has either.
-MARK, OTHER = "\x01", "\x02"
-#: Pieces of a text that are scanned together.
-BLOCK = 256
+#: Marks around matches, what hides base spans, and what stands for either in texts that hold them: no shape has any.
+MARK, MASK, OTHER = "\x01", "\x03", "\x02"
+#: Pieces of a text that are scanned together, and characters that are hidden together.
+BLOCK, STRETCH = 256, 4_096
 #: Bytes of found spans up to which they are broadcast.
 BROADCAST = 8 << 20
 SPAN = "struct<kind:string,start:long,end:long>"
@@ -122,16 +122,16 @@ def _spans(text: Column, kind: str) -> Column:
 
 def base_spans(text: Column) -> Column:
     """All base spans of a text, by kind as listed, then by start."""
-    plain = F.translate(F.coalesce(text.cast("string"), F.lit("")), MARK, OTHER)
+    plain = F.translate(F.coalesce(text.cast("string"), F.lit("")), MARK + MASK, OTHER * 2)
     return F.concat(*[_spans(plain, kind) for kind in KINDS])
 
 
-#: A group of a spaced number, and what follows it if the next token is another.
+#: A group of a spaced number, and what follows it if the next token is another; hidden characters count as letters.
 _DIGIT, _CHARS = r"(?=[A-Z+()./-]*+[0-9])", r"[A-Z0-9+()./-]++"
-_GROUP = _DIGIT + _CHARS + r"(?<=[A-Z0-9)])(?:(?<=(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2})\x20[A-Z]{4}(?=\x20))?+"
-_NEXT = r"\x20(?=" + _DIGIT + _CHARS + r"[^A-Za-z0-9@\x20\x09-\x0D]*+(?:[\x20\x09-\x0D]|$))"
+_GROUP = _DIGIT + _CHARS + r"(?<=[A-Z0-9)])(?:(?<=(?<![A-Za-z0-9\x03])[A-Z]{2}[0-9]{2})\x20[A-Z]{4}(?=\x20))?+"
+_NEXT = r"\x20(?=" + _DIGIT + _CHARS + r"[^A-Za-z0-9@\x03\x20\x09-\x0D]*+(?:[\x20\x09-\x0D]|$))"
 #: What may hold an identifier: a token with a digit or an at sign, or a run of tokens that are groups.
-CANDIDATE = r"(?:^|(?<=[\x20\x09-\x0D]))(?=[^\x20\x09-\x0D]*[@0-9])[^A-Za-z0-9@+\x20\x09-\x0D]*+(?:" + _GROUP + _NEXT + r")*+[^\x20\x09-\x0D]+"
+CANDIDATE = r"(?:^|(?<=[\x20\x09-\x0D]))(?=[^\x20\x09-\x0D]*[@0-9])[^A-Za-z0-9@+\x03\x20\x09-\x0D]*+(?:" + _GROUP + _NEXT + r")*+[^\x20\x09-\x0D]+"
 #: An identifier has an at sign inside, or at least so many digits.
 DIGITS = 4
 #: Characters looked at for the two words before an instance: the next number, and at last all, where these hold no two whole words.
@@ -141,10 +141,11 @@ TWO_WORDS = r"[\x20\x09-\x0D][^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+[
 
 def _before(get, length: Column, everything: Column) -> Column:
     """The shortest end ``get(n)`` of a text of this length that holds its last two words whole, or all of it."""
-    out = F.when(length <= WINDOWS[0], everything)
-    for n in WINDOWS:
-        out = out.when(get(n).rlike(TWO_WORDS), get(n))
-    return out.otherwise(everything)
+    held = lambda further: lambda x: F.when(x.rlike(TWO_WORDS), x).otherwise(further)
+    out = everything
+    for n in reversed(WINDOWS):
+        out = _let(get(n), held(out))
+    return F.when(length <= WINDOWS[0], everything).otherwise(out)
 
 
 def _before_at(text: Column, at: Column) -> Column:
@@ -153,17 +154,29 @@ def _before_at(text: Column, at: Column) -> Column:
 
 
 def _masked(text: Column, spans: Column) -> Column:
-    """The text with the spans' characters as ``x``, so that no candidate runs into them."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["end"])))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    """The text with the spans' characters hidden, so that a candidate that runs into them shows it.
 
-    def step(acc: Column, s: Column) -> Column:
-        between = F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        hidden = F.repeat(F.lit("x"), F.greatest(s["end"] - F.greatest(s["start"], acc["at"]), F.lit(0)).cast("int"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], between, hidden).alias("out"))
+    It is put together from stretches of bounded length with their own spans, as a string grows by copies.
+    """
 
-    done = F.aggregate(ordered, start, step)
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], F.substr(text, done["at"] + 1, F.length(text))))
+    def stretch(low: Column, own: Column) -> Column:
+        part = F.substr(text, low + 1, F.lit(STRETCH))
+        start = F.struct(low.alias("at"), F.lit("").alias("out"))
+
+        def step(acc: Column, s: Column) -> Column:
+            first, last = F.greatest(s["start"], acc["at"]), F.least(s["end"], low + STRETCH)
+            between = F.substr(part, acc["at"] - low + 1, F.greatest(first - acc["at"], F.lit(0)))
+            hidden = F.repeat(F.lit(MASK), F.greatest(last - first, F.lit(0)).cast("int"))
+            return F.struct(F.greatest(acc["at"], last).alias("at"), F.concat(acc["out"], between, hidden).alias("out"))
+
+        return _let(F.aggregate(own, start, step), lambda done: F.concat(done["out"], F.substr(part, done["at"] - low + 1, F.lit(STRETCH))))
+
+    def parts(ordered: Column) -> Column:
+        lows = F.sequence(F.lit(0).cast("long"), F.length(text).cast("long"), F.lit(STRETCH).cast("long"))
+        return F.array_join(F.transform(lows, lambda low: stretch(low, F.filter(ordered, lambda s: (s["start"] < low + STRETCH) & (s["end"] > low)))), "")
+
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["end"])))
+    return F.when(F.size(spans) == 0, text).otherwise(_let(ordered, parts))
 
 
 def instances(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -171,22 +184,22 @@ def instances(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     A candidate's edges are trimmed of quotes, brackets and punctuation. The words before are lower-cased.
     """
-    plain = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), MARK, OTHER)
+    plain = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), MARK + MASK, OTHER * 2)
     names = [f"k{i}" for i in range(len(keep))]
     rows = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, names, strict=True)], plain.alias("text")).withColumn("spans", base_spans(F.col("text")))
     rows = rows.withColumn("masked", _masked(F.col("text"), F.col("spans")))
     pieces = F.transform(_cut(F.col("masked"), CANDIDATE), lambda x, i: F.struct(x.alias("text"), i.alias("i")))
     none = F.expr("cast(array() as array<struct<start:long,end:long,value:string,before:string>>)")
-    start = lambda at: F.struct(at.alias("at"), F.when(at == 0, "").otherwise(_before_at(F.col("text"), at)).alias("before"), none.alias("found"))
+    start = lambda at: F.struct(at.alias("at"), F.when(at == 0, "").otherwise(_before_at(F.col("masked"), at)).alias("before"), none.alias("found"))
 
     def step(acc: Column, piece: Column) -> Column:
-        left = F.length(F.regexp_extract(piece["text"], r"^([^A-Za-z0-9@+]*)", 1))
-        value = F.regexp_replace(piece["text"], r"^[^A-Za-z0-9@+]+|[^A-Za-z0-9]+$", "")
+        left = F.length(F.regexp_extract(piece["text"], r"^([^A-Za-z0-9@+\x03]*)", 1))
+        value = F.regexp_replace(piece["text"], r"^[^A-Za-z0-9@+\x03]+|[^A-Za-z0-9\x03]+$", "")
         digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
-        fits = (piece["i"] % 2 == 1) & ((digits >= DIGITS) | value.rlike("^[^@]+@[^@]+$"))
+        fits = (piece["i"] % 2 == 1) & ~F.contains(value, F.lit(MASK)) & ((digits >= DIGITS) | value.rlike("^[^@]+@[^@]+$"))
         begin = acc["at"] + left
         # what was masked is read from the text itself
-        before = F.when(F.size("spans") == 0, acc["before"]).otherwise(_before_at(F.col("text"), acc["at"]))
+        before = F.when(F.contains(acc["before"], F.lit(MASK)), _before_at(F.col("text"), acc["at"])).otherwise(acc["before"])
         one = F.array(F.struct(begin.alias("start"), (begin + F.length(value)).alias("end"), value.alias("value"), before.alias("before")))
         tail = _let(F.concat(acc["before"], piece["text"]), lambda x: _before(lambda n: F.right(x, F.lit(n)), F.length(x), x))
         return F.struct(
@@ -203,7 +216,7 @@ def instances(docs: DataFrame, keep: list[str]) -> DataFrame:
             _before_at(F.col("text"), s["start"]).alias("before"), s["kind"].alias("kind"),
         ),
     )
-    loose = F.filter(F.coalesce(found, none), lambda f: ~F.exists("spans", lambda s: (s["start"] < f["end"]) & (f["start"] < s["end"])))
+    loose = F.coalesce(found, none)
     loose = F.transform(loose, lambda f: F.struct(f["start"], f["end"], f["value"], f["before"], F.lit(None).cast("string").alias("kind")))
     return rows.select(*names, "spans", F.concat(seeds, loose).alias("found"))
 
