@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from difflib import SequenceMatcher
 
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 #: Texts that stand for no number.
 NO_NUMBER = ["", "—", "－", "-", "─", "无", "N/A", "n/a", "null", "NULL", "None", "/"]
@@ -27,6 +28,16 @@ def normal(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7F]"), nfkc(text)).otherwise(text)
 
 
+@pandas_udf(ArrayType(StringType()))
+def nfkc_all(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda row: [x if x is None else unicodedata.normalize("NFKC", x) for x in row], na_action="ignore")
+
+
+def normal_all(texts: Column) -> Column:
+    """NFKC of all texts of an array; only arrays with one that isn't ASCII go through Python."""
+    return F.when(F.exists(texts, lambda x: x.rlike(r"[^\x00-\x7F]")), nfkc_all(texts)).otherwise(texts)
+
+
 def clean_number(text: Column) -> Column:
     """A number's text, normalised and trimmed; null where it stands for none."""
     found = F.trim(normal(text))
@@ -39,18 +50,18 @@ def clean_code(text: Column, numeral_dash: bool = True) -> Column:
     return F.regexp_replace(F.translate(normal(text), dashes, "-" * len(dashes)), r"\s+", "")
 
 
+#: Fixed value: a unit in brackets at the end of a header.
+UNIT = r"[（(][^）)]*[）)]\s*$"
+
+
 def clean_key(text: Column) -> Column:
     """A header without its unit in brackets and without white space, in lower case."""
-    return F.lower(F.regexp_replace(F.regexp_replace(text, r"[（(][^）)]*[）)]\s*$", ""), r"\s+", ""))
+    return F.lower(F.regexp_replace(F.regexp_replace(text, "(?U)" + UNIT, ""), r"(?U)\s+", ""))
 
 
 def key_of(text: str | None) -> str:
     """:func:`clean_key` of one text, for plans made on the driver."""
-    text = (text or "").rstrip()
-    if text[-1:] in "）)" and text:
-        start = max(text.rfind("（"), text.rfind("("))
-        text = text[:start] if start >= 0 else text
-    return "".join(text.split()).lower()
+    return re.sub(r"\s+", "", re.sub(UNIT, "", text or "")).lower()
 
 
 def stable_code(*values: Column) -> Column:
@@ -65,9 +76,15 @@ def vector_id(source: Column, page: Column, text: Column) -> Column:
     return F.md5(F.coalesce(placed, F.concat(F.lit("content:"), text)).cast("binary"))
 
 
+#: What of a path is a number and a UUID, looked for in this order.
+PATH_PARTS = ((r"/\d+", "/:id"), (r"/[a-f0-9-]{36}", "/:uuid"))
+
+
 def plain_path(path: Column) -> Column:
     """A request path with numbers, then UUIDs, replaced by their kinds."""
-    return F.regexp_replace(F.regexp_replace(path, r"/\d+", "/:id"), r"/[a-f0-9-]{36}", "/:uuid")
+    for pattern, kind in PATH_PARTS:
+        path = F.regexp_replace(path, pattern, kind)
+    return path
 
 
 @pandas_udf(DoubleType())
@@ -84,13 +101,12 @@ def converts(text: Column, type_name: str) -> Column:
     return F.when(cleaned.isNotNull(), cleaned.try_cast(spark_type(type_name)).isNotNull())
 
 
+#: Other dialects' clocks, and Spark's.
 DIALECT = {"datetime('now')": "current_timestamp()", "date('now')": "current_date()", "now()": "current_timestamp()", "curdate()": "current_date()"}
 
 
 def spark_dialect(expression: str) -> str:
     """Other dialects' clock functions and their one-argument date functions, as Spark spells them."""
-    import re
-
     for theirs, ours in DIALECT.items():
         expression = re.sub(re.escape(theirs), ours, expression, flags=re.I)
     expression = re.sub(r"\bdatetime\(", "to_timestamp(", expression, flags=re.I)

@@ -1,21 +1,25 @@
 """Changes to stored tables as new snapshots behind one manifest.
 
-A table's rows are files that no change touches; a change writes a new folder and then replaces the manifest that names
-each table's current folder. A reader sees one manifest's tables, a failed change leaves the old one, and undoing is
-naming the earlier folders again.
+A table's rows are files that no change touches; a change writes new folders, and then one manifest that names each
+table's current folder and declaration. A store that is opened sees the newest manifest. What a change is about to
+write is noted in a journal first: a change that ended before its manifest is finished at the next opening if all its
+folders are complete, and else its folders go. Undoing is naming the earlier folders and declarations again.
+
+What is inserted or updated must meet its table's declaration: types (texts are cleaned first), values that must be
+there, row rules and checks, unique columns, and keys with parents. A change that breaks one is refused as a whole.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import replace
+from dataclasses import asdict, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.quality import change_risk, compatibility, narrow_risk, orphans
-from millrace.plans.catalog import Catalog, ColumnSpec, ForeignKey, TableSpec, family, spark_type
+from millrace.operators.quality import change_risk, compatibility, guarded, narrow_risk, orphans, typed, violations
+from millrace.plans.catalog import Catalog, ColumnSpec, ForeignKey, TableSpec, family, renamed, spark_type
 
 MOST_INSERTED, MOST_UPDATED, MOST_CONFIRMED = 1_000, 10_000, 100
 
@@ -68,56 +72,200 @@ def impact(catalog: Catalog, name: str, where: Column) -> dict:
 # stored tables
 
 
+def as_json(spec: TableSpec) -> dict:
+    return asdict(spec)
+
+
+def of_json(held: dict) -> TableSpec:
+    columns = tuple(ColumnSpec(**c) for c in held["columns"])
+    return TableSpec(**{**held, "columns": columns, "foreign_keys": tuple(ForeignKey(**k) for k in held["foreign_keys"]), "aliases": tuple(map(tuple, held["aliases"]))})
+
+
 class Store:
-    """Snapshots of a catalog's tables under one folder."""
+    """Snapshots of a catalog's tables under one folder, which may have been written by an earlier session."""
 
     def __init__(self, spark: SparkSession, folder: str, keep: int = 7):
         self.spark, self.folder, self.keep = spark, folder.rstrip("/"), keep
         self.catalog = Catalog(spark)
+        self.number = -1
         self.current: dict[str, str] = {}
-        self.history: list[dict[str, str]] = []
+        self._open()
+
+    # files
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _commit(self, new: dict[str, str | None]) -> None:
-        """Name the new folders in a manifest that replaces the old one at once."""
-        state = {**self.current, **new}
-        state = {k: v for k, v in state.items() if v}
-        fs, p = self._fs(f"{self.folder}/manifest-{len(self.history):06d}.json")
-        out = fs.create(p, True)
-        out.write(bytearray(json.dumps(state).encode()))
+    def _names(self, start: str) -> list[str]:
+        fs, p = self._fs(self.folder)
+        if not fs.exists(p):
+            return []
+        return sorted(n for f in fs.listStatus(p) if (n := f.getPath().getName()).startswith(start) and n.endswith(".json"))
+
+    def _get(self, name: str) -> dict:
+        return json.loads(self.spark.read.text(f"{self.folder}/{name}", wholetext=True).first()[0])
+
+    def _put(self, name: str, held: dict) -> None:
+        """A whole file or none: it is written aside and then renamed, and never replaces another."""
+        fs, aside = self._fs(f"{self.folder}/.{name}-{uuid.uuid4().hex}")
+        out = fs.create(aside, False)
+        out.write(bytearray(json.dumps(held).encode()))
         out.close()
-        self.history.append(self.current)
-        self.current = state
-
-    def write(self, frames: dict[str, DataFrame]) -> None:
-        """New snapshots of several tables: all are written, then all become current together."""
-        new = {}
-        for name, df in frames.items():
-            new[name] = f"{self.folder}/{name}-{uuid.uuid4().hex}"
-            df.write.parquet(new[name])
-        self._commit(new)
-        for name, df in frames.items():
-            self.catalog.frames[name] = self.spark.read.schema(df.schema).parquet(new[name])
+        _, p = self._fs(f"{self.folder}/{name}")
+        if fs.exists(p) or not fs.rename(aside, p):
+            fs.delete(aside, False)
+            raise Refused(f"{name} exists: another session has changed the store")
+
+    def _drop(self, *paths: str) -> None:
+        for path in paths:
+            fs, p = self._fs(path)
+            fs.delete(p, True)
+
+    # manifests
+
+    def _open(self) -> None:
+        """Take the newest manifest's state, and finish or clear what a journal has left."""
+        names = self._names("manifest-")
+        if names:
+            held = self._get(names[-1])
+            self.number = held["number"]
+            self._take(held)
+        self.recovered = {n: self._recover(n) for n in self._names("journal-")}
+
+    def _recover(self, name: str) -> str:
+        note = self._get(name)
+        done = note["number"] <= self.number
+        if not done and note["number"] == self.number + 1:
+            whole = all(fs.exists(p) for fs, p in (self._fs(f"{x}/_SUCCESS") for x in note["new"]))
+            if whole:
+                self._publish(note["tables"], {n: of_json(x) for n, x in note["specs"].items()})
+                self._drop(f"{self.folder}/{name}")
+                return "committed"
+        if not done:
+            self._drop(*note["new"])
+        self._drop(f"{self.folder}/{name}")
+        return "committed" if done else "compensated"
+
+    def _take(self, held: dict) -> None:
+        self.current = held["tables"]
+        self.catalog = Catalog(self.spark)
+        for name, spec in held["specs"].items():
+            self.catalog.declare(of_json(spec))
+        self.catalog.frames = {n: self.spark.read.parquet(p) for n, p in self.current.items()}
+
+    def _publish(self, tables: dict[str, str], specs: dict[str, TableSpec]) -> None:
+        held = {"number": self.number + 1, "tables": tables, "specs": {n: as_json(x) for n, x in specs.items()}}
+        self._put(f"manifest-{held['number']:08d}.json", held)
+        self.number += 1
+        self._take(held)
+
+    def history(self) -> list[dict]:
+        """The manifests that are still there, the oldest first."""
+        return [self._get(n) for n in self._names("manifest-")]
+
+    def write(self, frames: dict[str, DataFrame], specs: dict[str, TableSpec | None] | None = None) -> None:
+        """New snapshots of several tables and changed declarations: all are written, then all become current together."""
+        new = {name: f"{self.folder}/{name}-{uuid.uuid4().hex}" for name in frames}
+        declared = {n: x for n, x in {**self.catalog.specs, **(specs or {})}.items() if x is not None}
+        tables = {n: p for n, p in {**self.current, **new}.items() if n in declared or n in new}
+        note = f"journal-{self.number + 1:08d}.json"
+        self._put(note, {"number": self.number + 1, "new": list(new.values()), "tables": tables, "specs": {n: as_json(x) for n, x in declared.items()}})
+        try:
+            for name, df in frames.items():
+                df.write.parquet(new[name])
+            self._publish(tables, declared)
+        except Exception:
+            self._drop(*new.values())
+            raise
+        finally:
+            self._drop(f"{self.folder}/{note}")
 
     def undo(self) -> None:
-        """The tables as they were before the last commit."""
-        if not self.history:
+        """Tables and declarations as they were before the last change."""
+        held = self.history()
+        if len(held) < 2:
             raise Refused("nothing to undo")
-        before = self.history[-1]
-        self._commit({**dict.fromkeys(self.current), **before})
-        self.catalog.frames = {n: self.spark.read.parquet(p) for n, p in before.items()}
+        self._publish(held[-2]["tables"], {n: of_json(x) for n, x in held[-2]["specs"].items()})
 
     def vacuum(self) -> int:
-        """Delete folders that none of the newest ``keep`` manifests name; their number."""
-        named = {p for state in [self.current, *self.history[::-1]][: self.keep] for p in state.values()}
-        old = {p for state in self.history for p in state.values()} - named
-        for path in old:
-            fs, p = self._fs(path)
-            fs.delete(p, True)
-        return len(old)
+        """Forget all manifests but the newest ``keep``, and delete the folders that only they name; how many."""
+        held = self.history()
+        old, kept = held[: -self.keep], held[-self.keep :]
+        gone = {p for x in old for p in x["tables"].values()} - {p for x in kept for p in x["tables"].values()}
+        self._drop(*[f"{self.folder}/manifest-{x['number']:08d}.json" for x in old], *gone)
+        return len(gone)
+
+    # backups
+
+    def backup(self, keep: int = 7) -> int:
+        """Copy the current tables and declarations aside, keep the newest ``keep`` backups; the backup's number."""
+        numbers = [int(n[7:15]) for n in self._names("backup-")]
+        number = 1 + max(numbers, default=0)
+        folder = f"{self.folder}/backup-{number:08d}"
+        for name, df in self.catalog.frames.items():
+            df.write.parquet(f"{folder}/{name}")
+        self._put(f"backup-{number:08d}.json", {"tables": {n: f"{folder}/{n}" for n in self.catalog.frames}, "specs": {n: as_json(x) for n, x in self.catalog.specs.items()}})
+        for old in sorted([*numbers, number])[:-keep]:
+            self._drop(f"{self.folder}/backup-{old:08d}", f"{self.folder}/backup-{old:08d}.json")
+        return number
+
+    def restore(self, number: int) -> None:
+        """The tables and declarations of a backup, as new snapshots; the change can be undone."""
+        name = f"backup-{number:08d}.json"
+        if name not in self._names("backup-"):
+            raise Refused(f"no backup {number}")
+        held = self._get(name)
+        specs = {n: of_json(x) for n, x in held["specs"].items()}
+        self.write({n: self.spark.read.parquet(p) for n, p in held["tables"].items()}, {**dict.fromkeys(self.catalog.specs), **specs})
+
+    # maintenance
+
+    def _empty(self, spec: TableSpec) -> DataFrame:
+        return self.spark.createDataFrame([], ", ".join(f"`{c.name}` {spark_type(c.type)}" for c in spec.columns))
+
+    def repair(self, specs: list[TableSpec], drop_extra: bool = False) -> list[tuple[str, str]]:
+        """Make tables be as declared: missing ones and columns are added empty, other types cast where all values convert."""
+        done, frames = [], {}
+        for s in specs:
+            df = self.catalog.frames.get(s.name)
+            if df is None:
+                frames[s.name] = self._empty(s)
+                done.append(("create_table", s.name))
+                continue
+            out = []
+            for c in s.columns:
+                want = spark_type(c.type)
+                if c.name not in df.columns:
+                    out.append(F.lit(None).cast(want).alias(c.name))
+                    done.append(("add_column", f"{s.name}.{c.name}"))
+                elif family(df.schema[c.name].dataType.simpleString()) != family(c.type):
+                    if df.where(F.col(c.name).isNotNull() & F.col(c.name).try_cast(want).isNull()).limit(1).count():
+                        raise Refused(f"{s.name}.{c.name} has values that aren't {c.type}")
+                    out.append(F.col(c.name).try_cast(want).alias(c.name))
+                    done.append(("modify_type", f"{s.name}.{c.name}"))
+                else:
+                    out.append(F.col(c.name))
+            extra = [c for c in df.columns if not s.column(c)]
+            if drop_extra:
+                done += [("drop_column", f"{s.name}.{c}") for c in extra]
+            if len(done) and (done[-1][1].partition(".")[0] == s.name):
+                frames[s.name] = df.select(*out, *([] if drop_extra else extra))
+        if frames:
+            self.write(frames, {s.name: s for s in specs})
+        return done
+
+    def create_standard(self, specs: list[TableSpec]) -> list[str]:
+        """Those of the declared tables that aren't there yet, referenced ones first."""
+        missing = [s for s in specs if s.name not in self.catalog.specs]
+        return self.create(missing) if missing else []
+
+    def clear(self, drop: bool = False) -> None:
+        """Empty all tables, or drop them all, in one change."""
+        if drop:
+            self.write({}, dict.fromkeys(self.catalog.specs))
+        else:
+            self.write({n: df.limit(0) for n, df in self.catalog.frames.items()})
 
     def create(self, specs: list[TableSpec]) -> list[str]:
         """Empty tables, referenced ones first. Each gets an id; a declared primary key becomes unique and not null."""
@@ -127,29 +275,88 @@ class Store:
                 raise Refused(f"{s.name} exists")
             columns = tuple(replace(c, pk=False, unique=True, not_null=True) if c.pk and c.name != "id" else c for c in s.columns if c.name != "id")
             fresh[s.name] = replace(s, columns=(ColumnSpec("id", "BIGINT", pk=True, unique=True, not_null=True), *columns))
-        for s in fresh.values():
-            self.catalog.declare(s)
-        order = self.catalog.ordered(list(fresh))
-        self.write({n: self.spark.createDataFrame([], ", ".join(f"`{c.name}` {spark_type(c.type)}" for c in fresh[n].columns)) for n in order})
+        planned = Catalog(self.spark, [*self.catalog.specs.values(), *fresh.values()])
+        order = planned.ordered(list(fresh))
+        self.write({n: self._empty(fresh[n]) for n in order}, fresh)
         return order
 
-    def insert(self, name: str, rows: DataFrame, overwrite: bool = False) -> None:
-        """Add rows, which may not bring ids. A key that is there refuses them all, unless they overwrite."""
+    def _refuse_broken(self, spec: TableSpec, rows: DataFrame, others: DataFrame) -> None:
+        """Refuse ``rows``, which are to stand beside ``others``, if one breaks the declaration."""
+        if nulls := [c.name for c in spec.columns if c.not_null and rows.where(F.col(c.name).isNull()).limit(1).count()]:
+            raise Refused(f"no value for {', '.join(nulls)}")
+        rules = {c.name: own for c in spec.columns if (own := {k: v for k, v in c.rules.items() if k in ("min", "max", "pattern", "enum")})}
+        if rules and (broken := violations(rows.withColumn("__row", F.lit(0)), rules, "__row").first()):
+            raise Refused(f"{broken['column']} breaks its rule {broken['rule']}")
+        names = {c.name for c in spec.columns}
+        for c in spec.columns:
+            if "check" in c.rules and rows.where(~F.expr(guarded(c.rules["check"], names))).limit(1).count():
+                raise Refused(f"{c.name} fails its check")
+        for c in spec.columns:
+            if c.unique and not c.pk:
+                if rows.where(F.col(c.name).isNotNull()).groupBy(c.name).count().where("count > 1").limit(1).count():
+                    raise Refused(f"{c.name} repeats")
+                if conflicts(others, rows, c.name).limit(1).count():
+                    raise Refused(f"{c.name} is taken")
+        for k in spec.foreign_keys:
+            parents = self.catalog.frames.get(k.references)
+            if parents is not None and orphans(rows, k.column, parents, k.ref_column).limit(1).count():
+                raise Refused(f"{k.column} has values without a parent")
+
+    def _held(self, rows: DataFrame) -> DataFrame:
+        """At most the rows that a call may bring, fixed: whatever computes them is asked once."""
+        held = rows.limit(MOST_INSERTED + 1).collect()
+        if len(held) > MOST_INSERTED:
+            raise Refused(f"at most {MOST_INSERTED} rows at a time")
+        return self.spark.createDataFrame(held, rows.schema)
+
+    def _typed(self, spec: TableSpec, rows: DataFrame, schema) -> DataFrame:
+        """Cleaned rows at their table's types; values that can't be are refused by name."""
+        own = replace(spec, columns=tuple(replace(c, not_null=False) for c in spec.columns))
+        out = typed(rows, own)
+        if bad := out.where(F.size("bad") > 0).select(F.explode("bad").alias("c")).distinct().orderBy("c").collect():
+            raise Refused(f"values that don't fit: {', '.join(r['c'] for r in bad)}")
+        cast = out.select(*[F.col(c).try_cast(schema[c].dataType).alias(c) for c in rows.columns], *[F.col(c).alias(f"__{c}") for c in rows.columns])
+        lost = [c for c in rows.columns if cast.where(F.col(c).isNull() & F.col(f"__{c}").isNotNull()).limit(1).count()]
+        if lost:
+            raise Refused(f"values that don't fit: {', '.join(lost)}")
+        return cast.select(*rows.columns)
+
+    def insert(self, name: str, rows: DataFrame | list[dict] | dict | str, overwrite: bool = False) -> list[int]:
+        """Add rows (or dicts of them, or these as JSON), which may not bring ids; the ids they get.
+
+        A unique value that is there refuses them all, unless they overwrite: then they take the places of all rows
+        that share one with them.
+        """
         spec, table = self.catalog.specs[name], self.catalog.table(name)
+        rows = self._held(rows if isinstance(rows, DataFrame) else self._frame(rows))
         if "id" in rows.columns:
             raise Refused("ids are given by the system")
-        if rows.limit(MOST_INSERTED + 1).count() > MOST_INSERTED:
-            raise Refused(f"at most {MOST_INSERTED} rows at a time")
-        if spec.key and spec.key in rows.columns:
-            if rows.groupBy(spec.key).count().where("count > 1").limit(1).count():
-                raise Refused(f"{spec.key} repeats")
-            if not overwrite and conflicts(table, rows, spec.key).limit(1).count():
-                raise Refused(f"{spec.key} is taken")
-        rows = with_ids(rows.select(*[F.col(c).cast(table.schema[c].dataType).alias(c) for c in rows.columns]), table)
-        rows = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast(table.schema[c].dataType).alias(c) for c in table.columns])
-        if nulls := [c.name for c in spec.columns if c.not_null and rows.where(F.col(c.name).isNull()).limit(1).count()]:
-            raise Refused(f"no value for {', '.join(nulls)}")
-        self.write({name: upserted(table, rows, spec.key) if spec.key and overwrite else table.unionByName(rows)})
+        if unknown := [c for c in rows.columns if not spec.column(c)]:
+            raise Refused(f"{name} has no column {', '.join(unknown)}")
+        rows = self._typed(spec, rows, table.schema)
+        for c in spec.columns:
+            if c.name not in rows.columns:
+                rows = rows.withColumn(c.name, F.lit(c.rules.get("default")).try_cast(table.schema[c.name].dataType))
+        others = table
+        if overwrite:
+            for c in spec.columns:
+                if c.unique and not c.pk:
+                    others = others.join(rows.select(c.name), c.name, "left_anti")
+        rows = self._held(with_ids(rows.drop("id"), table).select(*table.columns))
+        self._refuse_broken(spec, rows, others)
+        self.write({name: others.select(*table.columns).unionByName(rows)})
+        return [r["id"] for r in rows.select("id").orderBy("id").collect()]
+
+    def _frame(self, rows: list[dict] | dict | str) -> DataFrame:
+        from millrace.plans.conditions import parsed
+
+        rows = parsed(rows)
+        rows = [rows] if isinstance(rows, dict) else list(rows)
+        if not rows or not all(isinstance(r, dict) and r for r in rows):
+            raise Refused("rows are objects with columns")
+        names = list(dict.fromkeys(c for r in rows for c in r))
+        text = lambda v: v if v is None or isinstance(v, str) else json.dumps(v) if isinstance(v, bool | list | dict) else str(v)
+        return self.spark.createDataFrame([tuple(text(r.get(c)) for c in names) for r in rows], ", ".join(f"`{c}` string" for c in names))
 
     def _guard(self, name: str, conditions: list, most: int) -> Column:
         """A condition that names a key in each of its alternatives, over a bounded number of rows."""
@@ -170,10 +377,24 @@ class Store:
         return where
 
     def update(self, name: str, conditions: list, values: dict) -> None:
+        """Set values in rows that the conditions name; the rows must then meet the declaration."""
         if "id" in values:
             raise Refused("ids stay")
+        spec, table = self.catalog.specs[name], self.catalog.table(name)
+        if unknown := [c for c in values if not spec.column(c)]:
+            raise Refused(f"{name} has no column {', '.join(unknown)}")
         where = self._guard(name, conditions, MOST_UPDATED)
-        self.write({name: updated(self.catalog.table(name), where, values)})
+        values = {c: self._value(spec, c, v, table) for c, v in values.items()}
+        hit = F.coalesce(where, F.lit(False))
+        self._refuse_broken(spec, updated(table.where(hit), F.lit(True), values), table.where(~hit))
+        self.write({name: updated(table, where, values)})
+
+    def _value(self, spec: TableSpec, column: str, value, table: DataFrame):
+        """A value as its column takes it: text is cleaned, and refused where it doesn't fit."""
+        if not isinstance(value, str):
+            return value
+        one = self._typed(spec, self.spark.createDataFrame([(value,)], f"`{column}` string"), table.schema)
+        return one.first()[0]
 
     def delete(self, name: str, conditions: list) -> None:
         self.write({name: deleted(self.catalog.table(name), self._guard(name, conditions, MOST_UPDATED))})
@@ -191,16 +412,17 @@ class Store:
 
     # changes of declarations
 
+    def _declare(self, spec: TableSpec) -> None:
+        """A changed declaration over the same rows."""
+        self.write({}, {spec.name: spec})
+
     def drop_table(self, name: str) -> None:
         if users := [e.left for e in self.catalog.edges() if e.right == name and e.left != name]:
             raise Refused(f"{name} is referenced by {', '.join(users)}")
-        self.catalog.specs.pop(name)
-        self.catalog.frames.pop(name, None)
-        self._commit({name: None})
+        self.write({}, {name: None})
 
     def _alter(self, name: str, spec: TableSpec, df: DataFrame) -> None:
-        self.write({name: df})
-        self.catalog.specs[name] = spec
+        self.write({name: df}, {name: spec})
 
     def add_column(self, name: str, column: ColumnSpec) -> None:
         spec = self.catalog.specs[name]
@@ -208,7 +430,8 @@ class Store:
             raise Refused(f"unknown type {column.type}")
         if spec.column(column.name):
             raise Refused(f"{column.name} exists")
-        self._alter(name, replace(spec, columns=(*spec.columns, column)), self.catalog.table(name).withColumn(column.name, F.lit(None).cast(spark_type(column.type))))
+        fresh = F.lit(column.rules.get("default")).cast(spark_type(column.type))
+        self._alter(name, replace(spec, columns=(*spec.columns, column)), self.catalog.table(name).withColumn(column.name, fresh))
 
     def drop_column(self, name: str, column: str, force: bool = False) -> None:
         spec = self.catalog.specs[name]
@@ -235,13 +458,23 @@ class Store:
         if self.catalog.table(name).where(F.col(column).isNull()).limit(1).count():
             raise Refused(f"{column} has nulls")
         spec = self.catalog.specs[name]
-        self.catalog.specs[name] = replace(spec, columns=tuple(replace(c, not_null=True) if c.name == column else c for c in spec.columns))
+        self._declare(replace(spec, columns=tuple(replace(c, not_null=True) if c.name == column else c for c in spec.columns)))
 
     def set_unique(self, name: str, column: str) -> None:
         if self.catalog.table(name).where(F.col(column).isNotNull()).groupBy(column).count().where("count > 1").limit(1).count():
             raise Refused(f"{column} repeats")
+        self._mark(name, column, True)
+
+    def drop_unique(self, name: str, column: str) -> None:
+        if column == "id":
+            raise Refused("ids stay unique")
+        self._mark(name, column, False)
+
+    def _mark(self, name: str, column: str, unique: bool) -> None:
         spec = self.catalog.specs[name]
-        self.catalog.specs[name] = replace(spec, columns=tuple(replace(c, unique=True) if c.name == column else c for c in spec.columns))
+        if not spec.column(column):
+            raise Refused(f"{name} has no column {column}")
+        self._declare(replace(spec, columns=tuple(replace(c, unique=unique) if c.name == column else c for c in spec.columns)))
 
     def add_foreign_key(self, name: str, key: ForeignKey, force: bool = False) -> None:
         """Declare a key whose values all have parents; a missing column is added, empty."""
@@ -253,17 +486,24 @@ class Store:
             raise Refused(f"{key.column} and {key.ref_column} differ in type")
         if not force and orphans(table, key.column, self.catalog.table(key.references), key.ref_column).limit(1).count():
             raise Refused(f"{key.column} has values without a parent")
-        self.catalog.specs[name] = replace(spec, foreign_keys=(*spec.foreign_keys, key))
+        self._declare(replace(spec, foreign_keys=(*spec.foreign_keys, key)))
 
     def drop_foreign_key(self, name: str, column: str) -> None:
         """Forget a key; its column stays."""
         spec = self.catalog.specs[name]
-        self.catalog.specs[name] = replace(spec, foreign_keys=tuple(k for k in spec.foreign_keys if k.column != column))
+        self._declare(replace(spec, foreign_keys=tuple(k for k in spec.foreign_keys if k.column != column)))
 
-    def rename(self, old: str, new: str) -> None:
-        from millrace.plans.catalog import renamed
+    def alter_precision(self, name: str, column: str, new: str, force: bool = False) -> None:
+        """Another precision of the same family; a narrower one needs force or values that all fit."""
+        if family(self.catalog.specs[name].column(column).type) != family(new):
+            raise Refused(f"{new} is another type: modify it")
+        self.modify_type(name, column, new, force)
 
+    def rename(self, old: str, new: str) -> None:
+        """Rename a table, and the references to it, over the same rows."""
         if new in self.catalog.specs:
             raise Refused(f"{new} exists")
-        renamed(self.catalog, old, new)
-        self._commit({old: None, new: self.current.get(old)})
+        planned = Catalog(self.spark, list(self.catalog.specs.values()))
+        renamed(planned, old, new)
+        tables = {new if n == old else n: p for n, p in self.current.items()}
+        self._publish(tables, planned.specs)

@@ -38,17 +38,50 @@ def reference_counts(df: DataFrame, key: str, references: list[tuple[str, DataFr
     return reduce(DataFrame.unionByName, each)
 
 
+def _ids(df: DataFrame, key: str, ids: list) -> DataFrame:
+    return df.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(ids)], df.select(key).schema)
+
+
+def _holds(df: DataFrame, values: dict) -> Column:
+    out: Column = F.lit(True)
+    for c, v in values.items():
+        kind = df.schema[c].dataType
+        literal = F.lit(v).try_cast(kind)
+        equal = F.abs(F.col(c) - literal) < 1e-9 if kind.typeName() in ("double", "float") and v is not None else F.col(c).eqNullSafe(literal)
+        out = out & F.coalesce(equal, F.lit(False))
+    return out
+
+
 def verify_deleted(after: DataFrame, key: str, ids: list) -> bool | None:
-    return None if not ids else after.where(F.col(key).isin(*ids[:100])).limit(1).count() == 0
+    """Whether none of the ids is left; None if there are none to look for."""
+    return None if not ids else after.join(F.broadcast(_ids(after, key, ids)), key, "left_semi").limit(1).count() == 0
 
 
 def verify_present(after: DataFrame, key: str, ids: list, values: dict | None = None) -> bool | None:
-    """Whether up to 100 ids are there and hold the values; None if nothing can be said."""
-    ids = list(dict.fromkeys(ids))[:100]
+    """Whether all ids are there and hold the values; None if nothing can be said."""
     if not ids:
         return None
-    holds: Column = F.lit(True)
-    for c, v in (values or {}).items():
-        holds = holds & F.col(c).eqNullSafe(F.lit(v).cast(after.schema[c].dataType))
-    row = after.where(F.col(key).isin(*ids)).agg(F.count_distinct(key).alias("n"), F.bool_and(holds).alias("ok")).first()
-    return row["n"] == len(ids) and bool(row["ok"])
+    row = after.join(F.broadcast(_ids(after, key, ids)), key, "left_semi").agg(F.count_distinct(key).alias("n"), F.bool_and(_holds(after, values or {})).alias("ok")).first()
+    return row["n"] == len(set(ids)) and bool(row["ok"])
+
+
+def verify_inserted(after: DataFrame, rows: list[dict]) -> bool | None:
+    """Whether each row is there with all its values; None without rows. One pass serves them all."""
+    if not rows:
+        return None
+    return bool(after.agg(*[F.bool_or(_holds(after, r)).alias(f"r{i}") for i, r in enumerate(rows)]).select(F.coalesce(F.least(*[F.col(f"r{i}") for i in range(len(rows))]), F.lit(False)) if len(rows) > 1 else F.coalesce("r0", F.lit(False))).first()[0])
+
+
+def verify(after: DataFrame, key: str, action: str, affected: int | None = None, ids: list = (), values: dict | None = None, rows: list[dict] = ()) -> tuple[bool | None, list[str]]:
+    """What a change claims, looked at again in the table after it: true, false, or None where nothing can be said; and what differs."""
+    found = {"DELETE": lambda: verify_deleted(after, key, list(ids)), "UPDATE": lambda: verify_present(after, key, list(ids), values), "INSERT": lambda: verify_inserted(after, list(rows))}
+    if action.upper() not in found:
+        return None, [f"unknown action {action}"]
+    ok, differs = found[action.upper()](), []
+    if ok is None:
+        return None, ["nothing to look for"]
+    if not ok:
+        differs.append({"DELETE": "rows are still there", "UPDATE": "rows are missing or hold other values", "INSERT": "inserted rows are missing"}[action.upper()])
+    if ids and affected is not None and affected != len(ids):
+        differs.append(f"{affected} rows claimed, {len(ids)} named")
+    return not differs, differs

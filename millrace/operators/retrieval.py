@@ -15,20 +15,22 @@ PART_CHARACTERS = set("查询找请帮告诉下一上左右中")
 VECTOR_WEIGHT, KEYWORD_WEIGHT, CANDIDATES, TEXT_LENGTH = 0.7, 0.3, 500, 5_000
 
 
+#: What counts as Latin words, numbers and runs of Chinese characters, and the lengths of keywords cut from these.
+WORD, RUN, GRAM_LENGTHS = re.compile(r"[a-zA-Z]{2,}|[0-9]+"), re.compile(r"[一-鿿]+"), (2, 3)
+
+
 def keywords(query: str) -> list[str]:
-    """Latin words of two letters or more and numbers, and 2- and 3-grams of phrases between stop characters."""
-    out = []
-    for token in re.findall(r"[一-鿿]+|[a-zA-Z]+|\d+", query):
-        if token.isascii():
-            if len(token) >= 2 and token.lower() not in STOP_WORDS:
-                out.append(token.lower())
-            continue
-        for phrase in "".join(" " if c in STOP_CHARACTERS | PART_CHARACTERS else c for c in token).split():
-            if len(phrase) in (2, 3):
-                out.append(phrase)
-            elif len(phrase) > 3:
-                out += [phrase[i : i + n] for n in (2, 3) for i in range(len(phrase) - n + 1)]
-    return out
+    """Latin words of two letters or more but stop words, numbers, and short pieces of Chinese phrases, by place.
+
+    Stop characters end a phrase. A phrase of a piece's length is one keyword; of longer ones all pieces are.
+    """
+    held = [(m.start(), m[0].lower()) for m in WORD.finditer(query) if m[0].isdigit() and len(m[0]) > 1 or m[0].lower() not in STOP_WORDS and not m[0].isdigit()]
+    breaks = str.maketrans(dict.fromkeys(STOP_CHARACTERS | PART_CHARACTERS, " "))
+    for phrase in RUN.finditer(query.translate(breaks)):
+        text = phrase[0]
+        sizes = [len(text)] if len(text) in GRAM_LENGTHS else [n for n in GRAM_LENGTHS if n < len(text)]
+        held += [(phrase.start(), text[i : i + n]) for n in sizes for i in range(len(text) - n + 1)]
+    return [word for _, word in sorted(held, key=lambda x: x[0])]
 
 
 def distance(a: Column, b: Column, metric: str = "l2") -> Column:
@@ -58,6 +60,11 @@ def collections(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("collection").agg(F.count("*").alias("n")).orderBy("collection")
 
 
+def without(vectors: DataFrame, collection: str) -> DataFrame:
+    """All vectors but a collection's."""
+    return vectors.where(~F.col("collection").eqNullSafe(F.lit(collection)))
+
+
 def hybrid(pieces: DataFrame, query: list[float], words: str, k: int = 5, metric: str = "l2") -> DataFrame:
     """Pieces (collection, source, page, text, embedding) by vector and keyword score.
 
@@ -66,9 +73,11 @@ def hybrid(pieces: DataFrame, query: list[float], words: str, k: int = 5, metric
     """
     asked, found = F.array(*[F.lit(float(x)) for x in query]), keywords(words)
     rows = pieces.withColumn("distance", distance(F.col("embedding"), asked, metric)).drop("embedding")
-    n = max(1, rows.select("collection").distinct().count())
     near = Window.partitionBy("collection").orderBy("distance", "source", "page")
-    rows = rows.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= max(3 * k, CANDIDATES // n))
+    # no collection gives more than all may; how many each may give depends on how many there are
+    rows = rows.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= max(3 * k, CANDIDATES))
+    number = rows.where("rank = 1").agg(F.greatest(F.lit(1), F.count("*")).alias("n"))
+    rows = rows.crossJoin(F.broadcast(number)).where(F.col("rank") <= F.greatest(F.lit(3 * k), F.floor(F.lit(CANDIDATES) / F.col("n")))).drop("n")
     rows = rows.orderBy("collection", "rank").limit(CANDIDATES).drop("rank")
     rows = rows.withColumn("text", F.substring("text", 1, TEXT_LENGTH)).withColumn("vector_score", F.greatest(F.lit(0.0), 1 - F.col("distance")))
     if found:

@@ -23,9 +23,11 @@ class Having:
     value: float
 
 
-def aggregated(df: DataFrame, function: str, column: str = "*", by: list[str] = (), conditions=None, having: Having | None = None, distinct: bool = False) -> DataFrame:
-    """The keys, then ``agg_result``. Partial sums are built before the only shuffle."""
-    df = filtered(df, conditions)
+def aggregated(df: DataFrame, function: str, column: str = "*", by: list[str] = (), conditions=None, having: Having | None = None, distinct: bool = False, names=None) -> DataFrame:
+    """The keys, then ``agg_result``. Partial sums are built before the only shuffle. ``names`` gives columns their real names."""
+    df = filtered(df, conditions, names=names)
+    if names:
+        column, by = column if column == "*" else names(column), [names(b) for b in by]
     exprs = [aggregate(function, column, distinct).alias(RESULT)]
     if having:
         exprs.append(aggregate(having.function, having.column).alias("__having"))

@@ -163,11 +163,11 @@ class Catalog:
         raise ValueError(f"no foreign keys lead to {target}")
 
     def ordered(self, names: list[str], referenced_first: bool = True) -> list[str]:
-        """Tables so that references come first (to create) or last (to delete); a cycle keeps its given order."""
+        """Tables so that references come first (to create) or last (to delete); a cycle goes by name."""
         left, out = list(names), []
         while left:
             needs = lambda t: {k.references for k in self.specs[t].foreign_keys if k.references in left and k.references != t}
-            free = [t for t in left if not needs(t)] or left[:]
+            free = [t for t in left if not needs(t)] or sorted(left)
             out += free
             left = [t for t in left if t not in free]
         return out if referenced_first else out[::-1]
@@ -218,6 +218,48 @@ class Catalog:
         return k.where((F.col("from_table") == name) | (F.col("to_table") == name)).join(left, "from_table").join(right, "to_table")
 
 
+    def describe(self, name: str) -> DataFrame:
+        """A table's columns in order, with what each refers to as ``table.column``."""
+        k = self.meta_keys().where(F.col("from_table") == name).select(F.col("from_column").alias("name"), F.concat_ws(".", "to_table", "to_column").alias("references"))
+        c = self.meta_columns().where(F.col("table_name") == name).join(F.broadcast(k), "name", "left")
+        return c.orderBy("position").select("table_name", "position", "name", "type", "business_name", "description", "pk", "is_unique", "not_null", "references")
+
+    def nodes(self) -> DataFrame:
+        """The tables as nodes of the graph: (node_id, name, source)."""
+        return self.meta_tables().select(F.concat_ws(".", "source", "name").alias("node_id"), "name", "source")
+
+    def links(self) -> DataFrame:
+        """The keys as edges between nodes of one source: (from_id, to_id, column)."""
+        n = self.nodes()
+        left, right = (n.select(F.col("name").alias(f"{x}_table"), F.col("node_id").alias(f"{x}_id"), F.col("source").alias(f"{x}_source")) for x in ("from", "to"))
+        both = self.meta_keys().join(left, "from_table").join(right, "to_table").where("from_source = to_source")
+        return both.select("from_id", "to_id", F.col("from_column").alias("column")).distinct()
+
+    def forget(self, name: str) -> None:
+        """Take a table's declaration and data, and other tables' keys to it, out of the catalog."""
+        self.specs.pop(name, None)
+        self.frames.pop(name, None)
+        for other, spec in self.specs.items():
+            self.specs[other] = replace(spec, foreign_keys=tuple(k for k in spec.foreign_keys if k.references != name))
+
+
+#: How much a name counts by which a text may mean a table.
+MAPPED, BUSINESS, OWN = 100, 80, 50
+
+
+def mentioned(text: str, specs: list[TableSpec], words: dict[str, str] | None = None) -> tuple[str | None, list[str]]:
+    """The table that a text means, and if several are named equally well, those instead.
+
+    Words declared for tables count most, then business names (or descriptions, where there is none), then own names.
+    """
+    low, found = text.lower(), [(MAPPED, table) for word, table in (words or {}).items() if word in text]
+    for s in specs:
+        called = s.business_name or s.description
+        found += [(OWN, s.name)] * (s.name.lower() in low) + [(BUSINESS, s.name)] * bool(called and called.lower() in low)
+    best = sorted({t for n, t in found if n == max(found)[0]})
+    return (best[0], []) if len(best) == 1 else (None, best)
+
+
 def parsed_definition(name: str, text: str) -> TableSpec:
     """A spec from ``column:type[:pk][:nn][:uq][:fk(table)]`` items, separated by commas."""
     columns, keys = [], []
@@ -270,6 +312,52 @@ def inconsistencies(spec: TableSpec, df: DataFrame) -> list[tuple[str, str]]:
     return out
 
 
+def catalog_inconsistencies(catalog: Catalog) -> DataFrame:
+    """(kind, table_name, name): tables without data or declaration, columns that differ, keys that lead nowhere, unique columns that repeat."""
+    out = [("missing_table", t, "") for t in catalog.specs if t not in catalog.frames]
+    out += [("undeclared_table", t, "") for t in catalog.frames if t not in catalog.specs]
+    unique = []
+    for name, spec in catalog.specs.items():
+        df = catalog.frames.get(name)
+        if df is not None:
+            out += [(kind, name, column) for kind, column in inconsistencies(spec, df)]
+            unique += [(name, c.name, df) for c in spec.columns if (c.unique or c.pk) and c.name in df.columns]
+        for k in spec.foreign_keys:
+            target = catalog.specs.get(k.references)
+            if target is None or not target.column(k.ref_column):
+                out.append(("key_target", name, f"{k.column} to {k.references}.{k.ref_column}"))
+            elif not spec.column(k.column):
+                out.append(("key_column", name, k.column))
+            elif family(spec.column(k.column).type) != family(target.column(k.ref_column).type):
+                out.append(("key_type", name, f"{k.column} to {k.references}.{k.ref_column}"))
+    found = catalog.spark.createDataFrame(out, "kind string, table_name string, name string")
+    for name, column, df in unique:
+        again = df.where(F.col(column).isNotNull()).groupBy(column).count().where("count > 1").limit(1)
+        found = found.unionByName(again.select(F.lit("not_unique").alias("kind"), F.lit(name).alias("table_name"), F.lit(column).alias("name")))
+    return found
+
+
+def claims(specs: list[TableSpec], profiles: list[DataFrame] = ()) -> list[tuple[str, str]]:
+    """What speaks against a design, given profiles of its source columns: (kind, detail).
+
+    Keys lead to tables of the design and to their ids; a design with keys needs a source column that repeats; one
+    table alone is suspect where two columns or more repeat like entities of their own.
+    """
+    names = {s.name for s in specs}
+    out = [("key_table", f"{s.name}.{k.column} to {k.references}") for s in specs for k in s.foreign_keys if k.references not in names]
+    out += [("key_not_id", f"{s.name}.{k.column} to {k.ref_column}") for s in specs for k in s.foreign_keys if k.ref_column != "id"]
+    if not profiles:
+        return out
+    rows = [r for p in profiles for r in p.select("column", "distinct", "ratio", F.round(F.col("distinct") / F.greatest("ratio", F.lit(0.001))).alias("rows")).collect()]
+    total = max((r["rows"] for r in rows), default=0)
+    if any(s.foreign_keys for s in specs) and not any(1 < r["distinct"] < total for r in rows):
+        out.append(("no_repeated_column", ""))
+    entities = [r["column"] for r in rows if r["distinct"] >= 3 and r["ratio"] < 0.5]
+    if len(specs) == 1 and len(entities) >= 2:
+        out.append(("single_wide_table", ", ".join(entities)))
+    return out
+
+
 #: The test tables, and the foreign keys that their columns' names imply.
 TEST_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 TEST_KEYS = {

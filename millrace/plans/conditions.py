@@ -1,20 +1,23 @@
 """Structured conditions and the Column they stand for.
 
 A condition is ``{"field", "op", "value", "link"}``; lists are flat, AND binds before OR, and the first link counts
-for nothing. Literals are cast to the column's type, so the source can prune on them.
+for nothing. Literals take the column's type where it holds them exactly, so the source can prune on them, and else a
+wider one. Names may be resolved first, as by :meth:`TableSpec.resolve`.
 """
 
 from __future__ import annotations
 
+import json
 import operator
 import re
-from collections.abc import Iterable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, replace
+from decimal import Decimal, InvalidOperation
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, NumericType
+from pyspark.sql.types import DataType, DoubleType, FloatType, IntegralType, NumericType, StringType
 
 COMPARE = {"=": operator.eq, "!=": operator.ne, "<>": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
 LISTS, RANGES, PATTERNS, NULLS = ("IN", "NOT IN"), ("BETWEEN", "NOT BETWEEN"), ("LIKE", "NOT LIKE"), ("IS NULL", "IS NOT NULL")
@@ -30,8 +33,19 @@ class Condition:
     link: str = "AND"
 
 
-def normalised(given: dict | Iterable[dict | Condition], split_values: bool = True) -> list[Condition]:
-    """Conditions from either form, without those of empty value; equalities of one field and enumerations become IN."""
+def parsed(given):
+    """Conditions or rows that come as JSON text."""
+    if not isinstance(given, str):
+        return given
+    try:
+        return json.loads(given) if given.strip() else []
+    except json.JSONDecodeError as e:
+        raise ValueError(f"no JSON: {e}") from e
+
+
+def normalised(given: str | dict | Iterable[dict | Condition], split_values: bool = True) -> list[Condition]:
+    """Conditions from any form, without those of empty value; equalities of one field and enumerations become IN."""
+    given = parsed(given)
     if isinstance(given, dict):
         given = [{"field": f, "op": "IN" if isinstance(v, list | tuple) else "=", "value": v} for f, v in given.items()]
     out = []
@@ -83,14 +97,35 @@ def _type_of(df: DataFrame, name: str) -> DataType:
     return df.select(name).schema[0].dataType
 
 
-def _literal(value: object, kind: DataType) -> Column | None:
-    """The value at a column's type; None if it can't be."""
-    if isinstance(kind, NumericType) and isinstance(value, str):
-        try:
-            float(value)
-        except ValueError:
-            return None
-    return F.lit(value).cast(kind)
+#: Bits of Spark's whole numbers.
+BITS = {"tinyint": 7, "smallint": 15, "int": 31, "bigint": 63}
+
+
+def _number(value: object, kind: NumericType) -> Column | None:
+    try:
+        number = Decimal(int(value)) if isinstance(value, int) else Decimal(str(value).strip())
+    except InvalidOperation:
+        return None
+    if isinstance(kind, FloatType | DoubleType):
+        return F.lit(float(number)).cast(kind)
+    if not number.is_finite():
+        return None  # only floating columns hold these
+    if isinstance(kind, IntegralType) and number == number.to_integral_value() and abs(number) < 1 << BITS[kind.simpleString()]:
+        return F.lit(int(number)).cast(kind)
+    digits = number.as_tuple()
+    wide = max(len(digits.digits), -digits.exponent, len(digits.digits) + digits.exponent) > 38
+    return F.lit(float(number)) if wide else F.lit(number)
+
+
+def _literal(df: DataFrame, value: object, kind: DataType) -> Column | None:
+    """The value as a literal that compares with a column of this type; None if it can't be one."""
+    if isinstance(kind, NumericType):
+        return _number(value, kind)
+    if isinstance(kind, StringType) or not isinstance(value, str):
+        return F.lit(value).cast(kind)
+    # dates, times and truth values are read as Spark does; this needs no job
+    read = df.sparkSession.sql("SELECT 1").select(F.lit(value).try_cast(kind).isNull()).first()[0]
+    return None if read else F.lit(value).cast(kind)
 
 
 def _parts(value: object) -> list:
@@ -107,16 +142,19 @@ def predicate(df: DataFrame, c: Condition, ignore_case: bool = False) -> Column:
         found = text.ilike(str(c.value)) if ignore_case else text.like(str(c.value))
         return found if c.op == "LIKE" else ~found
     if c.op in LISTS:
-        held = [x for x in (_literal(v, kind) for v in _parts(c.value)) if x is not None]
+        held = [x for x in (_literal(df, v, kind) for v in _parts(c.value)) if x is not None]
         found = column.isin(*held) if held else F.when(column.isNotNull(), F.lit(False))
         return found if c.op == "IN" else ~found
     if c.op in RANGES:
-        low, high = [_literal(v, kind) for v in _parts(c.value)[:2]]
+        ends = _parts(c.value)[:2]
+        if len(ends) < 2:
+            raise ValueError(f"{c.op} of {c.field} takes two values")
+        low, high = [_literal(df, v, kind) for v in ends]
         if low is None or high is None:
             raise ValueError(f"{c.field} can't be compared with {c.value!r}")
         found = column.between(low, high)
         return found if c.op == "BETWEEN" else ~found
-    value = _literal(c.value, kind)
+    value = _literal(df, c.value, kind)
     if value is None:
         if c.op not in ("=", "!=", "<>"):
             raise ValueError(f"{c.field} can't be compared with {c.value!r}")
@@ -124,18 +162,32 @@ def predicate(df: DataFrame, c: Condition, ignore_case: bool = False) -> Column:
     return COMPARE[c.op](column, value)
 
 
-def folded(df: DataFrame, given: dict | Iterable[dict | Condition], split_values: bool = True, ignore_case: bool = False) -> Column | None:
-    """All conditions as one Column, runs of AND joined by OR; None for no condition."""
+def folded(df: DataFrame, given: str | dict | Iterable[dict | Condition], split_values: bool = True, ignore_case: bool = False, names: Callable[[str], str] | None = None) -> Column | None:
+    """All conditions as one Column, runs of AND joined by OR; None for no condition. ``names`` gives fields their real names."""
     runs: list[list[Column]] = []
     for i, c in enumerate(normalised(given, split_values)):
         if i == 0 or c.link == "OR":
             runs.append([])
-        runs[-1].append(predicate(df, c, ignore_case))
+        runs[-1].append(predicate(df, replace(c, field=names(c.field)) if names else c, ignore_case))
     if not runs:
         return None
     return reduce(operator.or_, [reduce(operator.and_, run) for run in runs])
 
 
-def filtered(df: DataFrame, given: dict | Iterable[dict | Condition] | None, **options) -> DataFrame:
+def filtered(df: DataFrame, given: str | dict | Iterable[dict | Condition] | None, **options) -> DataFrame:
     found = folded(df, given or [], **options)
     return df if found is None else df.where(found)
+
+
+def signals(df: DataFrame, given, total: int | None = None) -> list[dict]:
+    """Facts that may explain a surprising result: values that aren't numbers on number columns, and no rows in spite of conditions."""
+    checks = normalised(given or [])
+    kinds = {f.name: f.dataType for f in df.schema}
+    out = []
+    for c in checks:
+        if isinstance(kinds.get(c.field), NumericType) and c.op not in NULLS:
+            bad = [v for v in (_parts(c.value) if c.op in LISTS + RANGES else [c.value]) if _number(v, kinds[c.field]) is None]
+            out += [{"type": "type_mismatch", "field": c.field, "value": str(v), "field_type": kinds[c.field].simpleString()} for v in bad]
+    if checks and total == 0:
+        out.append({"type": "empty_with_condition", "conditions": len(checks)})
+    return out

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 
+from millrace.plans.catalog import Catalog
+
 
 class Denied(PermissionError):
     pass
@@ -46,6 +48,33 @@ class Policy:
         return df.drop(*self.hidden(table, role))
 
 
+    def visible(self, catalog: Catalog, role: str | None = None) -> Catalog:
+        """The catalog as a role sees it: allowed tables without hidden columns, and the keys between what is left."""
+        out = Catalog(catalog.spark)
+        seen = {n: self.hidden(n, role) for n, s in catalog.specs.items() if self.allows(n, s.source, role)}
+        for name, hidden in seen.items():
+            spec = catalog.specs[name]
+            keys = tuple(k for k in spec.foreign_keys if k.column not in hidden and k.ref_column not in seen.get(k.references, {k.ref_column}))
+            columns = tuple(c for c in spec.columns if c.name not in hidden)
+            aliases = tuple(a for a in spec.aliases if a[1] not in hidden)
+            out.declare(replace(spec, columns=columns, foreign_keys=keys, aliases=aliases), catalog.frames[name].drop(*hidden) if name in catalog.frames else None)
+        return out
+
+    def check_fields(self, catalog: Catalog, main: str, tables: list[str], fields: list[str], role: str | None = None) -> None:
+        """Refuse tables and any mention of a hidden column, as ``column`` of any of the tables or as ``table.column``."""
+        for table in (main, *tables):
+            spec = catalog.specs.get(table)
+            own = []
+            for f in fields:
+                of, dot, name = f.rpartition(".")
+                if not dot or of == table:
+                    try:
+                        own.append(spec.resolve(name) if spec else name)
+                    except ValueError:
+                        own.append(name)
+            self.check(table, own, spec.source if spec else "main", role)
+
+
 def read_only(spark, sql: str) -> DataFrame:
     """Run one SELECT or WITH statement; anything else is refused."""
     head = sql.strip().split(None, 1)[0].upper() if sql.strip() else ""

@@ -16,8 +16,9 @@ AGGREGATES = {"COUNT": F.count, "SUM": F.sum, "AVG": F.avg, "MIN": F.min, "MAX":
 _ITEM = re.compile(r"(?:(?P<agg>\w+)\s*\(\s*(?P<arg>[\w.]+|\*)\s*\)|(?P<col>[\w.]+(?:\.\*)?|\*))(?:\s+AS\s+(?P<alias>\w+))?\s*\Z", re.I)
 
 
-def projected(df: DataFrame, fields: str | list[str]) -> DataFrame:
-    """``*``, columns, ``t.*`` and aggregates, each with an optional ``AS`` name."""
+def projected(df: DataFrame, fields: str | list[str], names=None) -> DataFrame:
+    """``*``, columns, ``t.*`` and aggregates, each with an optional ``AS`` name; ``names`` gives columns their real names."""
+    real = lambda name: name if names is None or name.endswith("*") else names(name)
     plain: list[Column] = []
     summed: list[Column] = []
     keys: list[str] = []
@@ -26,10 +27,11 @@ def projected(df: DataFrame, fields: str | list[str]) -> DataFrame:
         if not found:
             raise ValueError(f"can't select {item!r}")
         if found["agg"]:
-            out = aggregate(found["agg"], found["arg"]).alias(found["alias"] or f"{found['agg'].lower()}_{found['arg']}".replace("*", "rows"))
+            out = aggregate(found["agg"], real(found["arg"])).alias(found["alias"] or f"{found['agg'].lower()}_{found['arg']}".replace("*", "rows"))
             summed.append(out)
         else:
-            plain.append(F.col(found["col"]).alias(found["alias"]) if found["alias"] else F.col(found["col"]))
+            column = F.col(real(found["col"]))
+            plain.append(column.alias(found["alias"]) if found["alias"] else column)
             keys.append(found["col"])
     if not summed:
         return df.select(*plain)
@@ -72,13 +74,13 @@ class Page:
     has_more: bool
 
 
-def page(df: DataFrame, key: str | list[str], number: int = 1, size: int = 100, conditions=None, fields: str | list[str] = "*") -> Page:
+def page(df: DataFrame, key: str | list[str], number: int = 1, size: int = 100, conditions=None, fields: str | list[str] = "*", names=None) -> Page:
     """One page of the rows that meet the conditions, in the order of ``key``, and how many there are in all."""
     if number < 1 or not 1 <= size <= 500:
         raise ValueError("pages count from 1 and hold 1 to 500 rows")
-    df = filtered(df, conditions)
+    df = filtered(df, conditions, names=names)
     total = df.count()
-    rows = projected(ordered(df, key).offset((number - 1) * size).limit(size), fields)
+    rows = projected(ordered(df, key).offset((number - 1) * size).limit(size), fields, names)
     return Page(rows, total, -(-total // size), number * size < total)
 
 
@@ -109,3 +111,9 @@ class Selections:
         if entry is None:
             raise ValueError(f"no selection {number}")
         return df.join(self.spark.read.parquet(entry["path"]), entry["key"], "left_semi")
+
+    def export(self, number: int, df: DataFrame, path: str) -> None:
+        """The set's rows as they are now, as CSV part files with a header, written where they are."""
+        from millrace.sources.sinks import folder_csv
+
+        folder_csv(self.rows(number, df), path)

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import mapping, mutate, profile, quality, reconcile, retrieval
-from millrace.plans import aggregates, joins, selection
-from millrace.plans.catalog import Catalog, ColumnSpec, TableSpec
+from millrace.plans import aggregates, joins, registry, selection
+from millrace.plans.catalog import Catalog, ColumnSpec, ForeignKey, TableSpec, catalog_inconsistencies
 from millrace.plans.conditions import filtered
 from millrace.plans.policy import Policy
+from millrace.sources.places import shared_folder
 from millrace.streaming import rollup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,8 +104,8 @@ _filter("filter_in", "part", "p_partkey, p_size", [_one("p_size", "IN", "1, 5,'9
 _filter("filter_not_in", "part", "p_partkey, p_size", [_one("p_size", "not in", [1, 5, 9])], _PART + "p_size NOT IN (1, 5, 9)")
 _filter("filter_between", "part", "p_partkey, p_size", [_one("p_size", "BETWEEN", "10,20")], _PART + "p_size BETWEEN 10 AND 20")
 _filter("filter_not_between", "part", "p_partkey, p_size", [_one("p_size", "NOT BETWEEN", [10, 40])], _PART + "p_size NOT BETWEEN 10 AND 40")
-_filter("filter_like", "part", "p_partkey, p_size", [_one("p_name", "LIKE", "%1%")], _PART + "p_name LIKE '%1%'")
-_filter("filter_not_like", "part", "p_partkey, p_size", [_one("p_name", "NOT LIKE", "%1%")], _PART + "p_name NOT LIKE '%1%'")
+_filter("filter_like", "part", "p_partkey, p_size", [_one("p_name", "LIKE", "%wi_get")], _PART + "p_name LIKE '%wi_get'")
+_filter("filter_not_like", "part", "p_partkey, p_size", [_one("p_name", "NOT LIKE", "% b%")], _PART + "p_name NOT LIKE '% b%'")
 _filter("filter_and_or", "orders", "o_orderkey", [_one("o_orderstatus", "=", "F"), _one("o_totalprice", ">", "100000"), _one("o_orderpriority", "=", "1-URGENT", "OR")], _ORDERS + "o_orderstatus = 'F' AND o_totalprice > 100000 OR o_orderpriority = '1-URGENT'")
 _filter("filter_eq_merge_in", "nation", "n_nationkey, n_name", [_one("n_nationkey", "=", "3"), _one("n_nationkey", "=", "7")], "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey IN (3, 7)")
 _filter("filter_value_split_in", "orders", "o_orderkey", [_one("o_orderstatus", "=", "F、P")], _ORDERS + "o_orderstatus IN ('F', 'P')")
@@ -121,6 +122,34 @@ def filter_is_not_null(spark, path):
     return filtered(_t(spark, path, "documents").join(_t(spark, path, "labels"), "doc_id", "left"), [_one("quality", "IS NOT NULL")]).select("doc_id")
 
 
+_ODD = [
+    ("int_equals_text", "p_size", "=", "abc", "FALSE"), ("int_differs_from_text", "p_size", "!=", "abc", "TRUE"), ("int_equals_fraction", "p_size", "=", "1.5", "p_size = 1.5"),
+    ("int_above_fraction", "p_size", ">=", 1.5, "p_size >= 1.5"), ("int_between_fractions", "p_size", "BETWEEN", "1.5, 3.5", "p_size BETWEEN 1.5 AND 3.5"),
+    ("int_equals_nan", "p_size", "=", "nan", "FALSE"), ("int_below_huge", "p_size", "<", "99999999999999999999", "TRUE"), ("int_in_mixed", "p_size", "IN", "7, x, 8.0", "p_size IN (7, 8)"),
+    ("double_equals_exponent", "p_retailprice", "<", "1.2e3", "p_retailprice < 1200"), ("text_equals_number", "p_name", "=", 7, "FALSE"),
+]
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS \"case\", count(*) FILTER ({sql}) AS n FROM part" for n, *_, sql in _ODD) + " UNION ALL SELECT 'date_equals_text', 0 UNION ALL SELECT 'date_from', count(*) FILTER (o_orderdate >= DATE '1995-06-01') FROM orders")
+def filter_odd_literals(spark, path):
+    part, orders = _t(spark, path, "part"), _t(spark, path, "orders").withColumn("day", F.to_date("o_orderdate"))
+    counts = [filtered(part, [_one(field, op, value)]).agg(F.count("*").alias("n")).select(F.lit(n).alias("case"), "n") for n, field, op, value, _ in _ODD]
+    counts += [filtered(orders, [_one("day", op, value)]).agg(F.count("*").alias("n")).select(F.lit(n).alias("case"), "n") for n, op, value in (("date_equals_text", "=", "abc"), ("date_from", ">=", "1995-06-01"))]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+_CUSTOMER = TableSpec("customer", tuple(ColumnSpec(n, t, b) for n, t, b in (("c_custkey", "BIGINT", "number"), ("c_name", "TEXT", "customer_name"), ("c_acctbal", "DOUBLE", "balance"), ("c_mktsegment", "TEXT", ""))), aliases=(("segment", "c_mktsegment"),))
+
+
+@query("SELECT c_custkey AS \"no\", c_name, c_mktsegment FROM customer WHERE c_acctbal > 5000 AND c_mktsegment = 'BUILDING'")
+def alias_filter(spark, path):
+    df = filtered(_t(spark, path, "customer"), [_one("balance", ">", "5000"), _one("segment", "=", "BUILDING")], names=_CUSTOMER.resolve)
+    return selection.projected(df, "number AS no, customer_name, segment", _CUSTOMER.resolve)
+
+
 # projection, order, pages
 
 
@@ -196,10 +225,24 @@ def join_bridge_two(spark, path):
     return joins.joined(_c(spark, path, "orders", "customer", "nation", "region"), "orders", ["region"], "INNER").frame.groupBy("region__r_name").agg(F.count("*").alias("n"))
 
 
-@query("SELECT a.n_nationkey, b.r_name FROM (SELECT n_nationkey, nullif(n_regionkey, 1) AS k FROM nation) a LEFT JOIN (SELECT nullif(r_regionkey, 2) AS k, r_name FROM region) b USING (k)")
+@query("SELECT a.n_nationkey AS nation__n_nationkey, b.r_name AS region__r_name FROM (SELECT n_nationkey, nullif(n_regionkey, 1) AS k FROM nation) a LEFT JOIN (SELECT nullif(r_regionkey, 2) AS k, r_name FROM region) b USING (k)")
 def join_null_keys(spark, path):
-    a = _t(spark, path, "nation").select("n_nationkey", F.nullif("n_regionkey", F.lit(1)).alias("k"))
-    return a.join(_t(spark, path, "region").select(F.nullif("r_regionkey", F.lit(2)).alias("k"), "r_name"), "k", "left").select("n_nationkey", "r_name")
+    c = _c(spark, path, "nation", "region")
+    c.frames = {"nation": c.table("nation").withColumn("n_regionkey", F.nullif("n_regionkey", F.lit(1))), "region": c.table("region").withColumn("r_regionkey", F.nullif("r_regionkey", F.lit(2)))}
+    return joins.select(joins.joined(c, "nation", ["region"]), ["n_nationkey", "r_name"])
+
+
+@query("SELECT o_orderkey AS orders__o_orderkey, c_custkey AS customer__c_custkey, c_name AS customer__c_name, c_nationkey AS customer__c_nationkey, c_mktsegment AS customer__c_mktsegment, 4 AS refused FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 200000")
+def policy_join(spark, path):
+    """A join through the tools under a policy that hides a column and a table; four other calls are refused."""
+    tools = registry.of_catalog(_c(spark, path, "orders", "customer", "nation"), Policy(denied_columns={"customer": {"c_acctbal"}}, tables={"nation": False}))
+    ask = {"main": "orders", "tables": ["customer"], "kind": "INNER"}
+    out = tools.call("join_query", **ask, conditions=[_one("orders.o_totalprice", ">", 200000)], fields=["orders.o_orderkey", "customer.*"])
+    refused = [
+        tools.call("join_query", **ask, conditions=[_one("customer.c_acctbal", ">", 0)]), tools.call("join_query", **ask, fields=["customer.c_acctbal"]),
+        tools.call("join_query", main="customer", tables=["nation"]), tools.call("query", table="customer", conditions=[_one("c_acctbal", ">", 0)]),
+    ]
+    return out.data.withColumn("refused", F.lit(sum(r.code == "denied" for r in refused)))
 
 
 @query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
@@ -278,10 +321,10 @@ def check_templates(spark, path):
     return quality.failures(_t(spark, path, "lineitem"), checks)
 
 
-@query("SELECT count(*) AS n, count(try_cast(nullif(trim(lpad(k, 20, ' ')), '') AS BIGINT)) AS n_ok FROM (SELECT regexp_extract(p_name, '([^ ]*)$', 1) AS k FROM part)")
+@query("SELECT count(*) AS n, count(*) FILTER (p_partkey % 3 <> 0) AS n_ok, round(count(*) FILTER (p_partkey % 3 <> 0) / count(*), 4) AS ok_rate, (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT p_name AS v FROM part WHERE p_partkey % 3 = 0 ORDER BY v LIMIT 5)) AS examples FROM part")
 def cast_compat(spark, path):
-    df = _t(spark, path, "part").select(F.regexp_extract("p_name", "([^ ]*)$", 1).alias("k"))
-    return quality.compatibility(df, "k", "INTEGER").select("n", "n_ok")
+    df = _t(spark, path, "part").select(F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise(F.concat(F.lit(" "), F.col("p_size").cast("string"))).alias("k"))
+    return quality.compatibility(df, "k", "INTEGER").withColumn("examples", F.array_join("examples", "|"))
 
 
 @query("SELECT v AS o_orderstatus FROM (VALUES ('X'), ('F'), ('Q')) t(v) WHERE v NOT IN (SELECT o_orderstatus FROM orders)")
@@ -311,7 +354,7 @@ def strip_lines(spark, path):
     return quality.without_lines(df, "text", "found").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query(name="meta_search")
+@query("SELECT DISTINCT table_name FROM duckdb_columns() WHERE column_name LIKE '%key%' AND table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem')")
 def meta_search(spark, path):
     return Catalog.of_directory(spark, path).search("key")
 
@@ -319,19 +362,115 @@ def meta_search(spark, path):
 # changes, as plans
 
 
-@query("SELECT p_partkey, p_size, CAST(NULL AS VARCHAR) AS note FROM part")
+def _store(spark, path, table: str, *specs: TableSpec, **marks) -> mutate.Store:
+    """A store with one of the test tables, its columns marked as told, and further empty tables."""
+    df = _t(spark, path, table)
+    spec = TableSpec(table, tuple(ColumnSpec(f.name, f.dataType.simpleString().upper(), **marks.get(f.name, {})) for f in df.schema))
+    store = mutate.Store(spark, shared_folder(spark, "store"))
+    store.write({table: df}, {table: spec})
+    if specs:
+        store.create(list(specs))
+    return store
+
+
+@query("SELECT p_partkey, p_name, p_brand, p_type, p_retailprice, CAST(NULL AS VARCHAR) AS note FROM part")
 def add_drop_column(spark, path):
-    return _t(spark, path, "part").select("p_partkey", "p_size").withColumn("note", F.lit(None).cast("string"))
+    store = _store(spark, path, "part")
+    store.add_column("part", ColumnSpec("note", "TEXT"))
+    store.drop_column("part", "p_size")
+    return store.catalog.table("part")
 
 
 @query("SELECT p_partkey, CAST(p_size AS DOUBLE) AS p_size, CAST(CAST(p_retailprice AS DECIMAL(20,2)) AS DOUBLE) AS p_retailprice FROM part")
 def modify_type(spark, path):
-    return _t(spark, path, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), F.col("p_retailprice").cast("decimal(20,2)").cast("double").alias("p_retailprice"))
+    store = _store(spark, path, "part")
+    store.modify_type("part", "p_size", "DOUBLE")
+    store.modify_type("part", "p_retailprice", "DECIMAL(20,2)", force=True)
+    return store.catalog.table("part").select("p_partkey", "p_size", F.col("p_retailprice").cast("double").alias("p_retailprice"))
 
 
-@query("SELECT count(*) AS nulls FROM part WHERE p_size IS NULL")
+@query("SELECT 'p_size' AS name, true AS not_null UNION ALL SELECT 'p_name', false")
 def not_null_check(spark, path):
-    return aggregates.aggregated(_t(spark, path, "part"), "COUNT", "*", conditions=[_one("p_size", "IS NULL")]).withColumnRenamed("agg_result", "nulls")
+    store = _store(spark, path, "part")
+    store.write({"part": store.catalog.table("part").withColumn("p_name", F.when(F.col("p_partkey") > 1, F.col("p_name")))})
+    for name in ("p_size", "p_name"):
+        try:
+            store.set_not_null("part", name)
+        except mutate.Refused:
+            pass
+    return store.catalog.describe("part").where(F.col("name").isin("p_size", "p_name")).select("name", "not_null")
+
+
+_ITEMS = TableSpec("items", (ColumnSpec("code", "TEXT", unique=True, not_null=True), ColumnSpec("price", "FLOAT", rules={"min": 0, "max": 20, "check": "ABS(price) < 100"}), ColumnSpec("region_id", "BIGINT")), (ForeignKey("region_id", "region", "r_regionkey"),))
+
+
+@query("SELECT n_name AS code, CAST(nullif(n_nationkey, 3) AS DOUBLE) AS price, CAST(n_regionkey AS BIGINT) AS region_id, 5 AS refused FROM nation WHERE n_nationkey <= 20")
+def insert_checked(spark, path):
+    """Inserts of cleaned texts; five others break a rule, a unique column, a key, a type, or a value that must be there."""
+    store = _store(spark, path, "region", _ITEMS, r_regionkey={"unique": True})
+    price = F.when(F.col("n_nationkey") == 3, "—").otherwise(F.translate(F.col("n_nationkey").cast("string"), "0123456789", "０１２３４５６７８９"))
+    rows = _t(spark, path, "nation").select(F.col("n_name").alias("code"), price.alias("price"), F.col("n_regionkey").alias("region_id"), "n_nationkey")
+    store.insert("items", rows.where("n_nationkey <= 20").drop("n_nationkey"))
+    refused = 0
+    for bad in ({"code": "a", "price": "２１", "region_id": 1}, {"code": rows.where("n_nationkey = 5").first()["code"], "price": 1}, {"code": "b", "region_id": 99}, {"code": "c", "price": "dear"}, {"price": 2}):
+        try:
+            store.insert("items", bad)
+        except mutate.Refused:
+            refused += 1
+    return store.catalog.table("items").drop("id").withColumn("refused", F.lit(refused))
+
+
+@query("SELECT n_name AS code, CASE WHEN n_nationkey = 4 THEN 7.5 ELSE CAST(n_nationkey AS DOUBLE) END AS price, 'committed' AS state, 3 AS backups FROM nation WHERE n_nationkey <= 20 AND n_nationkey <> 6")
+def store_reopened(spark, path):
+    """A store's tables as a second store over its folder sees them, after a backup, a wrong change and its restoring."""
+    store = _store(spark, path, "region", _ITEMS, r_regionkey={"unique": True})
+    rows = _t(spark, path, "nation").where("n_nationkey <= 20").select(F.col("n_name").alias("code"), F.col("n_nationkey").alias("price"), F.col("n_regionkey").alias("region_id"))
+    store.insert("items", rows)
+    code = {r["price"]: r["code"] for r in rows.collect()}
+    store.update("items", [_one("code", "=", code[4])], {"price": "7.5"})
+    store.delete("items", [_one("code", "=", code[6])])
+    number = [store.backup(keep=2) for _ in range(3)][-1]
+    store.clear()
+    again = mutate.Store(spark, store.folder)
+    again.restore(number)
+    again = mutate.Store(spark, store.folder)
+    state = "committed" if again.catalog.specs["items"] == store.catalog.specs["items"] and not again.recovered else "lost"
+    return again.catalog.table("items").select("code", "price", F.lit(state).alias("state"), F.lit(number).alias("backups"))
+
+
+@query("SELECT * FROM (VALUES ('INSERT', 'yes'), ('INSERT of other values', 'no'), ('UPDATE', 'yes'), ('UPDATE of missing rows', 'no'), ('DELETE', 'yes'), ('DELETE of rows still there', 'no'), ('DELETE of none', 'unknown')) t(claim, verified)")
+def verify_insert(spark, path):
+    after = _t(spark, path, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    held = [r.asDict() for r in after.orderBy("o_orderkey").limit(3).collect()]
+    ids, gone = [r["o_orderkey"] for r in held], [-1, -2]
+    said = {
+        "INSERT": dict(action="INSERT", rows=held), "INSERT of other values": dict(action="INSERT", rows=[held[0], {**held[1], "o_custkey": -5}]),
+        "UPDATE": dict(action="UPDATE", ids=ids[:1], affected=1, values={"o_custkey": str(held[0]["o_custkey"])}), "UPDATE of missing rows": dict(action="UPDATE", ids=[*ids, -1]),
+        "DELETE": dict(action="DELETE", ids=gone, affected=2), "DELETE of rows still there": dict(action="DELETE", ids=[*gone, *range(1000), ids[0]]), "DELETE of none": dict(action="DELETE"),
+    }
+    names = {True: "yes", False: "no", None: "unknown"}
+    return spark.createDataFrame([(claim, names[reconcile.verify(after, "o_orderkey", **x)[0]]) for claim, x in said.items()], "claim string, verified string")
+
+
+@query("SELECT * FROM (VALUES ('missing_table', 'ghost', ''), ('key_target', 'nation', 'n_regionkey to region.code'), ('key_type', 'nation', 'n_name to region.r_regionkey'), ('missing_column', 'region', 'code2'), ('undeclared_table', 'part', '')) t(kind, table_name, name) UNION ALL SELECT 'not_unique', 'nation', 'n_regionkey' WHERE EXISTS (SELECT 1 FROM nation GROUP BY n_regionkey HAVING count(*) > 1)")
+def consistency_keys(spark, path):
+    c = _c(spark, path, "nation", "region")
+    nation, region = c.specs["nation"], c.specs["region"]
+    marked = tuple(ColumnSpec(x.name, x.type, unique=x.name in ("n_regionkey", "n_nationkey")) for x in nation.columns)
+    c.specs = {"nation": TableSpec("nation", marked, (ForeignKey("n_regionkey", "region", "code"), ForeignKey("n_name", "region", "r_regionkey"))), "region": TableSpec("region", (*region.columns, ColumnSpec("code2")))}
+    c.specs["ghost"] = TableSpec("ghost", (ColumnSpec("x"),))
+    c.frames["part"] = _t(spark, path, "part")
+    return catalog_inconsistencies(c)
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING'")
+def selection_export(spark, path):
+    folder = shared_folder(spark, "selections")
+    held = selection.Selections(spark, folder)
+    df = _t(spark, path, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    entry = held.save(filtered(df, [_one("c_mktsegment", "=", "BUILDING")]), "customer", "c_custkey")
+    held.export(entry["number"], df, f"{folder}/export")
+    return spark.read.option("header", True).csv(f"{folder}/export").select("c_custkey", "c_name")
 
 
 @query("SELECT 'orders' AS table_name, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT 'events', count(*) FROM events JOIN customer ON user_id = c_custkey WHERE c_mktsegment = 'BUILDING'")
@@ -441,13 +580,14 @@ def masked_star(spark, path):
 _PARTS = [TableSpec("items", (ColumnSpec("id", "BIGINT", pk=True), ColumnSpec("code", "TEXT", "code", unique=True), ColumnSpec("name", "TEXT", "name"), ColumnSpec("price", "FLOAT", "price")))]
 
 
-@query("SELECT 0 AS source_id, p_partkey AS code, p_name AS name, p_retailprice AS price FROM part")
+@query("SELECT p_partkey AS code, p_name AS name, p_retailprice AS price FROM part")
 def map_headers(spark, path):
-    rows = _t(spark, path, "part").select((F.col("p_partkey") % 50).alias("g"), F.array(F.col("p_partkey").cast("string"), "p_name", F.col("p_retailprice").cast("string")).alias("row"))
-    tables = rows.groupBy("g").agg(F.collect_list("row").alias("rows")).select(F.lit(0).alias("source_id"), F.array(F.lit("Code"), F.lit("Name"), F.lit("Price (EUR)")).alias("headers"), "rows")
-    tables = tables.withColumn("source_id", F.monotonically_increasing_id())
+    """Source tables of at most a thousand rows each, as files bring them."""
+    row = F.array(F.col("p_partkey").cast("string"), "p_name", F.col("p_retailprice").cast("string"))
+    rows = _t(spark, path, "part").select(F.floor(F.col("p_partkey") / 1000).alias("source_id"), row.alias("row"))
+    tables = rows.groupBy("source_id").agg(F.collect_list("row").alias("rows")).withColumn("headers", F.array(F.lit("Code"), F.lit("Name"), F.lit("Price (EUR)")))
     good, _ = mapping.mapped(tables, _PARTS)
-    return good.select(F.lit(0).alias("source_id"), F.col("values")["code"].cast("long").alias("code"), F.col("values")["name"].alias("name"), F.col("values")["price"].cast("double").alias("price"))
+    return good.select(F.col("values")["code"].cast("long").alias("code"), F.col("values")["name"].alias("name"), F.col("values")["price"].cast("double").alias("price"))
 
 
 @query("SELECT r_name AS name, CAST(r_regionkey AS VARCHAR) AS code FROM region")
@@ -467,6 +607,13 @@ def grouped_ingest(spark, path):
     return mapping.grouped_ingest(main, details, "code", F.lit(True), F.col("l_quantity") >= 5)["main"].select(F.col("code").alias("o_orderkey"))
 
 
+@query("SELECT l_orderkey AS code, 'detail invalid' AS reason FROM lineitem GROUP BY l_orderkey HAVING NOT bool_and(l_quantity >= 5)")
+def grouped_rejects(spark, path):
+    main = _t(spark, path, "orders").withColumnRenamed("o_orderkey", "code")
+    details = _t(spark, path, "lineitem").withColumnRenamed("l_orderkey", "code")
+    return mapping.grouped_ingest(main, details, "code", F.lit(True), F.col("l_quantity") >= 5)["rejects"]
+
+
 @query("SELECT doc_id, batch, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT conv_id AS doc_id, turn + 1 AS u, unnest(CASE WHEN turn % 3 = 2 THEN [turn // 3, turn // 3 + 1] ELSE [turn // 3] END) AS batch FROM conversations) t WHERE EXISTS (SELECT 1 FROM conversations c WHERE c.conv_id = t.doc_id AND c.turn // 3 = t.batch) GROUP BY doc_id, batch")
 def batches_with_overlap(spark, path):
     units = _t(spark, path, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("unit_no"), "text")

@@ -12,9 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a sheet's block and in all, paragraphs of a batch, bytes of a searched file, hits.
-BLOCK_ROWS, MOST_ROWS, BATCH_PARAGRAPHS, MOST_BYTES, MOST_HITS = 500, 50_000, 50, 2_000_000, 30
+#: Rows of a sheet's block, paragraphs of a batch, hits of a search.
+BLOCK_ROWS, BATCH_PARAGRAPHS, MOST_HITS = 500, 50, 30
 UNITS = "path string, unit_no int, text string, table_count int"
+_RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 _SHEET, _WORD = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}", "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -33,10 +34,11 @@ def jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, boun
     return reader.load()
 
 
-def search(spark: SparkSession, path: str, words: str, pattern: str = "*", hits: int = MOST_HITS) -> DataFrame:
-    """(path, line_no, line) of the first lines that hold the words in either case, in files of bounded size."""
+def search(spark: SparkSession, path: str, words: str, pattern: str = "*", hits: int = MOST_HITS, most_bytes: int | None = None) -> DataFrame:
+    """(path, line_no, line) of the first lines that hold the words in either case; ``most_bytes`` leaves larger files out."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-    lines = files.where(F.col("length") <= MOST_BYTES).select("path", F.posexplode(F.split(F.decode("content", "UTF-8"), "\r?\n")).alias("n", "line"))
+    files = files if most_bytes is None else files.where(F.col("length") <= most_bytes)
+    lines = files.select("path", F.posexplode(F.split(F.decode("content", "UTF-8"), "\r?\n")).alias("n", "line"))
     return lines.where(F.contains(F.lower("line"), F.lit(words.lower()))).select("path", (F.col("n") + 1).alias("line_no"), "line").orderBy("path", "line_no").limit(hits)
 
 
@@ -53,10 +55,12 @@ def sheet_rows(data: bytes) -> list[tuple[str, list[list[str]]]]:
         names = z.namelist()
         text = lambda e: "".join(t.text or "" for t in e.iter(f"{_SHEET}t"))
         shared = [text(e) for e in ET.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
-        titles = [e.get("name") for e in ET.fromstring(z.read("xl/workbook.xml")).iter(f"{_SHEET}sheet")]
+        # a sheet's file is what the workbook's relations say, whatever its place or number
+        targets = {e.get("Id"): e.get("Target") for e in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        sheets = [(e.get("name"), targets[e.get(_RELATION)]) for e in ET.fromstring(z.read("xl/workbook.xml")).iter(f"{_SHEET}sheet")]
         out = []
-        for i, title in enumerate(titles, 1):
-            root = ET.fromstring(z.read(f"xl/worksheets/sheet{i}.xml"))
+        for title, target in sheets:
+            root = ET.fromstring(z.read(target.lstrip("/") if target.startswith("/") else f"xl/{target}"))
             cells: dict[tuple[int, int], str] = {}
             for row in root.iter(f"{_SHEET}row"):
                 for c in row.iter(f"{_SHEET}c"):
@@ -75,16 +79,42 @@ def sheet_rows(data: bytes) -> list[tuple[str, list[list[str]]]]:
 
 
 def _sheet_units(data: bytes) -> Iterator[tuple[str, int]]:
-    left = MOST_ROWS
     for title, rows in sheet_rows(data):
-        header, body = rows[:1], rows[1 : 1 + left]
-        left -= len(body)
+        header, body = rows[:1], rows[1:]
         for i in range(0, len(body) or 1, BLOCK_ROWS):
             block = [" | ".join(r) for r in header + body[i : i + BLOCK_ROWS]]
             if block:
                 yield f"{title}\n" + "\n".join(block), 1
 
 
+def workbook(spark: SparkSession, path: str, sheet: str | None = None, rows: int | None = None) -> DataFrame:
+    """A workbook's sheet (the first, if none is named) as a table of texts; its first row names the columns.
+
+    Blank names become ``column_n``, repeated ones get their place; the header is read on the driver, the rows in tasks.
+    """
+    files = spark.read.format("binaryFile").load(path).select("content")
+
+    def chosen(data: bytes) -> list[list[str]]:
+        return next((r for title, r in sheet_rows(data) if sheet in (None, title)), [])
+
+    header = (chosen(bytes(files.first()["content"])) or [[]])[0]
+    names: list[str] = []
+    for i, h in enumerate(header, 1):
+        name = h.strip() or f"column_{i}"
+        names.append(name if name not in names else f"{name}_{i}")
+    if not names:
+        raise ValueError(f"no sheet {sheet}" if sheet else "no rows")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for data in batch["content"]:
+                body = chosen(data)[1:]
+                yield pd.DataFrame([(r + [""] * len(names))[: len(names)] for r in body], columns=names, dtype=str)
+
+    out = files.mapInPandas(run, ", ".join(f"`{n.replace('`', '``')}` string" for n in names))
+    return out.limit(rows) if rows else out
+
+
 def _word_units(data: bytes) -> Iterator[tuple[str, int]]:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         body = ET.fromstring(z.read("word/document.xml")).find(f"{_WORD}body")

@@ -63,6 +63,16 @@ def markdown(df: DataFrame, hidden: set[str] = frozenset(), limit: int = 100) ->
     return "\n".join([line(names), line(["---"] * len(names)), *map(line, rows)])
 
 
+def markdown_tables(frames: dict[str, DataFrame], hidden: set[str] = frozenset(), limit: int = 100) -> str:
+    """Several results under their names, those without rows said to be empty."""
+    parts = []
+    for name, df in frames.items():
+        held = df.limit(limit).cache()
+        parts.append(f"### {name}\n\n" + (markdown(held, hidden, limit) if held.limit(1).count() else "no rows"))
+        held.unpersist()
+    return "\n\n".join(parts)
+
+
 def listing(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
     """Names and bytes of a folder's files, the newest first."""
     p = spark._jvm.org.apache.hadoop.fs.Path(folder)

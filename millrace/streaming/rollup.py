@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.functions.text import plain_path
 
@@ -60,10 +65,84 @@ def slow(events: DataFrame, time: str, duration: str, key: str, above: float = S
 
 
 def rate_limited(events: DataFrame, by: str, time: str, key: str, limit: int, seconds: int = 60) -> DataFrame:
-    """Events with ``recent``, how many the same caller had within the seconds before (its own included), and ``allowed``."""
+    """Events with ``recent``, how many the same caller had within the seconds before (its own included), and ``allowed``.
+
+    A caller's events are dealt by slices of time, each with the slice before it, so that a busy caller's go to many tasks.
+    """
+    width = seconds * 1_000_000
     at = F.unix_micros(F.col(time).cast("timestamp"))
-    recent = Window.partitionBy(by).orderBy(at).rangeBetween(-seconds * 1_000_000 + 1, 0)
-    return events.withColumn("recent", F.count("*").over(recent)).withColumn("allowed", F.col("recent") <= limit)
+    rows = events.withColumn("__at", at).withColumn("__slice", F.floor(F.col("__at") / width))
+    rows = rows.withColumn("__in", F.explode(F.when(F.col("__at").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array(F.col("__slice"), F.col("__slice") + 1))))
+    recent = Window.partitionBy(by, "__in").orderBy("__at").rangeBetween(-width + 1, 0)
+    rows = rows.withColumn("recent", F.count("*").over(recent)).where(F.col("__in").eqNullSafe(F.col("__slice")))
+    return rows.drop("__at", "__slice", "__in").withColumn("allowed", F.col("recent") <= limit)
+
+
+class RateLimit:
+    """Per caller, the times within the window before: the state of :func:`stream_rate_limited`."""
+
+    def __init__(self, limit: int, seconds: int):
+        self.limit, self.width = limit, seconds * 1_000_000
+
+    def __call__(self, key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(state.get[0]) if state.exists else []
+        for batch in batches:
+            batch = batch.sort_values(["at", "event"], kind="stable")
+            recent = []
+            for at in batch["at"]:
+                held = [x for x in held if x > at - self.width] + [at]
+                recent.append(sum(x <= at for x in held))
+            yield pd.DataFrame({"caller": batch["caller"], "event": batch["event"], "recent": recent, "allowed": [n <= self.limit for n in recent]})
+        if state.hasTimedOut or not held:
+            state.remove()
+        else:
+            state.update((held,))
+
+
+def stream_rate_limited(events: DataFrame, by: str, time: str, key: str, limit: int, seconds: int = 60) -> DataFrame:
+    """(caller, event, recent, allowed) of a stream of events in order: as :func:`rate_limited`, with state for each caller."""
+    rows = events.select(F.col(by).cast("string").alias("caller"), F.col(key).cast("string").alias("event"), F.unix_micros(F.col(time).cast("timestamp")).alias("at"))
+    return rows.groupBy("caller").applyInPandasWithState(
+        RateLimit(limit, seconds), "caller string, event string, recent long, allowed boolean", "times array<long>", "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def stream_alerts(events: DataFrame, time: str, is_error: Column, duration: Column, path: str, checkpoint: str, watermark: str = "10 minutes"):
+    """A query that adds the alerts of each closed minute to the parquet table at ``path``, and ends when all is read.
+
+    A batch that is tried again after a failure writes its own folder anew, so no alert comes twice.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        alerts(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    out = by_minute(events, time, is_error, duration, watermark)
+    return out.writeStream.outputMode("append").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class Progress(StreamingQueryListener):
+    """Keeps what each query last reported: its batch, rows read, and how it ended."""
+
+    def __init__(self, on_batch=None):
+        self.batches: dict[str, list[dict]] = {}
+        self.ended: dict[str, str | None] = {}
+        self.on_batch = on_batch
+
+    def onQueryStarted(self, event) -> None:
+        self.batches[str(event.id)] = []
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        beat = {"batch": p.batchId, "rows": p.numInputRows, "name": p.name}
+        self.batches.setdefault(str(p.id), []).append(beat)
+        if self.on_batch:
+            self.on_batch(beat)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended[str(event.id)] = event.exception
 
 
 def stream_minutes(events: DataFrame, time: str, is_error: Column, duration: Column, name: str, checkpoint: str, watermark: str = "10 minutes"):
