@@ -185,7 +185,7 @@ def compatibility(df: DataFrame, column: str, new_type: str, sample: int | None
     counts = text.agg(F.count("*").alias("n"), F.count_if("ok").alias("n_ok"))
     # each task keeps five examples of its own
     bad = text.where(~F.col("ok")).select(F.substring("v", 1, 50).alias("v")).distinct().orderBy("v").limit(5).agg(F.array_sort(F.collect_list("v")).alias("examples"))
-    return counts.crossJoin(F.broadcast(bad)).select("n", "n_ok", F.when(F.col("n") > 0, F.round(F.col("n_ok") / F.col("n"), 4)).otherwise(1.0).alias("ok_rate"), "examples")
+    return counts.select("n", "n_ok", F.when(F.col("n") > 0, F.round(F.col("n_ok") / F.col("n"), 4)).otherwise(1.0).alias("ok_rate"), bad.scalar().alias("examples"))
 
 
 def narrow_risk(old: str, new: str) -> bool:

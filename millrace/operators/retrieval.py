@@ -77,7 +77,7 @@ def hybrid(pieces: DataFrame, query: list[float], words: str, k: int = 5, metric
     # no collection gives more than all may; how many each may give depends on how many there are
     rows = rows.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= max(3 * k, CANDIDATES))
     number = rows.where("rank = 1").agg(F.greatest(F.lit(1), F.count("*")).alias("n"))
-    rows = rows.crossJoin(F.broadcast(number)).where(F.col("rank") <= F.greatest(F.lit(3 * k), F.floor(F.lit(CANDIDATES) / F.col("n")))).drop("n")
+    rows = rows.where(F.col("rank") <= F.greatest(F.lit(3 * k), F.floor(F.lit(CANDIDATES) / number.scalar())))
     rows = rows.orderBy("collection", "rank").limit(CANDIDATES).drop("rank")
     rows = rows.withColumn("text", F.substring("text", 1, TEXT_LENGTH)).withColumn("vector_score", F.greatest(F.lit(0.0), 1 - F.col("distance")))
     if found:
