@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Chunks that a worker remembers before it starts over, characters of the longest that it does (longer ones are
-#: encoded anew, so that a worker holds 100 MB at most), and documents whose remainders make one pool.
-CACHE, LONGEST, POOL = 400_000, 48, 4096
+#: encoded anew, so that a worker holds 50 MB at most), and documents whose remainders make one pool.
+CACHE, LONGEST, POOL = 200_000, 48, 4096
 
 
 class ByteBPE:

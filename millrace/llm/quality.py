@@ -237,12 +237,13 @@ def reached_by(docs: DataFrame, net: Net, cuts: np.ndarray) -> tuple[np.ndarray,
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model | None:
     """Train on documents whose crc32 modulo 5 isn't 0; None without positives or texts."""
-    rows = sampled(docs, labels, s).toPandas().sort_values(["h", "positive"], kind="stable")
-    side = rows.positive.to_numpy(bool)
+    rows = sampled(docs, labels, s).toArrow().sort_by([("h", "ascending"), ("positive", "ascending")])
+    side = rows.column("positive").to_numpy().astype(bool)
     if not side.any() or side.all():
         return None
-    x = np.stack(rows.x.to_numpy())
+    x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(len(side), -1).astype(np.float32)
     positive, unlabelled = x[side], x[~side]
+    del rows, x
     net, cuts = separator(positive, unlabelled, s)
     reached, total = reached_by(docs.where(remainder("doc_id", 5) != 0), net, cuts)
     prior = class_prior(net.logits(positive[1::2]), cuts, reached, total)
