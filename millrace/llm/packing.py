@@ -59,9 +59,14 @@ class ByteBPE:
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         stand_in = {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in kept)}
         ranks = {bytes(stand_in[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.added}
+        self.ranks = ranks
         self.engine = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.seen: dict[str, bytes] = {}
 
+    def pieces(self) -> list[tuple[int, bytes]]:
+        """Each id of the vocabulary, added tokens included, and the bytes that it stands for."""
+        return [(i, t) for t, i in self.ranks.items()] + [(int.from_bytes(i, "little"), t.encode()) for t, i in self.added.items()]
+
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of a text."""
         if self.quoted is None or not self.quoted.search(text):

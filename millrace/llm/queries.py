@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, covertree, mtree, neardup, ngrams, packing, pieces, pii, quality, toxicity
+from millrace.llm import chat, covertree, importance, mtree, neardup, ngrams, packing, pieces, pii, quality, toxicity, whitening, wordbpe
 from millrace.llm.common import remainder, table
 
 
@@ -83,6 +83,26 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_rows(rows.unionByName(own), "conv_id"), "conv_id")
 
 
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document as digests, by a table of distinct words."""
+    return wordbpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer("byte_bpe_50k.json"), digests=True)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight whitened components of every embedding."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents of 20 words and more, drawn towards the texts of the benchmark."""
+    return importance.resample(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "text")
+
+
+def whitening_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op12: vectors that take part, their number and exact deviations."""
+    return op12_whitening(spark, sf_dir).where("component = 1").select("vec_id", "n", "deviation")
+
+
 def ngram_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of op1: counts, and the base score to six digits."""
     return op1_ngram_scores(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
@@ -104,6 +124,10 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_minhash": op9_minhash,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_word_bpe": op11_word_bpe,
+    "op12_whitening": op12_whitening,
+    "op13_importance": op13_importance,
+    "whitening_base_columns": whitening_base_columns,
     "ngram_base_columns": ngram_base_columns,
     "pii_base_counts": pii_base_counts,
 }
@@ -165,6 +189,41 @@ WITH rows AS (
   FROM (SELECT conv_id, turn, coalesce(role, '') AS role, text FROM rows) GROUP BY conv_id
 )
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM turns
+""",
+    "op13_importance": """
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), aims AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM benchmark
+), held AS (SELECT doc_id, unnest(w) AS w FROM words
+), counts AS (
+  SELECT w, CAST(sum(own) AS BIGINT) AS own, CAST(sum(aim) AS BIGINT) AS aim FROM (SELECT w, 1 AS own, 0 AS aim FROM held UNION ALL SELECT w, 0, 1 FROM aims) GROUP BY w
+), bytes AS (
+  SELECT w, own, aim, list_transform(range(1, length(hex(encode(w))) // 2 + 1), lambda i: CAST('0x' || substr(hex(encode(w)), 2 * i - 1, 2) AS BIGINT)) AS b FROM counts
+), hashed AS (
+  SELECT w, own, aim, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b),
+    lambda c, x: list_reduce(list_prepend(xor(c, x), CAST(range(8) AS BIGINT[])), lambda y, k: xor(y >> 1, CASE WHEN y % 2 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 10000 AS bucket FROM bytes
+), totals AS (SELECT CAST(sum(own) AS DOUBLE) AS s, coalesce(CAST(sum(aim) AS DOUBLE), 0) AS t FROM hashed
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(((sum(aim) + 1.0) * (any_value(s) + 10000)) / ((sum(own) + 1.0) * (any_value(t) + 10000)))) AS BIGINT) AS gain FROM hashed, totals GROUP BY bucket
+), weights AS (
+  SELECT doc_id, count(*) AS n_features, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight FROM held JOIN hashed USING (w) JOIN gains USING (bucket) GROUP BY doc_id
+), scores AS (
+  SELECT words.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || CAST(words.doc_id AS VARCHAR)), 1, 8) AS BIGINT) + 0.5) / 4294967296.0))) AS BIGINT) AS score
+  FROM words LEFT JOIN weights USING (doc_id)
+), ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scores WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM scores LEFT JOIN ranked USING (doc_id)
+""",
+    "whitening_base_columns": """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS HUGEINT) + 100000) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), x AS (SELECT vec_id, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM e
+), sums AS (SELECT i, sum(x) AS s, count(*) AS n FROM x GROUP BY i)
+SELECT vec_id, any_value(n) AS n, CAST(sum((n * x - s) * (n * x - s)) AS BIGINT) AS deviation FROM x JOIN sums USING (i) GROUP BY vec_id
 """,
     "op6_mtree": """
 WITH e AS (
