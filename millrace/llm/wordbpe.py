@@ -33,10 +33,12 @@ from millrace.llm.packing import encoder
 #: First bytes of characters of several bytes among which there is white space: no text is cut beside them.
 UNSURE = [0xC2, 0xE1, 0xE2, 0xE3, 0xEF]
 SPACE, LETTER, MARK = 1, 2, 4
+#: Words of a row of a dictionary, and words of one that come first as the most frequent.
+WORDS = FREQUENT = 1 << 16
 #: What the name of a long word starts with, and bytes of the longest that is its own name.
 LONG, LONGEST = "#", 64
 #: Words whose ids and bytes are put together at once.
-AT_ONCE = 1 << 19
+AT_ONCE = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -47,7 +49,7 @@ class Settings:
     several input splits where those are smaller than a block.
     """
 
-    block_bytes: int = 96 << 20
+    block_bytes: int = 64 << 20
     step_bytes: int = 4 << 20
     most_buckets: int = 20_000
 
@@ -116,13 +118,13 @@ def words_of(texts: pa.Array, quoted=None) -> tuple[pa.Array, np.ndarray]:
     return found, counts
 
 
-def planes(codes: np.ndarray) -> bytes:
-    """Numbers byte by byte, all first bytes first: what is written compresses them so."""
-    return codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def of_planes(data: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(data.reshape(4, -1).T).view("<u4").ravel()
 
 
-def of_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+def value(data: np.ndarray) -> pa.Array:
+    """One binary value, of the bytes of ``data`` where they are."""
+    return pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, data.nbytes], np.int32)), pa.py_buffer(data)])
 
 
 class Block:
@@ -138,25 +140,43 @@ class Block:
     def add(self, keys: pa.Array, texts: pa.Array, quoted) -> None:
         words, counts = words_of(texts, quoted)
         coded = words.dictionary_encode()
-        self.codes.append(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + sum(map(len, self.words)))
+        self.codes.append(coded.indices.to_numpy(zero_copy_only=False).astype(np.uint32))
         self.words.append(coded.dictionary)
         self.counts.append(counts)
         self.keys.append(keys)
         self.size += texts.nbytes
 
-    def row(self, number: int) -> pa.RecordBatch:
+    def rows(self, number: int) -> Iterator[pa.RecordBatch]:
+        """The block as small rows: first its words, then its texts step by step.
+
+        Codes are written byte by byte, all first bytes first, which compresses better.
+        """
         merged = pa.concat_arrays(self.words).dictionary_encode()
-        codes = merged.indices.to_numpy(zero_copy_only=False)[np.concatenate(self.codes)] if len(merged) else np.zeros(0, np.int64)
-        order = np.argsort(-np.bincount(codes, minlength=len(merged.dictionary)), kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        words = merged.dictionary.take(pa.array(order)).cast(pa.string())
-        keys, counts = pa.concat_arrays(self.keys), np.concatenate(self.counts)
+        ends = np.cumsum(list(map(len, self.words)))
+        of_step = np.split(merged.indices.to_numpy(zero_copy_only=False).astype(np.uint32), ends[:-1])
+        often = np.zeros(len(merged.dictionary), np.int64)
+        for codes, own in zip(self.codes, of_step, strict=True):
+            often[own] += np.bincount(codes, minlength=len(own))
+        # frequent words have small numbers, the others stand in order: both compress
+        order = np.argsort(-often, kind="stable")
+        rest = order[FREQUENT:]
+        order[FREQUENT:] = rest[pc.sort_indices(merged.dictionary.take(pa.array(rest))).to_numpy()]
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+
+        def row(first: int, **values: pa.Array) -> pa.RecordBatch:
+            empty = {"keys": pa.array([None], pa.list_(self.keys[0].type)), "counts": pa.array([None], pa.list_(pa.int32())), "codes": pa.array([None], pa.binary()), "words": pa.array([None], pa.list_(pa.string()))}
+            return pa.RecordBatch.from_pydict({"block": pa.array([number], pa.int64()), "first": pa.array([first], pa.int32()), **empty, **values})
 
         def one(values: pa.Array) -> pa.Array:
             return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), one(keys), one(pa.array(counts, pa.int32())), pa.array([planes(rank[codes])], pa.binary()), one(words)], ["block", "keys", "counts", "codes", "words"])
+        for low in range(0, len(order), WORDS):
+            yield row(low, words=one(merged.dictionary.take(pa.array(order[low : low + WORDS])).cast(pa.string())))
+        for i, (keys, counts, own) in enumerate(zip(self.keys, self.counts, of_step, strict=True)):
+            codes, self.codes[i] = rank[own][self.codes[i]], None
+            planes = np.ascontiguousarray(codes.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4).T)
+            yield row(i, keys=one(keys), counts=one(pa.array(counts, pa.int32())), codes=value(planes))
 
 
 def quoted_tokens(path: str):
@@ -168,7 +188,7 @@ def quoted_tokens(path: str):
 
 
 def blocks(df: DataFrame, key: str, text: str, path: str, s: Settings) -> DataFrame:
-    """A row a block: its number, keys, numbers of words of each text, words as numbers, and its dictionary."""
+    """Rows of blocks: its dictionary from word ``first`` on; or keys, numbers of words, and words as numbers of some texts."""
     kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,17 +202,18 @@ def blocks(df: DataFrame, key: str, text: str, path: str, s: Settings) -> DataFr
                 own.add(batch.column("key").slice(low, high - low), batch.column("text").slice(low, high - low), quoted)
                 low = high
                 if own.size >= s.block_bytes:
-                    yield own.row(number)
+                    yield from own.rows(number)
                     number, own = number + 1, Block()
         if own.keys:
-            yield own.row(number)
+            yield from own.rows(number)
+        pa.default_memory_pool().release_unused()  # the worker serves other tasks
 
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     spark = df.sparkSession
     splits = s.block_bytes // (2 * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     if splits > 1:
         rows = rows.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-rows.rdd.getNumPartitions() // splits)))
-    return rows.mapInArrow(run, f"block long, keys array<{kind}>, counts array<int>, codes binary, words array<string>")
+    return rows.mapInArrow(run, f"block long, first int, keys array<{kind}>, counts array<int>, codes binary, words array<string>")
 
 
 def encoded(word: Column, path: str) -> Column:
@@ -263,7 +284,8 @@ def encode(df: DataFrame, key: str, text: str, path: str, digests: bool = False,
     buckets = min(s.most_buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
     held = in_buckets(blocks(df, key, text, path, s), buckets)
     short, long = named(F.col("word"))
-    places = held.select("block", F.posexplode("words").alias("k", "word")).select("block", "k", short.alias("name"), long.alias("long")).repartition("name")
+    places = held.where("words IS NOT NULL").select("block", "first", F.posexplode("words").alias("at", "word"))
+    places = places.select("block", (F.col("first") + F.col("at")).alias("k"), short.alias("name"), long.alias("long")).repartition("name")
     # with its first place a word takes the same exchange as the join below, which is made once
     words = places.groupBy("name").agg(F.min(F.struct("block", "k", "long")).alias("first"))
     words = words.select("name", encoded(F.coalesce("first.long", "name"), path).alias("ids")).repartition("name")
@@ -271,36 +293,43 @@ def encode(df: DataFrame, key: str, text: str, path: str, digests: bool = False,
     # what decodes to the word itself is in the block already; ids go back as bytes, two of each if all fit
     wide = 2 if max(i for i, _ in encoder(path).pieces()) < 1 << 16 else 4
     packed = F.unhex(F.array_join(F.transform("ids", lambda x: F.lpad(F.hex(x), 2 * wide, "0")), ""))
-    same = (F.col("decoded") == F.col("name").cast("binary")) | (F.col("name") == F.concat(F.lit(LONG), F.sha2("decoded", 256)))
-    words = words.select("name", packed.alias("ids"), F.when(~same, F.col("decoded")).alias("decoded"))
-    back = places.select("block", "k", "name").join(words, "name").select(F.col("block").alias("home"), "k", "ids", "decoded")
+    words = words.select("name", packed.alias("ids"), "decoded")
+    other = F.when(F.col("decoded") != F.coalesce("long", "name").cast("binary"), F.col("decoded"))
+    back = places.join(words, "name").select(F.col("block").alias("home"), "k", "ids", other.alias("decoded"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        block, right = left.slice(0, 1).combine_chunks(), right.sort_by("k").combine_chunks()
-        own = pc.list_flatten(block.column("words"))
-        ids, said = joined(right.column("ids")), joined(pc.coalesce(right.column("decoded"), pc.cast(own, pa.binary())))
-        codes, counts = of_planes(block.column("codes")[0].as_py()), pc.list_flatten(block.column("counts")).to_numpy()
-        out, low, first = [], 0, 0
-        while first < len(counts):
-            last = first + max(1, int(np.searchsorted(np.cumsum(counts[first : first + AT_ONCE]), AT_ONCE, "right")))
-            some, n = codes[low : low + int(counts[first:last].sum())], counts[first:last]
-            low, first = low + len(some), last
-            bounds = np.append(0, np.cumsum(n))
-            taken, of_ids = gathered(*ids, some)
-            # ids came as big-endian numbers
-            taken = taken.view(f">u{wide}").astype("<u4")
-            text, of_text = gathered(*said, some)
-            text = text.tobytes()
-            for a, b, c, d in zip(of_ids[bounds[:-1]] // wide, of_ids[bounds[1:]] // wide, of_text[bounds[:-1]].tolist(), of_text[bounds[1:]].tolist(), strict=True):
-                decoded = text[c:d].decode("utf-8", "replace")
-                if digests:
-                    out.append((b - a, hashlib.sha256(taken[a:b]).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
-                else:
-                    out.append((taken[a:b], decoded))
-        keys = pc.list_flatten(block.column("keys"))
+        right = right.sort_by("k").combine_chunks()
+        words = left.select(["first", "words"]).filter(pc.is_valid(left.column("words"))).sort_by("first").column("words")
+        ids, said = joined(right.column("ids")), joined(pc.coalesce(right.column("decoded"), pc.cast(pc.list_flatten(words), pa.binary())))
+        del right, words
+        out, keys = [], []
+        for step in range(left.num_rows):
+            if not left.column("codes")[step].is_valid:
+                continue
+            codes = of_planes(np.frombuffer(left.column("codes")[step].as_buffer(), np.uint8))
+            counts = left.column("counts")[step].values.to_numpy()
+            keys.append(left.column("keys")[step].values)
+            low, first, ends = 0, 0, np.cumsum(counts)
+            while first < len(counts):
+                last = max(first + 1, int(np.searchsorted(ends, low + AT_ONCE, "right")))
+                some, n = codes[low : int(ends[last - 1])], counts[first:last]
+                low, first = low + len(some), last
+                bounds = np.append(0, np.cumsum(n))
+                taken, of_ids = gathered(*ids, some)
+                # ids came as big-endian numbers
+                taken = taken.view(f">u{wide}").astype("<u4")
+                text, of_text = gathered(*said, some)
+                text, of_ids, of_text = text.tobytes(), (of_ids[bounds] // wide).tolist(), of_text[bounds].tolist()
+                for a, b, c, d in zip(of_ids, of_ids[1:], of_text, of_text[1:]):
+                    decoded = text[c:d].decode("utf-8", "replace")
+                    if digests:
+                        out.append((b - a, hashlib.sha256(taken[a:b]).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+                    else:
+                        out.append((taken[a:b], decoded))
+        pa.default_memory_pool().release_unused()
         kinds = [pa.int64(), pa.string(), pa.string()] if digests else [pa.list_(pa.int32()), pa.string()]
         columns = zip(*out, strict=True) if out else [[]] * len(kinds)
-        return pa.Table.from_arrays([keys, *[pa.array(list(c), k) for c, k in zip(columns, kinds)]], names=names)
+        return pa.Table.from_arrays([pa.concat_arrays(keys), *[pa.array(list(c), k) for c, k in zip(columns, kinds)]], names=names)
 
     names = ["key", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["key", "ids", "text"]
     more = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, text string"
