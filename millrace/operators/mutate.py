@@ -1,25 +1,39 @@
-"""Changes to stored tables as new snapshots behind one manifest.
+"""Changes to stored tables as new folders behind one manifest.
 
-A table's rows are files that no change touches; a change writes new folders, and then one manifest that names each
-table's current folder and declaration. A store that is opened sees the newest manifest. What a change is about to
-write is noted in a journal first: a change that ended before its manifest is finished at the next opening if all its
-folders are complete, and else its folders go. Undoing is naming the earlier folders and declarations again.
+A table is a list of folders that no change touches: rows that were added, and ids of rows that are gone from the
+folders before it. An insert adds a folder of its rows, an update or delete one of ids, and no old row is written
+again; :meth:`Store.vacuum` folds a table into one folder. A change writes its folders, and then one manifest that names
+each table's folders and declaration. Undoing is naming the earlier folders and declarations again.
+
+One session at a time changes a store. It claims the next manifest's number by creating a file that nobody else can
+create, and keeps the claim alive by touching it. What it is about to write is noted in a journal. Opening a store
+never touches a live session's change. Only when a claim hasn't been touched for ``patience`` seconds is it taken
+over: the change is finished if all its folders are complete; else the number is used up by a manifest without it, so
+that its owner, should it still live, can't publish it any more, and only then its folders go.
 
 What is inserted or updated must meet its table's declaration: types (texts are cleaned first), values that must be
 there, row rules and checks, unique columns, and keys with parents. A change that breaks one is refused as a whole.
+Keys act as declared: a row that others point to is deleted only if they go too (CASCADE), let go of it (SET NULL), or
+are deleted by the same change; a referenced value that changes takes its children along (CASCADE) or stays (RESTRICT).
 """
 
 from __future__ import annotations
 
 import json
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, replace
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.quality import change_risk, compatibility, guarded, narrow_risk, orphans, typed, violations
 from millrace.plans.catalog import Catalog, ColumnSpec, ForeignKey, TableSpec, family, renamed, spark_type
+from millrace.sources.places import shared_folder
 
 MOST_INSERTED, MOST_UPDATED, MOST_CONFIRMED = 1_000, 10_000, 100
 
@@ -81,14 +95,20 @@ def of_json(held: dict) -> TableSpec:
     return TableSpec(**{**held, "columns": columns, "foreign_keys": tuple(ForeignKey(**k) for k in held["foreign_keys"]), "aliases": tuple(map(tuple, held["aliases"]))})
 
 
+def folders(table: str | list[dict]) -> list[dict]:
+    """A manifest's entry for a table as its folders in order; an older manifest names one folder."""
+    return [{"rows": table}] if isinstance(table, str) else table
+
+
 class Store:
     """Snapshots of a catalog's tables under one folder, which may have been written by an earlier session."""
 
-    def __init__(self, spark: SparkSession, folder: str, keep: int = 7):
-        self.spark, self.folder, self.keep = spark, folder.rstrip("/"), keep
+    def __init__(self, spark: SparkSession, folder: str, keep: int = 7, patience: float = 60):
+        self.spark, self.folder, self.keep, self.patience = spark, folder.rstrip("/"), keep, patience
         self.catalog = Catalog(spark)
         self.number = -1
-        self.current: dict[str, str] = {}
+        self.current: dict[str, str | list[dict]] = {}
+        self._claim: str | None = None
         self._open()
 
     # files
@@ -106,15 +126,46 @@ class Store:
     def _get(self, name: str) -> dict:
         return json.loads(self.spark.read.text(f"{self.folder}/{name}", wholetext=True).first()[0])
 
+    def _local(self, p):
+        """The same place for java.nio, if it is on a local file system; that of Hadoop can't create exclusively."""
+        return self.spark._jvm.java.nio.file.Paths.get(p.toUri()) if p.toUri().getScheme() == "file" else None
+
+    def _exclusive(self, name: str) -> bool:
+        """Create an empty file; whether it wasn't there."""
+        fs, p = self._fs(f"{self.folder}/{name}")
+        fs.mkdirs(p.getParent())
+        nio = self.spark._jvm.java.nio.file
+        try:
+            if (own := self._local(p)) is not None:
+                nio.Files.createFile(own, self.spark.sparkContext._gateway.new_array(nio.attribute.FileAttribute, 0))
+            else:
+                fs.create(p, False).close()
+        except Exception as e:
+            if "AlreadyExists" not in str(e):
+                raise
+            return False
+        return True
+
     def _put(self, name: str, held: dict) -> None:
-        """A whole file or none: it is written aside and then renamed, and never replaces another."""
+        """A whole file or none: it is written aside, then linked or renamed, and never replaces another."""
         fs, aside = self._fs(f"{self.folder}/.{name}-{uuid.uuid4().hex}")
         out = fs.create(aside, False)
         out.write(bytearray(json.dumps(held).encode()))
         out.close()
         _, p = self._fs(f"{self.folder}/{name}")
-        if fs.exists(p) or not fs.rename(aside, p):
+        try:
+            if (own := self._local(p)) is not None:
+                self.spark._jvm.java.nio.file.Files.createLink(own, self._local(aside))
+                done = True
+            else:
+                done = not fs.exists(p) and fs.rename(aside, p)
+        except Exception as e:
+            if "AlreadyExists" not in str(e):
+                raise
+            done = False
+        if fs.exists(aside):
             fs.delete(aside, False)
+        if not done:
             raise Refused(f"{name} exists: another session has changed the store")
 
     def _drop(self, *paths: str) -> None:
@@ -122,63 +173,193 @@ class Store:
             fs, p = self._fs(path)
             fs.delete(p, True)
 
+    # claims
+
+    def _claims(self, number: int) -> list[str]:
+        """Claims on a manifest's number, the latest last."""
+        return self._names(f"claim-{number:08d}-")
+
+    def _alive(self, name: str) -> bool:
+        """Whether a claim has been touched lately, by the clock of the file system that keeps it."""
+        fs, p = self._fs(f"{self.folder}/{name}")
+        probe = f".now-{uuid.uuid4().hex}"
+        self._exclusive(probe)
+        _, now = self._fs(f"{self.folder}/{probe}")
+        try:
+            age = fs.getFileStatus(now).getModificationTime() - fs.getFileStatus(p).getModificationTime()
+        except Exception as e:
+            if "FileNotFound" not in str(e):
+                raise
+            return False  # let go of meanwhile
+        finally:
+            fs.delete(now, False)
+        return age < 1000 * self.patience
+
+    def _owned(self) -> bool:
+        """Whether nobody has taken this session's claim over."""
+        return self._claim is not None and self._claims(int(self._claim.split("-")[1]))[-1:] == [self._claim]
+
+    @contextmanager
+    def _claimed(self) -> Iterator[None]:
+        """The right to write the next manifest, kept alive meanwhile."""
+        if self._claim:
+            yield
+            return
+        number = self.number + 1
+        before = self._claims(number)
+        if before and self._alive(before[-1]):
+            raise Refused("another session is changing the store")
+        if self._names("manifest-")[-1:] > [f"manifest-{self.number:08d}.json"]:
+            raise Refused("another session has changed the store")
+        epoch = 1 + max((int(n.split("-")[2][:4]) for n in before), default=0)
+        name = f"claim-{number:08d}-{epoch:04d}.json"
+        if not self._exclusive(name):
+            raise Refused("another session is changing the store")
+        self._claim, over = name, threading.Event()
+        fs, p = self._fs(f"{self.folder}/{name}")
+
+        def beat() -> None:
+            while not over.wait(max(0.05, self.patience / 4)):
+                try:
+                    status = fs.getFileStatus(p)
+                    fs.setTimes(p, max(self.spark._jvm.System.currentTimeMillis(), status.getModificationTime()), -1)
+                except Exception:  # the claim was taken over, or the session ends: publishing will tell
+                    return
+
+        beating = threading.Thread(target=beat, daemon=True)
+        beating.start()
+        try:
+            if before:
+                self._take_over(number)
+            yield
+        finally:
+            over.set()
+            beating.join()
+            self._claim = None
+            self._drop(*[f"{self.folder}/{n}" for n in self._claims(number) if n <= name])
+
+    def _take_over(self, number: int) -> None:
+        """Finish what a dead session left of a change, or fence it off and clear it."""
+        for name in self._names(f"journal-{number:08d}"):
+            note = self._get(name)
+            whole = all(fs.exists(p) for fs, p in (self._fs(f"{x}/_SUCCESS") for x in note["new"]))
+            if whole:
+                self._publish(note["tables"], {n: of_json(x) for n, x in note["specs"].items()})
+            else:
+                self._publish(self.current, dict(self.catalog.specs))
+                self._drop(*note["new"])
+            self._drop(f"{self.folder}/{name}")
+            self.recovered[name] = "committed" if whole else "compensated"
+
     # manifests
 
     def _open(self) -> None:
-        """Take the newest manifest's state, and finish or clear what a journal has left."""
+        """Take the newest manifest's state, and finish or clear what dead sessions have left."""
+        self.recovered: dict[str, str] = {}
         names = self._names("manifest-")
-        if names:
-            held = self._get(names[-1])
-            self.number = held["number"]
-            self._take(held)
-        self.recovered = {n: self._recover(n) for n in self._names("journal-")}
-
-    def _recover(self, name: str) -> str:
-        note = self._get(name)
-        done = note["number"] <= self.number
-        if not done and note["number"] == self.number + 1:
-            whole = all(fs.exists(p) for fs, p in (self._fs(f"{x}/_SUCCESS") for x in note["new"]))
+        for i, name in enumerate(reversed(names)):
+            held = self._get(name)
+            try:
+                self._take(held)
+            except AnalysisException as e:  # a folder is gone: what was there before still opens
+                if i + 1 == len(names):
+                    raise
+                self.recovered[name] = str(e).splitlines()[0]
+                continue
+            self.number = int(names[-1][9:17])
+            break
+        for name in self._names("journal-"):
+            self._recover(name)
+
+    def _recover(self, name: str) -> None:
+        number = int(name[8:16])
+        claims = self._claims(number)
+        if claims and self._alive(claims[-1]):
+            self.recovered[name] = "running"
+            return
+        try:
+            note = self._get(name)
+        except AnalysisException:
+            return  # its session has just ended it
+        if number <= self.number:
+            # the number went to this change or to another one: what no manifest names is left over
+            named = {x for held in self.history() for t in held["tables"].values() for f in folders(t) for x in f.values()}
+            self._drop(*[x for x in note["new"] if x not in named], f"{self.folder}/{name}", *[f"{self.folder}/{n}" for n in claims])
+            self.recovered[name] = "committed" if set(note["new"]) <= named else "compensated"
+        elif claims:
+            try:
+                with self._claimed():
+                    pass
+            except Refused:
+                self.recovered[name] = "running"
+        else:  # nobody holds a claim any more, so nobody can publish it
+            whole = number == self.number + 1 and all(fs.exists(p) for fs, p in (self._fs(f"{x}/_SUCCESS") for x in note["new"]))
             if whole:
-                self._publish(note["tables"], {n: of_json(x) for n, x in note["specs"].items()})
-                self._drop(f"{self.folder}/{name}")
-                return "committed"
-        if not done:
-            self._drop(*note["new"])
-        self._drop(f"{self.folder}/{name}")
-        return "committed" if done else "compensated"
+                with self._claimed():
+                    self._publish(note["tables"], {n: of_json(x) for n, x in note["specs"].items()})
+            else:
+                self._drop(*note["new"])
+            self._drop(f"{self.folder}/{name}")
+            self.recovered[name] = "committed" if whole else "compensated"
+
+    def _read(self, table: str | list[dict]) -> DataFrame:
+        """A table's rows: those of its folders whose ids no later folder takes away."""
+        parts = folders(table)
+        rows = [(i, f["rows"]) for i, f in enumerate(parts) if "rows" in f]
+        gone = [(i, f["gone"]) for i, f in enumerate(parts) if "gone" in f]
+        schema = self.spark.read.parquet(rows[0][1]).schema
+        if not gone:
+            return self.spark.read.schema(schema).parquet(*[p for _, p in rows])
+        untouched = [p for i, p in rows if i > gone[-1][0]]
+        touched = [self.spark.read.schema(schema).parquet(p).withColumn("__at", F.lit(i)) for i, p in rows if i < gone[-1][0]]
+        ids = reduce(DataFrame.unionByName, [self.spark.read.parquet(p).select(F.col("id").alias("__id"), F.lit(i).alias("__to")) for i, p in gone])
+        left = reduce(DataFrame.unionByName, touched)
+        left = left.join(ids, (F.col("id") == F.col("__id")) & (F.col("__to") > F.col("__at")), "left_anti").drop("__at")
+        return left.unionByName(self.spark.read.schema(schema).parquet(*untouched)) if untouched else left
 
     def _take(self, held: dict) -> None:
-        self.current = held["tables"]
+        frames = {n: self._read(p) for n, p in held["tables"].items()}
+        self.number, self.current = held["number"], held["tables"]
         self.catalog = Catalog(self.spark)
-        for name, spec in held["specs"].items():
+        for spec in held["specs"].values():
             self.catalog.declare(of_json(spec))
-        self.catalog.frames = {n: self.spark.read.parquet(p) for n, p in self.current.items()}
+        self.catalog.frames = frames
 
-    def _publish(self, tables: dict[str, str], specs: dict[str, TableSpec]) -> None:
+    def _publish(self, tables: dict[str, str | list[dict]], specs: dict[str, TableSpec]) -> None:
         held = {"number": self.number + 1, "tables": tables, "specs": {n: as_json(x) for n, x in specs.items()}}
+        if not self._owned():
+            raise Refused("another session has taken this change over")
         self._put(f"manifest-{held['number']:08d}.json", held)
-        self.number += 1
         self._take(held)
 
     def history(self) -> list[dict]:
         """The manifests that are still there, the oldest first."""
         return [self._get(n) for n in self._names("manifest-")]
 
-    def write(self, frames: dict[str, DataFrame], specs: dict[str, TableSpec | None] | None = None) -> None:
-        """New snapshots of several tables and changed declarations: all are written, then all become current together."""
-        new = {name: f"{self.folder}/{name}-{uuid.uuid4().hex}" for name in frames}
-        declared = {n: x for n, x in {**self.catalog.specs, **(specs or {})}.items() if x is not None}
-        tables = {n: p for n, p in {**self.current, **new}.items() if n in declared or n in new}
-        note = f"journal-{self.number + 1:08d}.json"
-        self._put(note, {"number": self.number + 1, "new": list(new.values()), "tables": tables, "specs": {n: as_json(x) for n, x in declared.items()}})
-        try:
-            for name, df in frames.items():
-                df.write.parquet(new[name])
-            self._publish(tables, declared)
-        except Exception:
-            self._drop(*new.values())
-            raise
-        finally:
+    def write(self, frames: dict[str, DataFrame], specs: dict[str, TableSpec | None] | None = None, added: dict[str, DataFrame] | None = None, gone: dict[str, DataFrame] | None = None) -> None:
+        """New snapshots of several tables, rows added to some, ids gone from some, and changed declarations.
+
+        All are written, then all become current together. Of a table, ids go first and then rows are added.
+        """
+        planned = [(n, "gone", df) for n, df in (gone or {}).items()] + [(n, "rows", df) for n, df in {**frames, **(added or {})}.items()]
+        new = [(n, kind, f"{self.folder}/{n}-{uuid.uuid4().hex}", df) for n, kind, df in planned]
+        with self._claimed():
+            declared = {n: x for n, x in {**self.catalog.specs, **(specs or {})}.items() if x is not None}
+            tables = {n: [] if n in frames else list(folders(self.current.get(n, []))) for n in {**self.current, **{n: 0 for n, *_ in new}}}
+            for name, kind, path, _ in new:
+                tables[name].append({kind: path})
+            tables = {n: p for n, p in tables.items() if n in declared or n in frames}
+            note = f"journal-{self.number + 1:08d}.json"
+            paths = [path for _, _, path, _ in new]
+            self._put(note, {"number": self.number + 1, "new": paths, "tables": tables, "specs": {n: as_json(x) for n, x in declared.items()}})
+            try:
+                for _, _, path, df in new:
+                    df.write.parquet(path)
+                self._publish(tables, declared)
+            except Exception:
+                if self._owned():  # else whoever took over decides on the folders
+                    self._drop(*paths, f"{self.folder}/{note}")
+                raise
             self._drop(f"{self.folder}/{note}")
 
     def undo(self) -> None:
@@ -186,13 +367,18 @@ class Store:
         held = self.history()
         if len(held) < 2:
             raise Refused("nothing to undo")
-        self._publish(held[-2]["tables"], {n: of_json(x) for n, x in held[-2]["specs"].items()})
-
-    def vacuum(self) -> int:
-        """Forget all manifests but the newest ``keep``, and delete the folders that only they name; how many."""
+        with self._claimed():
+            self._publish(held[-2]["tables"], {n: of_json(x) for n, x in held[-2]["specs"].items()})
+
+    def vacuum(self, most: int = 16) -> int:
+        """Fold tables of more than ``most`` folders into one, forget all manifests but the newest ``keep``, and delete
+        the folders that only they name; how many."""
+        if many := [n for n, t in self.current.items() if len(folders(t)) > most]:
+            self.write({n: self.catalog.frames[n] for n in many})
         held = self.history()
         old, kept = held[: -self.keep], held[-self.keep :]
-        gone = {p for x in old for p in x["tables"].values()} - {p for x in kept for p in x["tables"].values()}
+        named = [{x for m in some for t in m["tables"].values() for f in folders(t) for x in f.values()} for some in (old, kept)]
+        gone = named[0] - named[1]
         self._drop(*[f"{self.folder}/manifest-{x['number']:08d}.json" for x in old], *gone)
         return len(gone)
 
@@ -344,7 +530,8 @@ class Store:
                     others = others.join(rows.select(c.name), c.name, "left_anti")
         rows = self._held(with_ids(rows.drop("id"), table).select(*table.columns))
         self._refuse_broken(spec, rows, others)
-        self.write({name: others.select(*table.columns).unionByName(rows)})
+        replaced = table.join(others.select("id"), "id", "left_anti").select("id") if overwrite else None
+        self._change({name: replaced} if overwrite else {}, {name: rows})
         return [r["id"] for r in rows.select("id").orderBy("id").collect()]
 
     def _frame(self, rows: list[dict] | dict | str) -> DataFrame:
@@ -386,8 +573,50 @@ class Store:
         where = self._guard(name, conditions, MOST_UPDATED)
         values = {c: self._value(spec, c, v, table) for c, v in values.items()}
         hit = F.coalesce(where, F.lit(False))
-        self._refuse_broken(spec, updated(table.where(hit), F.lit(True), values), table.where(~hit))
-        self.write({name: updated(table, where, values)})
+        rows = updated(table.where(hit), F.lit(True), values)
+        self._refuse_broken(spec, rows, table.where(~hit))
+        if "id" not in table.columns:
+            self._unheld(name, table.where(hit), list(values))
+            self.write({name: updated(table, where, values)})
+            return
+        gone, added = {name: table.where(hit).select("id")}, {name: rows}
+        for column, value in values.items():
+            moved = table.where(hit & F.col(column).isNotNull() & ~F.col(column).eqNullSafe(F.lit(value)))
+            self._follow(name, moved.select(F.col(column).alias("__old"), F.lit(value).cast(table.schema[column].dataType).alias("__new")), column, gone, added)
+        self._change(gone, added)
+
+    def _unheld(self, name: str, rows: DataFrame, columns: list[str] | None = None) -> None:
+        """Refuse to change rows of a table without ids, in the columns named, if others point to them."""
+        for child, k in self._children(name):
+            if columns is None or k.ref_column in columns:
+                keys = rows.select(F.col(k.ref_column).alias("__key"))
+                if self.catalog.table(child).join(keys, F.col(k.column) == F.col("__key"), "left_semi").limit(1).count():
+                    raise Refused(f"{child}.{k.column} points to rows of {name}")
+
+    def _children(self, name: str, column: str | None = None) -> list[tuple[str, ForeignKey]]:
+        """Keys of all tables that point to a table, or to a column of it."""
+        return [(s.name, k) for s in self.catalog.specs.values() for k in s.foreign_keys if k.references == name and column in (None, k.ref_column) and s.name in self.catalog.frames]
+
+    def _follow(self, name: str, moved: DataFrame, column: str, gone: dict, added: dict) -> None:
+        """Give children the new values of the keys they hold, and theirs in turn; ``moved`` has old and new values."""
+        for child, k in self._children(name, column):
+            table = self.catalog.table(child)
+            # the child as this change leaves it so far
+            rows = table.join(gone[child], "id", "left_anti").select(*table.columns).unionByName(added[child].select(*table.columns)) if child in added else table
+            met = rows.join(moved, F.col(k.column) == F.col("__old"))
+            if not met.limit(1).count():
+                continue
+            if k.on_update != "CASCADE":
+                raise Refused(f"{child}.{k.column} holds what {name}.{column} would lose")
+            fresh = met.select(*[F.col("__new").cast(table.schema[c].dataType).alias(c) if c == k.column else F.col(c) for c in table.columns])
+            rest = [added[child].join(met.select("id"), "id", "left_anti").select(*table.columns)] if child in added else []
+            gone[child] = gone[child].union(met.select("id")) if child in gone else met.select("id")
+            added[child] = reduce(DataFrame.unionByName, [*rest, fresh])
+            self._follow(child, met.select("__old", "__new"), k.column, gone, added)
+
+    def _change(self, gone: dict[str, DataFrame], added: dict[str, DataFrame]) -> None:
+        """Take rows away by id and add others, in one commit over all their tables."""
+        self.write({}, None, {n: df.select(*self.catalog.table(n).columns) for n, df in added.items()}, gone)
 
     def _value(self, spec: TableSpec, column: str, value, table: DataFrame):
         """A value as its column takes it: text is cleaned, and refused where it doesn't fit."""
@@ -396,8 +625,67 @@ class Store:
         one = self._typed(spec, self.spark.createDataFrame([(value,)], f"`{column}` string"), table.schema)
         return one.first()[0]
 
-    def delete(self, name: str, conditions: list) -> None:
-        self.write({name: deleted(self.catalog.table(name), self._guard(name, conditions, MOST_UPDATED))})
+    def delete(self, name: str, conditions: list) -> dict[str, int]:
+        """Delete rows that the conditions name, and what their keys' children take with them; rows gone by table.
+
+        The closure goes level by level over the keys: children of the rows found last, by semi joins.
+        """
+        where = F.coalesce(self._guard(name, conditions, MOST_UPDATED), F.lit(False))
+        if "id" not in self.catalog.table(name).columns:
+            hit = self.catalog.table(name).where(where)
+            self._unheld(name, hit)
+            count = hit.count()
+            self.write({name: deleted(self.catalog.table(name), where)})
+            return {name: count}
+        doomed = {name: self.catalog.table(name).where(where).select("id")}
+        bare: dict[str, list[tuple[str, DataFrame]]] = {}
+        restricted: list[tuple[str, ForeignKey, str, DataFrame]] = []
+        level = dict(doomed)
+        while level:
+            found: dict[str, DataFrame] = {}
+            for parent, ids in level.items():
+                rows = self.catalog.table(parent).join(ids, "id", "left_semi")
+                for child, k in self._children(parent):
+                    table = self.catalog.table(child)
+                    met = table.join(rows.select(F.col(k.ref_column).alias("__key")), F.col(k.column) == F.col("__key"), "left_semi").select("id")
+                    if k.on_delete == "CASCADE":
+                        met = met.join(doomed[child], "id", "left_anti") if child in doomed else met
+                        found[child] = found[child].union(met).distinct() if child in found else met
+                    elif k.on_delete == "SET NULL":
+                        bare.setdefault(child, []).append((k.column, met))
+                    else:
+                        restricted.append((child, k, parent, met))
+            level = {}
+            for child, ids in found.items():
+                ids = self._fixed(ids)
+                if ids.limit(1).count():
+                    level[child] = ids
+                    doomed[child] = doomed[child].union(ids) if child in doomed else ids
+        for child, k, parent, met in restricted:
+            # children that this change deletes as well don't hold it up
+            if (met.join(doomed[child], "id", "left_anti") if child in doomed else met).limit(1).count():
+                raise Refused(f"{child}.{k.column} points to rows of {parent}")
+        gone, added = dict(doomed), {}
+        for child, columns in bare.items():
+            table = self.catalog.table(child)
+            rows = table
+            for column, met in columns:
+                rows = rows.join(met.select("id", F.lit(True).alias("__bare")), "id", "left").withColumn(column, F.when(F.col("__bare").isNull(), F.col(column))).drop("__bare")
+            hit = reduce(DataFrame.union, [met for _, met in columns]).distinct()
+            hit = hit.join(doomed[child], "id", "left_anti") if child in doomed else hit
+            rows = rows.join(hit, "id", "left_semi").select(*table.columns)
+            if any(self.catalog.specs[child].column(c).not_null for c, _ in columns) and hit.limit(1).count():
+                raise Refused(f"{child} needs {', '.join(c for c, _ in columns)}")
+            gone[child], added[child] = gone[child].union(hit) if child in gone else hit, rows
+        counts = {n: df.count() for n, df in doomed.items()}
+        self._change(gone, added)
+        return counts
+
+    def _fixed(self, ids: DataFrame) -> DataFrame:
+        """Ids of a level, written down: the next level doesn't compute them again."""
+        path = shared_folder(self.spark, "level")
+        ids.write.parquet(path)
+        return self.spark.read.schema(ids.schema).parquet(path)
 
     def change_confirmed(self, name: str, where: Column, change, confirm) -> int:
         """Apply ``change(table, where)`` to at most 100 rows, if ``confirm(sample)`` agrees; how many there were."""
@@ -506,4 +794,5 @@ class Store:
         planned = Catalog(self.spark, list(self.catalog.specs.values()))
         renamed(planned, old, new)
         tables = {new if n == old else n: p for n, p in self.current.items()}
-        self._publish(tables, planned.specs)
+        with self._claimed():
+            self._publish(tables, planned.specs)

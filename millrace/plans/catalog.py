@@ -55,9 +55,18 @@ class ColumnSpec:
 
 @dataclass(frozen=True)
 class ForeignKey:
+    """A key, and what becomes of its rows when what they point to is deleted (RESTRICT, CASCADE or SET NULL) or
+    changes (CASCADE or RESTRICT)."""
+
     column: str
     references: str
     ref_column: str
+    on_delete: str = "RESTRICT"
+    on_update: str = "CASCADE"
+
+    def __post_init__(self):
+        if self.on_delete not in ("RESTRICT", "CASCADE", "SET NULL") or self.on_update not in ("RESTRICT", "CASCADE"):
+            raise ValueError(f"unknown action {self.on_delete} or {self.on_update}")
 
 
 @dataclass(frozen=True)

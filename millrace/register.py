@@ -438,6 +438,100 @@ def store_reopened(spark, path):
     return again.catalog.table("items").select("code", "price", F.lit(state).alias("state"), F.lit(number).alias("backups"))
 
 
+@query("SELECT n_name AS code, CAST(n_nationkey AS DOUBLE) AS price, CASE WHEN n_nationkey < 10 THEN 'running' ELSE 'after' END AS opened FROM nation WHERE n_nationkey <= 20")
+def store_two_sessions(spark, path):
+    """A second session opens a store while the first is about to publish a change; both go on, one after the other."""
+    store = _store(spark, path, "region", _ITEMS, r_regionkey={"unique": True})
+    rows = _t(spark, path, "nation").select(F.col("n_name").alias("code"), F.col("n_nationkey").alias("price"), F.col("n_regionkey").alias("region_id"))
+    opened, publish = [], store._publish
+
+    def met(*args):
+        opened.append(mutate.Store(spark, store.folder))
+        publish(*args)
+
+    store._publish = met
+    store.insert("items", rows.where("price < 10"))
+    [state] = {*opened[0].recovered.values()}
+    early = opened[0].catalog.table("items").count()
+    late = mutate.Store(spark, store.folder)
+    late.insert("items", rows.where("price BETWEEN 10 AND 20"))
+    found = mutate.Store(spark, store.folder).catalog.table("items")
+    return found.where(F.lit(early == 0)).select("code", "price", F.when(F.col("price") < 10, state).otherwise("after").alias("opened"))
+
+
+def _families(spark, path, **actions) -> mutate.Store:
+    """Customers and their orders as tables with ids; every customer's number is a key that orders hold."""
+    buyers = _t(spark, path, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("code"), F.col("c_name").alias("name"))
+    sales = _t(spark, path, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("buyer"), F.col("o_orderkey").alias("number"))
+    lines = _t(spark, path, "lineitem").select(F.monotonically_increasing_id().alias("id"), F.col("l_orderkey").alias("sale"))
+    number = lambda name, **marks: ColumnSpec(name, "BIGINT", **marks)
+    specs = [
+        TableSpec("buyers", (number("id", pk=True, unique=True), number("code", unique=True), ColumnSpec("name"))),
+        TableSpec("sales", (number("id", pk=True, unique=True), number("buyer"), number("number", unique=True)), (ForeignKey("buyer", "buyers", "code", **actions),)),
+        TableSpec("lines", (number("id", pk=True, unique=True), number("sale")), (ForeignKey("sale", "sales", "number", **actions),)),
+    ]
+    store = mutate.Store(spark, shared_folder(spark, "store"))
+    store.write({"buyers": buyers, "sales": sales, "lines": lines}, {s.name: s for s in specs})
+    return store
+
+
+@query("""
+WITH free AS (SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) ORDER BY c_custkey LIMIT 1), gone AS (SELECT * FROM free UNION ALL SELECT 1 WHERE 1 NOT IN (SELECT o_custkey FROM orders))
+SELECT c_custkey AS code, CASE WHEN 1 IN (SELECT o_custkey FROM orders) THEN 'refused' ELSE 'gone' END AS first FROM customer WHERE c_custkey NOT IN (SELECT * FROM gone)
+""")
+def delete_restricted(spark, path):
+    """A customer with orders stays, one without any goes."""
+    store = _families(spark, path)
+    try:
+        store.delete("buyers", [_one("code", "=", 1)])
+        first = "gone"
+    except mutate.Refused:
+        first = "refused"
+    free = store.catalog.table("buyers").join(store.catalog.table("sales"), F.col("code") == F.col("buyer"), "left_anti").agg(F.min("code")).first()[0]
+    if free is not None:
+        store.delete("buyers", [_one("code", "=", free)])
+    return store.catalog.table("buyers").select("code", F.lit(first).alias("first"))
+
+
+@query("""
+WITH gone AS (SELECT o_orderkey FROM orders WHERE o_custkey < 50)
+SELECT 'buyers' AS name, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS total FROM customer WHERE c_custkey >= 50
+UNION ALL SELECT 'sales', count(*), CAST(sum(o_orderkey) AS BIGINT) FROM orders WHERE o_custkey >= 50
+UNION ALL SELECT 'lines', count(*), CAST(sum(l_orderkey) AS BIGINT) FROM lineitem WHERE l_orderkey NOT IN (SELECT * FROM gone)
+""")
+def delete_cascaded(spark, path):
+    """Customers go with their orders and the lines of these, in one change."""
+    store = _families(spark, path, on_delete="CASCADE")
+    store.delete("buyers", [_one("code", "IN", list(range(50)))])
+    sums = [store.catalog.table(n).agg(F.lit(n).alias("name"), F.count("*").alias("n"), F.sum(c).alias("total")) for n, c in (("buyers", "code"), ("sales", "number"), ("lines", "sale"))]
+    return sums[0].union(sums[1]).union(sums[2])
+
+
+@query("SELECT o_orderkey AS number, CASE WHEN o_custkey = 7 THEN -7 ELSE o_custkey END AS buyer, c_name AS name FROM orders JOIN customer ON o_custkey = c_custkey")
+def update_cascaded(spark, path):
+    """A customer's number changes, and its orders hold the new one."""
+    store = _families(spark, path)
+    store.update("buyers", [_one("code", "=", 7)], {"code": -7})
+    return store.catalog.table("sales").join(store.catalog.table("buyers"), F.col("buyer") == F.col("code")).select("number", "buyer", "name")
+
+
+@query("SELECT c_custkey AS code, 3 AS folders, true AS small FROM customer UNION ALL SELECT -r_regionkey - 1, 3, true FROM region")
+def insert_appends(spark, path):
+    """Two inserts add a folder each, smaller by far than the table, and touch no folder that was there."""
+    store = _families(spark, path)
+    before = mutate.folders(store.current["buyers"])
+    for keys in ("r_regionkey < 3", "r_regionkey >= 3"):
+        store.insert("buyers", _t(spark, path, "region").where(keys).select((-F.col("r_regionkey") - 1).alias("code"), F.col("r_name").alias("name")))
+    after = mutate.folders(store.current["buyers"])
+
+    def size(place: str) -> int:
+        fs, p = store._fs(place)
+        return fs.getContentSummary(p).getLength()
+
+    small = after[: len(before)] == before and all(size(f["rows"]) < 5000 for f in after[len(before) :])
+    return store.catalog.table("buyers").select("code", F.lit(len(after)).alias("folders"), F.lit(small).alias("small"))
+
+
 @query("SELECT * FROM (VALUES ('INSERT', 'yes'), ('INSERT of other values', 'no'), ('UPDATE', 'yes'), ('UPDATE of missing rows', 'no'), ('DELETE', 'yes'), ('DELETE of rows still there', 'no'), ('DELETE of none', 'unknown')) t(claim, verified)")
 def verify_insert(spark, path):
     after = _t(spark, path, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")

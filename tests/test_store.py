@@ -205,3 +205,115 @@ def test_a_consistent_store_has_no_findings(store):
     assert [tuple(r) for r in store.catalog.links().collect()] == [("main.items", "main.kinds", "kind_id")]
     store.catalog.forget("kinds")
     assert store.catalog.specs["items"].foreign_keys == ()
+
+
+def test_a_live_change_is_left_alone_and_a_dead_one_taken_over(store, spark):
+    late = {"late": TableSpec("late", (ColumnSpec("id", "BIGINT"),))}
+    seen, publish = [], store._publish
+
+    def met(*args):
+        other = mutate.Store(spark, store.folder)
+        with pytest.raises(mutate.Refused, match="is changing"):
+            other.insert("kinds", {"label": "z"})
+        seen.append(other.recovered)
+        publish(*args)
+
+    store._publish = met
+    store.write({"late": spark.range(3)}, late)
+    assert [list(x.values()) for x in seen] == [["running"]]
+    again = mutate.Store(spark, store.folder)
+    assert again.catalog.table("late").count() == 3 and again.recovered == {} and not again._names("claim-") and not again._names("journal-")
+    again.insert("kinds", {"label": "z"})
+
+    # a session that stops before it publishes: its claim is no longer touched
+    def paused(*args):
+        stopped = mutate.Store(spark, again.folder, patience=0)
+        assert list(stopped.recovered.values()) == ["committed"] and stopped.catalog.table("late").count() == 5
+        kept.append(stopped)
+        return publish_again(*args)
+
+    kept, publish_again = [], again._publish
+    again._publish = paused
+    with pytest.raises(mutate.Refused, match="taken this change over|has changed"):
+        again.write({"late": spark.range(5)}, late)
+    assert mutate.Store(spark, again.folder).catalog.table("late").count() == 5
+    kept[0].insert("kinds", {"label": "y"})
+
+
+def test_a_dead_change_that_is_not_whole_is_fenced_off_before_its_folders_go(store, spark):
+    number, half = store.number + 1, f"{store.folder}/half"
+    store._put(f"journal-{number:08d}.json", {"number": number, "new": [half], "tables": {**store.current, "half": half}, "specs": {}})
+    assert store._exclusive(f"claim-{number:08d}-0001.json") and not store._exclusive(f"claim-{number:08d}-0001.json")
+    assert list(mutate.Store(spark, store.folder).recovered.values()) == ["running"]
+    after = mutate.Store(spark, store.folder, patience=0)
+    assert list(after.recovered.values()) == ["compensated"] and after.number == number and rows(after, "kinds") == rows(store, "kinds")
+    with pytest.raises(mutate.Refused):  # the dead session comes back
+        store._claim = f"claim-{number:08d}-0001.json"
+        store._publish({**store.current, "half": half}, {})
+
+
+def test_a_manifest_whose_folders_are_gone_falls_back(store, spark):
+    before = rows(store, "kinds")
+    store.insert("kinds", {"label": "c"})
+    store._drop(mutate.folders(store.current["kinds"])[-1]["rows"])
+    again = mutate.Store(spark, store.folder)
+    assert rows(again, "kinds") == before and again.number == store.number
+    again.insert("kinds", {"label": "d"})
+    assert len(rows(mutate.Store(spark, store.folder), "kinds")) == len(before) + 1
+
+
+def test_changes_add_folders_and_vacuum_folds_them(store, spark):
+    for i in range(3):
+        store.insert("items", [{"code": f"a{i}", "slot": i, "kind_id": 1}])
+    first = mutate.folders(store.current["items"])
+    store.update("items", [{"field": "code", "value": "a1"}], {"price": 9})
+    store.delete("items", [{"field": "code", "value": "a0"}])
+    store.insert("items", [{"code": "a0", "slot": 0}])
+    now = mutate.folders(store.current["items"])
+    assert now[: len(first)] == first and [list(f) for f in now[len(first) :]] == [["gone"], ["rows"], ["gone"], ["rows"]]
+    expected = [("a0", 0, 5.0), ("a1", 1, 9.0), ("a2", 2, 5.0)]
+    assert rows(store, "items", "code", "slot", "price") == expected
+    store.vacuum(most=2)
+    assert len(mutate.folders(store.current["items"])) == 1 and rows(mutate.Store(spark, store.folder), "items", "code", "slot", "price") == expected
+    store.undo()
+    assert rows(store, "items", "code", "slot", "price") == expected
+
+
+def test_keys_restrict_cascade_and_let_go(spark, tmp_path):
+    def made(name, **actions):
+        out = mutate.Store(spark, f"file://{tmp_path}/{name}")
+        label = ColumnSpec("label", "TEXT", unique=True)
+        out.create([TableSpec("a", (label,)), TableSpec("b", (label, ColumnSpec("a_label")), (ForeignKey("a_label", "a", "label", **actions),)), TableSpec("c", (label, ColumnSpec("b_label")), (ForeignKey("b_label", "b", "label", **actions),)), TableSpec("d", (label, ColumnSpec("up")), (ForeignKey("up", "d", "label", **actions),))])
+        out.insert("a", [{"label": "x"}, {"label": "y"}])
+        out.insert("b", [{"label": "bx", "a_label": "x"}, {"label": "by", "a_label": "y"}, {"label": "b0"}])
+        out.insert("c", [{"label": "cx", "b_label": "bx"}, {"label": "cy", "b_label": "by"}])
+        out.insert("d", [{"label": "1"}])
+        out.insert("d", [{"label": "2", "up": "1"}])
+        out.insert("d", [{"label": "3", "up": "2"}])
+        return out
+
+    x, one = [{"field": "label", "value": "x"}], [{"field": "label", "value": "1"}]
+    store = made("restrict")
+    number = store.number
+    with pytest.raises(mutate.Refused, match="b.a_label"):
+        store.delete("a", x)
+    with pytest.raises(mutate.Refused):
+        store.delete("d", one)
+    assert store.number == number
+    assert store.delete("d", [{"field": "label", "op": "IN", "value": ["1", "2", "3"]}]) == {"d": 3}  # all that point go as well
+    store.update("a", x, {"label": "X"})
+    assert rows(store, "b", "label", "a_label") == [("b0", None), ("bx", "X"), ("by", "y")]
+    store = made("cascade", on_delete="CASCADE")
+    assert store.delete("a", x) == {"a": 1, "b": 1, "c": 1} and rows(store, "c", "label") == [("cy",)] and rows(store, "b", "label") == [("b0",), ("by",)]
+    assert store.delete("d", one) == {"d": 3}
+    store.undo()
+    assert len(rows(store, "d")) == 3
+    store.update("d", one, {"label": "9"})
+    assert rows(store, "d", "label", "up") == [("2", "9"), ("3", "2"), ("9", None)]
+    store = made("null", on_delete="SET NULL", on_update="RESTRICT")
+    assert store.delete("a", x) == {"a": 1} and rows(store, "b", "label", "a_label") == [("b0", None), ("bx", None), ("by", "y")]
+    with pytest.raises(mutate.Refused, match="would lose"):
+        store.update("a", [{"field": "label", "value": "y"}], {"label": "z"})
+    assert mutate.Store(spark, store.folder).catalog.specs["b"].foreign_keys[0].on_delete == "SET NULL"
+    with pytest.raises(ValueError):
+        ForeignKey("a", "b", "c", "DROP")
