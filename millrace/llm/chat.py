@@ -3,8 +3,9 @@
 Records come as JSON in any layout that :data:`LAYOUTS` declares. The nested field paths of a record, as far as
 some layout names them, are hashed; the hash selects the layout's mapping. Everything runs as built-in functions
 (VARIANT, higher-order functions), without Python on the executors. Records that VARIANT can't hold (over 128 MB, or
-with a string of over 20 million characters) are read as maps of their fields instead. Rows that are turns already
-are mapped one by one and only put together at the end, without any JSON; what bounds a conversation then is the
+with a string of over 20 million characters) are read as maps of their fields instead. Rows of a table
+have the paths of their fields that aren't null, which are hashed in the same way; they are mapped one by one and only
+put together at the end, without any JSON; what bounds a conversation then is the
 2 GB that Spark allows a value, beyond which it fails.
 
 Defined results: a record that is null, no JSON, or of no known layout gets ``layout`` null, no turns and an empty
@@ -16,7 +17,8 @@ Fields that no layout names, and further columns of the input, are ignored and n
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -205,19 +207,69 @@ def format_chats(df: DataFrame, payload: str, keys: list[str], layouts: tuple[La
     )
 
 
-def format_rows(df: DataFrame, key: str, layout: Layout = LAYOUTS[0]) -> DataFrame:
-    """As :func:`format_chats`, from one row a turn whose columns are those that ``layout.rows`` names.
+def row_layouts(columns: list[str], layouts: tuple[Layout, ...] = LAYOUTS) -> list[tuple[Layout, list[str]]]:
+    """Layouts that rows with these columns may have, and the columns that each reads: an array's fields, or its parts."""
+    out = []
+    for x in layouts:
+        own = [c for c in x.rows[1:] if c] if x.rows else [p for p, _ in x.parts] + list(x.joined)
+        if not (x.rows and x.parts) and set(own) <= set(columns):
+            out.append((x, own))
+    return out
+
+
+def row_fingerprints(possible: list[tuple[Layout, list[str]]]) -> dict[str, Layout]:
+    """The layout for each fingerprint of a row's fields.
 
-    Each row becomes its turn by itself; a conversation's turns are put in order last.
+    A row's fields are those that aren't null. All fields of a layout name it, and so do some of them if no other
+    layout that the table's columns allow has them too; the whole schema decides for a table of one layout.
     """
-    _, role, text, order = layout.rows
-    role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (role, text))
-    one = F.struct(F.col(order).cast("long").alias("at"), role.alias("own"), text.alias("text"), _turn(role, text, layout.renames)["role"].alias("role"))
-    grouped = df.select(F.col(key).alias("key"), one.alias("one")).groupBy("key").agg(F.array_sort(F.collect_list("one")).alias("all"))
-    turns = F.transform("all", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
-    grouped = grouped.select("key", turns.alias("turns"))
+    found: dict[frozenset, list[Layout]] = {}
+    for layout, own in possible:
+        for n in range(len(own) + 1):
+            for some in combinations(sorted(own), n):
+                found.setdefault(frozenset(some), []).append(layout)
+    whole = {frozenset(own): layout for layout, own in possible}
+    chosen = {some: whole.get(some) or (held[0] if len(held) == 1 else None) for some, held in found.items()}
+    return {hashlib.md5("\n".join(sorted(some)).encode()).hexdigest(): layout for some, layout in chosen.items() if layout}
+
+
+def format_rows(df: DataFrame, key: str, layouts: tuple[Layout, ...] = LAYOUTS, order: str | None = None) -> DataFrame:
+    """As :func:`format_chats`, from rows that are turns, or prompts with their answers, in one or several layouts.
+
+    The fields that a row has are hashed, and the fingerprint selects the mapping that makes its turns; a row whose
+    fingerprint no layout has is left out. Each row is mapped by itself; a conversation's turns are put in order last:
+    by their layout's order field, or else by the column ``order``. ``layout`` and ``fingerprint`` name all layouts
+    that a conversation's rows have, joined by ``+``.
+    """
+    possible = row_layouts(df.columns, layouts)
+    fields = sorted({c for _, own in possible for c in own})
+    names = row_fingerprints(possible)
+    rows = df.select(F.col(key).alias("key"), *([F.col(order).cast("long").alias("at")] if order else []), *[F.col(c).alias(f"f_{c}") for c in fields])
+    found = _hashed(F.array_compact(F.array(*[F.when(F.col(f"f_{c}").isNotNull(), F.lit(c)) for c in fields]).cast("array<string>")))
+    rows = rows.withColumn("found", found)
+    text = lambda c: F.coalesce(F.col(f"f_{c}").cast("string"), F.lit(""))
+    item = lambda own, said, renames: F.struct(own.alias("own"), said.alias("text"), _turn(own, said, renames)["role"].alias("role"))
+    one = F.lit(None).cast("struct<at:bigint,items:array<struct<own:string,text:string,role:string>>,layout:string,fingerprint:string>")
+    for layout, _ in possible:
+        at = F.col("at") if order else F.lit(None).cast("long")
+        if layout.rows:
+            _, role, said, own = layout.rows
+            at = F.col(f"f_{own}").cast("long") if own else at
+            items = F.array(item(text(role), text(said), layout.renames))
+        else:
+            parts = [(text(p), F.lit(role)) for p, role in layout.parts]
+            for more in layout.joined:
+                parts[0] = (F.concat(parts[0][0], F.when(text(more) != "", F.concat(F.lit("\n\n"), text(more))).otherwise("")), parts[0][1])
+            items = F.array(*[item(role, said, layout.renames) for said, role in parts])
+        of_layout = [h for h, x in names.items() if x is layout]
+        one = F.when(F.col("found").isin(*of_layout), F.struct(at.alias("at"), items.alias("items"), F.lit(layout.name).alias("layout"), F.lit(layout.fingerprint).alias("fingerprint"))).otherwise(one)
+    grouped = rows.select("key", one.alias("one")).groupBy("key").agg(F.array_sort(F.collect_list("one")).alias("all"))
+    turns = F.transform(F.flatten(F.transform("all", lambda x: x["items"])), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
+    said = lambda name: F.array_join(F.array_sort(F.array_distinct(F.transform("all", lambda x: x[name]))), "+")
+    grouped = grouped.select("key", said("layout").alias("layout"), said("fingerprint").alias("fingerprint"), turns.alias("turns"))
+    some = F.size("turns") > 0
     return grouped.select(
-        F.col("key").alias(key), F.lit(layout.name).alias("layout"), F.lit(layout.fingerprint).alias("fingerprint"), "turns",
+        F.col("key").alias(key), F.when(some, F.col("layout")).alias("layout"), F.when(some, F.col("fingerprint")).alias("fingerprint"), "turns",
         formatted(F.col("turns")).alias("formatted"), loss_mask(F.col("turns")).alias("loss_mask"),
     )
 

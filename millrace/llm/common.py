@@ -17,14 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where that is unset, a cluster's warehouse takes its place; only a session whose driver is its one executor, as
-    in tests, takes a temporary folder.
+    Where that is unset, a cluster's warehouse takes its place, unless it is on each machine's own disk, which is
+    refused; only a session whose driver is its one executor, as in tests, takes a temporary folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         master = spark.sparkContext.master
         alone = master == "local" or master.startswith("local[")
         found = f"file://{tempfile.mkdtemp(prefix='millrace-')}" if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/millrace-shared"
+        if not alone and found.startswith(("file:", "/")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 

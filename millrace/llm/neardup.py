@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import discard, stored
@@ -93,9 +93,9 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(out)
 
 
-def class_of(found: np.ndarray) -> int:
-    """A signed 64-bit name for a set."""
-    return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
+def digest_of(found: np.ndarray) -> bytes:
+    """128 bits that tell sets apart; :func:`named` makes names of 64 bits from them."""
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
 def probe_table(s: Settings) -> np.ndarray:
@@ -156,46 +156,70 @@ def plausible(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, s: Set
 
 
 def signatures(docs: DataFrame, key: str, s: Settings) -> DataFrame:
-    """(key, n, cls, keys, regs) of every document; the last three are null without shingles."""
+    """(key, own, n, digest, keys, regs) of every document, ``own`` a digest of its text; the last three are null without shingles."""
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probes, own = probe_table(s), seeds(s)
         for batch in batches:
-            n, cls, keys, regs = [], [], [], []
+            n, digests, keys, regs = [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = shingles(text, s.words)
                 n.append(len(found))
                 if len(found):
                     r = sketch(found, s, probes, own)
-                    cls.append(class_of(found))
+                    digests.append(digest_of(found))
                     keys.append(band_keys(r, s))
                     regs.append(r.tobytes())
                 else:
-                    for column in (cls, keys, regs):
+                    for column in (digests, keys, regs):
                         column.append(None)
-            columns = [batch.column("key"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(regs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "n", "cls", "keys", "regs"])
+            columns = [batch.column("key"), batch.column("own"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(regs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "own", "n", "digest", "keys", "regs"])
 
+    return texts_of(docs, key).mapInArrow(run, f"key {kind}, own binary, n long, digest binary, keys array<long>, regs binary")
+
+
+def texts_of(docs: DataFrame, key: str) -> DataFrame:
+    """(key, text, own): documents, and a digest that finds a text again among rows that share a key."""
     rows = docs.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, n long, cls long, keys array<long>, regs binary")
+    return rows.withColumn("own", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+
+
+def part_of(digest: Column, which: int) -> Column:
+    """One half of a digest as a long; the first is a class's name unless two digests share it."""
+    return F.conv(F.hex(F.substring(digest, 1 + 8 * which, 8)), 16, -10).cast("long")
+
+
+def named(signed: DataFrame, name: str) -> DataFrame:
+    """``signed`` with ``cls``: 64 bits of the digest, and other 64 bits where different digests share the first."""
+    out = stored(signed.withColumn("cls", part_of(F.col("digest"), 0)), name)
+    shared = out.where("cls IS NOT NULL").groupBy("cls").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least <> most").select("cls", F.lit(True).alias("shared"))
+    if shared.limit(1).count():
+        again = stored(out.join(shared, "cls", "left").withColumn("cls", F.when(F.col("shared"), part_of(F.col("digest"), 1)).otherwise(F.col("cls"))).drop("shared"), name)
+        discard(out)
+        return again
+    return out
 
 
 def sets_of(docs: DataFrame, key: str, wanted: DataFrame, s: Settings) -> DataFrame:
-    """(cls, shingles) of the wanted (cls, key): their texts are read again and must give the class once more."""
+    """(cls, shingles) of the wanted (cls, key, own, digest): their texts are read again and must give the digest once more.
+
+    Texts are found by key and own digest, so that rows that share a key meet their own class only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, blobs = [], []
-            for cls, text in zip(batch.column("cls").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for cls, digest, text in zip(batch.column("cls").to_pylist(), batch.column("digest").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 found = shingles(text, s.words)
-                if class_of(found) == cls:
+                if digest_of(found) == digest:
                     names.append(cls)
                     blobs.append(found.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], ["cls", "shingles"])
 
-    rows = docs.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text"))
-    rows = rows.join(wanted, rows["key"].eqNullSafe(wanted["key"])).select("cls", "text")
+    rows = texts_of(docs, key)
+    rows = rows.join(wanted, rows["key"].eqNullSafe(wanted["key"]) & (rows["own"] == wanted["own"])).select("cls", "digest", "text")
     return rows.mapInArrow(run, "cls long, shingles binary").dropDuplicates(["cls"])
 
 
@@ -308,9 +332,9 @@ def settled(keys: DataFrame, sketches: DataFrame, sets: DataFrame, comp: DataFra
 
 def dedup(docs: DataFrame, key: str, s: Settings = Settings()) -> DataFrame:
     """(key, n_shingles, component_id, kept) of every row of ``docs`` (columns ``key`` and ``text``)."""
-    signed = stored(signatures(docs, key, s), "signatures")
+    signed = named(signatures(docs, key, s), "signatures")
     known = signed.where("cls is not null")
-    classes = stored(known.groupBy("cls").agg(F.min("key").alias("key")), "classes")
+    classes = stored(known.groupBy("cls").agg(F.min("key").alias("key"), F.min(F.struct("key", "own", "digest")).alias("first")), "classes")
     sketches = stored(known.select("cls", "n", "keys", "regs").dropDuplicates(["cls"]), "sketches")
     keys = sketches.select("cls", F.explode("keys").alias("key"))
     stars = keys.groupBy("key").agg(F.min("cls").alias("b"), F.count("*").alias("size")).where("size > 1").select("key", "b")
@@ -318,7 +342,7 @@ def dedup(docs: DataFrame, key: str, s: Settings = Settings()) -> DataFrame:
     pairs = stored(likely(keys.where("cls <> b").select(F.col("cls").alias("a"), "b").distinct(), sketches, s), "pairs")
     wanted = keys.select("cls").distinct()
     few = stored(sketches.join(wanted, "cls"), "few")
-    sets = stored(sets_of(docs, key, classes.join(wanted, "cls"), s), "sets")
+    sets = stored(sets_of(docs, key, classes.join(wanted, "cls").select("cls", "first.*"), s), "sets")
     links = stored(confirmed(pairs, sets, s), "links")
     first = components(links)
     comp = wanted.join(first.select(F.col("node").alias("cls"), F.col("component").alias("comp")), "cls", "left")

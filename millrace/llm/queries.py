@@ -103,6 +103,19 @@ def whitening_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12_whitening(spark, sf_dir).where("component = 1").select("vec_id", "n", "deviation")
 
 
+def chat_mixed_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations in one table of three layouts by turns, formatted by the fingerprints of their rows."""
+    rows = table(spark, sf_dir, "conversations")
+    kind = F.pmod("conv_id", F.lit(3))
+
+    def of(which: int, column: str):
+        return F.when(kind == which, F.coalesce(column, F.lit("")))
+
+    turn = F.when(kind == 0, F.col("turn"))
+    mixed = rows.select("conv_id", F.col("turn").alias("at"), turn.alias("turn"), of(0, "text").alias("text"), F.coalesce(of(0, "role"), of(1, "role")).alias("role"), of(1, "text").alias("content"), of(2, "role").alias("from"), of(2, "text").alias("value"))
+    return chat.digests(chat.format_rows(mixed, "conv_id", order="at"), "conv_id")
+
+
 def ngram_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of op1: counts, and the base score to six digits."""
     return op1_ngram_scores(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
@@ -128,6 +141,7 @@ QUERIES = {
     "op12_whitening": op12_whitening,
     "op13_importance": op13_importance,
     "whitening_base_columns": whitening_base_columns,
+    "chat_mixed_layouts": chat_mixed_layouts,
     "ngram_base_columns": ngram_base_columns,
     "pii_base_counts": pii_base_counts,
 }
@@ -251,3 +265,5 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component
 FROM embeddings JOIN least ON least.a = vec_id LEFT JOIN (SELECT a, count(*) AS n_links FROM links GROUP BY a) AS n ON n.a = vec_id
 """,
 }
+#: The same conversations without the one that op10 adds.
+SQL["chat_mixed_layouts"] = SQL["op10_chat_formatting"] + " WHERE conv_id >= 0"

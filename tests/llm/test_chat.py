@@ -107,3 +107,25 @@ def test_only_an_elements_own_fields_make_the_layout(spark):
     assert [out[i]["layout"] for i in range(5)] == [None, None, None, "messages", "messages"]
     assert json.loads(out[3]["turns"][0]["text"]) == [{"type": "text", "text": "hi"}]
     assert [(t["role"], t["text"]) for t in out[4]["turns"]] == [("user", ""), ("", "hi")]
+
+
+def test_rows_are_mapped_by_the_fingerprint_of_their_fields(spark):
+    names = ["turn", "role", "text", "content", "from", "value", "instruction", "output", "input"]
+    rows = [
+        (1, 1, {"turn": 2, "role": "gpt", "text": "b"}), (1, 2, {"turn": 1, "role": "user", "text": None}), (2, 1, {"role": "human", "content": "hi"}), (2, 2, {"role": "gpt", "content": ""}),
+        (3, 2, {"from": "gpt", "value": "yes"}), (3, 1, {"from": "human", "value": "no"}), (4, 1, {"instruction": "do", "output": "done"}), (4, 2, {"instruction": "do", "output": "done", "input": "it"}),
+        (5, 1, {"role": "user"}), (6, 1, {}), (7, 2, {"from": "bot", "value": "z"}), (7, 1, {"role": "user", "content": "y"}),
+    ]
+    df = spark.createDataFrame([(c, at, *[None if r.get(n) is None else str(r[n]) for n in names]) for c, at, r in rows], "conv_id long, at long, " + ", ".join(f"`{n}` string" for n in names))
+    out = {r["conv_id"]: r for r in chat.format_rows(df, "conv_id", order="at").collect()}
+    said = {c: [(t["role"], t["text"]) for t in r["turns"]] for c, r in out.items()}
+    assert said == {
+        1: [("user", ""), ("gpt", "b")], 2: [("user", "hi"), ("assistant", "")], 3: [("user", "no"), ("assistant", "yes")],
+        4: [("user", "do"), ("assistant", "done"), ("user", "do\n\nit"), ("assistant", "done")], 5: [], 6: [], 7: [("user", "y"), ("assistant", "z")],
+    }
+    assert {c: r["layout"] for c, r in out.items()} == {1: "turns", 2: "messages", 3: "conversations", 4: "instruction+instruction_input", 5: None, 6: None, 7: "conversations+messages"}
+
+
+def test_mixed_layouts_give_the_digests_of_plain_rows(spark, data):
+    plain = {tuple(r) for r in queries.op10_chat_formatting(spark, data).collect() if r["conv_id"] >= 0}
+    assert {tuple(r) for r in queries.chat_mixed_layouts(spark, data).collect()} == plain

@@ -1,6 +1,7 @@
 import dataclasses
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -195,3 +196,22 @@ def test_queries_score_every_document(spark, data):
     for name in ("op2_toxicity", "op8_quality"):
         out = queries.QUERIES[name](spark, data)
         assert out.count() == n and dict(out.dtypes)["held_out"] == "boolean" and dict(out.dtypes)["predicted"] == "int"
+
+
+def test_a_text_beyond_the_bytes_is_passed_over(spark):
+    rows = [(h, y, 100) for h in range(5) for y in (0, 1)]
+    assert toxicity.within(rows, 300) == [(h, y) for h in range(3) for y in (0, 1)]
+    assert toxicity.within([(-9, 1, 10_000), *rows], 300) == [(h, y) for h in range(3) for y in (0, 1)]
+    assert toxicity.within([], 300) == []
+
+
+def test_a_long_or_often_repeated_first_text_leaves_a_model(spark):
+    ids = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 3 != 1][:300]
+    first = {r["doc_id"]: r["h"] for r in spark.createDataFrame([(i,) for i in ids], "doc_id long").selectExpr("doc_id", "xxhash64(doc_id) AS h").collect()}
+    toxic = {i: int(k % 3 == 0) for k, i in enumerate(ids)}
+    longest = min((i for i in ids if toxic[i]), key=first.get)
+    docs = [(i, ("vile " * 9 if toxic[i] else "kind ") + "word " * 5) for i in ids if i != longest] + [(longest, "vile " * 40_000), (longest, "vile again " * 20_000)]
+    s = toxicity.Settings(sample_bytes=400_000)
+    labels = spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), labels, s)
+    assert model is not None

@@ -82,3 +82,23 @@ def test_no_link_of_a_larger_table_is_missed(spark):
     wanted = sorted((dict(zip(rows.columns, r)) for r in rows.fetchall()), key=lambda r: r["doc_id"])
     got = sorted((r.asDict() for r in queries.op9_minhash(spark, path).collect()), key=lambda r: r["doc_id"])
     assert got == wanted and sum(not r["kept"] for r in got) > 10
+
+
+def test_rows_that_share_a_key_meet_their_own_class_only(spark):
+    texts = [f"w{i} " + " ".join(f"x{i // 2}y{k}" for k in range(60)) for i in range(600)]
+    rows = [(None if i % 3 else 7, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    s = neardup.Settings(words=3, threshold=85)
+    signed = neardup.named(neardup.signatures(docs, "doc_id", s), "signed")
+    wanted = signed.groupBy("cls").agg(neardup.F.min(neardup.F.struct("key", "own", "digest")).alias("first")).select("cls", "first.*")
+    pairs = neardup.texts_of(docs, "doc_id")
+    assert pairs.join(wanted, pairs["key"].eqNullSafe(wanted["key"]) & (pairs["own"] == wanted["own"])).count() == 600
+    assert neardup.sets_of(docs, "doc_id", wanted, s).count() == 600
+    out = neardup.dedup(docs, "doc_id", s).collect()
+    assert len(out) == 600 and {r["component_id"] for r in out} == {7, None}
+
+
+def test_digests_that_share_a_name_stay_apart(spark):
+    rows = [(1, bytes(8) + b"a" * 8), (2, bytes(8) + b"b" * 8), (3, bytes(8) + b"a" * 8), (4, b"c" * 16), (5, None)]
+    out = {r["key"]: r["cls"] for r in neardup.named(spark.createDataFrame(rows, "key long, digest binary"), "named").collect()}
+    assert out[1] == out[3] and len({out[1], out[2], out[4]}) == 3 and out[5] is None
