@@ -16,6 +16,8 @@ class Tool:
     required: tuple[str, ...] = ()
     risk: str = "read"
     tags: tuple[str, ...] = ()
+    #: Tables that a call touches, and the columns of each that it names; None stands for all columns.
+    touches: Callable[[dict], dict[str, list[str] | None]] | None = None
 
 
 @dataclass
@@ -29,11 +31,12 @@ class Result:
 
 
 class Registry:
-    """Tools by name; ``gate`` is asked before any that isn't reading only."""
+    """Tools by name; ``gate`` is asked before any that isn't reading only, ``guard`` before any that names its tables."""
 
     def __init__(self, gate: Callable[[Tool, dict], bool] = lambda tool, args: tool.risk == "read"):
         self.tools: dict[str, Tool] = {}
         self.gate = gate
+        self.guard: Callable[[dict[str, list[str] | None]], None] = lambda touched: None
 
     def add(self, tool: Tool) -> None:
         if tool.name in self.tools:
@@ -52,9 +55,11 @@ class Registry:
             given = {k: v if v is None or isinstance(v, tool.params[k]) else tool.params[k](v) for k, v in args.items()}
         except (TypeError, ValueError) as e:
             return Result(False, "bad_value", str(e))
-        if not self.gate(tool, given):
-            return Result(False, "denied", f"{name} needs a confirmation")
         try:
+            if tool.touches:
+                self.guard(tool.touches(given))
+            if not self.gate(tool, given):
+                return Result(False, "denied", f"{name} needs a confirmation")
             return Result(True, data=tool.run(**given))
         except PermissionError as e:
             return Result(False, "denied", str(e))
@@ -132,7 +137,9 @@ def of_catalog(catalog, policy=None, role: str | None = None) -> Registry:
 def of_store(store, selections, policy=None, role: str | None = None, vectors=None, standard: list = (), gate=None) -> Registry:
     """The tools over a store: reading, changing rows that a saved selection names, changing tables, files and search.
 
-    ``gate(tool, args)`` decides on every call that changes something; without it such calls are refused.
+    ``gate(tool, args)`` decides on every call that changes something; without it such calls are refused. With a
+    policy, a call first names the tables and columns it touches, and is refused if the role may not see one of them: a
+    table that is dropped, emptied or replaced is touched in all its columns.
     """
     from millrace.operators import retrieval
     from millrace.plans.catalog import ColumnSpec, ForeignKey, parsed_definition
@@ -145,6 +152,23 @@ def of_store(store, selections, policy=None, role: str | None = None, vectors=No
         out.gate = lambda tool, args: tool.risk == "read" or gate(tool, args)
     templates: dict[str, list] = {}
 
+    def guard(touched: dict[str, list[str] | None]) -> None:
+        for table, columns in touched.items():
+            policy.check_fields(store.catalog, table, [], sorted(policy.hidden(table, role)) if columns is None else [c for c in columns if c], role)
+
+    if policy:
+        out.guard = guard
+
+    def every(args: dict) -> dict:
+        return dict.fromkeys(store.catalog.specs)
+
+    def one(table: str, *columns: str) -> Callable[[dict], dict]:
+        return lambda args: {args[table]: [str(args[c]) for c in columns if args.get(c)]}
+
+    def of_specs(specs) -> dict:
+        found = dict.fromkeys(s.name for s in specs)
+        return {**{k.references: [k.ref_column] for s in specs for k in s.foreign_keys if k.references not in found}, **found}
+
     def own(table: str, fields: list[str] = ()):
         if policy:
             policy.check_fields(store.catalog, table, [], list(fields), role)
@@ -154,7 +178,15 @@ def of_store(store, selections, policy=None, role: str | None = None, vectors=No
         from millrace.plans.conditions import filtered
 
         df = filtered(own(table, fields_of(conditions)), conditions, names=store.catalog.specs[table].resolve)
-        return selections.save(df, table, "id", query)
+        return selections.save(df.drop(*(policy.hidden(table, role) - {"id"})) if policy else df, table, "id", query)
+
+    def listed(number=None):
+        found = [s for s in selections.saved if number in (None, s["number"])]
+        if policy is None:
+            return found
+        specs = store.catalog.specs
+        found = [s for s in found if policy.allows(s["table"], specs[s["table"]].source if s["table"] in specs else "main", role)]
+        return [{**s, "sample": [{k: v for k, v in x.items() if k not in policy.hidden(s["table"], role)} for x in s["sample"]]} for s in found]
 
     def chosen(number: int):
         entry = next((s for s in selections.saved if s["number"] == number), None)
@@ -205,37 +237,40 @@ def of_store(store, selections, policy=None, role: str | None = None, vectors=No
         specs = [parsed_definition(n, text) for n, text in parsed(definitions).items()]
         return store.create(specs)
 
-    def changes(name, run, params, required=None, risk="write", tags=("schema",)):
-        out.add(Tool(name, run, params, tuple(required if required is not None else params), risk, tags))
+    def changes(name, run, params, required=None, risk="write", tags=("schema",), touches=None):
+        out.add(Tool(name, run, params, tuple(required if required is not None else params), risk, tags, touches))
+
+    defined = lambda args: of_specs([parsed_definition(n, d) for n, d in parsed(args["definitions"]).items()])
+    saved = lambda args: of_specs(templates.get(args["name"], []))
 
     text, rows = str, ("rows",)
     changes("insert_data", insert, {"table": text, "data": object}, tags=rows)
     changes("batch_insert_data", insert, {"table": text, "data": object}, tags=rows)
     changes("select_data", select, {"table": text, "conditions": object, "query": text}, ["table"], "read", rows)
-    changes("list_selections", lambda number=None: [s for s in selections.saved if number in (None, s["number"])], {"number": int}, [], "read", rows)
+    changes("list_selections", listed, {"number": int}, [], "read", rows)
     changes("edit_data", edit, {"selection": int, "values": object}, tags=rows)
     changes("delete_data", delete, {"selection": int}, risk="danger", tags=rows)
     changes("mutate_data", lambda action, selection, values=None: edit(selection, values) if action == "update" else delete(selection), {"action": text, "selection": int, "values": object}, ["action", "selection"], "danger", rows)
-    changes("batch_create_tables", made, {"definitions": object})
-    changes("create_standard_tables", lambda: store.create_standard(list(standard)), {})
-    changes("repair_tables", lambda: store.repair(list(standard)), {})
-    changes("drop_table", store.drop_table, {"name": text}, risk="danger")
-    changes("add_column", lambda table, column, type="TEXT", default=None: store.add_column(table, ColumnSpec(column, type, rules={"default": default} if default is not None else {})), {"table": text, "column": text, "type": text, "default": text}, ["table", "column"])
-    changes("drop_column", store.drop_column, {"name": text, "column": text, "force": bool}, ["name", "column"], "danger")
-    changes("modify_column", store.modify_type, {"name": text, "column": text, "new": text, "force": bool}, ["name", "column", "new"])
-    changes("alter_precision", store.alter_precision, {"name": text, "column": text, "new": text, "force": bool}, ["name", "column", "new"])
-    changes("set_not_null", store.set_not_null, {"name": text, "column": text})
-    changes("add_foreign_key", lambda table, column, references: store.add_foreign_key(table, ForeignKey(column, references, "id")), {"table": text, "column": text, "references": text})
-    changes("drop_foreign_key", store.drop_foreign_key, {"name": text, "column": text})
-    changes("create_index", index, {"table": text, "column": text, "unique": bool}, ["table", "column"])
-    changes("drop_index", store.drop_unique, {"name": text, "column": text})
-    changes("save_template", lambda name: templates.update({name: list(store.catalog.specs.values())}), {"name": text})
+    changes("batch_create_tables", made, {"definitions": object}, touches=defined)
+    changes("create_standard_tables", lambda: store.create_standard(list(standard)), {}, touches=lambda args: of_specs(standard))
+    changes("repair_tables", lambda: store.repair(list(standard)), {}, touches=lambda args: of_specs(standard))
+    changes("drop_table", store.drop_table, {"name": text}, risk="danger", touches=lambda args: {args["name"]: None})
+    changes("add_column", lambda table, column, type="TEXT", default=None: store.add_column(table, ColumnSpec(column, type, rules={"default": default} if default is not None else {})), {"table": text, "column": text, "type": text, "default": text}, ["table", "column"], touches=one("table", "column"))
+    changes("drop_column", store.drop_column, {"name": text, "column": text, "force": bool}, ["name", "column"], "danger", touches=one("name", "column"))
+    changes("modify_column", store.modify_type, {"name": text, "column": text, "new": text, "force": bool}, ["name", "column", "new"], touches=one("name", "column"))
+    changes("alter_precision", store.alter_precision, {"name": text, "column": text, "new": text, "force": bool}, ["name", "column", "new"], touches=one("name", "column"))
+    changes("set_not_null", store.set_not_null, {"name": text, "column": text}, touches=one("name", "column"))
+    changes("add_foreign_key", lambda table, column, references: store.add_foreign_key(table, ForeignKey(column, references, "id")), {"table": text, "column": text, "references": text}, touches=lambda args: {args["references"]: ["id"], args["table"]: [args["column"]]})
+    changes("drop_foreign_key", store.drop_foreign_key, {"name": text, "column": text}, touches=one("name", "column"))
+    changes("create_index", index, {"table": text, "column": text, "unique": bool}, ["table", "column"], touches=one("table", "column"))
+    changes("drop_index", store.drop_unique, {"name": text, "column": text}, touches=one("name", "column"))
+    changes("save_template", lambda name: templates.update({name: list(store.catalog.specs.values())}), {"name": text}, touches=every)
     changes("list_templates", lambda: sorted(templates), {}, risk="read")
-    changes("import_template", lambda name: store.create_standard(templates[name]), {"name": text})
+    changes("import_template", lambda name: store.create_standard(templates[name]), {"name": text}, touches=saved)
     changes("drop_template", lambda name: templates.pop(name, None) is not None, {"name": text})
-    changes("clear_db", lambda drop=False: store.clear(drop), {"drop": bool}, [], "danger")
-    changes("backup_database", lambda keep=7: store.backup(keep), {"keep": int}, [])
-    changes("restore_database", store.restore, {"number": int}, risk="danger")
+    changes("clear_db", lambda drop=False: store.clear(drop), {"drop": bool}, [], "danger", touches=every)
+    changes("backup_database", lambda keep=7: store.backup(keep), {"keep": int}, [], touches=every)
+    changes("restore_database", store.restore, {"number": int}, risk="danger", touches=every)
     changes("process_file", lambda path, pattern="*": files.units(store.spark, path, pattern), {"path": text, "pattern": text}, ["path"], "read", ("files",))
     changes("search_files", lambda path, words, pattern="*": files.search(store.spark, path, words, pattern), {"path": text, "words": text, "pattern": text}, ["path", "words"], "read", ("files",))
     changes("search_documents", documents, {"words": text, "query": list, "k": int}, ["words", "query"], "read", ("files",))

@@ -245,6 +245,33 @@ def policy_join(spark, path):
     return out.data.withColumn("refused", F.lit(sum(r.code == "denied" for r in refused)))
 
 
+@query("""
+SELECT tool, code, CASE WHEN tool = 'select_data' THEN n END AS n FROM (SELECT count(*) AS n FROM customer WHERE c_custkey < 50), (VALUES ('select_data', 'ok'), ('select hidden', 'denied'), ('list_selections', 'ok'),
+  ('edit_data', 'ok'), ('edit hidden', 'denied'), ('query', 'denied'), ('insert_data', 'denied'), ('drop_column', 'denied'), ('drop hidden', 'denied'), ('drop_table', 'denied'), ('drop whole', 'denied'),
+  ('modify_column', 'denied'), ('create_index', 'denied'), ('clear_db', 'denied'), ('restore_database', 'denied'), ('set_not_null', 'denied'), ('add_foreign_key', 'denied'), ('set_visible', 'ok')) t(tool, code)
+""")
+def policy_tools(spark, path):
+    """Tools over a store under a policy that hides a table and a column: what each call is told, and what a sample shows."""
+    from millrace.plans.selection import Selections
+
+    store = _families(spark, path)
+    hidden = Policy(tables={"lines": False}, denied_columns={"buyers": {"name"}})
+    tools = registry.of_store(store, Selections(spark, shared_folder(spark, "selections")), hidden, gate=lambda tool, args: True)
+    chosen = tools.call("select_data", table="buyers", conditions=[_one("code", "<", 50)])
+    listed = tools.call("list_selections")
+    safe = all("name" not in x for s in (chosen.data, *listed.data) for x in s["sample"])
+    calls = [
+        ("select hidden", "select_data", dict(table="buyers", conditions=[_one("name", "=", "x")])), ("edit_data", "edit_data", dict(selection=1, values={})), ("edit hidden", "edit_data", dict(selection=1, values={"name": "x"})),
+        ("query", "query", dict(table="lines")), ("insert_data", "insert_data", dict(table="lines", data={"sale": 1})), ("drop_column", "drop_column", dict(name="lines", column="sale")), ("drop hidden", "drop_column", dict(name="buyers", column="name")),
+        ("drop_table", "drop_table", dict(name="lines")), ("drop whole", "drop_table", dict(name="buyers")), ("modify_column", "modify_column", dict(name="buyers", column="name", new="TEXT")), ("create_index", "create_index", dict(table="lines", column="sale")),
+        ("clear_db", "clear_db", {}), ("restore_database", "restore_database", dict(number=1)), ("set_not_null", "set_not_null", dict(name="buyers", column="name")), ("add_foreign_key", "add_foreign_key", dict(table="sales", column="buyer", references="lines")),
+        ("set_visible", "set_not_null", dict(name="buyers", column="code")),
+    ]
+    told = [("select_data", chosen.code if safe else "shown", chosen.data["count"]), ("list_selections", listed.code if safe else "shown", None)]
+    told += [(name, tools.call(tool, **args).code, None) for name, tool, args in calls]
+    return spark.createDataFrame(told, "tool string, code string, n long")
+
+
 @query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def semi_selection(spark, path):
     chosen = filtered(_t(spark, path, "labels"), [_one("toxic", "=", 1)]).select("doc_id")
@@ -684,6 +711,21 @@ def map_headers(spark, path):
     return good.select(F.col("values")["code"].cast("long").alias("code"), F.col("values")["name"].alias("name"), F.col("values")["price"].cast("double").alias("price"))
 
 
+@query("SELECT p_partkey AS code, p_name AS name, CAST(count(*) FILTER (p_partkey % 2 = 1) OVER () AS BIGINT) AS waiting FROM part QUALIFY p_partkey % 2 = 0")
+def mapping_replayed(spark, path):
+    """Parts in tables under two unknown headings; rules confirmed later solve one of them, the other goes on waiting."""
+    row = F.array(F.col("p_partkey").cast("string"), "p_name", F.col("p_retailprice").cast("string"))
+    heads = F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit("Nr"), F.lit("Title"), F.lit("Cost"))).otherwise(F.array(F.lit("Nr"), F.lit("Words"), F.lit("Cost")))
+    rows = _t(spark, path, "part").select(heads.alias("headers"), F.concat_ws("-", F.col("p_partkey") % 2, F.floor(F.col("p_partkey") / 1000)).alias("source_id"), row.alias("row"))
+    tables = rows.groupBy("source_id", "headers").agg(F.collect_list("row").alias("rows"))
+    kept = mapping.Retained(spark, shared_folder(spark, "retained"))
+    kept.keep(tables, mapping.mapped(tables, _PARTS)[1])
+    kept.confirm({"Nr": {"table": "items", "field": "code"}, "Title": {"table": "items", "field": "name"}})
+    good, _ = kept.replay(_PARTS)
+    left = kept.waiting().agg(F.coalesce(F.sum(F.size("rows")), F.lit(0)).cast("long").alias("waiting"))
+    return good.select(F.col("values")["code"].cast("long").alias("code"), F.col("values")["name"].alias("name"), F.lit(left.first()[0]).alias("waiting"))
+
+
 @query("SELECT r_name AS name, CAST(r_regionkey AS VARCHAR) AS code FROM region")
 def transpose_map(spark, path):
     rows = _t(spark, path, "region").agg(F.sort_array(F.collect_list(F.struct("r_regionkey", "r_name"))).alias("x"))

@@ -238,3 +238,29 @@ def test_sources_and_sinks(spark, tmp_path):
         z.writestr("word/document.xml", f'<w:document xmlns:w="{word}"><w:body>{body}</w:body></w:document>')
     units = sorted((r["path"][-6:], r["unit_no"], r["table_count"], r["text"][:6]) for r in files.units(spark, f"{folder}/out").collect())
     assert [u[:3] for u in units] == [("b.xlsx", 1, 1), ("c.docx", 1, 0), ("c.docx", 2, 0), ("c.docx", 3, 1)]
+
+
+def test_links_of_one_field_name_are_told_apart(spark):
+    from millrace.plans.catalog import ColumnSpec, TableSpec
+
+    code = lambda word: ColumnSpec("code", "TEXT", word, unique=True)
+    specs = [TableSpec("a", (code("first code"),)), TableSpec("b", (code("second code"),)), TableSpec("c", (ColumnSpec("size"), ColumnSpec("shape"), ColumnSpec("shade")))]
+    given = (["size", "shape", "shade", "first code", "second code", "First Code"], [["1", "round", "red", "x", "y", "z"]])
+    good, rest = mapping.mapped(tables(spark, given), specs)
+    assert [r["links"] for r in good.collect()] == [] and rest.count() == 1  # half of the headers are too few
+    good, rest = mapping.mapped(tables(spark, (given[0][:5], given[1])), specs)
+    assert [(r["table"], r["links"]) for r in good.collect()] == [("c", {"a.code": "x", "b.code": "y"})]
+
+
+def test_retained_tables_are_mapped_once_their_headers_are_known(spark, tmp_path):
+    kept = mapping.Retained(spark, f"file://{tmp_path}/kept")
+    first, second = (["Nr", "定额名称", "?"], [["A1", "one", "!"]]), (["x", "y"], [["1", "2"]])
+    given = tables(spark, first, second).withColumn("rows", mapping.F.col("rows"))
+    kept.keep(given, mapping.mapped(given, ITEMS)[1])
+    assert kept.waiting().count() == 2 and kept.replay(ITEMS)[0].count() == 0
+    kept.confirm({"Nr": {"table": "items", "field": "quota_code"}, "?": {"ignore": True}})
+    good, rest = kept.replay(ITEMS)
+    assert [(r["source_id"], r["values"]) for r in good.collect()] == [("0", {"quota_code": "A1", "quota_name": "one"})] and rest.count() == 0
+    assert [r["source_id"] for r in kept.waiting().collect()] == ["1"] and kept.replay(ITEMS)[0].count() == 0
+    kept.keep(given, mapping.mapped(given, ITEMS)[1])  # the same headers again: they wait for the next replay
+    assert kept.waiting().count() == 3 and kept.replay(ITEMS)[0].count() == 1 and kept.waiting().count() == 2
