@@ -17,6 +17,19 @@ def differences(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFr
     return both.select(*columns, F.when(F.col("__l") == 1, "left").otherwise("right").alias("side"))
 
 
+def presence(sides: dict[str, DataFrame], columns: list[str]) -> DataFrame:
+    """Distinct keys of any number of sides (up to 63), with ``has`` and ``lacks``: names of the sides, in their order.
+
+    Each side is a bit, and one shuffle brings the bits of a key together; nulls equal nulls.
+    """
+    if not 0 < len(sides) < 64:
+        raise ValueError("one to 63 sides are compared")
+    marked = [df.select(*columns).withColumn("__bit", F.lit(1 << i).cast("long")) for i, df in enumerate(sides.values())]
+    bits = reduce(DataFrame.unionByName, marked).groupBy(*columns).agg(F.bit_or("__bit").alias("__bits"))
+    told = lambda yes: F.array_compact(F.array(*[F.when((F.col("__bits").bitwiseAND(F.lit(1 << i).cast("long")) != 0) == yes, F.lit(n)) for i, n in enumerate(sides)]))
+    return bits.select(*columns, told(True).alias("has"), told(False).alias("lacks"))
+
+
 def union_of_names(frames: list[DataFrame], column: str) -> DataFrame:
     return reduce(DataFrame.union, [f.select(column) for f in frames]).distinct().orderBy(column)
 

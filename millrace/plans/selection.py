@@ -84,6 +84,58 @@ def page(df: DataFrame, key: str | list[str], number: int = 1, size: int = 100,
     return Page(rows, total, -(-total // size), number * size < total)
 
 
+@dataclass
+class Seek:
+    """Rows of a page, how many there are in all, and the token of the next page (None after the last)."""
+
+    rows: DataFrame
+    total: int
+    token: str | None
+
+
+def _after(df: DataFrame, keys: list[tuple[str, bool]], last: list) -> Column:
+    """Rows that come after some key values, in the order of ``keys`` (name, falling) with nulls last.
+
+    The first key's own range stands beside the exact condition, so that it reaches the scan.
+    """
+    kinds = {f.name: f.dataType for f in df.schema}
+    exact, same = F.lit(False), F.lit(True)
+    for (name, falling), value in zip(keys, last, strict=True):
+        held = F.lit(value).cast(kinds[name])
+        if value is not None:
+            beyond = F.col(name) < held if falling else F.col(name) > held
+            exact = exact | (same & (beyond | F.col(name).isNull()))
+        same = same & F.col(name).eqNullSafe(held)
+    (name, falling), value = keys[0], last[0]
+    held = F.lit(value).cast(kinds[name])
+    first = F.col(name).isNull() if value is None else (F.col(name) <= held if falling else F.col(name) >= held) | F.col(name).isNull()
+    return first & exact
+
+
+def page_after(df: DataFrame, keys: str | list[str], token: str | None = None, size: int = 100, conditions=None, fields: str | list[str] = "*", names=None) -> Seek:
+    """The page that follows a token, which holds the last key values: a range is read, nothing is counted off.
+
+    ``keys`` are items ``column [ASC|DESC]`` that together tell rows apart; nulls come last either way. The total is
+    counted for the first page only, and goes along in the token.
+    """
+    if not 1 <= size <= 500:
+        raise ValueError("pages hold 1 to 500 rows")
+    df = filtered(df, conditions, names=names)
+    items = [(i.split()[0], i.split()[-1].upper() == "DESC") for i in (keys.split(",") if isinstance(keys, str) else keys)]
+    try:
+        held = json.loads(token) if token else {"total": df.count(), "seen": 0, "last": None}
+        total, seen, last = held["total"], held["seen"], held["last"]
+    except (ValueError, KeyError, TypeError) as e:
+        raise ValueError("not a page token") from e
+    rest = df if last is None else df.where(_after(df, items, last))
+    rows = ordered(rest, keys).limit(size)
+    text = [F.col(n).cast("string").alias(f"k{i}") for i, (n, _) in enumerate(items)]
+    end = rows.select(*text).tail(1)  # of one page
+    seen += size
+    after = json.dumps({"total": total, "seen": seen, "last": list(end[0])}) if end and seen < total else None
+    return Seek(projected(rows, fields, names), total, after)
+
+
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
     if column == "*":
         raise ValueError("a distinct list is of one column")

@@ -278,6 +278,29 @@ def semi_selection(spark, path):
     return _t(spark, path, "documents").join(chosen, "doc_id", "left_semi").select("doc_id", "lang")
 
 
+@query("""
+WITH k AS (SELECT c_custkey AS k, 'customer' AS side FROM customer UNION SELECT o_custkey, 'orders' FROM orders UNION SELECT user_id, 'events' FROM events), s AS (
+  SELECT k, bool_or(side = 'customer') AS c, bool_or(side = 'orders') AS o, bool_or(side = 'events') AS e FROM k GROUP BY k)
+SELECT concat_ws(',', CASE WHEN c THEN 'customer' END, CASE WHEN o THEN 'orders' END, CASE WHEN e THEN 'events' END) AS has,
+  concat_ws(',', CASE WHEN NOT c THEN 'customer' END, CASE WHEN NOT o THEN 'orders' END, CASE WHEN NOT e THEN 'events' END) AS lacks, count(*) AS n FROM s GROUP BY ALL
+""")
+def reconcile_three(spark, path):
+    """Customers by which of three tables know them."""
+    sides = {n: _t(spark, path, n).select(F.col(c).cast("long").alias("k")) for n, c in (("customer", "c_custkey"), ("orders", "o_custkey"), ("events", "user_id"))}
+    found = reconcile.presence(sides, ["k"])
+    return found.select(F.array_join("has", ",").alias("has"), F.array_join("lacks", ",").alias("lacks")).groupBy("has", "lacks").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders WHERE o_orderstatus <> 'P') AS total FROM orders WHERE o_orderstatus <> 'P' ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100")
+def page_after(spark, path):
+    """The third page of orders by price, reached by two tokens."""
+    token, out = None, None
+    for _ in range(3):
+        out = selection.page_after(_t(spark, path, "orders"), ["o_totalprice DESC", "o_orderkey"], token, 50, [_one("o_orderstatus", "!=", "P")], ["o_orderkey", "o_totalprice"])
+        token = out.token
+    return out.rows.withColumn("total", F.lit(out.total).cast("long"))
+
+
 @query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def anti_absent(spark, path):
     return reconcile.absent(_t(spark, path, "documents").select("doc_id"), _t(spark, path, "labels"), "doc_id", "doc_id")

@@ -7,6 +7,7 @@ import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -49,29 +50,78 @@ def _column(reference: str) -> int:
     return n - 1
 
 
+#: Numbers of the built-in formats that show dates or times.
+DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+
+
+def _date_styles(styles: bytes | None) -> set[int]:
+    """Numbers of the cell styles that show a date or time, by built-in format or by the letters of its own."""
+    if styles is None:
+        return set()
+    root = ET.fromstring(styles)
+    plain = lambda code: re.sub(r'"[^"]*"|\\.|\[(?!h+\]|m+\]|s+\])[^\]]*\]', "", code)
+    dated = DATE_FORMATS | {int(f.get("numFmtId")) for f in root.iter(f"{_SHEET}numFmt") if re.search("[ymdhs]", plain(f.get("formatCode") or ""), re.I)}
+    cells = root.find(f"{_SHEET}cellXfs")
+    return {i for i, x in enumerate(cells if cells is not None else ()) if int(x.get("numFmtId") or 0) in dated}
+
+
+def _date(number: str, since_1904: bool) -> str:
+    """A serial number as date and time, or as a time alone below one day; of the 1900 dates, none is the 29th of February."""
+    try:
+        days = float(number)
+    except ValueError:
+        return number
+    seconds = round(days * 86400)
+    if 0 <= days < 1:
+        return str((datetime(1900, 1, 1) + timedelta(seconds=seconds)).time())
+    start = datetime(1904, 1, 1) if since_1904 else datetime(1899, 12, 31) if days < 60 else datetime(1899, 12, 30)
+    try:
+        return str(start + timedelta(seconds=seconds))
+    except OverflowError:
+        return number
+
+
 def sheet_rows(data: bytes) -> list[tuple[str, list[list[str]]]]:
-    """(name, rows) of a workbook's sheets; merged cells repeat their first cell's value."""
+    """(name, rows) of a workbook's sheets; merged cells repeat their first cell's value.
+
+    Dates come out as date and time, booleans as True and False. Rows and cells may lack their references: they then
+    follow the one before them.
+    """
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = z.namelist()
         text = lambda e: "".join(t.text or "" for t in e.iter(f"{_SHEET}t"))
         shared = [text(e) for e in ET.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
+        dated = _date_styles(z.read("xl/styles.xml") if "xl/styles.xml" in names else None)
         # a sheet's file is what the workbook's relations say, whatever its place or number
         targets = {e.get("Id"): e.get("Target") for e in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        sheets = [(e.get("name"), targets[e.get(_RELATION)]) for e in ET.fromstring(z.read("xl/workbook.xml")).iter(f"{_SHEET}sheet")]
+        book = ET.fromstring(z.read("xl/workbook.xml"))
+        since_1904 = any(e.get("date1904") in ("1", "true") for e in book.iter(f"{_SHEET}workbookPr"))
+        sheets = [(e.get("name"), targets[e.get(_RELATION)]) for e in book.iter(f"{_SHEET}sheet")]
+
+        def shown(c: ET.Element) -> str:
+            value, kind = c.find(f"{_SHEET}v"), c.get("t")
+            got = text(c) if kind == "inlineStr" else (value.text or "" if value is not None else "")
+            if kind == "s" and got:
+                return shared[int(got)]
+            if kind == "b" and got:
+                return str(got in ("1", "true"))
+            return _date(got, since_1904) if kind in (None, "n") and got and int(c.get("s") or 0) in dated else got
+
         out = []
         for title, target in sheets:
             root = ET.fromstring(z.read(target.lstrip("/") if target.startswith("/") else f"xl/{target}"))
             cells: dict[tuple[int, int], str] = {}
+            r = -1
             for row in root.iter(f"{_SHEET}row"):
-                for c in row.iter(f"{_SHEET}c"):
-                    value = c.find(f"{_SHEET}v")
-                    got = text(c) if c.get("t") == "inlineStr" else (value.text or "" if value is not None else "")
-                    cells[int(row.get("r")) - 1, _column(c.get("r"))] = shared[int(got)] if c.get("t") == "s" and got else got
+                r, c = int(row.get("r")) - 1 if row.get("r") else r + 1, -1
+                for cell in row.iter(f"{_SHEET}c"):
+                    c = _column(cell.get("r")) if cell.get("r") else c + 1
+                    cells[r, c] = shown(cell)
             for m in root.iter(f"{_SHEET}mergeCell"):
-                a, b = m.get("ref").split(":")
+                a, _, b = m.get("ref").partition(":")
                 top, left = int(re.sub("[A-Z]", "", a)) - 1, _column(a)
-                for r in range(top, int(re.sub("[A-Z]", "", b))):
-                    for c in range(left, _column(b) + 1):
+                for r in range(top, int(re.sub("[A-Z]", "", b or a))):
+                    for c in range(left, _column(b or a) + 1):
                         cells[r, c] = cells.get((top, left), "")
             height, width = (1 + max((k[j] for k in cells), default=-1) for j in (0, 1))
             out.append((title, [[cells.get((r, c), "") for c in range(width)] for r in range(height)]))

@@ -182,3 +182,43 @@ def test_registry(spark, data):
     assert codes == ["unknown_tool", "missing", "denied", "bad_value", "unknown_parameter", "invalid"]
     tools.add(registry.Tool("wipe", lambda: 1, risk="write"))
     assert tools.call("wipe").code == "denied"
+
+
+def test_seek_pages_give_every_row_once_in_order(spark):
+    from millrace.plans import selection
+
+    rows = [(i, None if i % 7 == 0 else i % 5, f"t{i % 3}" if i % 11 else None) for i in range(83)]
+    df = spark.createDataFrame(rows, "id long, n int, t string")
+    for keys in (["n", "id"], ["n DESC", "t", "id DESC"], "t DESC, n DESC, id", ["id"]):
+        wanted = [tuple(r) for r in selection.ordered(df, keys).collect()]
+        got, token, pages = [], None, 0
+        while pages == 0 or token:
+            out = selection.page_after(df, keys, token, 9)
+            got += [tuple(r) for r in out.rows.collect()]
+            token, pages = out.token, pages + 1
+            assert out.total == 83
+        assert got == wanted and pages == 10
+    assert selection.page_after(df.where("false"), "id").token is None
+    for bad in ("x", "{}", "[1]"):
+        with pytest.raises(ValueError, match="token"):
+            selection.page_after(df, "id", bad)
+
+
+def test_seek_pages_read_a_range(spark, tmp_path):
+    from millrace.plans import selection
+
+    spark.range(5000).selectExpr("id", "id % 10 AS n").write.parquet(f"file://{tmp_path}/t")
+    df = spark.read.parquet(f"file://{tmp_path}/t")
+    token = selection.page_after(df, "id", size=100).token
+    plan = selection.page_after(df, "id", token, 100).rows._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(id,99)" in plan and "Offset" not in plan
+
+
+def test_presence_on_several_sides(spark):
+    from millrace.operators import reconcile
+
+    side = lambda *ks: spark.createDataFrame([(k,) for k in ks], "k int")
+    out = {r["k"]: (r["has"], r["lacks"]) for r in reconcile.presence({"specs": side(1, 2, 2, None), "meta": side(2, 3), "files": side(3, 4, None)}, ["k"]).collect()}
+    assert out == {1: (["specs"], ["meta", "files"]), 2: (["specs", "meta"], ["files"]), 3: (["meta", "files"], ["specs"]), 4: (["files"], ["specs", "meta"]), None: (["specs", "files"], ["meta"])}
+    with pytest.raises(ValueError):
+        reconcile.presence({}, ["k"])

@@ -70,3 +70,25 @@ def test_descriptions_and_graph(spark):
 def test_an_export_of_an_unknown_selection_is_refused(spark, tmp_path):
     with pytest.raises(ValueError):
         Selections(spark, f"file://{tmp_path}").export(4, spark.range(1), f"file://{tmp_path}/x")
+
+
+def test_sheets_without_references_and_with_typed_cells():
+    import io
+    import zipfile
+
+    from millrace.sources import files
+
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="{rel}"><sheets><sheet name="s" r:id="a"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="a" Target="worksheets/x.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", f'<styleSheet {main}><numFmts><numFmt numFmtId="170" formatCode="yyyy&quot;x&quot;"/><numFmt numFmtId="171" formatCode="0.00&quot;days&quot;[Red]"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="171"/></cellXfs></styleSheet>')
+        cells = '<c><v>1</v></c><c t="b"><v>1</v></c><c s="1"><v>45292</v></c><c s="2"><v>45292.5</v></c><c s="3"><v>2.5</v></c>'
+        z.writestr("xl/worksheets/x.xml", f'<worksheet {main}><sheetData><row>{cells}</row><row><c t="inlineStr"><is><t>a</t></is></c><c r="D2" t="b"><v>0</v></c><c s="1"><v>0.25</v></c></row><row r="5"><c s="1"><v>59</v></c><c s="1"><v>61</v></c></row><row><c/><c s="1"/></row></sheetData></worksheet>')
+    [(title, rows)] = files.sheet_rows(data.getvalue())
+    assert title == "s" and rows == [
+        ["1", "True", "2024-01-01 00:00:00", "2024-01-01 12:00:00", "2.5"], ["a", "", "", "False", "06:00:00"], [""] * 5, [""] * 5,
+        ["1900-02-28 00:00:00", "1900-03-01 00:00:00", "", "", ""], [""] * 5,
+    ]
