@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -79,31 +80,44 @@ def rate_limited(events: DataFrame, by: str, time: str, key: str, limit: int, se
 
 
 class RateLimit:
-    """Per caller, the times within the window before: the state of :func:`stream_rate_limited`."""
+    """Per caller, the times within the window before: the state of :func:`stream_rate_limited`.
+
+    Once the watermark has passed a caller's last time by the window, a timer removes what is held of it.
+    """
 
     def __init__(self, limit: int, seconds: int):
         self.limit, self.width = limit, seconds * 1_000_000
 
     def __call__(self, key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = list(state.get[0]) if state.exists else []
         for batch in batches:
             batch = batch.sort_values(["at", "event"], kind="stable")
             recent = []
-            for at in batch["at"]:
-                held = [x for x in held if x > at - self.width] + [at]
-                recent.append(sum(x <= at for x in held))
+            for at in batch["at"].tolist():
+                insort(held, at)
+                recent.append(bisect_right(held, at) - bisect_right(held, at - self.width))
             yield pd.DataFrame({"caller": batch["caller"], "event": batch["event"], "recent": recent, "allowed": [n <= self.limit for n in recent]})
-        if state.hasTimedOut or not held:
-            state.remove()
-        else:
+        held = held[bisect_right(held, held[-1] - self.width) :] if held else held
+        ends = (held[-1] + self.width) // 1000 + 1 if held else 0
+        if ends > state.getCurrentWatermarkMs():
             state.update((held,))
+            state.setTimeoutTimestamp(ends)
+        elif state.exists:
+            state.remove()
+
 
+def stream_rate_limited(events: DataFrame, by: str, time: str, key: str, limit: int, seconds: int = 60, watermark: str = "10 minutes") -> DataFrame:
+    """(caller, event, recent, allowed) of a stream of events in order: as :func:`rate_limited`, with state for each caller.
 
-def stream_rate_limited(events: DataFrame, by: str, time: str, key: str, limit: int, seconds: int = 60) -> DataFrame:
-    """(caller, event, recent, allowed) of a stream of events in order: as :func:`rate_limited`, with state for each caller."""
-    rows = events.select(F.col(by).cast("string").alias("caller"), F.col(key).cast("string").alias("event"), F.unix_micros(F.col(time).cast("timestamp")).alias("at"))
+    Events that come later than the watermark allows are left out, as the state they would need may be gone.
+    """
+    timed = events.withColumn("__time", F.col(time).cast("timestamp")).withWatermark("__time", watermark)
+    rows = timed.select(F.col(by).cast("string").alias("caller"), F.col(key).cast("string").alias("event"), F.unix_micros("__time").alias("at"), "__time")
     return rows.groupBy("caller").applyInPandasWithState(
-        RateLimit(limit, seconds), "caller string, event string, recent long, allowed boolean", "times array<long>", "append", GroupStateTimeout.NoTimeout
+        RateLimit(limit, seconds), "caller string, event string, recent long, allowed boolean", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

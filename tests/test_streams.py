@@ -123,3 +123,21 @@ def test_ranges_need_two_values(spark):
         filtered(spark.range(3), [{"field": "id", "op": "BETWEEN", "value": "1"}])
     with pytest.raises(ValueError, match="can't be compared"):
         filtered(spark.range(3), [{"field": "id", "op": "<", "value": "x"}])
+
+
+def test_what_is_held_of_an_idle_caller_goes(spark, tmp_path):
+    import os
+    import time as clock
+
+    hours = [[(1, 1, 0.0), (2, 2, 1.0), (3, 2, 2.0)], [(4, 3, 7200.0)], [(5, 3, 14400.0)], [(6, 2, 21600.0)]]
+    schema = "event_id long, user_id long, at double"
+    for i, rows in enumerate(hours):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"file://{tmp_path}/in/{i}")
+        for name in os.listdir(f"{tmp_path}/in/{i}"):
+            os.utime(f"{tmp_path}/in/{i}/{name}", (clock.time() - 1000 + i,) * 2)  # files are taken by age
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*").withColumn("ts", F.timestamp_seconds(F.col("at") + 1_000_000))
+    q = rollup.stream_rate_limited(stream, "user_id", "ts", "event_id", 5).writeStream.format("memory").queryName("idle").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/check").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {int(r["event"]): r["recent"] for r in spark.table("idle").collect()} == {1: 1, 2: 1, 3: 2, 4: 1, 5: 1, 6: 1}
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert held[0] == 2 and max(held) <= 3 and held[-1] <= 2
