@@ -1,15 +1,16 @@
 """Quality by positive-unlabelled learning with the non-negative unbiased risk.
 
-Trusted positives are training documents labelled 1; the unlabelled side is training documents whose labels, if they
-have any, aren't looked at. A document is seen by measures of its make-up and by the shares of its byte triples, hashed
-into ``GRAMS`` buckets. A small network first separates the two sides; its scores of all unlabelled training documents
+Trusted positives are training documents labelled 1; the unlabelled side is all training documents, labelled or not,
+and no other label is looked at. A document is seen by measures of its make-up and by the shares of its byte triples,
+hashed into ``GRAMS`` buckets. A small network first separates the two sides; its scores of all training documents
 against those of positives it wasn't fitted to bound the share of positives among the unlabelled (the class prior). It
-is then fitted again to the risk ``prior * R_p(+1) + max(0, R_u(-1) - prior * R_p(-1))``, taking a step back on the
-negative part where that is below zero. The cut lies where that risk sees both classes alike; no negative label is
-read.
+is then fitted to the risk ``prior * R_p(+1) + max(0, R_u(-1) - prior * R_p(-1))``, taking a step back on the
+negative part where that is below zero. The cut lies where that risk sees both classes alike.
 
-The fit reads samples of ``per_side`` (4,000) rows of the label table, chosen by a hash of the id, the unlabelled side
-with the labels hidden; the prior and the scores come from every document, whole.
+The fit starts from bounded samples: ``per_side`` (4,000) trusted positives, one row an id, and as many rows of all
+training documents, each chosen by a hash. From there ``passes`` steps follow the risk itself, whose unlabelled side is
+a sum over every training document: features are stored once, and each pass adds up gradients on Spark. The prior and
+the scores come from every document, whole, too.
 
 Defined results: null and empty texts have features of an empty text and a score like any other. Without positives,
 or without any text, all scores are 0. Repeated rows are scored alike; of several labels the largest counts; null
@@ -18,7 +19,7 @@ labels are left out. Columns to keep may not be called ``score`` or ``predicted`
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import clashing, remainder
+from millrace.llm.common import clashing, discard, remainder, stored
 
 FEATURES = (
     "log_words", "mean_word", "long_words", "short_words", "distinct", "distinct_lower", "adjacent_same", "top_word",
@@ -36,15 +37,19 @@ FEATURES = (
 )
 #: Buckets of byte triples, and bytes of a text that are hashed at a time.
 GRAMS, SLICE = 256, 1 << 20
+WIDTH = len(FEATURES) + GRAMS
+#: Rows whose features are worked on at a time.
+ROWS = 1024
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Rows of each side's sample, and sizes of the network and its training."""
+    """Rows of each side's sample, sizes of the network and its training, and passes over all training documents."""
 
     per_side: int = 4000
     hidden: int = 24
     epochs: int = 30
+    passes: int = 12
     batch: int = 256
     rate: float = 0.01
     decay: float = 1e-3
@@ -67,7 +72,7 @@ def gram_shares(data: bytes) -> np.ndarray:
 def features(text: str | None) -> np.ndarray:
     """Measures of a whole text, each at most a few units large, then the shares of its byte triples."""
     text = text or ""
-    return np.concatenate([measures(text), gram_shares(text.encode())])
+    return np.concatenate([measures(text), gram_shares(text.encode())]).astype("<f4")
 
 
 def measures(text: str) -> np.ndarray:
@@ -131,6 +136,27 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def sums(net: Net, x: np.ndarray) -> np.ndarray:
+    """Sums over rows of the logistic loss of calling them negative, its gradients one after another, and the rows."""
+    z = net.logits(x)
+    return np.concatenate([[np.logaddexp(0, z).sum()], *[g.ravel() for g in net.grads(x, sigmoid(z))], [len(x)]])
+
+
+def risk_step(net: Net, p: np.ndarray, of_all: np.ndarray, prior: float) -> None:
+    """One step down the non-negative risk of positives ``p`` and of the unlabelled rows that ``of_all`` sums up."""
+    zp, n = net.logits(p), of_all[-1]
+    cuts = np.cumsum([w.size for w in net.params])[:-1]
+    of_u = [g.reshape(w.shape) / n for g, w in zip(np.split(of_all[1:-1], cuts), net.params, strict=True)]
+    of_p = net.grads(p, sigmoid(zp) / len(p))
+    away = [x - prior * y for x, y in zip(of_u, of_p, strict=True)]
+    if of_all[0] / n - prior * np.logaddexp(0, zp).mean() < 0:
+        net.step([-x for x in away])
+    else:
+        # d/dz of log(1 + e^-z) is sig(z) - 1; of log(1 + e^z), sig(z)
+        toward = net.grads(p, (sigmoid(zp) - 1) / len(p))
+        net.step([prior * x + y for x, y in zip(toward, away, strict=True)])
+
+
 def fit_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, s: Settings, non_negative: bool = True) -> Net:
     """Minimise the non-negative unbiased risk with the logistic loss; without ``non_negative``, positives against unlabelled."""
     net, rng = Net(np.concatenate([positive, unlabelled]), s), np.random.default_rng(s.seed + 1)
@@ -139,20 +165,11 @@ def fit_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, s: Sett
         for b in range(0, len(u_order), s.batch):
             u = unlabelled[u_order[b : b + s.batch]]
             p = positive[rng.integers(0, len(positive), min(len(positive), s.batch))]
-            zp, zu = net.logits(p), net.logits(u)
-            # d/dz of log(1 + e^-z) is sig(z) - 1; of log(1 + e^z), sig(z)
-            toward = net.grads(p, (sigmoid(zp) - 1) / len(p))
-            if not non_negative:
-                away = net.grads(u, sigmoid(zu) / len(u))
-                net.step([0.5 * x + 0.5 * y for x, y in zip(toward, away, strict=True)])
-                continue
-            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            of_u, of_p = net.grads(u, sigmoid(zu) / len(u)), net.grads(p, sigmoid(zp) / len(p))
-            away = [x - prior * y for x, y in zip(of_u, of_p, strict=True)]
-            if negative < 0:
-                net.step([-x for x in away])
+            if non_negative:
+                risk_step(net, p, sums(net, u), prior)
             else:
-                net.step([prior * x + y for x, y in zip(toward, away, strict=True)])
+                toward, away = net.grads(p, (sigmoid(net.logits(p)) - 1) / len(p)), net.grads(u, sigmoid(net.logits(u)) / len(u))
+                net.step([0.5 * x + 0.5 * y for x, y in zip(toward, away, strict=True)])
     return net
 
 
@@ -192,74 +209,110 @@ def scores(model: Model | None, x: np.ndarray) -> np.ndarray:
     return sigmoid(model.net.logits(x) + np.log(model.cut / (1 - model.cut)))
 
 
-def measured(rows: DataFrame) -> DataFrame:
-    """(h, positive, x) of rows (h, positive, text)."""
+def matrix(x: pa.Array) -> np.ndarray:
+    """Stored features as rows of numbers."""
+    return np.frombuffer(b"".join(x.to_pylist()), "<f4").reshape(len(x), WIDTH)
+
+
+def featured(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of every document, and ``__x``, the features of its whole text as 32-bit numbers in bytes."""
+    clashing(keep, ["__x", "__text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("positive"), pa.array(x, pa.list_(pa.float64()))], ["h", "positive", "x"])
+            x = [features(t).tobytes() for t in batch.column("__text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(x, pa.binary())], [*keep, "__x"])
 
-    return rows.mapInArrow(run, "h long, positive boolean, x array<double>")
+    schema = docs.select(*keep).withColumn("__x", F.lit(b"")).schema
+    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
 
 
-def sampled(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
-    """(h, positive, x) of the training rows: positives, and rows of the label table whatever their labels.
+def trusted(rows: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
+    """(h, __x): training rows of at most ``per_side`` positive ids, one row an id however often it occurs.
 
-    The chosen ids are bounded by ``per_side``, so they are broadcast against the documents.
+    The chosen ids are bounded, so they are broadcast against the rows.
     """
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where(F.col("y").isin(0, 1) & (remainder("doc_id", 5) != 0))
-    known = known.groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("doc_id"))
-    # two hashes, so that the sides are drawn apart
-    positive = known.where("y = 1").orderBy("h", "doc_id").limit(s.per_side).select("doc_id", "h", F.lit(True).alias("positive"))
-    free = known.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(s.per_side).select("doc_id", "h", F.lit(False).alias("positive"))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(positive.union(free)), "doc_id")
-    return measured(rows.select("h", "positive", "text"))
+    known = labels.where((F.col("quality").cast("int") == 1) & (remainder("doc_id", 5) != 0)).select("doc_id").distinct()
+    chosen = known.join(rows.select("doc_id"), "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(s.per_side)
+    return rows.join(F.broadcast(chosen), "doc_id").groupBy("h", "doc_id").agg(F.min("__x").alias("__x")).select("h", "__x")
 
 
-def reached_by(docs: DataFrame, net: Net, cuts: np.ndarray) -> tuple[np.ndarray, int]:
-    """How many of all documents' scores reach each cut, and how many documents there are."""
-    shared = docs.sparkSession.sparkContext.broadcast((net, cuts))
+def added_up(rows: DataFrame, of: Callable[[np.ndarray], np.ndarray]) -> dict[int, float]:
+    """Sums over all rows of the numbers that ``of`` gives for features, by their place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, at = shared.value
-        total, n = np.zeros(len(at), np.int64), 0
+        total = None
         for batch in batches:
-            if batch.num_rows:
-                total += above(own.logits(np.stack([features(t) for t in batch.column("text").to_pylist()])), at)
-                n += batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([*range(len(at)), -1], pa.int32()), pa.array([*total, n], pa.int64())], ["cut", "n"])
+            for low in range(0, batch.num_rows, ROWS):
+                found = of(matrix(batch.column("__x").slice(low, ROWS)))
+                total = found if total is None else total + found
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total, pa.float64())], ["i", "s"])
+
+    return dict(map(tuple, rows.select("__x").mapInArrow(run, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()))
+
+
+def refined(net: Net, positive: np.ndarray, rows: DataFrame, prior: float, s: Settings) -> Net:
+    """The network after ``passes`` more steps, each on the risk over all ``rows`` as the unlabelled side."""
+    size = sum(w.size for w in net.params) + 2
+    for _ in range(s.passes):
+        shared = rows.sparkSession.sparkContext.broadcast(net)
+        found = added_up(rows, lambda x, shared=shared: sums(shared.value, x))
+        risk_step(net, positive, np.array([found[i] for i in range(size)]), prior)
+        shared.destroy()
+    return net
 
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "cut int, n long").groupBy("cut").agg(F.sum("n").alias("n"))
-    found = dict(map(tuple, found.collect()))
-    return np.array([found.get(i, 0) for i in range(len(cuts))], np.int64), found.get(-1, 0)
 
+def fit_features(rows: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model | None:
+    """Train on stored rows (doc_id, __x) whose crc32 modulo 5 isn't 0; None without positives or texts."""
+    rows = rows.where(remainder("doc_id", 5) != 0)
 
-def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model | None:
-    """Train on documents whose crc32 modulo 5 isn't 0; None without positives or texts."""
-    rows = sampled(docs, labels, s).toArrow().sort_by([("h", "ascending"), ("positive", "ascending")])
-    side = rows.column("positive").to_numpy().astype(bool)
-    if not side.any() or side.all():
+    def drawn(sample: DataFrame) -> np.ndarray:
+        return matrix(sample.toArrow().sort_by([("h", "ascending"), ("__x", "ascending")]).column("__x").combine_chunks())
+
+    positive = drawn(trusted(rows, labels, s))
+    if not len(positive):
         return None
-    x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(len(side), -1).astype(np.float32)
-    positive, unlabelled = x[side], x[~side]
-    del rows, x
+    # by a number of each row, so that a row that is often repeated has no more than its share
+    each = rows.select(F.xxhash64("doc_id", "__x", F.monotonically_increasing_id()).alias("h"), "__x")
+    unlabelled = drawn(each.orderBy("h", "__x").limit(s.per_side))
     net, cuts = separator(positive, unlabelled, s)
-    reached, total = reached_by(docs.where(remainder("doc_id", 5) != 0), net, cuts)
-    prior = class_prior(net.logits(positive[1::2]), cuts, reached, total)
-    return Model(fit_risk(positive, unlabelled, prior, s), prior, s.cut)
+    shared = rows.sparkSession.sparkContext.broadcast((net, cuts))
+    found = added_up(rows, lambda x: np.array([*above(shared.value[0].logits(x), shared.value[1]), len(x)], np.float64))
+    shared.destroy()
+    prior = class_prior(net.logits(positive[1::2]), cuts, np.array([found[i] for i in range(len(cuts))]), int(found[len(cuts)]))
+    return Model(refined(fit_risk(positive, unlabelled, prior, s), positive, rows, prior, s), prior, s.cut)
 
 
-def classify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of every document, with ``score`` and ``predicted`` (1 at 0.3 and above)."""
-    clashing(keep, ["score", "predicted", "__text"])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*keep).withColumn("score", F.lit(0.0)).schema
+def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model | None:
+    """Train on documents whose crc32 modulo 5 isn't 0; None without positives or texts."""
+    rows = stored(featured(docs.where(remainder("doc_id", 5) != 0), ["doc_id"]), "features")
+    model = fit_features(rows, labels, s)
+    discard(rows)
+    return model
+
+
+def scored(rows: DataFrame, model: Model | None, keep: list[str], column: str, of: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The columns ``keep``, ``score`` and ``predicted`` of rows whose features ``of`` reads from ``column``."""
+    clashing(keep, ["score", "predicted", "__text", "__x"])
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    schema = rows.select(*keep).withColumn("score", F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([features(t) for t in batch.column("__text").to_pylist()]).reshape(batch.num_rows, len(FEATURES) + GRAMS)
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(scores(shared.value, x), pa.float64())], [*keep, "score"])
+            found = pa.array(scores(shared.value, of(batch.column(column))), pa.float64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], found], [*keep, "score"])
 
-    out = docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
+    out = rows.select(*keep, column).mapInArrow(run, schema)
     return out.withColumn("predicted", (F.col("score") >= (model.cut if model else 0.3)).cast("int"))
+
+
+def classify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of every document, with ``score`` and ``predicted`` (1 at 0.3 and above)."""
+    rows = docs.select(*keep, F.col("text").cast("string").alias("__text"))
+    return scored(rows, model, keep, "__text", lambda texts: np.array([features(t) for t in texts.to_pylist()]).reshape(len(texts), WIDTH))
+
+
+def classify_features(rows: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
+    """:func:`classify` of rows whose features are stored."""
+    return scored(rows, model, keep, "__x", matrix)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import chat, covertree, importance, mtree, neardup, ngrams, packing, pieces, pii, quality, toxicity, whitening, wordbpe
-from millrace.llm.common import remainder, table
+from millrace.llm.common import remainder, stored, table
 
 
 def tokenizer(name: str) -> str:
@@ -63,9 +63,9 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality scores of all documents."""
-    docs = table(spark, sf_dir, "documents")
-    scored = quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+    """Quality scores of all documents; each text is read once, for its features."""
+    rows = stored(quality.featured(table(spark, sf_dir, "documents"), ["doc_id"]), "features")
+    scored = quality.classify_features(rows, quality.fit_features(rows, table(spark, sf_dir, "labels")), ["doc_id"])
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 

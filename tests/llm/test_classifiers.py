@@ -114,6 +114,50 @@ def test_risk_learns_without_negative_labels():
     assert (net.logits(mixed[:700]) > 0).mean() > 0.93 and (net.logits(mixed[700:]) < 0).mean() > 0.93
 
 
+def held(i):
+    return zlib.crc32(str(i).encode()) % 5 == 0
+
+
+def test_unlabelled_documents_are_the_other_side(spark):
+    """Nearly all labels are on good documents, while half of all documents are poor: the prior is that of all."""
+    rows = [(i, t if i % 2 else t.upper().replace(" ", "!! ")) for i, (_, t, _, q) in enumerate(x for x in corpus(1400, 4) if x[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = [(i, i % 2) for i, _ in rows if (i % 4 == 1) or i % 60 == 0]
+    assert np.mean([q for _, q in labels]) > 0.9
+    model = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert 0.35 < model.prior < 0.65
+    out = {r["doc_id"]: r["predicted"] for r in quality.classify(docs, model, ["doc_id"]).collect()}
+    assert np.mean([out[i] == i % 2 for i, _ in rows if held(i)]) > 0.95
+
+
+def test_byte_triples_decide_where_measures_are_alike(spark):
+    """Good and poor documents differ in their words alone, which are the same letters in another order."""
+    rnd = random.Random(6)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(4, 9))) for _ in range(60)]
+    rows = [(i, " ".join(w if i % 2 else w[::-1] for w in rnd.choices(words, k=rnd.randint(40, 90)))) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    right = {}
+    for weight in (quality.Settings().gram_weight, 1e-9):
+        model = quality.fit(docs, labels, dataclasses.replace(quality.Settings(), gram_weight=weight))
+        out = {r["doc_id"]: r["predicted"] for r in quality.classify(docs, model, ["doc_id"]).collect()}
+        right[weight] = np.mean([out[i] == i % 2 for i, _ in rows if held(i)])
+    print(right)
+    assert right[quality.Settings().gram_weight] > 0.95 and right[1e-9] < 0.65
+
+
+def test_passes_add_up_all_rows_and_one_row_an_id_is_trusted(spark):
+    docs, labels, rows = frames(spark, 300)
+    many = docs.union(docs.where("doc_id = 1").crossJoin(spark.range(500).drop("id")))
+    table_of = quality.featured(many, ["doc_id"])
+    x = np.stack([quality.features(t) for _, t, _, _ in rows])
+    net = quality.Net(x, quality.Settings())
+    found = quality.added_up(quality.featured(docs, ["doc_id"]), lambda x: quality.sums(net, x))
+    assert np.allclose([found[i] for i in range(len(found))], quality.sums(net, x))
+    assert quality.trusted(table_of, labels, quality.Settings()).groupBy("h").count().where("count > 1").count() == 0
+    assert quality.trusted(table_of, labels, dataclasses.replace(quality.Settings(), per_side=7)).count() == 7
+
+
 def forward(model, text):
     """The network's logit and the document's threshold in plain Python."""
     words = (text or "").lower().encode().translate(toxicity.PLAIN).split()
