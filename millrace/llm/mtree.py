@@ -34,6 +34,8 @@ from millrace.llm.common import discard, stored
 from millrace.llm.vectors import Dealing, pivots, placed, sizes, usable
 
 
+#: Products of queries and pivots that are worked on at a time.
+PRODUCTS = 1 << 20
 #: The score of a place that no candidate takes.
 NONE = -np.iinfo(np.int64).max
 
@@ -230,19 +232,31 @@ def routed(asked: DataFrame, root: dict[int, tuple[np.ndarray, np.ndarray]]) ->
                 at = np.flatnonzero(lengths == dim)
                 if int(dim) not in shared.value:
                     at = at[first[at]]
-                    i, cell = np.arange(len(at)), np.zeros(len(at), np.int64)
-                else:
-                    p, cover = shared.value[int(dim)]
-                    q = batch.column("v").take(pa.array(at)).flatten().to_numpy().astype(np.float64).reshape(-1, int(dim))
+                    yield visits(batch, dim, at, np.zeros(len(at), np.int64))
+                    continue
+                p, cover = shared.value[int(dim)]
+                square, length = (p * p).sum(1), norms(p)
+                step = max(1, PRODUCTS // len(p))
+                for low in range(0, len(at), step):
+                    part = at[low : low + step]
+                    q = batch.column("v").take(pa.array(part)).flatten().to_numpy().astype(np.float64).reshape(-1, int(dim))
                     size, product = norms(q), q @ p.T
-                    nearest = ((p * p).sum(1)[None] - 2 * product).argmin(1)
-                    bound = product + size[:, None] * cover[None]
-                    slack = 1e-6 * (1 + (size[:, None] + cover[None] + norms(p)[None]) ** 2)
-                    others = (bound + slack >= score[at][:, None]) & (np.arange(len(p))[None] != nearest[:, None])
-                    only = np.arange(len(p))[None] == nearest[:, None]
-                    i, cell = np.nonzero(np.where(first[at][:, None], only, others))
-                taken = pa.array(at[i])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), dim), pa.int32()), pa.array(cell, pa.int32()), batch.column("id").take(taken), batch.column("v").take(taken)], ["dim", "cell", "id", "v"])
+                    nearest = (square[None] - 2 * product).argmin(1)
+                    own = np.flatnonzero(first[part])
+                    yield visits(batch, dim, part[own], nearest[own])
+                    again = np.flatnonzero(~first[part])
+                    if len(again):
+                        bound = product[again] + size[again, None] * cover[None]
+                        slack = 1e-6 * (1 + (size[again, None] + cover[None] + length[None]) ** 2)
+                        others = bound + slack >= score[part[again]][:, None]
+                        others[np.arange(len(again)), nearest[again]] = False
+                        i, cell = np.nonzero(others)
+                        yield visits(batch, dim, part[again[i]], cell)
+
+    def visits(batch: pa.RecordBatch, dim: int, at: np.ndarray, cell: np.ndarray) -> pa.RecordBatch:
+        taken = pa.array(at, pa.int64())
+        columns = [pa.array(np.full(len(at), dim), pa.int32()), pa.array(cell, pa.int32()), batch.column("id").take(taken), batch.column("v").take(taken)]
+        return pa.RecordBatch.from_arrays(columns, ["dim", "cell", "id", "v"])
 
     return asked.select("id", "v", "least", "again").mapInArrow(run, "dim int, cell int, id long, v array<long>")
 

@@ -199,16 +199,13 @@ def encode(df: DataFrame, key: str, text: str, model: str, digests: bool = False
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
         for batch in batches:
-            rows = list(own.encode(batch.column("text").to_pylist()))
-            if digests:
-                columns = [
-                    pa.array([len(ids) for ids, *_ in rows], pa.int64()),
-                    pa.array([hashlib.sha256(ids.tobytes()).hexdigest() for ids, *_ in rows], pa.string()),
-                    pa.array([hashlib.sha256(x[3]).hexdigest() for x in rows], pa.string()),
-                    pa.array([int((x[2] - x[1]).sum()) for x in rows], pa.int64()),
-                ]
+            encoded = own.encode(batch.column("text").to_pylist())
+            if digests:  # one text's ids and spans at a time
+                rows = [(len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(shown).hexdigest(), int((ends - starts).sum())) for ids, starts, ends, shown in encoded]
+                columns = [pa.array([x[i] for x in rows], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string(), pa.int64()))]
                 names = ["key", "n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes"]
             else:
+                rows = list(encoded)
                 columns = [pa.array([x[i].astype(np.int32) for x in rows], pa.list_(pa.int32())) for i in range(3)]
                 columns.append(pa.array([x[3].decode("utf-8", "replace") for x in rows], pa.string()))
                 names = ["key", "ids", "starts", "ends", "decoded"]

@@ -109,3 +109,20 @@ def test_queries_match_brute_force(spark, data):
     rows = plain(table(spark, data, "embeddings"))
     assert sorted(map(tuple, queries.op5_cover_tree(spark, data).collect()), key=str) == cosine_links(rows, 0.95)
     assert sorted(map(tuple, queries.op6_mtree(spark, data).collect())) == top_products(rows, 256, 50, 5)
+
+
+def test_queries_are_routed_in_steps(spark):
+    """20,000 pivots and some hundred queries: what a step holds doesn't grow with either, and no visit is lost."""
+    rng = np.random.default_rng(3)
+    p, q = rng.integers(-99, 99, (20_000, 4)).astype(np.float64), rng.integers(-99, 99, (150, 4))
+    cover = np.full(len(p), 5.0)
+    asked = spark.createDataFrame([(i, x.tolist(), 9000, i % 2 == 0) for i, x in enumerate(q)], "id long, v array<long>, least long, again boolean")
+    found = sorted((r["id"], r["cell"]) for r in mtree.routed(asked, {4: (p, cover)}).collect())
+    want = []
+    for i, x in enumerate(q):
+        nearest = ((p - x) ** 2).sum(1).argmin()
+        reach = np.flatnonzero(p @ x + np.sqrt((x**2).sum()) * cover >= 9000 - 0.5) if i % 2 == 0 else [nearest]
+        want += [(i, int(c)) for c in reach if i % 2 or c != nearest]
+    assert set(want) >= set(found) and len(set(want) - set(found)) < len(want) / 100
+    exact = [(i, int(c)) for i, c in want if i % 2 or p[c] @ q[i] + np.sqrt((q[i] ** 2).sum()) * 5 >= 9000 + 1e-6]
+    assert set(exact) <= set(found)
