@@ -14,6 +14,7 @@ from millrace.plans.conditions import filtered
 from millrace.plans.policy import Policy
 from millrace.sources.places import shared_folder
 from millrace.streaming import rollup
+from millrace.streaming.units import tier, two_tiers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -777,3 +778,23 @@ def grouped_rejects(spark, path):
 def batches_with_overlap(spark, path):
     units = _t(spark, path, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("unit_no"), "text")
     return mapping.unit_batches(units).select("doc_id", F.col("batch").cast("long").alias("batch"), F.size("texts").cast("long").alias("n"))
+
+
+@query(r"""
+    WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    sizes(tier, size, again) AS (VALUES ('batches', 3, 1), ('flushes', 5, 0)),
+    u AS (SELECT tier, conv_id, turn, text, size, turn // size AS batch FROM c, sizes
+          UNION ALL SELECT tier, conv_id, turn, text, size, turn // size + 1 FROM c, sizes WHERE again = 1 AND turn % size = size - 1)
+    SELECT tier, conv_id AS doc_id, batch, string_agg(text, chr(10) ORDER BY turn) AS texts FROM u
+    WHERE EXISTS (SELECT 1 FROM c WHERE c.conv_id = u.conv_id AND c.turn // u.size = u.batch) GROUP BY ALL""")
+def unit_stream(spark, path):
+    """Conversations as a stream of turns, through both tiers; a stream takes a single file by pattern only."""
+    rows = _t(spark, path, "conversations")
+    units = rows.groupBy("conv_id").agg(F.count("*").alias("units"))
+    arriving = spark.readStream.schema(rows.schema).parquet(f"{path}/conversations.parque[t]").join(units, "conv_id")
+    folder = shared_folder(spark, "units")
+    for q in two_tiers(arriving.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("unit_no"), "text", "units"), folder):
+        q.awaitTermination()
+    each = [tier(spark, folder, name).withColumn("tier", F.lit(name)) for name in ("flushes", "batches")]
+    texts = F.array_join("texts", "\n", "")
+    return each[0].union(each[1]).select("tier", F.col("doc_id").cast("long").alias("doc_id"), "batch", texts.alias("texts"))

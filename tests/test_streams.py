@@ -11,7 +11,7 @@ from millrace.functions.text import clean_key, key_of
 from millrace.operators import mapping
 from millrace.plans.conditions import filtered
 from millrace.sources import files, sinks
-from millrace.streaming import rollup
+from millrace.streaming import rollup, units
 
 
 def events(spark, tmp_path, rows):
@@ -141,3 +141,75 @@ def test_what_is_held_of_an_idle_caller_goes(spark, tmp_path):
     assert {int(r["event"]): r["recent"] for r in spark.table("idle").collect()} == {1: 1, 2: 1, 3: 2, 4: 1, 5: 1, 6: 1}
     held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
     assert held[0] == 2 and max(held) <= 3 and held[-1] <= 2
+
+
+def arrivals(spark, tmp_path, runs):
+    import os
+    import time as clock
+
+    schema = "doc_id long, unit_no long, text string, units long"
+    for i, rows in enumerate(runs):
+        at = len(os.listdir(tmp_path / "in")) if (tmp_path / "in").exists() else 0
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"file://{tmp_path}/in/{at}")
+        for name in os.listdir(f"{tmp_path}/in/{at}"):
+            os.utime(f"{tmp_path}/in/{at}/{name}", (clock.time() - 1000 + at,) * 2)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
+
+
+def test_units_in_any_order_make_the_batches_of_a_table(spark, tmp_path):
+    import random
+
+    sizes = {1: 7, 2: 3, 3: 1, 4: 12, 5: 4}
+    rows = [(d, u, None if u == 2 else f"{d}-{u}", n) for d, n in sizes.items() for u in range(1, n + 1)]
+    random.Random(2).shuffle(rows)
+    rows += rows[:6] + [(None, 1, "x", 1), (1, None, "x", 7)]  # units again, and rows that are none
+    folder = f"file://{tmp_path}/out"
+    for half in (rows[:15], rows[15:]):  # the second call goes on from the checkpoint of the first
+        for q in units.two_tiers(arrivals(spark, tmp_path, [half[:8], half[8:]]), folder):
+            q.awaitTermination(120)
+    table = spark.createDataFrame([r for r in rows[:27] if r[0] and r[1]], "doc_id long, unit_no long, text string, units long")
+    got = sorted((int(r["doc_id"]), r["batch"], r["texts"]) for r in units.tier(spark, folder, "batches").collect())
+    assert got == sorted((r["doc_id"], r["batch"], r["texts"]) for r in mapping.unit_batches(table).collect()) and len(got) == 3 + 1 + 1 + 4 + 2
+    got = sorted((int(r["doc_id"]), r["batch"], r["numbers"]) for r in units.tier(spark, folder, "flushes").collect())
+    assert got == sorted((d, b, list(range(5 * b + 1, min(n, 5 * b + 5) + 1))) for d, n in sizes.items() for b in range(-(-n // 5)))
+
+
+class State:
+    """A group's state as the units see it."""
+
+    def __init__(self):
+        self.get, self.exists, self.hasTimedOut = None, False, False
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+    def remove(self):
+        self.get, self.exists = None, False
+
+    def setTimeoutTimestamp(self, ms):
+        self.ms = ms
+
+    def getCurrentProcessingTimeMs(self):
+        return 5000
+
+    def getCurrentWatermarkMs(self):
+        return -1
+
+
+def test_batches_leave_while_a_document_arrives_and_at_its_end():
+    import pandas as pd
+
+    def come(own, state, *numbers, of=None):
+        part = pd.DataFrame({"unit_no": numbers, "text": [str(n) for n in numbers], "units": [of] * len(numbers)})
+        return [(b, n) for x in own(("d",), iter([part]), state) for b, n in zip(x["batch"], x["numbers"])]
+
+    own, state = units.Batches(3, 1), State()
+    assert come(own, state, 2, 4, 1) == [] and come(own, state, 3) == [(0, [1, 2, 3])]
+    assert sorted(state.get[3]) == [3, 4] and state.ms == 5001  # the overlap, and what waits
+    assert come(own, state, 3, 1) == [] and come(own, state, 6, 5, 8) == [(1, [3, 4, 5, 6])]
+    state.hasTimedOut = True  # unit 7 never comes, nor was the number of units said
+    assert [(b, n) for x in own(("d",), iter([]), state) for b, n in zip(x["batch"], x["numbers"])] == [(2, [6, 8])] and not state.exists
+    state = State()
+    assert come(own, state, 1, 3, of=2) == [(0, [1, 3])] and state.get[0] == -1 and come(own, state, 3, of=2) == []
+    with pytest.raises(ValueError, match="overlap"):
+        units.batches(None, 3, 4)
