@@ -100,18 +100,11 @@ def folders(table: str | list[dict]) -> list[dict]:
     return [{"rows": table}] if isinstance(table, str) else table
 
 
-class Store:
-    """Snapshots of a catalog's tables under one folder, which may have been written by an earlier session."""
-
-    def __init__(self, spark: SparkSession, folder: str, keep: int = 7, patience: float = 60):
-        self.spark, self.folder, self.keep, self.patience = spark, folder.rstrip("/"), keep, patience
-        self.catalog = Catalog(spark)
-        self.number = -1
-        self.current: dict[str, str | list[dict]] = {}
-        self._claim: str | None = None
-        self._open()
+class Folder:
+    """A folder's small files, each written whole by whoever comes first, and never replaced."""
 
-    # files
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -166,13 +159,27 @@ class Store:
         if fs.exists(aside):
             fs.delete(aside, False)
         if not done:
-            raise Refused(f"{name} exists: another session has changed the store")
+            raise Refused(f"{name} exists: another session has been here first")
 
     def _drop(self, *paths: str) -> None:
         for path in paths:
             fs, p = self._fs(path)
             fs.delete(p, True)
 
+
+class Store(Folder):
+    """Snapshots of a catalog's tables under one folder, which may have been written by an earlier session."""
+
+    def __init__(self, spark: SparkSession, folder: str, keep: int = 7, patience: float = 60):
+        super().__init__(spark, folder)
+        self.keep, self.patience = keep, patience
+        self.catalog = Catalog(spark)
+        self.number = -1
+        self.current: dict[str, str | list[dict]] = {}
+        self._claim: str | None = None
+        self._by: str | None = None
+        self._open()
+
     # claims
 
     def _claims(self, number: int) -> list[str]:
@@ -244,9 +251,9 @@ class Store:
             note = self._get(name)
             whole = all(fs.exists(p) for fs, p in (self._fs(f"{x}/_SUCCESS") for x in note["new"]))
             if whole:
-                self._publish(note["tables"], {n: of_json(x) for n, x in note["specs"].items()})
+                self._publish(note["tables"], {n: of_json(x) for n, x in note["specs"].items()}, note.get("by"))
             else:
-                self._publish(self.current, dict(self.catalog.specs))
+                self._publish(self.current, dict(self.catalog.specs), note.get("by"))
                 self._drop(*note["new"])
             self._drop(f"{self.folder}/{name}")
             self.recovered[name] = "committed" if whole else "compensated"
@@ -296,7 +303,7 @@ class Store:
             whole = number == self.number + 1 and all(fs.exists(p) for fs, p in (self._fs(f"{x}/_SUCCESS") for x in note["new"]))
             if whole:
                 with self._claimed():
-                    self._publish(note["tables"], {n: of_json(x) for n, x in note["specs"].items()})
+                    self._publish(note["tables"], {n: of_json(x) for n, x in note["specs"].items()}, note.get("by"))
             else:
                 self._drop(*note["new"])
             self._drop(f"{self.folder}/{name}")
@@ -325,13 +332,22 @@ class Store:
             self.catalog.declare(of_json(spec))
         self.catalog.frames = frames
 
-    def _publish(self, tables: dict[str, str | list[dict]], specs: dict[str, TableSpec]) -> None:
-        held = {"number": self.number + 1, "tables": tables, "specs": {n: as_json(x) for n, x in specs.items()}}
+    def _publish(self, tables: dict[str, str | list[dict]], specs: dict[str, TableSpec], by: str | None = None) -> None:
+        held = {"number": self.number + 1, "tables": tables, "specs": {n: as_json(x) for n, x in specs.items()}, "by": by or self._by}
         if not self._owned():
             raise Refused("another session has taken this change over")
         self._put(f"manifest-{held['number']:08d}.json", held)
         self._take(held)
 
+    @contextmanager
+    def signed(self, change: str) -> Iterator[None]:
+        """Manifests that are written meanwhile name a change that spans several places."""
+        self._by = change
+        try:
+            yield
+        finally:
+            self._by = None
+
     def history(self) -> list[dict]:
         """The manifests that are still there, the oldest first."""
         return [self._get(n) for n in self._names("manifest-")]
@@ -351,7 +367,7 @@ class Store:
             tables = {n: p for n, p in tables.items() if n in declared or n in frames}
             note = f"journal-{self.number + 1:08d}.json"
             paths = [path for _, _, path, _ in new]
-            self._put(note, {"number": self.number + 1, "new": paths, "tables": tables, "specs": {n: as_json(x) for n, x in declared.items()}})
+            self._put(note, {"number": self.number + 1, "new": paths, "tables": tables, "specs": {n: as_json(x) for n, x in declared.items()}, "by": self._by})
             try:
                 for _, _, path, df in new:
                     df.write.parquet(path)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import mapping, mutate, profile, quality, reconcile, retrieval
+from millrace.operators.several import SeveralSources, Sources, Step, changes, commit
 from millrace.plans import aggregates, joins, registry, selection
 from millrace.plans.catalog import Catalog, ColumnSpec, ForeignKey, TableSpec, catalog_inconsistencies
 from millrace.plans.conditions import filtered
 from millrace.plans.policy import Policy
+from millrace.sources.live import LiveSource
 from millrace.sources.places import shared_folder
 from millrace.streaming import rollup
 from millrace.streaming.units import tier, two_tiers
@@ -583,6 +586,79 @@ def insert_appends(spark, path):
     return store.catalog.table("buyers").select("code", F.lit(len(after)).alias("folders"), F.lit(small).alias("small"))
 
 
+# several places
+
+
+def _live(spark) -> LiveSource:
+    """An empty database within the driver's process; only a session without other machines reaches it."""
+    name = f"live{uuid.uuid4().hex[:12]}"
+    return LiveSource(spark, name, f"jdbc:derby:memory:{name};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver", "APP")
+
+
+@query("""
+SELECT n_name AS nation, count(DISTINCT c_custkey) AS customers, count(o_orderkey) AS orders, 'main' AS of_none, 'main' AS of_one, 'live' AS of_both, 'several' AS of_three, true AS pushed
+FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey WHERE c_acctbal > 0 GROUP BY n_name
+""")
+def federated_routing(spark, path):
+    """Customers by nation, counted in a live database, and their orders, which lie in files."""
+    live = _live(spark)
+    live.create("nation", _t(spark, path, "nation").select("n_nationkey", "n_name"), "n_nationkey", "n_name VARCHAR(100)")
+    live.create("customer", _t(spark, path, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), "c_custkey", parents={"c_nationkey": ("nation", "n_nationkey")})
+    sources = Sources(spark)
+    sources.add("main", _c(spark, path, "orders"))
+    sources.add(live.name, live)
+    found = []
+    for tables in ([], ["orders"], ["customer", "nation"], ["orders", "customer", "nation"]):
+        try:
+            found.append("live" if sources.owner(tables) == live.name else sources.owner(tables))
+        except SeveralSources:
+            found.append("several")
+    counted = sources.catalog.table("customer").where("c_acctbal > 0").groupBy("c_nationkey").agg(F.count("*").alias("customers"))
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    pushed = "PushedAggregates: [COUNT(*)]" in plan and "c_acctbal > 0" in plan.replace("`", "").replace('"', "").replace("0.0", "0")
+    all_three = joins.joined(sources.catalog, "customer", ["nation", "orders"], "LEFT", [_one("customer.c_acctbal", ">", 0)]).frame
+    ordered = all_three.groupBy("nation__n_nationkey", F.col("nation__n_name").alias("nation")).agg(F.count("orders__o_orderkey").alias("orders"))
+    names = ("of_none", "of_one", "of_both", "of_three")
+    return ordered.join(counted, F.col("nation__n_nationkey") == F.col("c_nationkey")).select("nation", "customers", "orders", *[F.lit(v).alias(n) for n, v in zip(names, found, strict=True)], F.lit(pushed).alias("pushed"))
+
+
+@query("""
+SELECT c_custkey AS code, c_name AS name, CASE c_custkey WHEN 3 THEN 10.5 WHEN 4 THEN NULL ELSE c_acctbal END AS balance, 'committed,compensated' AS states FROM customer
+UNION ALL SELECT -1, 'new', 0.5, 'committed,compensated'
+""")
+def commit_two_sources(spark, path):
+    """Customers' names in a store, their balances in a live database; of two changes to both, the first fails at its last step."""
+    live, store = _live(spark), mutate.Store(spark, shared_folder(spark, "store"))
+    live.create("accounts", _t(spark, path, "customer").select(F.col("c_custkey").alias("code"), F.col("c_acctbal").alias("balance")), "code")
+    spec = TableSpec("buyers", (ColumnSpec("id", "BIGINT", pk=True, unique=True), ColumnSpec("code", "BIGINT", unique=True), ColumnSpec("name")))
+    store.write({"buyers": _t(spark, path, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("code"), F.col("c_name").alias("name"))}, {"buyers": spec})
+    sources = Sources(spark)
+    sources.add("main", store)
+    sources.add(live.name, live)
+    folder = shared_folder(spark, "changes")
+    account = lambda code, balance: spark.createDataFrame([(code, balance)], live.frame("accounts").schema)
+    failing = [
+        Step("buyers", "update", conditions=[_one("code", "=", 1)], values={"name": "wrong"}),
+        Step("buyers", "delete", conditions=[_one("code", "=", 2)]),
+        Step("accounts", "delete", conditions=[_one("balance", ">", 1000), _one("code", ">", 1)]),
+        Step("accounts", "update", conditions=[_one("code", "<", 50)], values={"balance": -1}),
+        Step("accounts", "insert", account(1, 0.0)),
+    ]
+    try:
+        commit(sources, failing, folder)
+    except Exception as e:
+        if "duplicate key" not in str(e):
+            raise
+    commit(sources, [
+        Step("buyers", "insert", [{"code": -1, "name": "new"}]),
+        Step("accounts", "insert", account(-1, 0.5)),
+        Step("accounts", "update", conditions=[_one("code", "=", 3)], values={"balance": 10.5}),
+        Step("accounts", "delete", conditions=[_one("code", "=", 4)]),
+    ], folder)
+    states = ",".join(sorted(c["state"] for c in changes(spark, folder).values()))
+    return sources.catalog.table("buyers").join(sources.catalog.table("accounts"), "code", "left").select("code", "name", "balance", F.lit(states).alias("states"))
+
+
 @query("SELECT * FROM (VALUES ('INSERT', 'yes'), ('INSERT of other values', 'no'), ('UPDATE', 'yes'), ('UPDATE of missing rows', 'no'), ('DELETE', 'yes'), ('DELETE of rows still there', 'no'), ('DELETE of none', 'unknown')) t(claim, verified)")
 def verify_insert(spark, path):
     after = _t(spark, path, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
