@@ -1,15 +1,20 @@
 """Toxicity by a convolutional text classifier, trained in numpy, with thresholds set by language.
 
-Words and their first four and six letters, which inflected words share, are hashed into 2**24 buckets; buckets that
+Words and their first four and six letters, which inflected words share, are hashed into 2**19 buckets; buckets that
 at least ``min_docs`` training documents hold have an embedding, all others a zero vector. A word's embedding is the
 sum of its buckets'. Filters of several widths slide over the whole text; the largest response of each
 filter feeds a logistic output. The language that sets a document's threshold is guessed from its own function
 words, never read from a column. Scores are shifted so that each language's threshold lies at 0.7.
 
-Embeddings, filters and output start at random. Training reads a bounded sample of labelled documents (``per_class`` of
-each label, by a hash of the id, as far as their words keep within ``sample_bytes``), fitted in one task; every
-document is scored whole, very long ones in slices. A language's threshold has the fewest errors among its own
-documents of a fifth kept out of the fit, and among all others with the weight of ``lent`` documents.
+All training documents are learned from. Where they are few (``per_class`` of each label, within ``sample_bytes``), one
+task fits them. Else such a sample, by a hash of the id, gives no more than the weights to start from: the buckets that
+have an embedding are counted over all, and in each of ``rounds`` rounds every task takes its share of all training
+documents in steps, and what the tasks changed is averaged, each row of weights over the tasks that changed it, by
+their documents. A task holds a few thousand documents at a time and the model, which the number of buckets bounds.
+
+Every document is scored whole; very long ones are learned from and scored in slices. A language's threshold has the
+fewest errors among its own documents of a fifth kept out of the fit, and among all others with the weight of ``lent``
+documents; beyond the small case that fifth is of all training documents, counted by steps of 1/``GRID`` of a logit.
 
 Defined results: null and empty texts have no words and get the score of a text without known words. Where either
 label is missing from the training rows, all scores are 0. Repeated rows are scored alike; a document with several
@@ -21,7 +26,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +36,13 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import clashing, discard, remainder, stored
 
-BUCKETS = 1 << 24
+BUCKETS = 1 << 19
+#: Words that are taken together, in fits and in scores.
+CHUNK = 100_000
+#: Steps of a logit by which thresholds of all training documents are counted, and the largest logit that is told apart.
+GRID, FARTHEST = 256, 64
+#: Training documents that a task holds at a time, twice as many at its end.
+PORTION = 2000
 #: The languages whose thresholds are set apart, with common function words.
 FUNCTION_WORDS = {
     "en": "the of and to in is that was for on with as are be this by from it at an or",
@@ -48,9 +59,9 @@ CACHE, LONGEST = 150_000, 64
 
 @dataclass(frozen=True)
 class Settings:
-    """Sizes of the training sample (rows of each label, bytes of its words), of the network and of its training.
+    """Sizes of the sample that a fit starts from (rows of each label, bytes of its words), of the network and of its training.
 
-    ``lent`` is the number of documents that all other languages together count for where a language's threshold is set.
+    ``rounds`` are taken over all training documents if they are more than that sample. ``lent`` is the number of documents that all other languages together count for where a language's threshold is set.
     """
 
     per_class: int = 3000
@@ -60,6 +71,7 @@ class Settings:
     filters: int = 16
     spans: tuple[int, ...] = (1, 2, 3)
     epochs: int = 8
+    rounds: int = 2
     batch: int = 64
     least_steps: int = 120
     rate: float = 0.05
@@ -162,89 +174,180 @@ def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[first], inverse
 
 
+def together(docs: list[np.ndarray], chunk: int) -> Iterator[list[np.ndarray]]:
+    """Documents in groups of at most ``chunk`` words; a longer one is alone."""
+    held, size = [], 0
+    for doc in docs:
+        if held and size + len(doc) > chunk:
+            yield held
+            held, size = [], 0
+        held.append(doc)
+        size += len(doc)
+    if held:
+        yield held
+
+
+def slices(doc: np.ndarray, pad: int, step: int) -> Iterator[np.ndarray]:
+    """The rows of one document with ``pad`` zero rows around it, ``step`` windows at a time."""
+    for low in range(0, len(doc) + pad, step):
+        high = min(low + step + pad, len(doc) + 2 * pad)
+        ids = np.zeros((high - low, 3), np.int64)
+        first, last = max(low, pad), min(high, pad + len(doc))
+        ids[first - low : max(first, last) - low] = doc[first - pad : max(first, last) - pad]
+        yield ids
+
+
+def winners(model: Model, docs: list[np.ndarray], chunk: int = CHUNK) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Each document's largest response to every filter before the cut at zero, and by width the words of the first
+    windows that gave it (word of the window, document, filter, bucket)."""
+    spans = tuple(len(f) for f in model.filters)
+    z, windows = [], [[] for _ in spans]
+    for group in together(docs, chunk):
+        long = len(group) == 1 and len(group[0]) > chunk
+        parts = [(x, np.zeros(1, int)) for x in slices(group[0], max(spans), chunk)] if long else [joined(group, spans)]
+        best = [None] * len(spans)
+        for ids, starts in parts:
+            ends = np.append(starts[1:], len(ids) - max(spans))
+            for k, w in enumerate(spans):
+                out = responses(model, ids, k)
+                at = np.stack([x + out[x:y].argmax(0) for x, y in zip(starts, ends, strict=True)])
+                found = np.take_along_axis(out, at, 0), np.stack([ids[at + o] for o in range(w)])
+                if best[k] is not None:
+                    more = found[0] > best[k][0]
+                    found = np.where(more, found[0], best[k][0]), np.where(more[None, ..., None], found[1], best[k][1])
+                best[k] = found
+        z.append(np.concatenate([found for found, _ in best], 1))
+        for k, (_, own) in enumerate(best):
+            windows[k].append(own)
+    return np.concatenate(z), [np.concatenate(x, 1) for x in windows]
+
+
+def new_model(buckets: np.ndarray, rng: np.random.Generator, s: Settings) -> Model:
+    """Random weights for these buckets."""
+    model = Model(buckets, np.zeros((1, s.width), np.float32), cut=s.cut)
+    model.embedding = rng.normal(0, 0.1, (len(buckets) + 1, s.width)).astype(np.float32)
+    model.embedding[0] = 0
+    model.filters = [rng.normal(0, 1 / np.sqrt(s.width * w), (w, s.width, s.filters)).astype(np.float32) for w in s.spans]
+    model.bias = [np.zeros(s.filters, np.float32) for _ in s.spans]
+    model.out = rng.normal(0, 0.3, s.filters * len(s.spans)).astype(np.float32)
+    return model
+
+
+def flat(model: Model) -> np.ndarray:
+    """All weights in rows of an embedding's width; the embedding's own rows are the last."""
+    width = model.embedding.shape[1]
+    dense = np.concatenate([*[f.ravel() for f in model.filters], *model.bias, model.out, [model.out_bias]]).astype(np.float32)
+    return np.concatenate([np.pad(dense, (0, -len(dense) % width)).reshape(-1, width), model.embedding])
+
+
+def unflat(rows: np.ndarray, like: Model) -> Model:
+    """A model whose weights are these rows; its arrays are its own."""
+    head = len(rows) - len(like.embedding)
+    dense, at, parts = rows[:head].ravel(), 0, []
+    for x in (*like.filters, *like.bias, like.out):
+        parts.append(dense[at : at + x.size].reshape(x.shape).copy())
+        at += x.size
+    k = len(like.filters)
+    return replace(like, embedding=rows[head:].copy(), filters=parts[:k], bias=parts[k : 2 * k], out=parts[-1], out_bias=float(dense[at]))
+
+
+class Trainer:
+    """A model in training by steps of a batch, with the sums of squared gradients, which are kept like a model."""
+
+    def __init__(self, model: Model, weight: dict[int, float], s: Settings, squares: Model | None = None):
+        self.model, self.weight, self.s = model, weight, s
+        self.squares = squares or unflat(np.full_like(flat(model), 1e-3), model)
+
+    def step(self, value: np.ndarray, old: np.ndarray, grad: np.ndarray) -> None:
+        old += grad * grad
+        value -= self.s.rate * 3 * grad / np.sqrt(old)
+
+    def batch(self, docs: list[np.ndarray], y: np.ndarray) -> None:
+        """One step on documents as rows of the embedding, with their labels."""
+        s, model, squares = self.s, self.model, self.squares
+        z, windows = winners(model, docs)
+        feats = np.maximum(z, 0)
+        error = 1 / (1 + np.exp(-(feats @ model.out + model.out_bias))) - y
+        error = (error * np.where(y == 1, self.weight[1], self.weight[0]) / len(docs)).astype(np.float32)
+        back = error[:, None] * model.out[None] * (z > 0)
+        model.out_bias -= s.rate * 3 * float(error.sum())
+        self.step(model.out, squares.out, feats.T @ error + s.decay * model.out)
+        touched, moved = [], []
+        for k, w in enumerate(s.spans):
+            own = back[:, k * s.filters : (k + 1) * s.filters]
+            grad = np.zeros_like(model.filters[k])
+            for o in range(w):
+                row = windows[k][o]
+                grad[o] = np.einsum("bfd,bf->df", model.embedding[row].sum(2), own)
+                change = (own[..., None] * model.filters[k][o].T[None]).reshape(-1, s.width)
+                for j in range(3):
+                    touched.append(row[..., j].ravel())
+                    moved.append(change)
+            self.step(model.filters[k], squares.filters[k], grad + s.decay * model.filters[k])
+            self.step(model.bias[k], squares.bias[k], own.sum(0))
+        rows_hit, inverse = np.unique(np.concatenate(touched), return_inverse=True)
+        grad = np.zeros((len(rows_hit), s.width), np.float32)
+        np.add.at(grad, inverse, np.concatenate(moved))
+        grad += s.decay * model.embedding[rows_hit]
+        squares.embedding[rows_hit] += grad * grad
+        model.embedding[rows_hit] -= s.rate * 3 * grad / np.sqrt(squares.embedding[rows_hit])
+        model.embedding[0] = 0
+
+    def epoch(self, docs: list[np.ndarray], labels: np.ndarray, order: np.ndarray) -> None:
+        for b in range(0, len(order), self.s.batch):
+            at = order[b : b + self.s.batch]
+            self.batch([docs[i] for i in at], labels[at])
+
+
+def balance(labels: dict[int, int]) -> dict[int, float]:
+    """Weights by which both labels count alike, of how many documents have each."""
+    return {y: sum(labels.values()) / 2 / max(1, labels.get(y, 0)) for y in (0, 1)}
+
+
 def train(docs: list[np.ndarray], labels: np.ndarray, s: Settings = Settings()) -> Model:
     """Fit the network to bucket arrays and 0/1 labels; every fifth document only sets thresholds."""
+    return trained(docs, labels, s).model
+
+
+def trained(docs: list[np.ndarray], labels: np.ndarray, s: Settings) -> Trainer:
     rng = np.random.default_rng(s.seed)
     order = rng.permutation(len(docs))
     held, used = order[::5], np.setdiff1d(order, order[::5])
     seen, counts = np.unique(np.concatenate([np.unique(docs[i]) for i in used] or [np.zeros(0, np.int32)]), return_counts=True)
     counts[seen < 0] = 0
-    model = Model(seen[counts >= s.min_docs], np.zeros((1, s.width), np.float32), cut=s.cut)
-    rows = len(model.buckets) + 1
-    model.embedding = rng.normal(0, 0.1, (rows, s.width)).astype(np.float32)
-    model.embedding[0] = 0
-    model.filters = [rng.normal(0, 1 / np.sqrt(s.width * w), (w, s.width, s.filters)).astype(np.float32) for w in s.spans]
-    model.bias = [np.zeros(s.filters, np.float32) for _ in s.spans]
-    model.out = rng.normal(0, 0.3, s.filters * len(s.spans)).astype(np.float32)
-    ids_of = {i: rows_of(model, docs[i]).astype(np.int32) for i in used}
+    model = new_model(seen[counts >= s.min_docs], rng, s)
+    ids_of = [rows_of(model, d).astype(np.int32) for d in docs]
     epochs = max(s.epochs, -(-s.least_steps * s.batch // max(1, len(used))))
-    squares: dict[str, np.ndarray] = {}
-
-    def step(name: str, value: np.ndarray, grad: np.ndarray) -> None:
-        old = squares.setdefault(name, np.full(value.shape, 1e-3, np.float32))
-        old += grad * grad
-        value -= s.rate * 3 * grad / np.sqrt(old)
-
-    embedding_squares = np.full((rows, s.width), 1e-3, np.float32)
-    weight = {0: len(used) / 2 / max(1, (labels[used] == 0).sum()), 1: len(used) / 2 / max(1, (labels[used] == 1).sum())}
+    fit = Trainer(model, balance({y: int((labels[used] == y).sum()) for y in (0, 1)}), s)
     for _ in range(epochs):
         rng.shuffle(used)
-        for b in range(0, len(used), s.batch):
-            batch = used[b : b + s.batch]
-            ids, starts = joined([ids_of[i] for i in batch], s.spans)
-            ends = np.append(starts[1:], len(ids) - max(s.spans))
-            places, pooled = [], []
-            for k in range(len(s.spans)):
-                out = responses(model, ids, k)
-                at = np.stack([x + out[x:y].argmax(0) for x, y in zip(starts, ends, strict=True)])
-                places.append(at)
-                pooled.append(np.take_along_axis(out, at, 0))
-            z = np.concatenate(pooled, 1)
-            feats = np.maximum(z, 0)
-            y = labels[batch]
-            error = 1 / (1 + np.exp(-(feats @ model.out + model.out_bias))) - y
-            error = (error * np.where(y == 1, weight[1], weight[0]) / len(batch)).astype(np.float32)
-            back = error[:, None] * model.out[None] * (z > 0)
-            model.out_bias -= s.rate * 3 * float(error.sum())
-            step("out", model.out, feats.T @ error + s.decay * model.out)
-            touched, moved = [], []
-            for k, w in enumerate(s.spans):
-                own = back[:, k * s.filters : (k + 1) * s.filters]
-                grad = np.zeros_like(model.filters[k])
-                for o in range(w):
-                    row = ids[places[k] + o]
-                    grad[o] = np.einsum("bfd,bf->df", model.embedding[row].sum(2), own)
-                    change = (own[..., None] * model.filters[k][o].T[None]).reshape(-1, s.width)
-                    for j in range(3):
-                        touched.append(row[..., j].ravel())
-                        moved.append(change)
-                step(f"f{k}", model.filters[k], grad + s.decay * model.filters[k])
-                step(f"b{k}", model.bias[k], own.sum(0))
-            rows_hit, inverse = np.unique(np.concatenate(touched), return_inverse=True)
-            grad = np.zeros((len(rows_hit), s.width), np.float32)
-            np.add.at(grad, inverse, np.concatenate(moved))
-            grad += s.decay * model.embedding[rows_hit]
-            embedding_squares[rows_hit] += grad * grad
-            model.embedding[rows_hit] -= s.rate * 3 * grad / np.sqrt(embedding_squares[rows_hit])
-            model.embedding[0] = 0
-
-    z = np.concatenate([logits(model, [docs[i] for i in held[b : b + s.batch]]) for b in range(0, len(held), s.batch)] or [np.zeros(0)])
-    tongue = np.array([language(docs[i]) for i in held])
-    for name in LANGUAGES:
-        # a language's own documents count one each, all others together like ``lent`` documents
-        own = tongue == name
-        model.thresholds[name] = threshold(z, labels[held], np.where(own, 1.0, s.lent / max(1, (~own).sum())))
-    return model
+        fit.epoch(ids_of, labels, used)
+    z = whole_logits(model, [docs[i] for i in held])
+    model.thresholds = thresholds(z, labels[held], np.array([LANGUAGES.index(language(docs[i])) for i in held], int), np.ones(len(held)), s)
+    return fit
+
+
+def thresholds(z: np.ndarray, y: np.ndarray, tongue: np.ndarray, times: np.ndarray, s: Settings) -> dict[str, float]:
+    """By language, from logits with label and language and how often they occur.
+
+    A language's own documents count one each, all others together like ``lent`` documents.
+    """
+    out = {}
+    for i, name in enumerate(LANGUAGES):
+        own = tongue == i
+        out[name] = threshold(z, y, times * np.where(own, 1.0, s.lent / max(1, times[~own].sum())))
+    return out
 
 
 def threshold(z: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> float:
     """The middle of the widest range of logits with the least weight of errors; 0 without both labels."""
     if not len(z) or not 0 < y.sum() < len(y):
         return 0.0
-    order = np.argsort(z, kind="stable")
-    z, y, weight = z[order], y[order], np.ones(len(z)) if weight is None else weight[order]
-    missed = np.append(0, np.cumsum(weight * (y == 1)))
-    wrong = (weight * (y == 0)).sum() - np.append(0, np.cumsum(weight * (y == 0)))
+    weight = np.ones(len(z)) if weight is None else weight
+    z, at = np.unique(z, return_inverse=True)
+    toxic, clean = (np.bincount(at, weight * (y == k), len(z)) for k in (1, 0))
+    missed = np.append(0, np.cumsum(toxic))
+    wrong = clean.sum() - np.append(0, np.cumsum(clean))
     edges = np.concatenate([[z[0] - 1], z, [z[-1] + 1]])
     loss = missed + wrong
     best = np.flatnonzero(np.isclose(loss, loss.min()))
@@ -262,20 +365,20 @@ def logits(model: Model, docs: list[np.ndarray]) -> np.ndarray:
 
 def long_logit(model: Model, doc: np.ndarray, step: int) -> np.ndarray:
     """As :func:`logits`, of one document in slices of ``step`` windows."""
-    pad = max(len(f) for f in model.filters)
     best = [np.full(f.shape[2], -np.inf) for f in model.filters]
-    for low in range(0, len(doc) + pad, step):
-        # the places low to high of the document with its zero rows around it
-        high = min(low + step + pad, len(doc) + 2 * pad)
-        ids = np.zeros((high - low, 3), np.int64)
-        first, last = max(low, pad), min(high, pad + len(doc))
-        ids[first - low : max(first, last) - low] = rows_of(model, doc[first - pad : max(first, last) - pad])
+    for ids in slices(rows_of(model, doc), max(len(f) for f in model.filters), step):
         for k in range(len(best)):
             best[k] = np.maximum(best[k], responses(model, ids, k).max(0))
     return np.array([np.maximum(np.concatenate(best), 0) @ model.out + model.out_bias])
 
 
-def scores(model: Model, texts: list[str | None], chunk: int = 100_000) -> np.ndarray:
+def whole_logits(model: Model, docs: list[np.ndarray], chunk: int = CHUNK) -> np.ndarray:
+    """Logits of documents in groups, and of long ones in slices, of up to ``chunk`` words at a time."""
+    groups = together(docs, chunk)
+    return np.concatenate([np.zeros(0), *[long_logit(model, g[0], chunk) if len(g) == 1 and len(g[0]) > chunk else logits(model, g) for g in groups]])
+
+
+def scores(model: Model, texts: list[str | None], chunk: int = CHUNK) -> np.ndarray:
     """Scores of whole texts; documents are taken together, and long ones in slices, up to ``chunk`` words at a time."""
     out, docs, size = [], [], 0
     shift = np.log(model.cut / (1 - model.cut))
@@ -299,15 +402,18 @@ def scores(model: Model, texts: list[str | None], chunk: int = 100_000) -> np.nd
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, per_class: int) -> DataFrame:
-    """(text, label) of at most ``per_class`` training documents a label, chosen by a hash of the id.
+def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(h, y, words) of every labelled document whose crc32 modulo 3 isn't 1, h a hash of its id."""
 
-    The chosen ids are bounded by the parameter, so they are broadcast against the documents.
-    """
-    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (remainder("doc_id", modulus) != held))
-    known = known.groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("doc_id"))
-    picked = [known.where(F.col("y") == y).orderBy("h", "doc_id").limit(per_class) for y in (0, 1)]
-    return docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [buckets(t).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("y"), pa.array(words, pa.binary())], ["h", "y", "words"])
+
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).where(F.col("y").isin(0, 1) & (remainder("doc_id", 3) != 1))
+    known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
+    own = docs.where(remainder("doc_id", 3) != 1).select("doc_id", F.col("text").cast("string").alias("text"))
+    return own.join(known, "doc_id").select(F.xxhash64("doc_id").alias("h"), "y", "text").mapInArrow(hashed, "h long, y int, words binary")
 
 
 def within(rows: list, most: int) -> list[tuple[int, int]]:
@@ -320,29 +426,148 @@ def within(rows: list, most: int) -> list[tuple[int, int]]:
     return taken
 
 
-def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model | None:
-    """Train on the labelled documents whose crc32 modulo 3 isn't 1; None if a label is missing."""
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = [buckets(t).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("y"), pa.array(words, pa.binary())], ["h", "y", "words"])
-
-    rows = sample(docs, labels, "toxic", 3, 1, s.per_class).select("h", "y", "text").mapInArrow(hashed, "h long, y int, words binary")
+def started(rows: DataFrame, s: Settings) -> Trainer | None:
+    """The fit to ``per_class`` ids of each label, as far as their words keep within ``sample_bytes``; None if a label is missing."""
     # one row an id: of several texts the shortest, then the first by its words
-    rows = stored(rows.groupBy("h", "y").agg(F.min(F.struct(F.length("words").alias("bytes"), "words")).alias("one")).select("h", "y", "one.*"), "sample")
-    kept = docs.sparkSession.createDataFrame(within(rows.select("h", "y", "bytes").collect(), s.sample_bytes // 2), "h long, y int")
+    one = rows.select("h", "y", F.struct(F.length("words").alias("bytes"), F.xxhash64("words").alias("digest")).alias("one")).groupBy("h", "y").agg(F.min("one").alias("one")).select("h", "y", "one.*")
+    picked = [one.where(F.col("y") == y).orderBy("h").limit(s.per_class) for y in (0, 1)]
+    found = picked[0].unionByName(picked[1]).collect()
+    kept = set(within([(r["h"], r["y"], r["bytes"]) for r in found], s.sample_bytes // 2))
+    kept = rows.sparkSession.createDataFrame([tuple(r) for r in found if (r["h"], r["y"]) in kept], "h long, y int, bytes int, digest long")
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = sorted(x for b in batches for x in zip(*[b.column(c).to_pylist() for c in ("h", "y", "words")], strict=True))
+        held = {x[:2]: x for b in batches for x in zip(*[b.column(c).to_pylist() for c in ("h", "y", "words")], strict=True)}
+        held = [held[k] for k in sorted(held)]
         if len({y for _, y, _ in held}) == 2:
-            model = train([np.frombuffer(words, np.int32).reshape(-1, 3) for *_, words in held], np.array([y for _, y, _ in held]), s)
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+            fit = trained([of_bytes(words) for *_, words in held], np.array([y for _, y, _ in held]), s)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit)], pa.binary())], ["fit"])
 
     # the sample is bounded, so one task takes it all; the driver gets the model only
-    found = rows.join(F.broadcast(kept), ["h", "y"]).select("h", "y", "words").repartition(1).mapInArrow(fitted, "model binary").collect()
+    same = rows.select("h", "y", F.length("words").alias("bytes"), F.xxhash64("words").alias("digest"), "words")
+    own = same.join(F.broadcast(kept), ["h", "y", "bytes", "digest"]).dropDuplicates(["h", "y"]).select("h", "y", "words")
+    found = own.repartition(1).mapInArrow(fitted, "fit binary").collect()
+    return pickle.loads(found[0]["fit"]) if found else None
+
+
+def of_bytes(words: bytes) -> np.ndarray:
+    return np.frombuffer(words, np.int32).reshape(-1, 3)
+
+
+def counted(rows: DataFrame, s: Settings) -> np.ndarray:
+    """Buckets that at least ``min_docs`` of all these rows hold, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for words in batch.column("words").to_pylist():
+                own = np.unique(of_bytes(words))
+                held[own[own >= 0]] += 1
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[at])], ["bucket", "n"])
+
+    found = rows.select("words").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= s.min_docs)
+    return np.sort(found.select("bucket").toArrow().column(0).to_numpy())
+
+
+def carried(fit: Trainer | None, found: np.ndarray, weight: dict[int, float], s: Settings) -> Trainer:
+    """A fit to the buckets ``found`` that starts from another's weights; random ones where that has none."""
+    out = Trainer(new_model(found, np.random.default_rng(s.seed), s), weight, s)
+    if fit:
+        known = rows_of(fit.model, found)
+        for new, old in ((out.model, fit.model), (out.squares, fit.squares)):
+            new.embedding[1:][known > 0] = old.embedding[known[known > 0]]
+            new.filters, new.bias, new.out, new.out_bias = old.filters, old.bias, old.out, old.out_bias
+    return out
+
+
+def portions(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Documents and labels of a task by ``PORTION`` or ``most`` bytes; the last has what is left, up to twice that."""
+    docs, labels, size = [], [], 0
+    for batch in batches:
+        for y, words in zip(batch.column("y").to_pylist(), batch.column("words").to_pylist(), strict=True):
+            if len(docs) >= 2 * PORTION or size >= most:
+                yield docs[:PORTION], np.array(labels[:PORTION])
+                docs, labels = docs[PORTION:], labels[PORTION:]
+                size = sum(d.nbytes for d in docs)
+            docs.append(of_bytes(words))
+            labels.append(y)
+            size += len(words)
+    if docs:
+        yield docs, np.array(labels)
+
+
+def averaged(fit: Trainer, rows: DataFrame, number: int) -> Trainer:
+    """The fit after a round over all ``rows``: what each task changed, averaged over those that did, by their documents.
+
+    Sums of squared gradients go on within a task and start anew from the fit's in each round.
+    """
+    s = fit.s
+    names = [f"v{i}" for i in range(s.width)]
+    shared = rows.sparkSession.sparkContext.broadcast(fit)
+    least = -(-s.least_steps // s.rounds) * s.batch
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start = shared.value
+        before = flat(start.model)
+        own = Trainer(unflat(before, start.model), start.weight, s, unflat(flat(start.squares), start.squares))
+        rng, n = np.random.default_rng([s.seed, number]), 0
+        for docs, labels in portions(batches, s.sample_bytes):
+            ids = [rows_of(own.model, d).astype(np.int32) for d in docs]
+            for _ in range(1 if n else max(1, -(-least // len(docs)))):  # a task with few documents takes them more often
+                own.epoch(ids, labels, rng.permutation(len(docs)))
+            n += len(docs)
+        if n:
+            moved = flat(own.model) - before
+            at = np.flatnonzero(moved.any(1))
+            columns = [pa.array(at.astype(np.int32)), pa.array(np.full(len(at), float(n))), *[pa.array(c) for c in moved[at].T.astype(np.float64) * n]]
+            yield pa.RecordBatch.from_arrays(columns, ["i", "n", *names])
+
+    out = rows.select("y", "words").mapInArrow(run, ", ".join(["i int", "n double", *[f"{c} double" for c in names]]))
+    found = out.groupBy("i").agg(*[(F.sum(c) / F.sum("n")).cast("float").alias(c) for c in names]).toArrow()
+    shared.destroy()
+    at = found.column("i").to_numpy()
+    after = flat(fit.model)
+    if len(at):
+        after[at] += np.stack([found.column(c).to_numpy() for c in names], 1)
+    return Trainer(unflat(after, fit.model), fit.weight, s, fit.squares)
+
+
+def thresholds_of(model: Model, rows: DataFrame, s: Settings) -> dict[str, float]:
+    """Thresholds by all ``rows``; the driver gets how often each step of a logit occurs."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs, labels in portions(batches, s.sample_bytes):
+            z = np.clip(np.rint(whole_logits(shared.value, docs) * GRID), -FARTHEST * GRID, FARTHEST * GRID).astype(np.int32)
+            tongue = np.array([LANGUAGES.index(language(d)) for d in docs], np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(tongue), pa.array(labels.astype(np.int32)), pa.array(z)], ["tongue", "y", "z"])
+
+    found = rows.select("y", "words").mapInArrow(run, "tongue int, y int, z int").groupBy("tongue", "y", "z").count().toArrow()
+    shared.destroy()
+    tongue, y, z, times = (found.column(c).to_numpy() for c in ("tongue", "y", "z", "count"))
+    return thresholds(z / GRID, y, tongue, times.astype(float), s)
+
+
+def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model | None:
+    """Train on all labelled documents whose crc32 modulo 3 isn't 1; None if a label is missing."""
+    rows = stored(training(docs, labels), "training")
+    aside = F.pmod("h", F.lit(5)) == 0
+    sizes = rows.groupBy("y", aside.alias("aside")).agg(F.count("*").alias("n"), F.sum(F.length("words")).alias("bytes")).collect()
+    of_label = {y: [sum(r[c] for r in sizes if r["y"] == y) for c in ("n", "bytes")] for y in {r["y"] for r in sizes}}
+    model = None
+    if len(of_label) == 2 and all(n <= s.per_class and size <= s.sample_bytes // 2 for n, size in of_label.values()):
+        found = started(rows, s)
+        model = found.model if found else None
+    elif len(of_label) == 2:
+        n = {r["y"]: r["n"] for r in sizes if not r["aside"]}
+        used = rows.where(~aside).coalesce(max(1, sum(n.values()) // (2 * PORTION)))  # each task has enough for steps of its own
+        found = carried(started(used, s), counted(used, s), balance(n), s)
+        for number in range(s.rounds):
+            found = averaged(found, used, number)
+        model = found.model
+        model.thresholds = thresholds_of(model, rows.where(aside), s)
     discard(rows)
-    return pickle.loads(found[0]["model"]) if found else None
+    return model
 
 
 def classify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:

@@ -259,3 +259,39 @@ def test_a_long_or_often_repeated_first_text_leaves_a_model(spark):
     labels = spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
     model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), labels, s)
     assert model is not None
+
+
+def test_documents_beyond_the_sample_are_learned_from(spark):
+    """Toxic documents of the sample have another word than all later ones, which a fit to the sample can't know."""
+    plain = [(i, t) for i, t, toxic, _ in corpus(3000, 8) if not toxic]
+    ids = {r["doc_id"]: r["h"] for r in spark.createDataFrame(plain, "doc_id long, text string").selectExpr("doc_id", "xxhash64(doc_id) AS h").collect()}
+    trained = sorted((i for i in ids if zlib.crc32(str(i).encode()) % 3 != 1 and i % 4 == 0), key=ids.get)
+    early = set(trained[:100])
+    docs = [(i, t if i % 4 else f"{t} {'vlorx' if i in early else 'grumb'} so") for i, t in plain]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in docs], "doc_id long, toxic int")
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    out = {r["doc_id"]: r["predicted"] for r in toxicity.classify(frame, toxicity.fit(frame, labels, toxicity.Settings(per_class=60)), ["doc_id"]).collect()}
+    held = [i for i, _ in docs if zlib.crc32(str(i).encode()) % 3 == 1]
+    caught, left = (np.mean([out[i] == y for i in held if (i % 4 == 0) == y]) for y in (True, False))
+    print(caught, left)
+    assert caught > 0.95 and left > 0.95
+
+
+def test_buckets_are_counted_over_all_documents(spark):
+    docs = spark.createDataFrame([(i, f"all w{i // 3} w{i // 4}x") for i in range(24)], "doc_id long, text string")
+    rows = toxicity.training(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")).repartition(5)
+    held = [toxicity.of_bytes(r["words"]) for r in rows.collect()]
+    assert len(held) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(24))
+    names, n = np.unique(np.concatenate([np.unique(x[x >= 0]) for x in held]), return_counts=True)
+    for least in (1, 3, 4):
+        assert (toxicity.counted(rows, toxicity.Settings(min_docs=least)) == names[n >= least]).all()
+
+
+def test_long_documents_are_learned_from_in_slices():
+    rows = corpus(40, 3)
+    model = toxicity.train([toxicity.buckets(t) for _, t, _, _ in rows], np.array([t for _, _, t, _ in rows]), toxicity.Settings(min_docs=2))
+    docs = [toxicity.rows_of(model, toxicity.buckets(t)) for t in [*[t for _, t, _, _ in rows], ""]]
+    z, windows = toxicity.winners(model, docs)
+    for chunk in (7, 90):
+        again, same = toxicity.winners(model, docs, chunk)
+        assert np.allclose(again, z, atol=1e-5) and np.mean([(a == b).mean() for a, b in zip(windows, same)]) > 0.99
