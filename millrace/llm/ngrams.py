@@ -1,11 +1,13 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Training counts words exactly, and word pairs and triples (with one end token a document) by hash. Pairs and triples
-go into a Bloom filter that holds quantised counts: what was counted c times is inserted with the levels 1 to
-``1 + floor(log_base c)``, so the level is read back by probing level after level until one is missing. Counts travel
-in packed blocks, one a task and segment; segments are built one at a time where their blocks meet, each sized by its
-own load, and are broadcast to the workers with the word counts. A token's probability interpolates discounted
-relative frequencies with the add-one word probability ``p(w)``:
+Texts are cut into chunks, which are stored. A chunk's distinct words, word pairs and triples (with one end token a
+document) go by hash, with their counts in training texts, to the segment of the model that they belong to. Words are
+counted exactly; a segment of pairs or triples builds its part of a Bloom filter that holds quantised counts: what was
+counted c times is inserted with the levels 1 to ``1 + floor(log_base c)``, so the level is read back by probing level
+after level until one is missing. Each segment answers every chunk that it heard of, and where a chunk's answers meet its
+texts, these are scored. The model is never in one place: neither the driver nor a task has more than a segment.
+
+A token's probability interpolates discounted relative frequencies with the add-one word probability ``p(w)``:
 
     ``p(w | v) = (1 - l2) p(w) + l2 max(count(v w) - d, 0) / count(v)``, and likewise
     ``p(w | u v) = (1 - l3) p(w | v) + l3 max(count(u v w) - d, 0) / count(u v)``;
@@ -13,9 +15,7 @@ relative frequencies with the add-one word probability ``p(w)``:
 after a history that was never seen, the lower order stands alone. Triples counted less than ``least_triples`` times
 (2 by default, as is usual) aren't held, and so count as unseen.
 
-What is broadcast grows with the input, so it goes out in parts of at most ``round_bytes``, which are made one after
-the other and wait on the executors' disks. Texts are read once: a task holds its tokens' counts while it takes the
-parts in turn, one in memory at a time. Any number of parts gives the same scores.
+Chunks and segments of any size give the same scores, but for the filter's false answers.
 
 Defined results: null and empty texts are the end token alone. Without training rows N, V and every count are 0,
 so the add-one probability is 1. Repeated rows count as often as they come.
@@ -30,16 +30,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import stored
 
-#: Tokens that a training task counts before it passes them on; bounds its memory.
-FLUSH = 1_500_000
-#: Bytes of text that are scored together, and that a task holds while it takes several parts of a model in turn;
-#: tokens that are probed together.
-GROUP, HELD, PROBED = 3 << 20, 10 << 20, 500_000
+#: Most bytes of text in a chunk of several texts.
+HELD = 10 << 20
 END = xxhash.xxh3_64_intdigest(b"\n")  # no word holds a line end
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Pairs and triples keep the upper 48 bits of their hashes, which is what blocks carry of them.
@@ -49,7 +47,7 @@ WORDS, PAIRS, TRIPLES = 0, 1, 2
 
 @dataclass(frozen=True)
 class Settings:
-    """Quantisation base, bits and probes of an insertion, discount, weights of pairs and triples, least count of a triple, tokens of a segment, bytes of a part."""
+    """Quantisation base, bits and probes of an insertion, discount, weights of pairs and triples, least count of a triple, tokens of a segment, bytes of a chunk's texts if fewer than ``HELD``."""
 
     base: float = 1.5
     bits: float = 8.0
@@ -123,43 +121,68 @@ def unpacked(blob: bytes, width: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def counts(docs: DataFrame, segments: int) -> DataFrame:
-    """(kind, segment, ones, more, times): blocks of what a task has counted once, of what it has counted more often, and how often."""
+def block(kind: int, h: np.ndarray) -> bytes:
+    """Hashes in order: words whole; pairs and triples by the first and steps of four bytes, or of six bytes each if a step is larger."""
+    if kind == WORDS:
+        return b"w" + packed(h, 8)
+    steps = np.diff(h >> np.uint64(16))
+    if len(steps) and steps.max() >> np.uint64(32):
+        return b"h" + packed(h, 6)
+    return b"s" + h[:1].astype("<u8").tobytes() + steps.astype("<u4").tobytes()
 
-    def blocks(kind: int, found: np.ndarray) -> pa.RecordBatch:
-        width = 8 if kind == WORDS else 6
-        h, n = np.unique(found, return_counts=True)
-        names, low = np.unique(segment_of(h, segments), return_index=True)
-        columns = [[], [], []]
-        for x, y in zip(low, [*low[1:], len(h)], strict=True):
-            one = n[x:y] == 1
-            for column, value in zip(columns, (packed(h[x:y][one], width), packed(h[x:y][~one], width), n[x:y][~one].astype("<u4").tobytes()), strict=True):
-                column.append(value)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(names), kind), pa.int32()), pa.array(names.astype(np.int32)), *[pa.array(c, pa.binary()) for c in columns]], ["kind", "segment", "ones", "more", "times"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        size = 0
+def of_block(blob: bytes) -> np.ndarray:
+    if blob[:1] != b"s":
+        return unpacked(blob[1:], 8 if blob[:1] == b"w" else 6)
+    first, steps = np.frombuffer(blob, "<u8", 1, 1), np.frombuffer(blob, "<u4", -1, 9)
+    return first + np.append(np.zeros(1, np.uint64), np.cumsum(steps, dtype=np.uint64) << np.uint64(16))
 
-        def settle() -> Iterator[pa.RecordBatch]:
-            for kind in (WORDS, PAIRS, TRIPLES):
-                yield blocks(kind, np.concatenate([x[kind] for x in held]))
-            held.clear()
 
+def chunks(docs: DataFrame, s: Settings) -> DataFrame:
+    """(chunk, rows): rows (key, text, counted) in runs of a bounded size of text, each as one compressed value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            texts = batch.column("text")
-            for low, high in groups(texts, GROUP):
-                h, starts = hashed(texts.slice(low, high - low))
-                held.append((h, *grams_of(h, starts)))
-                size += len(h)
-                if size >= FLUSH:
-                    yield from settle()
-                    size = 0
-        if held:
-            yield from settle()
+            for low, high in groups(batch.column("text"), min(HELD, s.round_bytes)):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(batch.slice(low, high - low))
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "rows"])
+                number += 1
+
+    return docs.mapInArrow(run, "chunk long, rows binary")
+
+
+def of_chunk(rows: bytes) -> pa.Table:
+    return pa.ipc.open_stream(rows).read_all().combine_chunks()
 
-    rows = docs.select(F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "kind int, segment int, ones binary, more binary, times binary")
+
+def texts_of(rows: pa.Table) -> pa.Array:
+    found = rows.column("text")
+    return found.chunk(0) if found.num_chunks else pa.array([], pa.string())
+
+
+def counts(chunked: DataFrame, segments: int, asked: bool) -> DataFrame:
+    """(kind, segment, chunk, hashes, times): a chunk's distinct hashes by segment, and how often counted rows have each; without a chunk, if it isn't ``asked`` for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+                rows = of_chunk(blob)
+                h, starts = hashed(texts_of(rows))
+                counted = np.repeat(rows.column("counted").to_numpy().astype(bool), np.diff([*starts, len(h)]))
+                for kind, found in zip((WORDS, PAIRS, TRIPLES), (h, *grams_of(h, starts)), strict=True):
+                    distinct, at = np.unique(found, return_inverse=True)
+                    n = np.bincount(at[counted], minlength=len(distinct))
+                    names, low = np.unique(segment_of(distinct, segments), return_index=True)
+                    ends = [*low[1:], len(distinct)]
+                    hashes = [block(kind, distinct[x:y]) for x, y in zip(low, ends, strict=True)]
+                    times = [n[x:y].astype("<u1" if n[x:y].max() < 256 else "<u4").tobytes() for x, y in zip(low, ends, strict=True)]
+                    columns = [pa.array(np.full(len(names), kind), pa.int32()), pa.array(names.astype(np.int32)), pa.array([chunk if asked else None] * len(names), pa.int64()), pa.array(hashes, pa.binary()), pa.array(times, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["kind", "segment", "chunk", "hashes", "times"])
+
+    return chunked.mapInArrow(run, "kind int, segment int, chunk long, hashes binary, times binary")
 
 
 def levels_of(n: np.ndarray, base: float) -> np.ndarray:
@@ -184,28 +207,9 @@ def segment_bits(h: np.ndarray, n: np.ndarray, s: Settings) -> bytes:
     return np.packbits(held, bitorder="little").tobytes()
 
 
-def model_of(blocks: DataFrame, s: Settings) -> DataFrame:
-    """(kind, segment, body, times, n): a segment's words in order with their counts and these in all, or its bits of the filter."""
-
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        kind, segment = (k.as_py() for k in key)
-        width = 8 if kind == WORDS else 6
-        ones, more, times = (b"".join(table.column(c).to_pylist()) for c in ("ones", "more", "times"))
-        ones, more, times = unpacked(ones, width), unpacked(more, width), np.frombuffer(times, "<u4").astype(np.int64)
-        h, at = np.unique(np.concatenate([ones, more]), return_inverse=True)
-        n = np.bincount(at[: len(ones)], minlength=len(h)).astype(np.int64)
-        np.add.at(n, at[len(ones) :], times)
-        kept = n >= (s.least_triples if kind == TRIPLES else 1)
-        body, held = (h.tobytes(), n.astype("<i8").tobytes()) if kind == WORDS else (segment_bits(h[kept], n[kept], s), b"")
-        columns = [pa.array([kind], pa.int32()), pa.array([segment], pa.int32()), pa.array([body], pa.binary()), pa.array([held], pa.binary()), pa.array([int(n.sum())], pa.int64())]
-        return pa.Table.from_arrays(columns, ["kind", "segment", "body", "times", "n"])
-
-    return blocks.groupBy("kind", "segment").applyInArrow(run, "kind int, segment int, body binary, times binary, n long")
-
-
 @dataclass
 class Share:
-    """What one part broadcasts: sorted word hashes with counts, and segments of the filter."""
+    """Part of the model: sorted word hashes with counts, and segments of the filter."""
 
     words: np.ndarray
     counts: np.ndarray
@@ -214,14 +218,6 @@ class Share:
     size: np.ndarray
 
 
-def word_counts(share: Share, h: np.ndarray) -> np.ndarray:
-    if not len(share.words):
-        return np.zeros(len(h), np.int64)
-    distinct, inverse = np.unique(h, return_inverse=True)
-    at = np.minimum(np.searchsorted(share.words, distinct), len(share.words) - 1)
-    return np.where(share.words[at] == distinct, share.counts[at], 0).astype(np.int64)[inverse]
-
-
 def levels_in(share: Share, kind: int, h: np.ndarray, s: Settings) -> np.ndarray:
     """Levels of pairs or triples read from the filter: the last of the consecutive levels whose probes all hit.
 
@@ -261,79 +257,83 @@ def least_counts(level: np.ndarray, s: Settings) -> np.ndarray:
     return table[level]
 
 
-def shares(model: DataFrame, number: int, s: Settings) -> Iterator[Share]:
-    """The model in parts of at most about ``round_bytes``, by segments."""
-    of = F.length("body") + F.length("times")
-    rounds = max(1, -(-model.agg(F.coalesce(F.sum(of), F.lit(0))).first()[0] // s.round_bytes))
-    for i in range(rounds):
-        rows = model.where(F.col("segment") % rounds == i).select("kind", "segment", "body", "times").toArrow().sort_by("segment")
-        kinds = rows.column("kind").to_numpy()
-        words, grams = rows.filter(pa.array(kinds == WORDS)), rows.filter(pa.array(kinds != WORDS))
-        h = np.frombuffer(b"".join(words.column("body").to_pylist()), np.uint64)
-        n = np.frombuffer(b"".join(words.column("times").to_pylist()), np.int64)
-        n = n.astype(np.uint32) if n.max(initial=0) < 1 << 32 else n
-        start, size = np.full(2 * number, -1, np.int64), np.zeros(2 * number, np.int64)
-        at, blobs = 0, []
-        for kind, name, bits in zip(kinds[kinds != WORDS], grams.column("segment").to_pylist(), grams.column("body"), strict=True):
-            name += number * (kind == TRIPLES)
-            blob = np.frombuffer(bits.as_buffer(), np.uint8)
-            start[name], size[name] = at * 8, len(blob) * 8
-            at += len(blob)
-            blobs.append(blob)
-        bits = np.concatenate(blobs) if blobs else np.zeros(0, np.uint8)
-        del rows, words, grams, blobs
-        yield Share(h, n, bits, start, size)
-
-
-def score(docs: DataFrame, key: str, training: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(key, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``, learnt from ``training``'s texts."""
-    spark, kind = docs.sparkSession, dict(docs.dtypes)[key]
+def answered(blocks: DataFrame, s: Settings) -> DataFrame:
+    """(chunk, kind, segment, found, n, words): for each chunk's hashes in order, counts of words or levels of pairs or
+    triples; and, without a chunk, how many tokens a segment counts and how many distinct ones these are."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        kind, segment = (k.as_py() for k in key)
+        named = table.column("chunk").to_pylist()
+        hashes = [of_block(x) for x in table.column("hashes").to_pylist()]
+        times = [np.frombuffer(x, "<u1" if len(x) == len(own) else "<u4") for x, own in zip(table.column("times").to_pylist(), hashes, strict=True)]
+        h, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        n = np.zeros(len(h), np.int64)
+        np.add.at(n, at, np.concatenate(times).astype(np.int64))
+        if kind == WORDS:
+            found = n.astype("<i8")
+        else:
+            kept = n >= (s.least_triples if kind == TRIPLES else 1)
+            bits = np.frombuffer(segment_bits(h[kept], n[kept], s), np.uint8)
+            none = np.zeros(0, np.int64)
+            found = levels_in(Share(none, none, bits, np.zeros(2, np.int64), np.full(2, len(bits) * 8)), kind, h, s)
+        ends = np.cumsum([0, *map(len, hashes)])
+        own = [(c, found[at[x:y]].tobytes()) for c, x, y in zip(named, ends[:-1], ends[1:], strict=True) if c is not None]
+        rows = len(own) + 1
+        columns = [pa.array([*[c for c, _ in own], None], pa.int64()), pa.array([kind] * rows, pa.int32()), pa.array([segment] * rows, pa.int32()), pa.array([*[x for _, x in own], None], pa.binary())]
+        columns += [pa.array([None] * len(own) + [int(x)], pa.int64()) for x in (n.sum(), (n > 0).sum())]
+        return pa.Table.from_arrays(columns, ["chunk", "kind", "segment", "found", "n", "words"])
+
+    return blocks.groupBy("kind", "segment").applyInArrow(run, "chunk long, kind int, segment int, found binary, n long, words long")
+
+
+def score(docs: DataFrame, key: str, training: DataFrame | Column, s: Settings = Settings()) -> DataFrame:
+    """(key, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``, learnt from ``training``'s texts.
+
+    Where ``training`` is a condition on ``docs``, texts are read and sent once for both.
+    """
+    kind = dict(docs.dtypes)[key]
+    text, apart = F.col("text").cast("string").alias("text"), isinstance(training, DataFrame)
+    counted = F.lit(False) if apart else F.coalesce(training, F.lit(False))
+    asked = stored(chunks(docs.select(F.col(key).alias("key"), text, counted.alias("counted")), s), "chunks")
     # a word has about six bytes: segments of a size that is even, whatever the table's
-    size = training.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    number = max(4, -(-size // (6 * s.segment)))
-    model = stored(model_of(counts(training, number), s), "model")
-    total, distinct = model.where(F.col("kind") == WORDS).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.length("body") / 8), F.lit(0)).cast("long")).first()
-    parts = [spark.sparkContext.broadcast(x) for x in shares(model, number, s)]
-    rows = docs.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text"))
+    sizes = [x.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] for x in ([docs, training] if apart else [docs])]
+    number = max(4, -(-sum(sizes) // (6 * s.segment)))
+    blocks = counts(asked, number, True)
+    if apart:
+        blocks = blocks.unionByName(counts(chunks(training.select(F.lit(None).cast(kind).alias("key"), text, F.lit(True).alias("counted")), s), number, False))
+    answers = stored(answered(blocks, s), "answers")
+    total, distinct = answers.where((F.col("kind") == WORDS) & F.col("chunk").isNull()).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    found = answers.where(F.col("chunk").isNotNull()).select("chunk", "kind", "segment", "found")
     columns = f"key {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.mapInArrow(_scored(parts, total, distinct, s), columns).withColumnRenamed("key", key)
-
-
-def _probed(parts: list, h: np.ndarray, starts: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word counts, pair levels and triple levels of tokens, from all parts of the model in turn."""
-    pairs, triples = grams_of(h, starts)
-    word, pair, triple = np.zeros(len(h), np.int64), np.zeros(len(h), np.uint8), np.zeros(len(h), np.uint8)
-    for part in parts:
-        share = part.value
-        for low in range(0, len(h), PROBED):
-            at = slice(low, low + PROBED)
-            word[at] += word_counts(share, h[at])
-            pair[at] = np.maximum(pair[at], levels_in(share, PAIRS, pairs[at], s))
-            triple[at] = np.maximum(triple[at], levels_in(share, TRIPLES, triples[at], s))
-        if len(parts) > 1:
-            del share
-            vars(part).pop("_value", None)  # a worker reads it from its file again when its next tokens need it
-    return word, pair, triple
-
-
-def _scored(parts: list, total: int, distinct: int, s: Settings):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text")
-            for low, high in groups(texts, GROUP if len(parts) == 1 else HELD):
-                h, starts = hashed(texts.slice(low, high - low))
-                starts = np.append(starts, len(h))
-                word, pair, triple = _probed(parts, h, starts[:-1], s)
-                pair, triple = least_counts(pair, s), least_counts(triple, s)
-                context, history = np.empty_like(word), np.empty_like(pair)
-                context[1:], history[1:] = word[:-1], pair[:-1]
-                # a text follows the end of another
-                context[starts[:-1]] = history[starts[:-1]] = word[starts[1:] - 1]
-                base = np.log10((word + 1) / (total + distinct + 1))
-                p = log_probabilities(word, context, pair, history, triple, total, distinct, s)
-                known, base, p = (np.add.reduceat(v, starts[:-1]) for v in ((word > 0).astype(np.int64), base, p))
-                n = np.diff(starts)
-                columns = [batch.column("key").slice(low, high - low), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), total), pa.int64()), pa.array(base, pa.float64()), pa.array(p, pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+    return asked.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_scored(total, distinct, s), columns).withColumnRenamed("key", key)
+
+
+def _scored(total: int, distinct: int, s: Settings):
+    def read(found: np.ndarray, answers: pa.Table, kind: int) -> np.ndarray:
+        """What the segments answered for each token: their answers one after another are those of the distinct hashes in order."""
+        own = answers.filter(pc.equal(answers.column("kind"), kind)).sort_by("segment")
+        values = np.frombuffer(b"".join(own.column("found").to_pylist()), "<i8" if kind == WORDS else np.uint8)
+        names, at = np.unique(found, return_inverse=True)
+        if len(names) != len(values):
+            raise RuntimeError(f"{len(values)} answers to {len(names)} hashes")
+        return values[at]
+
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = of_chunk(chunk.column("rows")[0].as_py())
+        h, starts = hashed(texts_of(rows))
+        pairs, triples = grams_of(h, starts)
+        starts = np.append(starts, len(h))
+        word = read(h, answers, WORDS)
+        pair, triple = (least_counts(read(x, answers, kind), s) for x, kind in ((pairs, PAIRS), (triples, TRIPLES)))
+        context, history = np.empty_like(word), np.empty_like(pair)
+        context[1:], history[1:] = word[:-1], pair[:-1]
+        # a text follows the end of another
+        context[starts[:-1]] = history[starts[:-1]] = word[starts[1:] - 1]
+        base = np.log10((word + 1) / (total + distinct + 1))
+        p = log_probabilities(word, context, pair, history, triple, total, distinct, s)
+        known, base, p = (np.add.reduceat(v, starts[:-1]) for v in ((word > 0).astype(np.int64), base, p))
+        n = np.diff(starts)
+        columns = [rows.column("key"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), total), pa.int64()), pa.array(base, pa.float64()), pa.array(p, pa.float64())]
+        return pa.Table.from_arrays(columns, ["key", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run

@@ -19,7 +19,7 @@ def tokenizer(name: str) -> str:
 def op1_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a model of those that aren't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = ngrams.score(docs, "doc_id", docs.where(remainder("doc_id", 7) != 2))
+    scored = ngrams.score(docs, "doc_id", remainder("doc_id", 7) != 2)
     return scored.select("doc_id", (remainder("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import ngrams, queries
 from millrace.llm.common import table
@@ -111,3 +112,28 @@ def test_probabilities_of_a_context_sum_to_one_at_most():
     assert 0 < p.sum() <= 1
     alone = 10 ** ngrams.log_probabilities(words, np.zeros(3), pairs, np.zeros(3), triples, 10, 3, s)
     assert np.allclose(alone, (words + 1) / 14)
+
+
+def test_a_condition_learns_as_a_table_does_and_the_driver_gets_no_model(spark, data, monkeypatch):
+    docs = table(spark, data, "documents").select("doc_id", "text")
+    apart = ngrams.score(docs, "doc_id", docs.where("doc_id % 3 = 0")).toPandas().sort_values("doc_id")
+
+    def refused(*_):
+        raise AssertionError("the model goes through the driver")
+
+    for kind, name in ((type(docs), "toArrow"), (type(spark.sparkContext), "broadcast")):
+        monkeypatch.setattr(kind, name, refused)
+    once = ngrams.score(docs, "doc_id", F.col("doc_id") % 3 == 0)
+    monkeypatch.undo()
+    once = once.toPandas().sort_values("doc_id")
+    assert np.allclose(apart.base_score, once.base_score) and (apart.n_known == once.n_known).all() and (apart.train_tokens == once.train_tokens).all()
+    assert np.allclose(apart.score, once.score, rtol=0.02)
+
+
+def test_blocks_give_back_their_hashes():
+    rng = np.random.default_rng(1)
+    for n, most in ((1, 63), (2, 63), (5, 40), (50_000, 63)):
+        h = np.unique(rng.integers(0, 1 << most, n).astype(np.uint64))
+        assert (ngrams.of_block(ngrams.block(ngrams.WORDS, h)) == h).all()
+        h = np.unique(h & ngrams.UPPER)
+        assert (ngrams.of_block(ngrams.block(ngrams.PAIRS, h)) == h).all()
