@@ -8,9 +8,10 @@ words, never read from a column. Scores are shifted so that each language's thre
 
 All training documents are learned from. Where they are few (``per_class`` of each label, within ``sample_bytes``), one
 task fits them. Else such a sample, by a hash of the id, gives no more than the weights to start from: the buckets that
-have an embedding are counted over all, and in each of ``rounds`` rounds every task takes its share of all training
-documents in steps, and what the tasks changed is averaged, each row of weights over the tasks that changed it, by
-their documents. A task holds a few thousand documents at a time and the model, which the number of buckets bounds.
+have an embedding are counted over all, and in each of ``rounds`` rounds every task (of ``tasks`` at most) takes its
+share of all training documents in steps, and what the tasks changed is averaged, each row of weights over the tasks
+that changed it, by their documents. A task holds a few thousand documents at a time and the model, which the number of
+buckets bounds.
 
 Every document is scored whole; very long ones are learned from and scored in slices. A language's threshold has the
 fewest errors among its own documents of a fifth kept out of the fit, and among all others with the weight of ``lent``
@@ -25,6 +26,7 @@ labels counts as toxic if any says so; null labels are left out. Columns to keep
 from __future__ import annotations
 
 import pickle
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
@@ -43,6 +45,8 @@ CHUNK = 100_000
 GRID, FARTHEST = 256, 64
 #: Training documents that a task holds at a time, twice as many at its end.
 PORTION = 2000
+#: Bits that tell labelled documents' ids from others before texts are moved.
+MARKS = 1 << 26
 #: The languages whose thresholds are set apart, with common function words.
 FUNCTION_WORDS = {
     "en": "the of and to in is that was for on with as are be this by from it at an or",
@@ -61,7 +65,7 @@ CACHE, LONGEST = 150_000, 64
 class Settings:
     """Sizes of the sample that a fit starts from (rows of each label, bytes of its words), of the network and of its training.
 
-    ``rounds`` are taken over all training documents if they are more than that sample. ``lent`` is the number of documents that all other languages together count for where a language's threshold is set.
+    ``rounds`` are taken over all training documents if they are more than that sample, in at most ``tasks`` tasks, each of which sends the weights that it changed. ``lent`` is the number of documents that all other languages together count for where a language's threshold is set.
     """
 
     per_class: int = 3000
@@ -72,6 +76,7 @@ class Settings:
     spans: tuple[int, ...] = (1, 2, 3)
     epochs: int = 8
     rounds: int = 2
+    tasks: int = 256
     batch: int = 64
     least_steps: int = 120
     rate: float = 0.05
@@ -105,7 +110,7 @@ class Words(dict):
     def __missing__(self, word: bytes) -> bytes:
         letters = word[:24].decode("utf-8", "ignore")  # six letters have no more bytes
         starts = [bucket(b"%d:" % n + letters[:n].encode()) if len(letters) >= n else -1 for n in (4, 6)]
-        found = np.array([bucket(word), *starts], np.int32).tobytes()
+        found = struct.pack("=3i", bucket(word), *starts)
         if len(word) <= LONGEST:
             if len(self) > CACHE:
                 self.clear()
@@ -155,16 +160,17 @@ def joined(docs: list[np.ndarray], spans: tuple[int, ...]) -> tuple[np.ndarray,
     return ids, starts
 
 
-def responses(model: Model, ids: np.ndarray, k: int) -> np.ndarray:
-    """Filter outputs of one width at each place, before the cut at zero: sums of the words' projected embeddings."""
+def responses(model: Model, ids: np.ndarray) -> Iterator[np.ndarray]:
+    """Filter outputs at each place, width by width, before the cut at zero: sums of the words' projected embeddings."""
     n = len(ids) - max(len(f) for f in model.filters)
     # words repeat: each distinct one is projected once
     words, inverse = distinct(ids)
     vectors = model.embedding[words].sum(1)
-    out = np.tile(model.bias[k], (n, 1))
-    for o, part in enumerate(model.filters[k]):
-        out += (vectors @ part)[inverse[o : o + n]]
-    return out
+    for filters, bias in zip(model.filters, model.bias, strict=True):
+        out = np.tile(bias, (n, 1))
+        for o, part in enumerate(filters):
+            out += (vectors @ part)[inverse[o : o + n]]
+        yield out
 
 
 def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,8 +214,7 @@ def winners(model: Model, docs: list[np.ndarray], chunk: int = CHUNK) -> tuple[n
         best = [None] * len(spans)
         for ids, starts in parts:
             ends = np.append(starts[1:], len(ids) - max(spans))
-            for k, w in enumerate(spans):
-                out = responses(model, ids, k)
+            for (k, w), out in zip(enumerate(spans), responses(model, ids), strict=True):
                 at = np.stack([x + out[x:y].argmax(0) for x, y in zip(starts, ends, strict=True)])
                 found = np.take_along_axis(out, at, 0), np.stack([ids[at + o] for o in range(w)])
                 if best[k] is not None:
@@ -359,7 +364,7 @@ def logits(model: Model, docs: list[np.ndarray]) -> np.ndarray:
     if not docs:
         return np.zeros(0)
     ids, starts = joined([rows_of(model, d) for d in docs], tuple(len(f) for f in model.filters))
-    pooled = [np.maximum.reduceat(responses(model, ids, k), starts) for k in range(len(model.filters))]
+    pooled = [np.maximum.reduceat(out, starts) for out in responses(model, ids)]
     return np.maximum(np.concatenate(pooled, 1), 0) @ model.out + model.out_bias
 
 
@@ -367,8 +372,7 @@ def long_logit(model: Model, doc: np.ndarray, step: int) -> np.ndarray:
     """As :func:`logits`, of one document in slices of ``step`` windows."""
     best = [np.full(f.shape[2], -np.inf) for f in model.filters]
     for ids in slices(rows_of(model, doc), max(len(f) for f in model.filters), step):
-        for k in range(len(best)):
-            best[k] = np.maximum(best[k], responses(model, ids, k).max(0))
+        best = [np.maximum(x, out.max(0)) for x, out in zip(best, responses(model, ids), strict=True)]
     return np.array([np.maximum(np.concatenate(best), 0) @ model.out + model.out_bias])
 
 
@@ -413,7 +417,26 @@ def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).where(F.col("y").isin(0, 1) & (remainder("doc_id", 3) != 1))
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     own = docs.where(remainder("doc_id", 3) != 1).select("doc_id", F.col("text").cast("string").alias("text"))
-    return own.join(known, "doc_id").select(F.xxhash64("doc_id").alias("h"), "y", "text").mapInArrow(hashed, "h long, y int, words binary")
+    # by shuffle at any size: what is moved grows with the labelled texts, and no labels pass through the driver
+    own = marked(own, known).join(known.hint("shuffle_hash"), "doc_id")
+    return own.select(F.xxhash64("doc_id").alias("h"), "y", "text").mapInArrow(hashed, "h long, y int, words binary")
+
+
+def marked(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """All documents whose id is among the ``known`` ones, and few others, so that a join moves no more texts than it needs.
+
+    Ids are told apart by ``MARKS`` bits in pages of 4 KB, 8 MB in all, which every task gets; if they are no whole
+    numbers, all documents are moved.
+    """
+    if not {dict(x.dtypes)["doc_id"] for x in (docs, known)} <= {"tinyint", "smallint", "int", "bigint"}:
+        return docs
+    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(MARKS))
+    place = known.select(F.bitmap_bucket_number(slot).alias("__page"), F.bitmap_bit_position(slot).alias("bit"))
+    pages = place.repartition("__page").groupBy("__page").agg(F.bitmap_construct_agg("bit").alias("__bits"))
+    bit = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = docs.withColumn("__page", F.bitmap_bucket_number(slot)).join(F.broadcast(pages), "__page")
+    return found.where(F.getbit(byte, (bit % 8).cast("int")) == 1).drop("__page", "__bits")
 
 
 def within(rows: list, most: int) -> list[tuple[int, int]]:
@@ -519,11 +542,12 @@ def averaged(fit: Trainer, rows: DataFrame, number: int) -> Trainer:
         if n:
             moved = flat(own.model) - before
             at = np.flatnonzero(moved.any(1))
-            columns = [pa.array(at.astype(np.int32)), pa.array(np.full(len(at), float(n))), *[pa.array(c) for c in moved[at].T.astype(np.float64) * n]]
+            columns = [pa.array(at.astype(np.int32)), pa.array(np.full(len(at), n)), *[pa.array(c) for c in moved[at].T]]
             yield pa.RecordBatch.from_arrays(columns, ["i", "n", *names])
 
-    out = rows.select("y", "words").mapInArrow(run, ", ".join(["i int", "n double", *[f"{c} double" for c in names]]))
-    found = out.groupBy("i").agg(*[(F.sum(c) / F.sum("n")).cast("float").alias(c) for c in names]).toArrow()
+    # no task has a row twice, so the rows are moved as they are: single precision, summed in double where they meet
+    out = rows.select("y", "words").mapInArrow(run, ", ".join(["i int", "n long", *[f"{c} float" for c in names]])).repartition("i")
+    found = out.groupBy("i").agg(*[(F.sum(F.col(c).cast("double") * F.col("n")) / F.sum("n")).cast("float").alias(c) for c in names]).toArrow()
     shared.destroy()
     at = found.column("i").to_numpy()
     after = flat(fit.model)
@@ -560,7 +584,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model |
         model = found.model if found else None
     elif len(of_label) == 2:
         n = {r["y"]: r["n"] for r in sizes if not r["aside"]}
-        used = rows.where(~aside).coalesce(max(1, sum(n.values()) // (2 * PORTION)))  # each task has enough for steps of its own
+        used = rows.where(~aside).coalesce(max(1, min(s.tasks, sum(n.values()) // (2 * PORTION))))  # each task has enough for steps of its own
         found = carried(started(used, s), counted(used, s), balance(n), s)
         for number in range(s.rounds):
             found = averaged(found, used, number)

@@ -295,3 +295,46 @@ def test_long_documents_are_learned_from_in_slices():
     for chunk in (7, 90):
         again, same = toxicity.winners(model, docs, chunk)
         assert np.allclose(again, z, atol=1e-5) and np.mean([(a == b).mean() for a, b in zip(windows, same)]) > 0.99
+
+
+def test_labels_meet_texts_by_shuffle_at_any_size_and_few_other_texts_move(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(-2000, 3000)] + [(None, "x"), (7, "again")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(-200, 9000, 10)] + [(None, 1)], "doc_id long, toxic int")
+    plan = toxicity.training(docs, labels)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [doc_id" in plan and "BroadcastHashJoin [doc_id" not in plan
+    for kind in ("long", "int"):
+        found = [r["doc_id"] for r in toxicity.marked(docs, labels.select(F.col("doc_id").cast(kind), "toxic")).collect() if r["doc_id"] is not None]
+        assert set(range(-200, 3000, 10)) <= set(found) and len(found) <= 325
+    assert sorted(toxicity.marked(docs, labels.select(F.col("doc_id").cast("string"))).collect(), key=str) == sorted(docs.collect(), key=str)
+    want = sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(-200, 3000, 10))
+    assert toxicity.training(docs, labels).count() == want
+
+
+def test_a_round_takes_all_rows_in_a_bounded_number_of_tasks_whose_changes_are_averaged(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "PORTION", 20)
+    docs, labels, rows = frames(spark, 900)
+    seen, whole = [], toxicity.averaged
+
+    def averaged(fit, rows, number):
+        seen.append((rows.rdd.getNumPartitions(), rows.count()))
+        return whole(fit, rows, number)
+
+    monkeypatch.setattr(toxicity, "averaged", averaged)
+    out = {r["doc_id"]: r["predicted"] for r in toxicity.classify(docs, toxicity.fit(docs.repartition(8), labels, toxicity.Settings(per_class=50, tasks=2)), ["doc_id"]).collect()}
+    assert len(seen) == 2 and all(parts <= 2 and n > 400 for parts, n in seen)
+    assert np.mean([out[i] == t for i, _, t, _ in rows if zlib.crc32(str(i).encode()) % 3 == 1]) > 0.95
+
+
+def test_changes_of_tasks_are_averaged_by_their_documents(spark):
+    rows = toxicity.training(*frames(spark, 400)[:2]).collect()
+    whole, part = (spark.createDataFrame(spark.sparkContext.parallelize(x, 1), "h long, y int, words binary") for x in (rows, rows[:100]))
+    assert whole.union(part).rdd.getNumPartitions() == 2
+    s = toxicity.Settings(least_steps=1, min_docs=2)
+    start = toxicity.carried(None, toxicity.counted(whole, s), {0: 1.0, 1: 1.0}, s)
+    both = toxicity.averaged(start, whole.union(part), 0)
+    alone = [toxicity.averaged(start, x, 0) for x in (whole, part)]
+    n, before = (len(rows), 100), toxicity.flat(start.model)
+    moved = [toxicity.flat(x.model) - before for x in alone]
+    took = [k * (m != 0).any(1, keepdims=True) for k, m in zip(n, moved, strict=True)]
+    want = before + sum(m * k for m, k in zip(moved, n, strict=True)) / np.maximum(1, sum(took))
+    assert np.allclose(toxicity.flat(both.model), want, atol=1e-5)
